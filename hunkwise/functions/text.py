@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 # The separators at which Python's str.splitlines() breaks.
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 UNUSUAL_BREAK = "[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-BLANK = r"[\s\x1c-\x1f]"
+# The characters that Python's str.strip() takes off.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def unix_lines(text: Column) -> Column:
@@ -24,16 +28,16 @@ def split_lines(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """``str.strip()``: blanks of any kind, not only spaces."""
-    return F.regexp_replace(text, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{BLANK}+", "")
+    return F.ltrim(text, F.lit(BLANKS))
 
 
 def indent_width(text: Column) -> Column:
     """Number of leading blank characters (all of them when the line is blank)."""
-    return F.length(F.regexp_extract(text, rf"(?U)\A({BLANK}*)", 1))
+    return F.length(text) - F.length(lstrip(text))
 
 
 def int_list(numbers: Column) -> Column:

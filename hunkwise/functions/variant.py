@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INTEGER_TEXT = r"\A\s*[+-]?[0-9]+\s*\z"
 FLOAT_TEXT = r"\A\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*\z"
 
 
+def parsed_once(df: DataFrame, name: str, json_text: Column) -> DataFrame:
+    """Adds the parsed text (NULL when it is no JSON). The one-element explode keeps the parse in a step of its
+    own: as a plain column, every filter and field read above it would be rewritten to parse the text again."""
+    return df.withColumn(name, F.explode(F.array(F.try_parse_json(json_text))))
+
+
 def field(value: Column, path: str) -> Column:
     """The field as a VARIANT; SQL NULL when the path is absent, a null VARIANT when it is JSON null."""
     return F.try_variant_get(value, path, "variant")

@@ -53,10 +53,10 @@ def normal_url(url: Column) -> Column:
     )
 
 
-def parse_body(body: Column) -> Column:
-    """The payload as a VARIANT, or NULL when it is not UTF-8 JSON."""
+def payload_text(body: Column) -> Column:
+    """The body as text, or NULL when it is not UTF-8."""
     text = body.cast("string")
-    return F.try_parse_json(F.when(F.is_valid_utf8(text), text))
+    return F.when(F.is_valid_utf8(text), text)
 
 
 def _required(payload: Column, path: str, what: str) -> Column:
@@ -107,20 +107,17 @@ def with_disposition(events: DataFrame, secret: str) -> DataFrame:
     """Adds ``payload`` (VARIANT) and ``disposition``. The signature is judged before anything else, the
     payload before the action. Bad rows stay as rows: nothing raises."""
     state = signature_state(F.col("signature"), F.col("body"), secret)
-    return (
-        events.withColumn("signature_state", state)
-        .withColumn("payload", F.when((F.col("signature_state") == "valid") & (F.col("event_type") == HANDLED_EVENT),
-                                      parse_body(F.col("body"))))
-        .withColumn(
-            "disposition",
-            F.when(F.col("signature_state") != "valid", F.col("signature_state"))
-            .when(F.coalesce(F.col("event_type") != HANDLED_EVENT, F.lit(True)), "ignored_event")
-            .when(~F.coalesce(is_valid_payload(F.col("payload")), F.lit(False)), "invalid_payload")
-            .when(~V.text(F.col("payload"), "$.action").isin(HANDLED_ACTIONS), "ignored_action")
-            .otherwise("accepted"),
-        )
-        .drop("signature_state")
+    known = events.withColumn("signature_state", F.explode(F.array(state)))
+    judged = (F.col("signature_state") == "valid") & (F.col("event_type") == HANDLED_EVENT)
+    parsed = V.parsed_once(known, "payload", F.when(judged, payload_text(F.col("body"))))
+    disposition = (
+        F.when(F.col("signature_state") != "valid", F.col("signature_state"))
+        .when(F.coalesce(F.col("event_type") != HANDLED_EVENT, F.lit(True)), "ignored_event")
+        .when(~F.coalesce(is_valid_payload(F.col("payload")), F.lit(False)), "invalid_payload")
+        .when(~V.text(F.col("payload"), "$.action").isin(HANDLED_ACTIONS), "ignored_action")
+        .otherwise("accepted")
     )
+    return parsed.withColumn("disposition", F.explode(F.array(disposition))).drop("signature_state")
 
 
 def disposition_counts(judged: DataFrame) -> DataFrame:

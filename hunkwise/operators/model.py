@@ -22,7 +22,7 @@ def decode_replies(responses: DataFrame, raw: str = "raw") -> DataFrame:
     items = F.try_variant_get(reply, "$.findings", "array<variant>")
     ok_shape = V.is_object(reply) & (V.is_missing(reply, "$.findings") | items.isNotNull())
     return (
-        responses.withColumn("reply", F.try_parse_json(F.col(raw)))
+        V.parsed_once(responses, "reply", F.col(raw))
         .withColumn("reply_status", F.when(reply.isNull(), "not_json").when(ok_shape, "ok").otherwise("bad_shape"))
         .withColumn("summary", F.when(F.col("reply_status") == "not_json", UNREADABLE_SUMMARY)
                     .when(F.col("reply_status") == "ok",

@@ -2,7 +2,7 @@
 
 Only line features travel through the windows. All windows hash on the file key; one file is one text cell,
 so a group is bounded by that cell. Where an end has to be searched, a line is repeated once per scope level
-that it can close (the distinct levels of a file are few), and the search is then a ``lead`` over the
+that it can close (the distinct levels of a file are few), and the search is then a running window over the
 level's rows instead of a join of every header with every later line.
 
 Approximations against a grammar: several definitions on one line count as one; braces inside JS strings or
@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hunkwise.functions.text import indent_width, split_lines, strip
-from hunkwise.operators.cover import BIN, interval_join
+from hunkwise.functions.text import BLANKS, indent_width, lstrip, split_lines, strip
+from hunkwise.operators.cover import interval_join
+from hunkwise.schemas import lookup
+from hunkwise.session import stage
 
 BRACE_LANGUAGES = ["javascript", "typescript"]
 
@@ -55,247 +57,202 @@ def _char_count(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char)))
 
 
-def indent_scopes(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Python scopes from ``lines`` (keys, ``line``, ``text``)."""
-    forward = W.partitionBy(*keys).orderBy("line")
-    above = forward.rowsBetween(W.unboundedPreceding, -1)
+def _line_features(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """What the windows need to know of a line. Regexes run only behind a cheap test for their literal text."""
+    text, body = F.col("text"), strip(F.col("text"))
+    python = F.col("language") == "python"
+
+    def extract(guard: Column, pattern: str, group: int) -> Column:
+        return F.when(guard, F.nullif(F.regexp_extract(text, pattern, group), F.lit("")))
+
+    py = python & (body.startswith("def") | body.startswith("class") | body.startswith("async"))
+    js_class = ~python & text.contains("class")
+    js_function = ~python & text.contains("function")
+    js_const = ~python & text.contains("=") & (text.contains("=>") | text.contains("function"))
+    js_method = ~python & text.contains("(")
+    triple = python & (text.contains('"""') | text.contains("\'\'\'"))
+    return lines.select(
+        *keys, "line", python.alias("python"),
+        indent_width(text).alias("indent"),
+        (body != "").alias("filled"),
+        F.when(python, body.startswith("#")).otherwise(
+            body.startswith("//") | body.startswith("/*") | body.startswith("*")).alias("is_comment"),
+        (python & (body.startswith(")") | body.startswith("]") | body.startswith("}"))).alias("is_tail"),
+        (python & text.contains(":") & body.rlike(r":\s*(?:#.*)?\z")).alias("ends_signature"),
+        (python & body.rlike(_PY_STRING_START)).alias("starts_string"),
+        F.when(triple, _occurrences(text, _TRIPLE)).otherwise(0).alias("quotes"),
+        F.when(python, F.length(F.translate(body, BLANKS + "\"\'", ""))).otherwise(0).alias("plain_chars"),
+        text.contains("async ").cast("int").alias("async_word"),
+        F.when(python, 0).otherwise(_char_count(text, "{")).alias("opens"),
+        F.when(python, 0).otherwise(_char_count(text, "}")).alias("closes"),
+        extract(py, _PY_HEADER, 1).alias("py_kind"),
+        extract(py, _PY_HEADER, 2).alias("py_name"),
+        extract(js_class, _JS_CLASS, 1).alias("class_name"),
+        extract(js_function, _JS_FUNCTION, 1).alias("function_name"),
+        extract(js_const, _JS_CONST, 1).alias("const_name"),
+        extract(js_const, _JS_CONST, 2).alias("const_value"),
+        extract(js_method, _JS_METHOD, 1).alias("method_name"),
+        (~python & body.startswith("/**")).alias("doc_opens"),
+        (~python & text.contains("/*")).alias("block_opens"),
+        (~python & body.endswith("*/")).alias("doc_ends"),
+        (~python & body.rlike(r"\Aexport\b")).alias("is_export"),
+    )
+
+
+def scope_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Every definition line with its extent, from ``lines`` (keys, ``language``, ``line``, ``text``).
+
+    Both languages share one pass: one exchange on the file key, then running windows in line order, in
+    reversed order, and per scope level.
+    """
+    down = W.partitionBy(*keys).orderBy("line")
+    so_far, above = down.rowsBetween(W.unboundedPreceding, W.currentRow), down.rowsBetween(W.unboundedPreceding, -1)
     # a backward fill is a running window over the reversed order: a frame open to the end would rescan it
-    below = W.partitionBy(*keys).orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, -1)
+    up = W.partitionBy(*keys).orderBy(F.desc("line"))
+    below, here_or_below = up.rowsBetween(W.unboundedPreceding, -1), up.rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy(*keys)
+    zero = F.lit(0)
 
-    body = strip(F.col("text"))
-    feats = lines.select(
-        *keys, "line", "text",
-        indent_width(F.col("text")).alias("indent"),
-        (body != "").alias("filled"),
-        body.startswith("#").alias("is_comment"),
-        body.rlike(r"\A[)\]}]").alias("is_tail"),
-        _occurrences(F.col("text"), _TRIPLE).alias("quotes"),
-        F.col("text").contains("async ").cast("int").alias("async_word"),
-    )
-    feats = feats.withColumn("quotes_above", F.coalesce(F.sum("quotes").over(above), F.lit(0)))
+    rows = _line_features(lines, keys).withColumns({
+        "quotes_above": F.coalesce(F.sum("quotes").over(above), zero),
+        "depth_after": F.sum(F.col("opens") - F.col("closes")).over(so_far),
+        "chars_above": F.coalesce(F.sum("plain_chars").over(above), zero),
+        "async_above": F.coalesce(F.sum("async_word").over(above), zero),
+        "last_filled": F.max(F.when(F.col("filled"), F.col("line"))).over(above),
+        "prev": F.last(F.when(F.col("filled"), F.struct("line", "doc_ends")), ignorenulls=True).over(above),
+        "doc_line": F.last(F.when(F.col("doc_opens"), F.col("line")), ignorenulls=True).over(above),
+        "block_line": F.last(F.when(F.col("block_opens"), F.col("line")), ignorenulls=True).over(above),
+    })
     in_string = F.col("quotes_above") % 2 == 1
-    code = F.col("filled") & ~F.col("is_comment") & ~F.col("is_tail") & ~in_string
-    feats = feats.withColumns({
+    code = F.col("python") & F.col("filled") & ~F.col("is_comment") & ~F.col("is_tail") & ~in_string
+    depth = F.col("depth_after") - F.col("opens") + F.col("closes")
+    js_kind = (
+        F.when(F.col("is_comment"), None)
+        .when(F.col("class_name").isNotNull(), "class_declaration")
+        .when(F.col("function_name").isNotNull(), "function_declaration")
+        .when(F.col("const_name").isNotNull(),
+              F.when(F.col("const_value").startswith("function"), "function_expression").otherwise("arrow_function"))
+        .when(F.col("method_name").isNotNull() & (depth > 0), "method_definition")
+    )
+    py_kind = F.when(code, lookup(F.col("py_kind"), {"def": "function_definition", "class": "class_definition"}))
+    rows = rows.withColumns({
         "is_code": code,
-        "kind": F.when(code, F.nullif(F.regexp_extract("text", _PY_HEADER, 1), F.lit(""))),
-        "name": F.regexp_extract("text", _PY_HEADER, 2),
-        # the string that opens on this line and stays open, or that this line is inside of
-        "string_no": F.when(in_string, F.col("quotes_above")).when(F.col("quotes") % 2 == 1, F.col("quotes_above") + 1),
+        "in_string": in_string,
+        "kind": F.when(F.col("python"), py_kind).otherwise(js_kind),
+        "name": F.coalesce("py_name", "class_name", "function_name", "const_name", "method_name"),
+        "level_here": F.when(F.col("python"), F.col("indent")).otherwise(depth).cast("int"),
     })
-    feats = feats.withColumns({
+
+    # where an open triple-quoted string ends, with the count of plain characters up to there
+    string_end = F.struct("line", (F.col("chars_above") + F.col("plain_chars")).alias("chars"))
+    rows = rows.withColumns({
         "next_indent": F.last(F.when(F.col("is_code"), F.col("indent")), ignorenulls=True).over(below),
-        "last_filled": F.max(F.when(F.col("filled"), F.col("line"))).over(above),
-        "async_above": F.coalesce(F.sum("async_word").over(above), F.lit(0)),
+        "next_odd": F.last(F.when(F.col("quotes") % 2 == 1, string_end), ignorenulls=True).over(below),
         "file_end": F.max(F.when(F.col("filled"), F.col("line"))).over(whole),
         "async_total": F.sum("async_word").over(whole),
-        "levels": F.collect_set(F.when(F.col("kind").isNotNull(), F.col("indent"))).over(whole),
+        "levels": F.collect_set(F.when(F.col("kind").isNotNull(), F.col("level_here"))).over(whole),
     })
-    # a comment closes a scope only together with the code below it
+    doc_end = F.when(F.col("quotes") % 2 == 1, F.col("next_odd")).otherwise(string_end)
+    statement = F.struct(
+        "line", "indent", "starts_string", doc_end["line"].alias("doc_to"),
+        (doc_end["chars"] - F.col("chars_above")).alias("doc_chars"))
+    rows = rows.withColumn("statement", F.last(F.when(F.col("is_code"), statement), ignorenulls=True).over(below))
+    # the body starts below the nearest line that ends with a colon: the header itself, or the end of its signature
+    ends_signature = F.col("ends_signature") & ~F.col("in_string") & ~F.col("is_comment")
+    rows = rows.withColumn("first", F.last(F.when(ends_signature, F.col("statement")), ignorenulls=True).over(here_or_below))
+
+    # Python: a code line closes every level from its indent up; a comment only together with the code below
+    # it. Braces: a line with a closing brace closes every level from the depth it leaves.
     closing = (
         F.when(F.col("is_code"), F.col("indent"))
-        .when(F.col("filled") & F.col("is_comment") & ~in_string,
+        .when(F.col("python") & F.col("filled") & F.col("is_comment") & ~F.col("in_string"),
               F.greatest(F.col("indent"), F.coalesce(F.col("next_indent"), F.lit(-1))))
+        .when(~F.col("python") & (F.col("closes") > 0), F.col("depth_after"))
     )
-    doc_start = F.when(F.col("is_code"), F.struct("line", "indent", "text", "quotes", "string_no"))
-    feats = feats.withColumns({
-        "closing": closing,
-        "below": F.last(doc_start, ignorenulls=True).over(below),
+    is_closer, is_header = F.col("closing") <= F.col("level"), F.col("kind").isNotNull() & (F.col("level_here") == F.col("level"))
+    levels = rows.withColumn("closing", closing.cast("int")).where("closing IS NOT NULL OR kind IS NOT NULL").withColumn(
+        "level", F.explode("levels")).where(is_closer | is_header)
+    after = W.partitionBy(*keys, "level").orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, -1)
+    closer = F.struct("line", "last_filled", "async_above", "async_word")
+    headers = levels.withColumn(
+        "next_closer", F.last(F.when(is_closer, closer), ignorenulls=True).over(after)).where(is_header)
+
+    python = F.col("python")
+    block_end = F.when(is_closer, closer).otherwise(F.col("next_closer"))
+    no_block = (F.col("kind") == "arrow_function") & (F.col("opens") == 0)
+    headers = headers.withColumns({
+        "end_line": F.when(python, F.coalesce("next_closer.last_filled", "file_end"))
+        .when(no_block, F.col("line")).otherwise(F.coalesce(block_end["line"], F.col("file_end"))),
+        "async_end": F.when(python, F.coalesce("next_closer.async_above", "async_total"))
+        .when(no_block, F.col("async_above") + F.col("async_word"))
+        .otherwise(F.coalesce(block_end["async_above"] + block_end["async_word"], F.col("async_total"))),
     })
-
-    level_rows = feats.select(
-        *keys, "line", "text", "indent", "kind", "name", "closing", "last_filled", "async_above", "file_end",
-        "async_total", "below",
-        F.explode(F.filter("levels", lambda lv: lv >= F.col("closing"))).alias("level"),
-    )
-    by_level = W.partitionBy(*keys, "level").orderBy("line")
-    headers = level_rows.select(
-        *keys, "line", "text", "indent", "level", "kind", "name", "file_end", "async_above", "async_total", "below",
-        F.lead("last_filled").over(by_level).alias("end_before_next"),
-        F.lead("async_above").over(by_level).alias("async_before_next"),
-    ).where(F.col("kind").isNotNull() & (F.col("indent") == F.col("level")))
-    headers = headers.select(
-        *keys, F.col("line").alias("start_line"),
-        F.coalesce("end_before_next", "file_end").alias("end_line"),
-        "indent", "name", "text",
-        (F.col("kind") == "class").alias("is_class"),
-        (F.coalesce("async_before_next", "async_total") - F.col("async_above") > 0).alias("is_async"),
-        "below",
+    # JS: a doc comment right above; before ``export`` it belongs to the export, not to the declaration
+    js_doc = ~python & ~F.col("is_export") & F.col("prev.doc_ends") & (F.col("doc_line") == F.col("block_line"))
+    py_doc = python & F.col("first.starts_string") & (F.col("first.line") > F.col("line")) & (F.col("first.line") <= F.col("end_line"))
+    return headers.select(
+        *keys, F.col("line").alias("start_line"), "end_line", F.col("level").alias("level"),
+        F.when(python, F.col("statement.indent")).alias("body_level"), "python", "name",
+        F.col("kind").alias("node_type"), F.col("kind").startswith("class").alias("is_class"),
+        (F.col("async_end") > F.col("async_above")).alias("is_async"),
+        F.when(js_doc, F.col("doc_line")).when(py_doc, F.col("first.line")).alias("doc_from"),
+        F.when(js_doc, F.col("prev.line")).when(py_doc, F.coalesce("first.doc_to", "file_end")).alias("doc_to"),
+        (F.coalesce(js_doc, F.lit(False)) | F.coalesce(py_doc & (F.coalesce("first.doc_chars", F.lit(1)) > 0), F.lit(False))
+         ).alias("documented"),
     )
-    signature_closed = F.col("text").rlike(r":\s*(?:#.*)?\z")
-    headers = headers.withColumn("body_indent", F.col("below.indent"))
 
-    documented = _with_docstrings(headers, feats, keys, signature_closed)
-    return _visited(documented, keys, _indent_chain).withColumn(
-        "node_type", F.when(F.col("is_class"), "class_definition").otherwise("function_definition")
-    ).select(*keys, *_SYMBOL_COLUMNS)
 
-
-_SYMBOL_COLUMNS = [
-    "visit", "name", "node_type", "parent_symbol", "start_line", "end_line", "docstring", "is_class", "is_async",
-]
-
-
-def _with_docstrings(headers: DataFrame, feats: DataFrame, keys: list[str], one_line: Column) -> DataFrame:
-    """The string that is the first statement of the body, without its quotes.
-
-    Signatures over several lines: the body starts below the first later line that ends with a colon.
-    """
-    strings = feats.where(F.col("string_no").isNotNull()).groupBy(*keys, "string_no").agg(
-        F.min("line").alias("string_line"),
-        F.array_sort(F.collect_list(F.struct("line", "text"))).alias("parts"),
-    ).select(*keys, F.col("string_line").alias("doc_line"),
-             F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("doc_text"))
-    long_sigs = feats.where((F.col("filled")) & strip(F.col("text")).rlike(r":\s*(?:#.*)?\z")).select(
-        *keys, F.col("line").alias("sig_line"), F.col("below").alias("sig_below"))
-    # nearest colon-ended line at or below the header: an as-of step over the union of both row kinds
-    marks = long_sigs.select(*keys, F.col("sig_line").alias("line"), F.lit(0).alias("is_header"), "sig_below").unionByName(
-        headers.where(~one_line).select(*keys, F.col("start_line").alias("line"), F.lit(1).alias("is_header"),
-                                        F.lit(None).cast(long_sigs.schema["sig_below"].dataType).alias("sig_below")))
-    nearest = W.partitionBy(*keys).orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, -1)
-    found = marks.withColumn("sig_below", F.coalesce("sig_below", F.last("sig_below", ignorenulls=True).over(nearest))).where(
-        "is_header = 1").select(*keys, F.col("line").alias("start_line"), "sig_below")
-    rows = headers.join(found, [*keys, "start_line"], "left").withColumn(
-        "first", F.when(one_line, F.col("below")).otherwise(F.col("sig_below"))
-    ).withColumn("first", F.when((F.col("first.line") <= F.col("end_line"))
-                                 & F.col("first.text").rlike(_PY_STRING_START), F.col("first")))
-    rows = rows.withColumn("doc_line", F.when(F.col("first.string_no").isNotNull(), F.col("first.line")))
-    rows = rows.join(strings, [*keys, "doc_line"], "left")
-    raw = strip(F.coalesce(F.col("doc_text"), F.col("first.text")))
-    return rows.withColumn("docstring", strip(F.regexp_replace(raw, r"""\A['"]+|['"]+\z""", ""))).drop(
-        "first", "doc_line", "doc_text", "sig_below", "below")
-
-
-def brace_scopes(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """JavaScript and TypeScript scopes from ``lines`` (keys, ``line``, ``text``)."""
-    forward = W.partitionBy(*keys).orderBy("line")
-    so_far = forward.rowsBetween(W.unboundedPreceding, W.currentRow)
-    above = forward.rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
-    text, body = F.col("text"), strip(F.col("text"))
-
-    feats = lines.select(
-        *keys, "line", "text",
-        _char_count(text, "{").alias("opens"), _char_count(text, "}").alias("closes"),
-        text.contains("async ").cast("int").alias("async_word"),
-        (body != "").alias("filled"),
-        F.regexp_extract(text, _JS_CLASS, 1).alias("class_name"),
-        F.regexp_extract(text, _JS_FUNCTION, 1).alias("function_name"),
-        F.regexp_extract(text, _JS_CONST, 1).alias("const_name"),
-        F.regexp_extract(text, _JS_CONST, 2).alias("const_value"),
-        F.regexp_extract(text, _JS_METHOD, 1).alias("method_name"),
-        body.rlike(r"\A(?://|/\*|\*)").alias("is_comment"),
-        body.startswith("/**").alias("doc_opens"),
-        body.endswith("*/").alias("doc_ends"),
-        body.rlike(r"\Aexport\b").alias("is_export"),
-    ).withColumn("depth_after", F.sum(F.col("opens") - F.col("closes")).over(so_far))
-    depth = F.col("depth_after") - F.col("opens") + F.col("closes")
-    kind = (
-        F.when(F.col("is_comment"), None)
-        .when(F.col("class_name") != "", "class_declaration")
-        .when(F.col("function_name") != "", "function_declaration")
-        .when(F.col("const_name") != "",
-              F.when(F.col("const_value").startswith("function"), "function_expression").otherwise("arrow_function"))
-        .when((F.col("method_name") != "") & (depth > 0), "method_definition")
-    )
-    feats = feats.withColumns({
-        "depth": depth,
-        "kind": kind,
-        "name": F.concat("class_name", F.when(F.col("class_name") == "", F.concat(
-            "function_name", F.when(F.col("function_name") == "", F.concat(
-                "const_name", F.when(F.col("const_name") == "", F.col("method_name")).otherwise(""))).otherwise(""))
-        ).otherwise("")),
-    })
-    feats = feats.withColumns({
-        "levels": F.collect_set(F.when(F.col("kind").isNotNull(), F.col("depth"))).over(whole),
-        "file_end": F.max(F.when(F.col("filled"), F.col("line"))).over(whole),
-        "async_sum": F.sum("async_word").over(so_far),
-        # the nearest line above that is not blank, and the last comment opening above
-        "prev": F.last(F.when(F.col("filled"), F.struct("line", "doc_ends")), ignorenulls=True).over(above),
-        "doc_line": F.last(F.when(F.col("doc_opens"), F.col("line")), ignorenulls=True).over(above),
-        "block_line": F.last(F.when(F.col("text").contains("/*"), F.col("line")), ignorenulls=True).over(above),
-    })
-    closer = (F.col("closes") > 0) & (F.col("depth_after") <= F.col("level"))
-    is_header = F.col("kind").isNotNull() & (F.col("depth") == F.col("level"))
-    level_rows = feats.withColumn("level", F.explode("levels")).where(closer | is_header)
-    at_or_below = W.partitionBy(*keys, "level").orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    headers = level_rows.withColumn(
-        "close", F.last(F.when(closer, F.struct("line", "async_sum")), ignorenulls=True).over(at_or_below)
-    ).where(is_header)
-    no_block = (F.col("kind") == "arrow_function") & (F.col("opens") == 0)
-    headers = headers.select(
-        *keys, F.col("line").alias("start_line"),
-        F.when(no_block, F.col("line")).otherwise(F.coalesce("close.line", "file_end")).alias("end_line"),
-        F.col("depth").alias("indent"), F.lit(None).cast("int").alias("body_indent"), "name", "kind",
-        (F.col("kind") == "class_declaration").alias("is_class"),
-        (F.when(no_block, F.col("async_word") > 0)
-         .otherwise(F.coalesce("close.async_sum", F.col("async_sum")) - F.col("async_sum") + F.col("async_word") > 0)
-         ).alias("is_async"),
-        # a doc comment right above; before ``export`` it belongs to the export, not to the declaration
-        F.when(~F.col("is_export") & F.col("prev.doc_ends") & (F.col("doc_line") == F.col("block_line")),
-               F.struct(F.col("doc_line").alias("from"), F.col("prev.line").alias("to"))).alias("doc_span"),
-    )
-    spans = headers.where(F.col("doc_span").isNotNull()).select(
-        *keys, F.col("start_line").alias("doc_of"), F.col("doc_span.from").alias("start_line"),
-        F.col("doc_span.to").alias("end_line"))
-    docs = interval_join(lines, spans, keys).groupBy(*keys, "doc_of").agg(
-        F.array_sort(F.collect_list(F.struct("line", "text"))).alias("parts")
-    ).select(*keys, F.col("doc_of").alias("start_line"),
-             strip(F.array_join(F.transform("parts", lambda p: p["text"]), "\n")).alias("docstring"))
-    documented = headers.drop("doc_span").join(docs, [*keys, "start_line"], "left")
-    return _visited(documented, keys, _brace_chain).withColumnRenamed("kind", "node_type").select(
-        *keys, *_SYMBOL_COLUMNS)
-
-
-def _indent_chain(ancestors: Column) -> Column:
-    """Every step down the chain of classes is one body indent: nothing else encloses the header."""
-    steps = F.concat(ancestors, F.array(F.struct(
-        F.col("start_line").alias("start_line"), F.col("name").alias("name"), F.col("indent").alias("indent"),
-        F.col("body_indent").alias("body_indent"))))
-    expected = F.concat(F.array(F.lit(0)), F.transform(ancestors, lambda a: a["body_indent"]))
-    return F.forall(F.zip_with(steps, expected, lambda s, e: F.coalesce(s["indent"] == e, F.lit(False))), lambda ok: ok)
-
-
-def _brace_chain(ancestors: Column) -> Column:
-    """Brace depth equals the number of enclosing classes: no other block encloses the header."""
-    methods_in_class = (F.col("kind") != "method_definition") | (F.size(ancestors) > 0)
-    return (F.size(ancestors) == F.col("indent")) & methods_in_class
-
-
-def _visited(headers: DataFrame, keys: list[str], chain) -> DataFrame:
+def visited(headers: DataFrame, keys: list[str]) -> DataFrame:
     """Definitions at module or class level only, with qualified names and visit order.
 
-    The classes around a header come from an interval join (as many rows as the header is deep). A class is
-    visited after everything in it, so its place in the order is its last line, a function's its first.
+    The classes around a header come from an interval join: as many rows as the header is deep. Python: every
+    step down the chain of classes must be one body indent; braces: the depth must equal the number of classes.
+    Then nothing but classes encloses the header. A class is visited after everything in it, so its place in
+    the order is its last line, a function's its first.
     """
-    rows = headers.withColumn("line", F.col("start_line"))
+    rest = [c for c in headers.columns if c not in keys]
+    rows = headers.select(*keys, F.col("start_line").alias("line"), F.struct(*rest).alias("row"))
     classes = headers.where("is_class").select(
-        *keys, "start_line", "end_line", F.struct("start_line", "name", "indent", "body_indent").alias("outer"))
-    inner = rows.select(*keys, "line")
-    around = interval_join(inner, classes.withColumn("start_line", F.col("start_line") + 1), keys).groupBy(
-        *keys, "line").agg(F.array_sort(F.collect_list("outer")).alias("ancestors"))
-    none = F.array().cast(around.schema["ancestors"].dataType)
-    joined = rows.join(around, [*keys, "line"], "left").withColumn("ancestors", F.coalesce("ancestors", none))
-    kept = joined.where(chain(F.col("ancestors")))
-    parents = F.transform("ancestors", lambda a: a["name"])
+        *keys, (F.col("start_line") + 1).alias("start_line"), "end_line",
+        F.struct("start_line", "name", "level", "body_level").alias("outer"))
+    around = interval_join(rows, classes, keys, "left").groupBy(*keys, "line").agg(
+        F.first("row").alias("row"), F.array_sort(F.collect_list("outer")).alias("outers"))
+    steps = F.concat(F.transform("outers", lambda o: o["level"]), F.array("row.level"))
+    wanted = F.concat(F.array(F.lit(0)), F.transform("outers", lambda o: o["body_level"]))
+    in_chain = F.forall(F.zip_with(steps, wanted, lambda s, w: F.coalesce(s == w, F.lit(False))), lambda ok: ok)
+    in_classes = (F.size("outers") == F.col("row.level")) & (
+        (F.col("row.node_type") != "method_definition") | (F.size("outers") > 0))
+    parents = F.transform("outers", lambda o: o["name"])
+    kept = around.where(F.when(F.col("row.python"), in_chain).otherwise(in_classes)).select(
+        *keys, "row.*", parents.alias("parents"))
     order = W.partitionBy(*keys).orderBy(
         F.when(F.col("is_class"), F.col("end_line") * 2 + 1).otherwise(F.col("start_line") * 2), F.desc("start_line"))
-    return kept.withColumns({
-        "visit": F.row_number().over(order),
-        "parent_symbol": F.nullif(F.array_join(parents, "."), F.lit("")),
-        "name": F.concat_ws(".", parents, F.col("name")),
-    }).drop("line", "ancestors", BIN)
+    return kept.select(
+        *keys, F.row_number().over(order).alias("visit"), F.concat_ws(".", "parents", "name").alias("name"), "node_type",
+        F.nullif(F.array_join("parents", "."), F.lit("")).alias("parent_symbol"), "start_line", "end_line",
+        "is_class", "is_async", "documented", "doc_from", "doc_to")
 
 
 def scopes(sources: DataFrame, keys: list[str]) -> DataFrame:
-    """Symbols of every source (``language``, ``content``); other languages have none."""
-    python = indent_scopes(source_lines(sources.where("language = 'python'"), keys), keys)
-    braces = brace_scopes(source_lines(sources.where(F.col("language").isin(BRACE_LANGUAGES)), keys), keys)
-    return python.unionByName(braces)
+    """Symbols of every source (``language``, ``content``); other languages have none.
 
-
-def snippets(symbols: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
-    """Symbols with ``code_snippet``: their lines, the first one from where the definition starts."""
-    taken = F.slice(split_lines(F.col("content")), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
-    text = F.regexp_replace(F.array_join(taken, "\n"), r"\A\s+", "")
-    return symbols.join(sources.select(*keys, "content"), keys).withColumn("code_snippet", text).drop("content")
+    The header rows (a few per cent of the lines) are staged: the class chain reads them twice, and the source
+    texts are read once.
+    """
+    known = sources.where(F.col("language").isin("python", *BRACE_LANGUAGES))
+    lines = source_lines(known, list(dict.fromkeys([*keys, "language"])))
+    return visited(stage(scope_headers(lines, keys), "scope-headers"), keys)
+
+
+def with_source_text(symbols: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``code_snippet`` (from where the definition starts) and ``docstring`` (without its quotes)."""
+    def taken(first: str, last: str) -> Column:
+        return F.array_join(F.slice("source_rows", F.col(first), F.col(last) - F.col(first) + 1), "\n")
+
+    doc = strip(taken("doc_from", "doc_to"))
+    bare = strip(F.trim(doc, F.lit("\"'")))
+    joined = symbols.join(sources.select(*keys, "content"), keys).withColumn("source_rows", split_lines(F.col("content")))
+    return joined.withColumns({
+        "code_snippet": lstrip(taken("start_line", "end_line")),
+        "docstring": F.when(F.col("doc_from").isNotNull(), F.when(doc.startswith("/**"), doc).otherwise(bare)),
+    }).drop("content", "source_rows", "doc_from", "doc_to")

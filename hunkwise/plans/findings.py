@@ -31,11 +31,13 @@ def seq(agent: Column, origin: int, file_ord: Column, phase=0, start=0, visit=0,
 
 
 def scope_columns(symbols: DataFrame, keys: list[str]) -> DataFrame:
-    """The narrow part of the symbols that detection needs."""
-    return symbols.select(
-        *keys, "visit", "name", "start_line", "end_line", "is_class", "is_async",
-        lacks_docstring(F.col("name"), F.col("docstring")).alias("undocumented"),
-    )
+    """The narrow part of the symbols that detection needs. Whether a scope has a docstring comes from the
+    flag ``documented``, or from the ``docstring`` text of symbols made elsewhere."""
+    if "documented" in symbols.columns:
+        bare = ~F.col("name").startswith("_") & ~F.col("documented")
+    else:
+        bare = lacks_docstring(F.col("name"), F.col("docstring"))
+    return symbols.select(*keys, "visit", "name", "start_line", "end_line", "is_class", "is_async", bare.alias("undocumented"))
 
 
 def hit_rows(covered: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -11,7 +11,7 @@ from hunkwise.operators.cover import cover, modified_lines, unscoped_lines
 from hunkwise.operators.diff import changed_lines, new_side_lines
 from hunkwise.operators.model import decode_replies, explode_items, merge_findings, model_findings, quarantine
 from hunkwise.operators.review import agent_results, dedupe_findings, rank_findings, review_sizes, verdicts
-from hunkwise.operators.scopes import snippets
+from hunkwise.operators.scopes import with_source_text
 from hunkwise.plans.enrich import file_sources, file_symbols, gated_files
 from hunkwise.plans.findings import rule_findings, scope_columns, seq, with_texts
 from hunkwise.plans.prompts import prompt_corpus
@@ -106,7 +106,7 @@ def enrich(contexts: DataFrame, pr_files: DataFrame, sources: DataFrame,
     lines = files.select(*FILE_KEYS, F.explode("changed_lines").alias("line"))
     covered = cover(lines, scope_columns(symbols, FILE_KEYS), FILE_KEYS)
     own = modified_lines(covered, FILE_KEYS).select(*FILE_KEYS, "visit", "modified_lines")
-    kept = snippets(symbols.join(own, [*FILE_KEYS, "visit"]), texts, FILE_KEYS)
+    kept = with_source_text(symbols.join(own, [*FILE_KEYS, "visit"]), texts, FILE_KEYS)
     # one group is one file: bounded by its patch cell
     loose = unscoped_lines(covered, FILE_KEYS).groupBy(*FILE_KEYS).agg(
         F.sort_array(F.collect_set("line")).alias("unscoped_lines"))

@@ -115,7 +115,7 @@ ORACLES["parse_gate"] = ctes(PATHS, RAW_FILES, PATCH_LINES) + """
 SELECT kept.doc_id, count(*) AS n_changed FROM kept JOIN patch_lines USING (doc_id)
 WHERE status <> 'removed' AND NOT no_patch AND kind = 'add' GROUP BY kept.doc_id"""
 ORACLES["whole_tree_diff"] = ctes(PATCH_LINES) + """
-SELECT tree, n_hunks, coalesce(n_added, 0) AS n_added
+SELECT tree, n_hunks::BIGINT AS n_hunks, coalesce(n_added, 0)::BIGINT AS n_added
 FROM (SELECT doc_id // 10 AS tree, sum(pos // 8 + 1) AS n_hunks
       FROM (SELECT doc_id, max(pos) AS pos FROM doc_lines GROUP BY doc_id) GROUP BY doc_id // 10)
 LEFT JOIN (SELECT doc_id // 10 AS tree, count(*) AS n_added FROM patch_lines WHERE kind = 'add' GROUP BY doc_id // 10) USING (tree)"""
@@ -378,7 +378,7 @@ head_chars AS (
 snips AS (
   SELECT doc_id, visit, sum(length(text)) + count(*) - 1 AS chars FROM within GROUP BY doc_id, visit),
 snip_docs AS (SELECT doc_id, count(*) AS n, sum(chars) AS chars FROM snips GROUP BY doc_id)""") + """
-SELECT doc_id // 10 AS review, count(*) AS n_files, sum(coalesce(s.n, 0)) AS symbols_modified,
+SELECT doc_id // 10 AS review, count(*) AS n_files, sum(coalesce(s.n, 0))::BIGINT AS symbols_modified,
        greatest(1, (sum(p.chars) + sum(h.chars) + coalesce(sum(s.chars), 0))::BIGINT // 4) AS estimated_tokens
 FROM patch_chars p JOIN head_chars h USING (doc_id) LEFT JOIN snip_docs s USING (doc_id) GROUP BY doc_id // 10"""
 
@@ -544,7 +544,7 @@ snip_sizes AS (
   SELECT doc_id, sum(chars) AS chars, count(*) AS n
   FROM (SELECT doc_id, b, k, sum(length(CASE WHEN line = s THEN ltrim(text) ELSE text END)) + count(*) - 1 AS chars
         FROM inside GROUP BY doc_id, b, k) GROUP BY doc_id)""") + """
-SELECT doc_id // 5 AS pr_number, count(*) AS n_files, sum(n) AS symbols_modified,
+SELECT doc_id // 5 AS pr_number, count(*) AS n_files, sum(n)::BIGINT AS symbols_modified,
        greatest(1, (sum(p.chars) + sum(s.chars))::BIGINT // 4) AS estimated_tokens
 FROM patch_sizes p JOIN snip_sizes s USING (doc_id) GROUP BY doc_id // 5"""
 ORACLES["local_review"] = ctes(RULES, LOCAL_MODULES) + f"""

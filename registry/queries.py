@@ -230,21 +230,23 @@ def _scope_rows(symbols):
         "doc_id", "visit", "name", "node_type", "parent_symbol", "start_line", "end_line", "docstring", "is_class", "is_async")
 
 
+def _with_text(sources):
+    return scopes.with_source_text(scopes.scopes(sources, FILE), sources, FILE)
+
+
 @query
 def scopes_indent(spark, sf):
-    return _scope_rows(scopes.scopes(inputs.python_sources(spark, sf), FILE + ["language"]))
+    return _scope_rows(_with_text(inputs.python_sources(spark, sf)))
 
 
 @query
 def scopes_brace(spark, sf):
-    return _scope_rows(scopes.scopes(inputs.brace_sources(spark, sf), FILE + ["language"]))
+    return _scope_rows(_with_text(inputs.brace_sources(spark, sf)))
 
 
 @query
 def scope_snippets(spark, sf):
-    sources = inputs.brace_sources(spark, sf)
-    symbols = scopes.scopes(sources, FILE + ["language"])
-    return scopes.snippets(symbols, sources, FILE).select("doc_id", "visit", "code_snippet")
+    return _with_text(inputs.brace_sources(spark, sf)).select("doc_id", "visit", "code_snippet")
 
 
 # ── model replies ────────────────────────────────────────────────────────────────────────────────────
