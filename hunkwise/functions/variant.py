@@ -1,58 +1,50 @@
-"""Typed reads from VARIANT values that keep apart missing, null, quoted and bare JSON values."""
+"""Typed reads from JSON that keep apart missing, null, quoted and bare values.
+
+A JSON text is parsed once and cast once to a struct whose leaves are VARIANT: a missing field is a NULL leaf,
+a JSON null is a null VARIANT, and a leaf still knows whether its value was quoted.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INTEGER_TEXT = r"\A\s*[+-]?[0-9]+\s*\z"
 FLOAT_TEXT = r"\A\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*\z"
 
 
-def parsed_once(df: DataFrame, name: str, json_text: Column) -> DataFrame:
-    """Adds the parsed text (NULL when it is no JSON). The one-element explode keeps the parse in a step of its
-    own: as a plain column, every filter and field read above it would be rewritten to parse the text again."""
-    return df.withColumn(name, F.explode(F.array(F.try_parse_json(json_text))))
-
-
-def field(value: Column, path: str) -> Column:
-    """The field as a VARIANT; SQL NULL when the path is absent, a null VARIANT when it is JSON null."""
-    return F.try_variant_get(value, path, "variant")
+def parse_as(json_text: Column, ddl: str) -> Column:
+    """The JSON object as a struct; NULL when the text is no JSON or no object."""
+    return F.try_variant_get(F.try_parse_json(json_text), "$", ddl)
 
 
-def kind(value: Column, path: str = "$") -> Column:
+def kind(leaf: Column) -> Column:
     """``STRING``, ``BIGINT``, ``DECIMAL(…)``, ``DOUBLE``, ``BOOLEAN``, ``VOID``, ``OBJECT<…>``, ``ARRAY<…>``."""
-    return F.schema_of_variant(value if path == "$" else field(value, path))
-
-
-def is_object(value: Column, path: str = "$") -> Column:
-    return F.coalesce(kind(value, path).startswith("OBJECT"), F.lit(False))
+    return F.schema_of_variant(leaf)
 
 
-def is_null(value: Column, path: str) -> Column:
-    return F.coalesce(kind(value, path) == "VOID", F.lit(False))
-
-
-def is_missing(value: Column, path: str) -> Column:
-    return field(value, path).isNull()
+def is_null(leaf: Column) -> Column:
+    return F.is_variant_null(leaf)
 
 
 def is_number(type_name: Column) -> Column:
     return type_name.isin("BIGINT", "DOUBLE", "FLOAT") | type_name.startswith("DECIMAL")
 
 
-def text(value: Column, path: str) -> Column:
-    """The field when it is a JSON string, else NULL."""
-    return F.when(kind(value, path) == "STRING", F.try_variant_get(value, path, "string"))
+def as_(leaf: Column, type_name: str) -> Column:
+    return F.try_variant_get(leaf, "$", type_name)
+
+
+def text(leaf: Column) -> Column:
+    """The value when it is a JSON string, else NULL."""
+    return F.when(kind(leaf) == "STRING", as_(leaf, "string"))
 
 
-def integer(value: Column, path: str) -> Column:
-    """An integer field: bare integral number, or its quoted form; else NULL."""
-    type_name = kind(value, path)
-    number = F.try_variant_get(value, path, "double")
-    quoted = F.try_variant_get(value, path, "string")
+def integer(leaf: Column) -> Column:
+    """The value when it is a bare integral number, or one in quotes; else NULL."""
+    type_name, number, quoted = kind(leaf), as_(leaf, "double"), as_(leaf, "string")
     return (
-        F.when(type_name == "BIGINT", F.try_variant_get(value, path, "bigint"))
+        F.when(type_name == "BIGINT", as_(leaf, "bigint"))
         .when(is_number(type_name) & (number == F.floor(number)), number.cast("bigint"))
         .when((type_name == "STRING") & quoted.rlike(INTEGER_TEXT), F.trim(quoted).try_cast("bigint"))
     )

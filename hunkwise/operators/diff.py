@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hunkwise.functions.steps import computed_once
 from hunkwise.functions.text import strip, unix_lines
 
 # The hunk header form; blanks are any but the line break.
 _GAP = r"[^\S\n]+"
 HEADER = rf"@@{_GAP}-([0-9]+)(?:,([0-9]+))?{_GAP}\+([0-9]+)(?:,([0-9]+))?{_GAP}@@(?:{_GAP}([^\n]*))?(?=\n|\z)"
 _AT_START = r"(?U)\A" + HEADER
-_BEFORE_HEADER = r"(?U)\n(?=" + HEADER + ")"
+# cut before each header, and take off a line break that ends the text
+_CUT = r"(?U)\n(?=" + HEADER + r")|\n\z"
 
 
 def is_added(line: Column) -> Column:
@@ -47,7 +49,7 @@ def on_old_side(line: Column) -> Column:
 
 def hunk_texts(patch: Column) -> Column:
     """The patch cut at its hunk headers; anything before the first header is dropped."""
-    pieces = F.split(unix_lines(patch), _BEFORE_HEADER)
+    pieces = F.split(unix_lines(patch), _CUT)
     return F.coalesce(F.filter(pieces, lambda p: p.rlike(_AT_START)), F.array().cast("array<string>"))
 
 
@@ -84,27 +86,29 @@ def _numbers(hunk: Column, start: str, on_side, wanted) -> Column:
 
 def with_line_lists(pr_files: DataFrame, patch: str = "patch") -> DataFrame:
     """Adds ``changed_lines`` (new-file numbers) and ``deleted_lines`` (old-file numbers) per file row."""
-    new = hunk_structs(F.col(patch), "new_start", "lines")
-    old = hunk_structs(F.col(patch), "old_start", "lines")
-    return pr_files.withColumns({
-        "changed_lines": F.flatten(F.transform(new, lambda h: _numbers(h, "new_start", on_new_side, is_added))),
-        "deleted_lines": F.flatten(F.transform(old, lambda h: _numbers(h, "old_start", on_old_side, is_deleted))),
-    })
+    lists = F.transform(
+        hunk_structs(F.col(patch), "old_start", "new_start", "lines"),
+        lambda h: F.struct(
+            _numbers(h, "new_start", on_new_side, is_added).alias("changed"),
+            _numbers(h, "old_start", on_old_side, is_deleted).alias("deleted")))
+    return computed_once(pr_files, "line_lists", lists).withColumns({
+        "changed_lines": F.flatten("line_lists.changed"),
+        "deleted_lines": F.flatten("line_lists.deleted"),
+    }).drop("line_lists")
 
 
 def _hunks(pr_files: DataFrame, keys: list[str], patch: str, *parts: str) -> DataFrame:
+    """One row per hunk, its parts as plain columns."""
     return pr_files.where(F.col(patch).isNotNull()).select(
         *keys, F.posexplode(hunk_structs(F.col(patch), *parts)).alias("hunk", "h")
-    ).withColumn("hunk", F.col("hunk") + 1)
+    ).select(*keys, (F.col("hunk") + 1).alias("hunk"), *[F.col(f"h.{p}").alias(p) for p in parts])
 
 
 def diff_hunks(pr_files: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:
     """One row per hunk: header numbers, header text, raw lines (header first), added line numbers."""
     parts = ["old_start", "old_lines", "new_start", "new_lines", "header", "lines"]
-    return _hunks(pr_files, keys, patch, *parts).select(
-        *keys, "hunk", "h.*",
-        _numbers(F.col("h"), "new_start", on_new_side, is_added).alias("modified_new_lines"),
-    )
+    numbers = _numbers(F.struct("new_start", "lines"), "new_start", on_new_side, is_added)
+    return _hunks(pr_files, keys, patch, *parts).withColumn("modified_new_lines", numbers)
 
 
 def diff_lines(pr_files: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:
@@ -126,8 +130,11 @@ def diff_lines(pr_files: DataFrame, keys: list[str], patch: str = "patch") -> Da
         return F.filter(rows, lambda r: wanted(r["line"]))
 
     hunks = _hunks(pr_files, keys, patch, "old_start", "new_start", "lines")
-    lines = F.transform(F.col("h.lines"), lambda line, i: F.struct(i.alias("pos"), line.alias("line")))
-    new, old = side(lines, on_new_side), side(lines, on_old_side)
+    numbered = F.transform(F.col("lines"), lambda line, i: F.struct(i.alias("pos"), line.alias("line")))
+    hunks = computed_once(hunks, "numbered", numbered)
+    hunks = computed_once(hunks, "sides", F.struct(
+        side(F.col("numbered"), on_new_side).alias("new"), side(F.col("numbered"), on_old_side).alias("old")))
+    lines, new, old = F.col("numbered"), F.col("sides.new"), F.col("sides.old")
     pieces = F.concat(
         F.transform(F.filter(lines, lambda r: r["pos"] == 0), lambda r: row("hdr", r, None, None)),
         F.transform(pick(new, is_added), lambda r: row("add", r, None, r["off"])),
@@ -136,8 +143,7 @@ def diff_lines(pr_files: DataFrame, keys: list[str], patch: str = "patch") -> Da
         F.transform(F.filter(lines, lambda r: (r["pos"] > 0) & is_meta(r["line"])), lambda r: row("meta", r, None, None)),
     )
     return hunks.select(
-        *keys, "hunk", F.col("h.old_start").alias("old_start"), F.col("h.new_start").alias("new_start"),
-        F.inline(pieces),
+        *keys, "hunk", "old_start", "new_start", F.inline(pieces),
     ).select(
         *keys, "hunk", "pos", "kind",
         (F.col("old_start") + F.col("old_off")).alias("old_line"),
@@ -147,9 +153,9 @@ def diff_lines(pr_files: DataFrame, keys: list[str], patch: str = "patch") -> Da
 
 
 def _new_side(pr_files: DataFrame, keys: list[str], patch: str) -> DataFrame:
+    body = F.slice("lines", 2, F.size("lines"))
     return _hunks(pr_files, keys, patch, "new_start", "lines").select(
-        *keys, F.col("h.new_start").alias("new_start"),
-        F.posexplode(F.filter(_body(F.col("h")), on_new_side)).alias("off", "raw"),
+        *keys, "new_start", F.posexplode(F.filter(body, on_new_side)).alias("off", "raw"),
     ).withColumn("line", F.col("new_start") + F.col("off"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hunkwise.functions import variant as V
+from hunkwise.functions.steps import computed_once
 from hunkwise.functions.hmac import hmac_sha256_hex
 
 # The event type, actions and signature scheme that are handled.
@@ -20,6 +21,17 @@ MAX_URL_CHARS = 2083
 _URL = r"\A(?i:(https?)://)((?:[^\s/?#@]*@)?)([^\s/?#@:]+|\[[0-9a-fA-F:.]+\])(?::([0-9]{1,5}))?([^\s]*)\z"
 _REPO_FIELDS = (("id", "int"), ("name", "text"), ("full_name", "text"), ("clone_url", "url"))
 
+# the payload fields read; each leaf stays a VARIANT, so that its JSON type is known
+_REPO_DDL = "struct<id variant, name variant, full_name variant, clone_url variant, default_branch variant>"
+_REF_DDL = "struct<sha variant, ref variant, repo variant>"
+PAYLOAD_DDL = f"""struct<
+    action variant, number variant,
+    pull_request struct<
+        number variant, title variant, body variant, state variant, head {_REF_DDL}, base {_REF_DDL},
+        user struct<login variant, id variant>, html_url variant, diff_url variant, patch_url variant,
+        additions variant, deletions variant, changed_files variant>,
+    repository {_REPO_DDL}, sender struct<login variant, id variant>, installation variant>"""
+
 
 def signature_digest(signature: Column) -> Column:
     """What follows the first ``=`` of the header."""
@@ -59,65 +71,70 @@ def payload_text(body: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text)
 
 
-def _required(payload: Column, path: str, what: str) -> Column:
-    value = {"text": V.text, "url": V.text, "int": V.integer}[what](payload, path)
-    if what == "url":
-        return F.coalesce(is_http_url(value), F.lit(False))
-    return value.isNotNull()
+def _required(leaf: Column, what: str) -> Column:
+    if what == "int":
+        return V.integer(leaf).isNotNull()
+    value = V.text(leaf)
+    return F.coalesce(is_http_url(value), F.lit(False)) if what == "url" else value.isNotNull()
 
 
-def _optional(payload: Column, path: str, what: str, null_ok: bool) -> Column:
-    absent = V.is_missing(payload, path)
-    if null_ok:
-        absent = absent | V.is_null(payload, path)
-    return absent | _required(payload, path, what)
+def _optional(leaf: Column, what: str) -> Column:
+    return leaf.isNull() | _required(leaf, what)
 
 
-def _valid_repo(payload: Column, path: str) -> Column:
-    ok = V.is_object(payload, path) & _optional(payload, f"{path}.default_branch", "text", null_ok=False)
+def _valid_repo(repo: Column) -> Column:
+    ok = repo.isNotNull() & _optional(repo["default_branch"], "text")
     for name, what in _REPO_FIELDS:
-        ok = ok & _required(payload, f"{path}.{name}", what)
+        ok = ok & _required(repo[name], what)
     return ok
 
 
+def _absent(leaf: Column) -> Column:
+    return leaf.isNull() | V.is_null(leaf)
+
+
+def installation_id(payload: Column) -> Column:
+    return V.integer(F.try_variant_get(payload["installation"], "$.id", "variant"))
+
+
 def is_valid_payload(payload: Column) -> Column:
     """All required fields present with their types; optional ones right where given."""
-    pr = "$.pull_request"
-    ok = V.is_object(payload)
-    for path, what in [
-        ("$.action", "text"), ("$.number", "int"),
-        (f"{pr}.number", "int"), (f"{pr}.title", "text"), (f"{pr}.state", "text"),
-        (f"{pr}.head.sha", "text"), (f"{pr}.head.ref", "text"), (f"{pr}.base.sha", "text"), (f"{pr}.base.ref", "text"),
-        (f"{pr}.user.login", "text"), (f"{pr}.user.id", "int"),
-        (f"{pr}.html_url", "url"), (f"{pr}.diff_url", "url"), (f"{pr}.patch_url", "url"),
-        ("$.sender.login", "text"), ("$.sender.id", "int"),
+    pr = payload["pull_request"]
+    ok = payload.isNotNull()
+    for leaf, what in [
+        (payload["action"], "text"), (payload["number"], "int"),
+        (pr["number"], "int"), (pr["title"], "text"), (pr["state"], "text"),
+        (pr["head"]["sha"], "text"), (pr["head"]["ref"], "text"), (pr["base"]["sha"], "text"), (pr["base"]["ref"], "text"),
+        (pr["user"]["login"], "text"), (pr["user"]["id"], "int"),
+        (pr["html_url"], "url"), (pr["diff_url"], "url"), (pr["patch_url"], "url"),
+        (payload["sender"]["login"], "text"), (payload["sender"]["id"], "int"),
     ]:
-        ok = ok & _required(payload, path, what)
-    ok = ok & _valid_repo(payload, "$.repository") & _optional(payload, f"{pr}.body", "text", null_ok=True)
+        ok = ok & _required(leaf, what)
+    ok = ok & _valid_repo(payload["repository"]) & (_absent(pr["body"]) | _required(pr["body"], "text"))
     for name in ["additions", "deletions", "changed_files"]:
-        ok = ok & _optional(payload, f"{pr}.{name}", "int", null_ok=False)
+        ok = ok & _optional(pr[name], "int")
     for side in ["head", "base"]:
-        path = f"{pr}.{side}.repo"
-        ok = ok & (V.is_missing(payload, path) | V.is_null(payload, path) | _valid_repo(payload, path))
-    no_app = V.is_missing(payload, "$.installation") | V.is_null(payload, "$.installation")
-    return ok & (no_app | _required(payload, "$.installation.id", "int"))
+        repo = pr[side]["repo"]
+        ok = ok & (_absent(repo) | _valid_repo(V.as_(repo, _REPO_DDL)))
+    return ok & (_absent(payload["installation"]) | installation_id(payload).isNotNull())
 
 
 def with_disposition(events: DataFrame, secret: str) -> DataFrame:
-    """Adds ``payload`` (VARIANT) and ``disposition``. The signature is judged before anything else, the
+    """Adds ``payload`` (struct of VARIANT leaves) and ``disposition``. The signature is judged before anything else, the
     payload before the action. Bad rows stay as rows: nothing raises."""
     state = signature_state(F.col("signature"), F.col("body"), secret)
-    known = events.withColumn("signature_state", F.explode(F.array(state)))
+    known = computed_once(events, "signature_state", state)
     judged = (F.col("signature_state") == "valid") & (F.col("event_type") == HANDLED_EVENT)
-    parsed = V.parsed_once(known, "payload", F.when(judged, payload_text(F.col("body"))))
+    text = F.when(judged, payload_text(F.col("body")))
+    parsed = computed_once(known, "payload", V.parse_as(text, PAYLOAD_DDL))
     disposition = (
         F.when(F.col("signature_state") != "valid", F.col("signature_state"))
         .when(F.coalesce(F.col("event_type") != HANDLED_EVENT, F.lit(True)), "ignored_event")
         .when(~F.coalesce(is_valid_payload(F.col("payload")), F.lit(False)), "invalid_payload")
-        .when(~V.text(F.col("payload"), "$.action").isin(HANDLED_ACTIONS), "ignored_action")
+        .when(~V.text(F.col("payload.action")).isin(HANDLED_ACTIONS), "ignored_action")
         .otherwise("accepted")
     )
-    return parsed.withColumn("disposition", F.explode(F.array(disposition))).drop("signature_state")
+    return computed_once(parsed, "disposition", disposition).drop("signature_state")
 
 
 def disposition_counts(judged: DataFrame) -> DataFrame:
@@ -126,21 +143,22 @@ def disposition_counts(judged: DataFrame) -> DataFrame:
 
 def review_contexts(judged: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Accepted deliveries as review contexts. The author is the event's sender."""
-    p, pr = F.col("payload"), "$.pull_request"
+    p = F.col("payload")
+    pr = p["pull_request"]
 
     def count(name: str) -> Column:
-        return F.coalesce(V.integer(p, f"{pr}.{name}"), F.lit(0)).alias(name)
+        return F.coalesce(V.integer(pr[name]), F.lit(0)).alias(name)
 
     return judged.where("disposition = 'accepted'").select(
         *(extra or []),
-        V.integer(p, "$.installation.id").alias("installation_id"),
-        V.text(p, "$.repository.full_name").alias("repo_full_name"),
-        normal_url(V.text(p, "$.repository.clone_url")).alias("repo_clone_url"),
-        V.integer(p, f"{pr}.number").alias("pr_number"),
-        V.text(p, f"{pr}.title").alias("pr_title"),
-        V.text(p, f"{pr}.head.sha").alias("head_sha"),
-        V.text(p, f"{pr}.head.ref").alias("head_branch"),
-        V.text(p, f"{pr}.base.ref").alias("base_branch"),
-        V.text(p, "$.sender.login").alias("author_login"),
+        installation_id(p).alias("installation_id"),
+        V.text(p["repository"]["full_name"]).alias("repo_full_name"),
+        normal_url(V.text(p["repository"]["clone_url"])).alias("repo_clone_url"),
+        V.integer(pr["number"]).alias("pr_number"),
+        V.text(pr["title"]).alias("pr_title"),
+        V.text(pr["head"]["sha"]).alias("head_sha"),
+        V.text(pr["head"]["ref"]).alias("head_branch"),
+        V.text(pr["base"]["ref"]).alias("base_branch"),
+        V.text(p["sender"]["login"]).alias("author_login"),
         count("additions"), count("deletions"), count("changed_files"),
     )

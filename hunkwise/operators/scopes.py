@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hunkwise.functions.text import BLANKS, indent_width, lstrip, split_lines, strip
+from hunkwise.functions.steps import computed_once
+from hunkwise.functions.text import BLANKS, lstrip, split_lines, strip
 from hunkwise.operators.cover import interval_join
 from hunkwise.schemas import lookup
 from hunkwise.session import stage
@@ -59,7 +60,8 @@ def _char_count(text: Column, char: str) -> Column:
 
 def _line_features(lines: DataFrame, keys: list[str]) -> DataFrame:
     """What the windows need to know of a line. Regexes run only behind a cheap test for their literal text."""
-    text, body = F.col("text"), strip(F.col("text"))
+    lines = computed_once(lines, "body", lstrip(F.col("text")))
+    text, body = F.col("text"), F.col("body")
     python = F.col("language") == "python"
 
     def extract(guard: Column, pattern: str, group: int) -> Column:
@@ -73,13 +75,13 @@ def _line_features(lines: DataFrame, keys: list[str]) -> DataFrame:
     triple = python & (text.contains('"""') | text.contains("\'\'\'"))
     return lines.select(
         *keys, "line", python.alias("python"),
-        indent_width(text).alias("indent"),
+        (F.length(text) - F.length(body)).alias("indent"),
         (body != "").alias("filled"),
         F.when(python, body.startswith("#")).otherwise(
             body.startswith("//") | body.startswith("/*") | body.startswith("*")).alias("is_comment"),
         (python & (body.startswith(")") | body.startswith("]") | body.startswith("}"))).alias("is_tail"),
-        (python & text.contains(":") & body.rlike(r":\s*(?:#.*)?\z")).alias("ends_signature"),
-        (python & body.rlike(_PY_STRING_START)).alias("starts_string"),
+        (python & text.contains(":") & body.rlike(r"(?U):\s*(?:#.*)?\z")).alias("ends_signature"),
+        (python & (body.contains("\"") | body.contains("\'")) & body.rlike(_PY_STRING_START)).alias("starts_string"),
         F.when(triple, _occurrences(text, _TRIPLE)).otherwise(0).alias("quotes"),
         F.when(python, F.length(F.translate(body, BLANKS + "\"\'", ""))).otherwise(0).alias("plain_chars"),
         text.contains("async ").cast("int").alias("async_word"),
@@ -94,8 +96,8 @@ def _line_features(lines: DataFrame, keys: list[str]) -> DataFrame:
         extract(js_method, _JS_METHOD, 1).alias("method_name"),
         (~python & body.startswith("/**")).alias("doc_opens"),
         (~python & text.contains("/*")).alias("block_opens"),
-        (~python & body.endswith("*/")).alias("doc_ends"),
-        (~python & body.rlike(r"\Aexport\b")).alias("is_export"),
+        (~python & text.contains("*/") & text.rlike(r"(?U)\*/\s*\z")).alias("doc_ends"),
+        (~python & body.startswith("export ")).alias("is_export"),
     )
 
 
