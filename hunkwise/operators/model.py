@@ -129,7 +129,11 @@ def merge_findings(rule_findings: DataFrame, model: DataFrame, keys: list[str])
     it combines on the map side, so a place named by very many items does not gather anywhere.
     """
     place = [*keys, "file", "line_start"]
-    seen = rule_findings.select(*place, F.lit(-1).alias("item_ord")).unionByName(model.select(*place, "item_ord"))
-    winners = seen.groupBy(*place).agg(F.min("item_ord").alias("item_ord")).where("item_ord >= 0")
-    kept = model.join(winners, [*place, "item_ord"], "left_semi")
+    rest = [c for c in model.columns if c not in place]
+    taken = rule_findings.select(*place, F.lit(-1).alias("arrival"), *[
+        F.lit(None).cast(model.schema[c].dataType).alias(c) for c in rest])
+    seen = taken.unionByName(model.withColumn("arrival", F.col("item_ord")))
+    first = seen.groupBy(*place).agg(
+        F.min("arrival").alias("arrival"), F.min_by(F.struct(*rest), F.col("arrival")).alias("first"))
+    kept = first.where("arrival >= 0").select(*place, *[F.col(f"first.{c}").alias(c) for c in rest])
     return rule_findings.unionByName(kept, allowMissingColumns=True)

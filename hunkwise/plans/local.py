@@ -26,8 +26,8 @@ def review_local(files: DataFrame, lines: Column | None = None, rules: list[Rule
     wanted = rows.select(*file_keys, "file_ord", F.explode("changed_lines").alias("line"))
     changed = source_lines(rows, file_keys).join(wanted, [*file_keys, "line"])
     found = stage(rule_findings(changed, symbols, rows, LOCAL_KEYS, rules, unscoped=False), "local-findings")
-    unique = with_texts(dedupe_findings(found, LOCAL_KEYS), rules)
-    ranked = rank_findings(unique, LOCAL_KEYS)
+    unique = dedupe_findings(found, LOCAL_KEYS)
+    ranked = with_texts(rank_findings(unique, LOCAL_KEYS), rules)
     verdict = verdicts(contexts, unique, LOCAL_KEYS)
     agents = agent_results(contexts, found, LOCAL_KEYS)
     reports = report_parts(contexts.withColumn("elapsed_ms", F.lit("0.0")), verdict, agents, ranked, LOCAL_KEYS, brand)

@@ -80,10 +80,13 @@ def file_sections(files: DataFrame, symbols: DataFrame, keys: list[str], full: b
     return rows.select(*keys, "filename", "file_ord", text.alias("text"))
 
 
-def _parts(heads: DataFrame, sections: DataFrame, keys: list[str], closing: Column | None, part_files: int) -> DataFrame:
-    ranked = rank_in_group(
-        sections.select(*keys, "filename", "file_ord", "text"), keys,
+def _parts(heads: DataFrame, files: DataFrame, sections: DataFrame, keys: list[str], closing: Column | None,
+           part_files: int) -> DataFrame:
+    # files are numbered by their narrow rows; the texts join afterwards
+    order = rank_in_group(
+        files.select(*keys, "filename", "file_ord"), keys,
         {"ord_block": F.floor(F.col("file_ord") / 4096)}, ["file_ord", "filename"], "section_ord")
+    ranked = sections.select(*keys, "filename", "text").join(order.drop("file_ord"), [*keys, "filename"])
     grouped = ranked.groupBy(*keys, F.floor((F.col("section_ord") - 1) / part_files).cast("int").alias("part_no")).agg(
         _joined(F.collect_list(F.struct("section_ord", "text"))).alias("text"))
     n_parts = F.greatest(F.lit(1), F.ceil(F.col("n_files") / part_files)).cast("int")
@@ -112,7 +115,7 @@ def prompt_corpus(contexts: DataFrame, files: DataFrame, symbols: DataFrame, key
         F.lit("\n**Base Branch:** `"), F.col("base_branch"), F.lit("` | **Head Branch:** `"), F.col("head_branch"),
         F.lit("`\n**Changes:** +"), F.col("additions").cast("string"), F.lit(" / -"), F.col("deletions").cast("string"),
         F.lit(" across "), F.col("n_files").cast("string"), F.lit(" file(s)\n\n## Modified Files & Enclosing AST Context:"))
-    prompts = _parts(_heads(contexts, files, keys, head), file_sections(files, symbols, keys), keys, F.lit(CLOSING), part_files)
+    prompts = _parts(_heads(contexts, files, keys, head), files, file_sections(files, symbols, keys), keys, F.lit(CLOSING), part_files)
     roles = F.array(*[
         F.struct(F.lit(c).alias("category"), F.lit(t).alias("system_prompt"))
         for c, t in (system_prompts or SYSTEM_PROMPTS).items()
@@ -128,5 +131,5 @@ def compact_context(contexts: DataFrame, files: DataFrame, symbols: DataFrame, k
         F.lit("PR Title: "), F.col("pr_title"), F.lit("\nRepository: "), F.col("repo_full_name"), F.lit("\nAuthor: "),
         F.col("author_login"), F.lit("\nModified Files: "), F.col("n_files").cast("string"), F.lit("\n---"))
     sections = file_sections(files, symbols, keys, full=False)
-    return _parts(_heads(contexts, files, keys, head), sections, keys, None, part_files).withColumnRenamed(
+    return _parts(_heads(contexts, files, keys, head), files, sections, keys, None, part_files).withColumnRenamed(
         "user_prompt", "context")

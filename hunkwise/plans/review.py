@@ -71,9 +71,9 @@ def review(contexts: DataFrame, pr_files: DataFrame, sources: DataFrame, model_r
         found = merge_findings(found, model, with_category).drop("item_ord")
         bad_replies, summaries = quarantine(decoded), decoded.select(*with_category, "summary")
     found = stage(found, "findings")
-    unique = stage(with_texts(dedupe_findings(found, REVIEW_KEYS), rules), "unique-findings")
+    unique = stage(dedupe_findings(found, REVIEW_KEYS), "unique-findings")
     return ReviewTables(
-        findings=rank_findings(unique, REVIEW_KEYS),
+        findings=with_texts(rank_findings(unique, REVIEW_KEYS), rules),  # long texts join last, on the map side
         agent_results=agent_results(contexts, found, REVIEW_KEYS, summaries),
         verdicts=verdicts(contexts, unique, REVIEW_KEYS),
         quarantine=bad_replies, _contexts=contexts, _files=files, _brand=brand,

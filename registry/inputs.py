@@ -37,8 +37,17 @@ SECRET = "review-webhook-secret"
 BLOCK = 16
 
 
+PER_ROW_WORK = ["documents", "events"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. The tables with heavy work per row come as one small file of one row group, which is one
+    task; they are spread over the cores. A table of at least as many files as cores is read as it is."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in PER_ROW_WORK and len(rows.inputFiles()) < cores:
+        return rows.repartition(cores)
+    return rows
 
 
 def pick(values: list[str], index: Column) -> Column:
