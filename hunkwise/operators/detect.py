@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hunkwise.functions.text import indent_width, split_lines, strip
-from hunkwise.rules import SECURITY_RULES, Rule, numbered, rules_frame
+from hunkwise.rules import Rule, numbered, rules_frame
 
 
 def matches(text: Column, rule: Rule) -> Column:
@@ -52,8 +52,9 @@ def is_async(node_type: Column, code: Column) -> Column:
 def loop_step(text: Column) -> Column:
     """+1 on a loop header, -1 on any other line indented by at most four characters."""
     body = strip(text)
+    maybe = text.contains("for ") | text.contains("while ")  # spares most lines the strip
     return (
-        F.when(body.startswith("for ") | body.startswith("while "), 1)
+        F.when(maybe & (body.startswith("for ") | body.startswith("while ")), 1)
         .when(indent_width(text) <= 4, -1)
         .otherwise(0)
     )
@@ -74,27 +75,6 @@ def with_loop_depth(scope_lines: DataFrame, keys: list[str], step: str = "step")
     )
 
 
-def scan_scoped(scoped: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Hits of kept scopes' changed lines, one row per rule; a rule whose guard fails is dropped.
-
-    ``scoped`` has ``hits``, ``is_async`` and ``loop_depth``. The rules table is broadcast: its row count is
-    checked against MAX_RULES when it is made.
-    """
-    guards = rules_frame(scoped.sparkSession, rules).select("rule_no", "rule_ord", "category", "needs_async", "min_loop_depth")
-    return (
-        scoped.withColumn("rule_no", F.explode("hits")).drop("hits")
-        .join(F.broadcast(guards), "rule_no")
-        .where((~F.col("needs_async") | F.col("is_async")) & (F.col("loop_depth") >= F.col("min_loop_depth")))
-        .drop("needs_async", "min_loop_depth")
-    )
-
-
-def scan_unscoped(unscoped: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Security rules on added lines in no scope."""
-    guards = rules_frame(unscoped.sparkSession, rules).where("category = 'security'").select("rule_no", "rule_ord", "category")
-    return unscoped.withColumn("rule_no", F.explode("hits")).drop("hits").join(F.broadcast(guards), "rule_no")
-
-
 def lacks_docstring(name: Column, docstring: Column) -> Column:
     """Public by its qualified name, and without a docstring text."""
     return ~name.startswith("_") & (F.coalesce(docstring, F.lit("")) == "")
@@ -108,6 +88,3 @@ def scan_text(lines: DataFrame, rules: list[Rule], text: str = "text") -> DataFr
         .join(F.broadcast(table), "rule_no")
     )
 
-
-def security_rule_numbers(rules: list[Rule]) -> list[int]:
-    return [no for no, _, r in numbered(rules) if r.category == SECURITY_RULES[0].category]

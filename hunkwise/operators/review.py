@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hunkwise.operators.ranking import rank_in_group
-from hunkwise.schemas import BLOCKING, agent_array, severity_rank
+from hunkwise.schemas import AGENTS, BLOCKING, Agent, agent_array, severity_rank
 
 RANK_BIN_LINES = 4096
 
@@ -41,16 +41,16 @@ def rank_findings(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def agent_results(reviews: DataFrame, findings: DataFrame, keys: list[str],
-                  summaries: DataFrame | None = None) -> DataFrame:
+                  summaries: DataFrame | None = None, agents: list[Agent] = AGENTS) -> DataFrame:
     """One row per review and agent, also without findings: count before the cross-agent dedupe, pass flag,
     summary text. ``findings`` has ``origin`` (``rule`` or ``model``); ``summaries`` are model summaries per
-    (review, category)."""
+    (review, category). A caller's own ``agents`` take the place of the four."""
     per_agent = findings.groupBy(*keys, "category").agg(
         F.count(F.lit(1)).alias("n_findings"),
         F.count_if(F.col("origin") == "rule").alias("n_rule"),
         F.bool_or(F.col("severity").isin(BLOCKING)).alias("blocked"),
     )
-    every = reviews.select(*keys).withColumn("agent", F.explode(agent_array())).select(*keys, "agent.*")
+    every = reviews.select(*keys).withColumn("agent", F.explode(agent_array(agents))).select(*keys, "agent.*")
     rows = every.join(per_agent, [*keys, "category"], "left").withColumns({
         "n_findings": F.coalesce("n_findings", F.lit(0)),
         "passed": ~F.coalesce("blocked", F.lit(False)),

@@ -14,8 +14,8 @@ from hunkwise.operators.detect import (
     with_loop_depth,
 )
 from hunkwise.operators.scopes import source_lines
-from hunkwise.rules import LINE_RULES, Rule, rules_frame
-from hunkwise.schemas import agent_order
+from hunkwise.rules import DOCSTRING_RULE, LINE_RULES, Rule, rules_frame
+from hunkwise.schemas import AGENTS, Agent, agent_order
 from hunkwise.session import stage
 
 SEQ_FIELDS = ["agent_ord", "origin_ord", "file_ord", "phase", "start_line", "visit", "line_ord", "rule_ord"]
@@ -40,7 +40,7 @@ def scope_columns(symbols: DataFrame, keys: list[str]) -> DataFrame:
     return symbols.select(*keys, "visit", "name", "start_line", "end_line", "is_class", "is_async", bare.alias("undocumented"))
 
 
-def hit_rows(covered: DataFrame, rules: list[Rule]) -> DataFrame:
+def hit_rows(covered: DataFrame, rules: list[Rule], docstrings: bool = True) -> DataFrame:
     """One row per line, scope and matched rule; number 0 is the docstring check on a scope's first line.
 
     Scopes that are not kept report nothing; lines in no scope report security rules only. The rules table is
@@ -49,7 +49,7 @@ def hit_rows(covered: DataFrame, rules: list[Rule]) -> DataFrame:
     nothing = F.array().cast("array<int>")
     reported = F.when(F.col("visit").isNull() | F.col("kept"), F.col("hits")).otherwise(nothing)
     bare = F.col("kept") & F.col("undocumented") & (F.col("line") == F.col("start_line"))
-    numbers = F.concat(reported, F.when(bare, F.array(F.lit(0))).otherwise(nothing))
+    numbers = F.concat(reported, F.when(bare, F.array(F.lit(0))).otherwise(nothing)) if docstrings else F.concat(reported)
     dim = rules_frame(covered.sparkSession, rules).drop("message", "suggested_fix")
     rows = covered.withColumn("rule_no", F.explode(numbers)).drop("hits", "kept", "modified", "undocumented", "is_class")
     scoped = F.col("visit").isNotNull()
@@ -61,6 +61,8 @@ def hit_rows(covered: DataFrame, rules: list[Rule]) -> DataFrame:
 def depth_filter(hits: DataFrame, scope_lines: DataFrame, keys: list[str]) -> DataFrame:
     """Hits of loop rules that are deep enough. Depth is computed only for the scopes that have such hits.
 
+    ``hits`` is read by several branches: give a staged table.
+
     ``scope_lines`` has keys, ``line``, ``text`` of the files, or also ``visit`` for lines of given scopes.
     """
     looped = hits.where("min_loop_depth > 0 AND visit IS NOT NULL")
@@ -76,14 +78,14 @@ def depth_filter(hits: DataFrame, scope_lines: DataFrame, keys: list[str]) -> Da
     return plain.unionByName(deep)
 
 
-def as_findings(hits: DataFrame, keys: list[str]) -> DataFrame:
+def as_findings(hits: DataFrame, keys: list[str], agents: list[Agent] = AGENTS) -> DataFrame:
     """Finding rows still without the long texts; those come from the rules table at the end."""
     scoped = F.col("visit").isNotNull()
     return hits.select(
         *keys, F.col("filename").alias("file"), F.col("line").alias("line_start"), F.col("line").alias("line_end"),
         F.col("name").alias("symbol_name"), "category", "severity", "title", "confidence_score", "rule_no",
         F.lit("rule").alias("origin"),
-        seq(agent_order(F.col("category")), 0, F.col("file_ord"), F.when(scoped, 0).otherwise(1),
+        seq(agent_order(F.col("category"), agents), 0, F.col("file_ord"), F.when(scoped, 0).otherwise(1),
             F.coalesce("start_line", F.lit(0)), F.coalesce("visit", F.lit(0)),
             F.when(F.col("rule_no") == 0, 0).otherwise(F.col("line")), F.col("rule_ord")).alias("seq"),
     )
@@ -109,21 +111,23 @@ def with_texts(findings: DataFrame, rules: list[Rule] = LINE_RULES) -> DataFrame
 
 
 def rule_findings(changed: DataFrame, symbols: DataFrame, file_sources: DataFrame, keys: list[str],
-                  rules: list[Rule] = LINE_RULES, unscoped: bool = True) -> DataFrame:
+                  rules: list[Rule] = LINE_RULES, unscoped: bool = True, agents: list[Agent] = AGENTS) -> DataFrame:
     """Findings on ``changed`` lines (keys, filename, ``file_ord``, ``line``, ``text``) against ``symbols``
     (from sources or given by the caller).
 
     Each added line is matched where its patch is read. Only keys, line number and rule numbers are shuffled;
     no line text is. The few hit rows are staged since two branches read them. ``unscoped=False`` leaves out
-    the security scan outside scopes (files that come without a patch).
+    the security scan outside scopes (files that come without a patch). The docstring check belongs to the
+    quality agent and runs only where that agent is among ``agents``.
     """
     file_keys = [*keys, "filename"]
     lines = with_hits(changed, rules).drop("text")
-    hits = hit_rows(cover(lines, scope_columns(symbols, file_keys), file_keys), rules)
+    docstrings = DOCSTRING_RULE.category in [a.category for a in agents]
+    hits = hit_rows(cover(lines, scope_columns(symbols, file_keys), file_keys), rules, docstrings)
     hits = stage(hits if unscoped else hits.where("visit IS NOT NULL"), "hits")
     sources = file_sources.join(
         hits.where("min_loop_depth > 0 AND visit IS NOT NULL").select(*file_keys).distinct(), file_keys, "left_semi")
-    return as_findings(depth_filter(hits, source_lines(sources, file_keys), file_keys), keys)
+    return as_findings(depth_filter(hits, source_lines(sources, file_keys), file_keys), keys, agents)
 
 
 def snippet_findings(symbols: DataFrame, changed: DataFrame, keys: list[str],
@@ -141,6 +145,6 @@ def snippet_findings(symbols: DataFrame, changed: DataFrame, keys: list[str],
     scanned = with_hits(lines, rules).drop("text").join(changed, [*file_keys, "line"], "left_semi")
     covered = scanned.join(head, [*file_keys, "visit"]).withColumns({
         "kept": F.lit(True), "modified": F.lit(True), "is_class": F.lit(False), "end_line": F.lit(None).cast("int")})
-    hits = hit_rows(covered, rules)
+    hits = stage(hit_rows(covered, rules), "hits")
     return as_findings(depth_filter(hits, lines, file_keys), keys)
 

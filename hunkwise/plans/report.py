@@ -36,8 +36,8 @@ def _severity_badge(index: int) -> Column:
     return lookup(F.col("severity"), {s[0]: s[index] for s in SEVERITIES})
 
 
-def _category_label(index: int) -> Column:
-    return lookup(F.col("category"), {a[2]: a[index] for a in AGENTS})
+def _category_label(place: str) -> Column:
+    return lookup(F.col("category"), {a.category: getattr(a, place) for a in AGENTS}, F.col("category"))
 
 
 def _symbol_info() -> Column:
@@ -51,7 +51,7 @@ def finding_block() -> Column:
     return F.concat(
         F.lit("#### "), F.col("finding_ord").cast("string"), F.lit(". "),
         F.coalesce(_severity_badge(2), F.col("severity")), F.lit(" **"), F.col("title"), F.lit("** ("),
-        F.coalesce(_category_label(3), F.col("category")), F.lit(")\n- **Location:** `"),
+        _category_label("report_label"), F.lit(")\n- **Location:** `"),
         F.col("file"), F.lit(":"), F.col("line_start").cast("string"), F.lit("`"), _symbol_info(),
         F.lit("\n- **Details:** "), F.col("message"),
         F.when(fix == "", "\n").otherwise(
@@ -66,7 +66,7 @@ def report_parts(contexts: DataFrame, verdicts: DataFrame, agents: DataFrame, ra
     ``contexts`` has ``pr_title``, ``author_login`` and ``elapsed_ms``, the time to print, as text.
     """
     agent_line = F.concat(
-        F.lit("| **"), F.col("agent_name"), F.lit("** | "), F.coalesce(_category_label(3), F.col("category")), F.lit(" | "),
+        F.lit("| **"), F.col("agent_name"), F.lit("** | "), _category_label("report_label"), F.lit(" | "),
         F.col("n_findings").cast("string"), F.lit(" | "), F.when(F.col("passed"), "Pass").otherwise("Issues Found"), F.lit(" |"))
     agent_rows = agents.select(*keys, "agent_ord", agent_line.alias("agent_line")).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("agent_ord", "agent_line"))).alias("agent_lines"))
@@ -108,7 +108,7 @@ def comment_body(brand: Brand = Brand()) -> Column:
     percent = (F.col("confidence_score") * 100).cast("int").cast("string")
     return F.concat(
         F.coalesce(_severity_badge(3), F.lit("**[NOTE]**")), F.lit(" **"), F.col("title"), F.lit("** ("),
-        F.coalesce(_category_label(4), F.col("category")), F.lit(")"), _symbol_info(), F.lit("\n\n"), F.col("message"),
+        _category_label("comment_label"), F.lit(")"), _symbol_info(), F.lit("\n\n"), F.col("message"),
         F.when(fix == "", "").otherwise(F.concat(F.lit("\n\n```suggestion\n"), fix, F.lit("\n```"))),
         F.lit("\n\n> *Confidence: `"), percent, F.lit(f"%` | {brand.signer}*"),
     )

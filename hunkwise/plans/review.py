@@ -15,9 +15,9 @@ from hunkwise.operators.scopes import with_source_text
 from hunkwise.plans.enrich import file_sources, file_symbols, gated_files
 from hunkwise.plans.findings import rule_findings, scope_columns, seq, with_texts
 from hunkwise.plans.prompts import prompt_corpus
-from hunkwise.plans.report import Brand, inline_comments, report_parts, submissions
+from hunkwise.plans.report import Brand, dry_run_rows, inline_comments, report_parts, submissions
 from hunkwise.rules import LINE_RULES, Rule
-from hunkwise.schemas import FILE_KEYS, REVIEW_KEYS, agent_order
+from hunkwise.schemas import AGENTS, FILE_KEYS, REVIEW_KEYS, Agent, agent_order
 from hunkwise.session import stage
 
 
@@ -45,36 +45,54 @@ class ReviewTables:
             contexts = contexts.withColumn("elapsed_ms", F.lit("0.0"))
         return report_parts(contexts, self.verdicts, self.agent_results, self.findings, REVIEW_KEYS, self._brand)
 
+    def reviews(self) -> DataFrame:
+        """The rows of the review sink: verdict, total, and the report text (in parts where it is very long)."""
+        return self.verdicts.join(self.reports(), REVIEW_KEYS).withColumnRenamed("body", "summary_markdown")
 
-def model_rows(model: DataFrame) -> DataFrame:
+    def dry_run(self) -> DataFrame:
+        return dry_run_rows(self.verdicts)
+
+
+def model_rows(model: DataFrame, agents: list[Agent] = AGENTS) -> DataFrame:
     """Model findings in the shape of rule findings."""
     return model.withColumns({
         "rule_no": F.lit(None).cast("int"),
         "origin": F.lit("model"),
-        "seq": seq(agent_order(F.col("category")), 1, F.col("item_ord")),
+        "seq": seq(agent_order(F.col("category"), agents), 1, F.col("item_ord")),
     })
 
 
 def review(contexts: DataFrame, pr_files: DataFrame, sources: DataFrame, model_responses: DataFrame | None = None,
-           symbols: DataFrame | None = None, rules: list[Rule] = LINE_RULES, brand: Brand = Brand()) -> ReviewTables:
-    """Reviews all ``contexts``. ``symbols`` may come from elsewhere; otherwise they come from ``sources``."""
+           symbols: DataFrame | None = None, rules: list[Rule] = LINE_RULES, brand: Brand = Brand(),
+           agents: list[Agent] = AGENTS, extra_findings: DataFrame | None = None) -> ReviewTables:
+    """Reviews all ``contexts``. ``symbols`` may come from elsewhere; otherwise they come from ``sources``.
+
+    Custom agents: ``rules`` and ``agents`` replace the built-in ones, and ``extra_findings`` (review keys, file,
+    line_start, line_end, symbol_name, category, severity, title, message, suggested_fix, confidence_score, and
+    ``item_ord``, their order) are findings of any other job; they count as the agent's own, after its rules.
+    """
     files = gated_files(pr_files.join(contexts.select(*REVIEW_KEYS), REVIEW_KEYS, "left_semi"))
     texts = file_sources(files, sources)
     if symbols is None:
         symbols = file_symbols(files, sources)
-    found = rule_findings(changed_lines(files, [*FILE_KEYS, "file_ord"]), symbols, texts, REVIEW_KEYS, rules)
+    found = rule_findings(changed_lines(files, [*FILE_KEYS, "file_ord"]), symbols, texts, REVIEW_KEYS, rules, agents=agents)
     bad_replies = summaries = None
+    if extra_findings is not None:
+        own = extra_findings.withColumns({
+            "rule_no": F.lit(None).cast("int"), "origin": F.lit("rule"),
+            "seq": seq(agent_order(F.col("category"), agents), 0, F.col("item_ord"), phase=2)}).drop("item_ord")
+        found = found.unionByName(own, allowMissingColumns=True)
     if model_responses is not None:
         decoded = decode_replies(model_responses.join(contexts.select(*REVIEW_KEYS), REVIEW_KEYS, "left_semi"))
         with_category = [*REVIEW_KEYS, "category"]
-        model = model_rows(model_findings(explode_items(decoded, with_category), with_category))
+        model = model_rows(model_findings(explode_items(decoded, with_category), with_category), agents)
         found = merge_findings(found, model, with_category).drop("item_ord")
         bad_replies, summaries = quarantine(decoded), decoded.select(*with_category, "summary")
     found = stage(found, "findings")
     unique = stage(dedupe_findings(found, REVIEW_KEYS), "unique-findings")
     return ReviewTables(
         findings=with_texts(rank_findings(unique, REVIEW_KEYS), rules),  # long texts join last, on the map side
-        agent_results=agent_results(contexts, found, REVIEW_KEYS, summaries),
+        agent_results=agent_results(contexts, found, REVIEW_KEYS, summaries, agents),
         verdicts=verdicts(contexts, unique, REVIEW_KEYS),
         quarantine=bad_replies, _contexts=contexts, _files=files, _brand=brand,
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 REVIEW_KEYS = ["repo_full_name", "pr_number", "head_sha"]
@@ -37,22 +39,35 @@ SEVERITIES = [
 ]
 BLOCKING = ["critical", "high"]
 
-# Agents in running order: order, name, category, report label, comment label, summary texts.
+@dataclass(frozen=True)
+class Agent:
+    """A reviewer: its category, its labels in the report and in comments, and its summary texts."""
+
+    name: str
+    category: str
+    report_label: str
+    comment_label: str
+    pass_text: str
+    flag_head: str
+    flag_tail: str
+
+
+# The agents in running order.
 AGENTS = [
-    (1, "SecurityAgent", "security", "Security", "Security Vulnerability",
-     "Security Audit passed with no critical issues.",
-     "Security Audit flagged ", " potential vulnerability(ies)."),
-    (2, "PerformanceAgent", "performance", "Performance", "Performance Bottleneck",
-     "Performance Audit passed with no critical bottlenecks.",
-     "Performance Audit flagged ", " potential performance bottleneck(s)."),
-    (3, "LogicBugAgent", "bug_risk", "Bug Risk", "Logic / Bug Risk",
-     "Logic Audit passed with no critical bug risks.",
-     "Logic Audit flagged ", " potential bug risk(s)."),
-    (4, "QualityAgent", "code_quality", "Quality", "Code Quality & Maintainability",
-     "Quality Audit passed with no critical concerns.",
-     "Quality Audit highlighted ", " style or maintainability suggestion(s)."),
+    Agent("SecurityAgent", "security", "Security", "Security Vulnerability",
+          "Security Audit passed with no critical issues.",
+          "Security Audit flagged ", " potential vulnerability(ies)."),
+    Agent("PerformanceAgent", "performance", "Performance", "Performance Bottleneck",
+          "Performance Audit passed with no critical bottlenecks.",
+          "Performance Audit flagged ", " potential performance bottleneck(s)."),
+    Agent("LogicBugAgent", "bug_risk", "Bug Risk", "Logic / Bug Risk",
+          "Logic Audit passed with no critical bug risks.",
+          "Logic Audit flagged ", " potential bug risk(s)."),
+    Agent("QualityAgent", "code_quality", "Quality", "Code Quality & Maintainability",
+          "Quality Audit passed with no critical concerns.",
+          "Quality Audit highlighted ", " style or maintainability suggestion(s)."),
 ]
-CATEGORIES = [a[2] for a in AGENTS]
+CATEGORIES = [a.category for a in AGENTS]
 
 # Report badge per verdict.
 VERDICT_BADGES = {
@@ -74,18 +89,14 @@ def severity_rank(severity: Column) -> Column:
     return lookup(severity, {s[0]: s[1] for s in SEVERITIES}, F.lit(5))
 
 
-def agent_order(category: Column) -> Column:
-    return lookup(category, {a[2]: a[0] for a in AGENTS}, F.lit(9))
+def agent_order(category: Column, agents: list[Agent] = AGENTS) -> Column:
+    return lookup(category, {a.category: n for n, a in enumerate(agents, 1)}, F.lit(len(agents) + 1))
 
 
-def agent_array() -> Column:
-    """The four agents as an array literal, for one ``explode`` per review."""
+def agent_array(agents: list[Agent] = AGENTS) -> Column:
+    """The agents as an array literal, for one ``explode`` per review."""
     return F.array(*[
-        F.struct(F.lit(a[0]).alias("agent_ord"), F.lit(a[1]).alias("agent_name"), F.lit(a[2]).alias("category"),
-                 F.lit(a[5]).alias("pass_text"), F.lit(a[6]).alias("flag_head"), F.lit(a[7]).alias("flag_tail"))
-        for a in AGENTS
+        F.struct(F.lit(n).alias("agent_ord"), F.lit(a.name).alias("agent_name"), F.lit(a.category).alias("category"),
+                 F.lit(a.pass_text).alias("pass_text"), F.lit(a.flag_head).alias("flag_head"), F.lit(a.flag_tail).alias("flag_tail"))
+        for n, a in enumerate(agents, 1)
     ])
-
-
-def empty(spark: SparkSession, ddl: str) -> DataFrame:
-    return spark.createDataFrame([], ddl)

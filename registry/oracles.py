@@ -311,7 +311,7 @@ agents AS (
                    AND count(f.file) FILTER (f.origin = 'rule') = 0 THEN 'model says fine'
               WHEN NOT coalesce(bool_or(f.severity IN ('critical', 'high')), false) THEN a.ok
               ELSE a.bad1 || count(f.file) || a.bad2 END AS summary
-  FROM customer CROSS JOIN (VALUES {", ".join(f"({a[0]}, {q(a[1])}, {q(a[2])}, {q(a[5])}, {q(a[6])}, {q(a[7])})" for a in AGENTS)})
+  FROM customer CROSS JOIN (VALUES {", ".join(f"({n}, {q(a.name)}, {q(a.category)}, {q(a.pass_text)}, {q(a.flag_head)}, {q(a.flag_tail)})" for n, a in enumerate(AGENTS, 1))})
        a(ord, agent, cat, ok, bad1, bad2)
   LEFT JOIN found f ON f.review = c_custkey AND f.category = a.cat GROUP BY c_custkey, a.ord, a.agent, a.cat, a.ok, a.bad1, a.bad2)"""
 ORACLES["dedupe_findings"] = ctes(FINDINGS) + """
@@ -329,7 +329,7 @@ BRAND = report_texts.Brand()
 ORACLES["inline_comments"] = ctes(FINDINGS) + f"""
 SELECT review, finding_ord AS comment_ord, file AS path, line_start AS line, 'RIGHT' AS side,
        {case("severity", {s[0]: s[3] for s in SEVERITIES})} || ' **' || title || '** (' ||
-       {case("category", {a[2]: a[4] for a in AGENTS})} || ')' || {SYMBOL} || {NL} || {NL} || message ||
+       {case("category", {a.category: a.comment_label for a in AGENTS})} || ')' || {SYMBOL} || {NL} || {NL} || message ||
        CASE WHEN l_partkey % 4 > 1 THEN {NL} || {NL} || '```suggestion' || {NL} || 'use x' || {NL} || '```' ELSE '' END ||
        {NL} || {NL} || '> *Confidence: `' || trunc(confidence_score * 100)::INT || '%` | {BRAND.signer}*' AS body
 FROM ranked"""
@@ -344,12 +344,12 @@ SELECT j.review, CASE WHEN o.review IS NULL THEN 'success' ELSE 'fallback_succes
        CASE WHEN o.review IS NOT NULL THEN {q(report_texts.FALLBACK_NOTE)} END AS note
 FROM judged j LEFT JOIN off_side o ON o.review = j.review"""
 REPORT_BLOCK = f"""'#### ' || finding_ord || '. ' || {case("severity", {s[0]: s[2] for s in SEVERITIES})} || ' **' || title || '** (' ||
-       {case("category", {a[2]: a[3] for a in AGENTS})} || ')' || {NL} || '- **Location:** `' || file || ':' || line_start || '`' || {SYMBOL}
+       {case("category", {a.category: a.report_label for a in AGENTS})} || ')' || {NL} || '- **Location:** `' || file || ':' || line_start || '`' || {SYMBOL}
        || {NL} || '- **Details:** ' || message || {NL} || CASE WHEN suggested_fix IS NULL THEN '' ELSE '- **Recommendation:**' || {NL} ||
        '  ```suggestion' || {NL} || '  ' || suggested_fix || {NL} || '  ```' || {NL} END"""
 ORACLES["report_markdown"] = ctes(FINDINGS, f"""
 agent_part AS (
-  SELECT review, string_agg('| **' || agent_name || '** | ' || {case("category", {a[2]: a[3] for a in AGENTS})} || ' | ' || n_findings || ' | ' ||
+  SELECT review, string_agg('| **' || agent_name || '** | ' || {case("category", {a.category: a.report_label for a in AGENTS})} || ' | ' || n_findings || ' | ' ||
          CASE WHEN passed THEN 'Pass' ELSE 'Issues Found' END || ' |', {NL} ORDER BY agent_ord) AS agent_text FROM agents GROUP BY review),
 parts AS (
   SELECT review, (finding_ord - 1) // {report_texts.PART_FINDINGS} AS part_no,
@@ -517,7 +517,7 @@ REVIEW_MODULES = MODULES.replace("@SCANNED", "changed").replace("@UNSCOPED", """
   SELECT doc_id, line, NULL, category, severity, title, message, suggested_fix, confidence_score, 1, 0, 0, line, rule_no
   FROM module JOIN rules ON regexp_matches(text, pattern) WHERE changed AND ln > 14 AND category = 'security'""")
 LOCAL_MODULES = MODULES.replace("@SCANNED", "true").replace("@UNSCOPED", "")
-AGENT_RANK = case("category", {a[2]: a[0] for a in AGENTS}, "9")
+AGENT_RANK = case("category", {a.category: n for n, a in enumerate(AGENTS, 1)}, "9")
 ORACLES["review_findings"] = ctes(RULES, REVIEW_MODULES) + f"""
 SELECT doc_id // 5 AS pr_number,
        row_number() OVER (PARTITION BY doc_id // 5 ORDER BY {SEV_RANK}, 'pkg/m' || doc_id || '.py', line_start, {AGENT_RANK},

@@ -15,7 +15,7 @@ from hunkwise.plans import review as plan_review
 from hunkwise.plans.local import review_local
 from hunkwise.rules import LOGIC_RULES, PERFORMANCE_RULES, QUALITY_RULES, SECURITY_RULES, LINE_RULES, Rule
 from hunkwise.schemas import REVIEW_KEYS
-from hunkwise.session import stage_path
+from hunkwise.session import stage, stage_path
 from hunkwise.sources.tables import diff_summary
 from hunkwise.streaming.intake import judged_rows, read_judged, start_intake
 from registry import inputs
@@ -183,7 +183,7 @@ def scan_quality(spark, sf):
 
 @query
 def scan_performance(spark, sf):
-    hits = _hits(spark, sf, PERFORMANCE_RULES).where("visit IS NOT NULL AND rule_no > 0")
+    hits = stage(_hits(spark, sf, PERFORMANCE_RULES).where("visit IS NOT NULL AND rule_no > 0"), "hits")
     texts = inputs.code_lines(spark, sf).select(*FILE, "line", "text")
     return plan_findings.depth_filter(hits, texts, FILE).select(
         "doc_id", "line", F.col("name").alias("symbol_name"), "rule_id", "severity")

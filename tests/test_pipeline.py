@@ -149,3 +149,48 @@ def test_tables_read_with_declared_schema(spark, tmp_path):
 
 def test_checkpoint_folder_is_the_sessions(spark):
     assert checkpoint_dir(spark) == checkpoint_dir(spark)
+
+
+def test_custom_agents_and_extra_findings(spark):
+    from hunkwise.rules import Rule
+
+    rule = Rule("X-1", "licensing", "high", "Own rule", r"\bGPL\b", "m", None, 0.9, ("GPL",))
+    agent = schemas.Agent("LicenseAgent", "licensing", "License", "License", "Fine.", "Flagged ", " item(s).")
+    extra = spark.createDataFrame(
+        [(*RK, "a.py", 1, 1, None, "licensing", "low", "Elsewhere", "m", None, 0.8, 0)],
+        "repo_full_name string, pr_number bigint, head_sha string, file string, line_start int, line_end int, symbol_name string, "
+        "category string, severity string, title string, message string, suggested_fix string, confidence_score double, item_ord int")
+    src = "def f():\n    x = 1  # GPL\n"
+    out = review(context(spark, RK), files(spark, (RK, 0, "a.py", "added", added(src))), sources(spark, (RK, "a.py", src)),
+                 rules=[rule], agents=[agent], extra_findings=extra)
+    assert sorted(r.title for r in out.findings.collect()) == ["Elsewhere", "Own rule"]
+    (a,) = out.agent_results.collect()
+    assert (a.agent_name, a.n_findings, a.summary, a.passed) == ("LicenseAgent", 2, "Flagged 2 item(s).", False)
+    assert "| **LicenseAgent** | licensing | 2 | Issues Found |" in out.reviews().first().summary_markdown
+    assert out.dry_run().first().inline_comments_count == 2
+
+
+def test_given_symbols_replace_parsed_ones(spark):
+    symbols = spark.createDataFrame([(*RK, "a.go", 1, "Run", "function", None, 1, 2, "doc", False, False)], schemas.SYMBOLS_DDL)
+    src = "func Run() {\n eval(x)\n}"
+    out = review(context(spark, RK), files(spark, (RK, 0, "a.go", "added", added(src))), sources(spark, (RK, "a.go", src)), symbols=symbols)
+    assert [(r.line_start, r.symbol_name) for r in out.findings.collect()] == [(2, "Run")]
+
+
+def test_stream_to_reviews(spark, tmp_path):
+    from hunkwise.streaming.intake import start_intake
+    from hunkwise.streaming.reviews import reviewing
+    from tests.test_events import PAYLOAD, SECRET, sign
+
+    body = json.dumps(PAYLOAD).encode()
+    key = ("org/repo", 10, "1234567890abcdef")
+    landed = str(tmp_path / "in")
+    spark.createDataFrame([("1", "pull_request", sign(body), bytearray(body), None), ("2", "pull_request", sign(body), bytearray(body), None)],
+                          schemas.PR_EVENTS_DDL).write.parquet(landed)
+    stream = tables.read_table_stream(spark, "pr_events", landed)
+    on_batch = reviewing(files(spark, (key, 0, "src/auth.py", "added", added(BAD)), (RK, 0, "x.py", "added", added(BAD))),
+                         sources(spark, (key, "src/auth.py", BAD)), str(tmp_path / "out"))
+    start_intake(stream, SECRET, str(tmp_path / "judged"), str(tmp_path / "ckpt"), on_batch).awaitTermination()
+    (r,) = spark.read.parquet(str(tmp_path / "out/reviews")).collect()
+    assert (r.pr_number, r.verdict, r.part_no, r.n_parts) == (10, "REQUEST_CHANGES", 0, 1) and "CHANGES REQUESTED" in r.summary_markdown
+    assert spark.read.parquet(str(tmp_path / "out/inline_comments")).count() == r.total_findings
