@@ -112,8 +112,8 @@ def with_texts(findings: DataFrame, rules: list[Rule] = LINE_RULES) -> DataFrame
 
 def rule_findings(changed: DataFrame, symbols: DataFrame, file_sources: DataFrame, keys: list[str],
                   rules: list[Rule] = LINE_RULES, unscoped: bool = True, agents: list[Agent] = AGENTS) -> DataFrame:
-    """Findings on ``changed`` lines (keys, filename, ``file_ord``, ``line``, ``text``) against ``symbols``
-    (from sources or given by the caller).
+    """Findings on ``changed`` lines (keys, filename, ``file_ord``, ``line``, and ``text`` or already ``hits``)
+    against ``symbols`` (from sources or given by the caller).
 
     Each added line is matched where its patch is read. Only keys, line number and rule numbers are shuffled;
     no line text is. The few hit rows are staged since two branches read them. ``unscoped=False`` leaves out
@@ -121,7 +121,7 @@ def rule_findings(changed: DataFrame, symbols: DataFrame, file_sources: DataFram
     quality agent and runs only where that agent is among ``agents``.
     """
     file_keys = [*keys, "filename"]
-    lines = with_hits(changed, rules).drop("text")
+    lines = changed if "hits" in changed.columns else with_hits(changed, rules).drop("text")
     docstrings = DOCSTRING_RULE.category in [a.category for a in agents]
     hits = hit_rows(cover(lines, scope_columns(symbols, file_keys), file_keys), rules, docstrings)
     hits = stage(hits if unscoped else hits.where("visit IS NOT NULL"), "hits")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hunkwise.operators.detect import with_hits
 from hunkwise.operators.review import agent_results, dedupe_findings, rank_findings, verdicts
 from hunkwise.operators.scopes import scopes, source_lines
 from hunkwise.plans.findings import rule_findings, with_texts
@@ -23,8 +24,11 @@ def review_local(files: DataFrame, lines: Column | None = None, rules: list[Rule
     contexts, rows = local_reviews(files, lines)
     file_keys = [*LOCAL_KEYS, "filename"]
     symbols = scopes(rows.select(*file_keys, "language", "content"), file_keys)
-    wanted = rows.select(*file_keys, "file_ord", F.explode("changed_lines").alias("line"))
-    changed = source_lines(rows, file_keys).join(wanted, [*file_keys, "line"])
+    # matched where the text is read; what is joined to the wanted lines is rule numbers
+    changed = with_hits(source_lines(rows, [*file_keys, "file_ord"]), rules).drop("text")
+    if lines is not None:
+        wanted = rows.select(*file_keys, F.explode("changed_lines").alias("line"))
+        changed = changed.join(wanted, [*file_keys, "line"], "left_semi")
     found = stage(rule_findings(changed, symbols, rows, LOCAL_KEYS, rules, unscoped=False), "local-findings")
     unique = dedupe_findings(found, LOCAL_KEYS)
     ranked = with_texts(rank_findings(unique, LOCAL_KEYS), rules)
