@@ -6,8 +6,9 @@ that it can close (the distinct levels of a file are few), and the search is the
 level's rows instead of a join of every header with every later line.
 
 Approximations against a grammar: several definitions on one line count as one; braces inside JS strings or
-comments count; arrow functions are found when their parameter list closes on the header line; ``'''`` or
-double triple quotes inside other strings may shift the string state of the lines below.
+comments count; an arrow function without a block ends with its line, with the next line after a last ``=>``, or
+with the line of closing parentheses after a last ``(``; ``'''`` or double triple quotes inside other strings
+may shift the string state of the lines below.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ _JS_CONST = (
     _JS_LEAD + r"(?:const|let|var)\s+" + _NAME
     + r"\s*(?::[^=]+)?=\s*(?:async\s+)?(function\b|\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>)"
 )
+_JS_CONST_OPEN = _JS_LEAD + r"(?:const|let|var)\s+" + _NAME + r"\s*(?::[^=]+)?=\s*(?:async\s+)?\([^()]*\z"
 _JS_METHOD = (
     r"(?U)\A\s*(?:(?:public|private|protected|static|override|readonly)\s+)*(?:async\s+)?\*?\s*(?:(?:get|set)\s+)?"
     + r"(?!(?:if|for|while|switch|catch|function|return|do|else|with|new|typeof|await|super|throw)\b)"
@@ -94,6 +96,12 @@ def _line_features(lines: DataFrame, keys: list[str]) -> DataFrame:
         extract(js_const, _JS_CONST, 1).alias("const_name"),
         extract(js_const, _JS_CONST, 2).alias("const_value"),
         extract(js_method, _JS_METHOD, 1).alias("method_name"),
+        extract(js_method & text.contains("="), _JS_CONST_OPEN, 1).alias("open_name"),
+        (js_method & text.rlike(r"\(\s*\z")).alias("ends_open"),
+        (~python & text.contains("=>") & text.rlike(r"=>\s*\z")).alias("ends_arrow"),
+        (~python & body.startswith(")")).alias("starts_close"),
+        (~python & body.startswith(")") & text.contains("=>")).alias("closes_arrow"),
+        (~python & body.startswith(")") & body.rlike(r"\A\)+;?\s*\z")).alias("only_closes"),
         (~python & body.startswith("/**")).alias("doc_opens"),
         (~python & text.contains("/*")).alias("block_opens"),
         (~python & text.contains("*/") & text.rlike(r"(?U)\*/\s*\z")).alias("doc_ends"),
@@ -125,6 +133,12 @@ def scope_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
         "doc_line": F.last(F.when(F.col("doc_opens"), F.col("line")), ignorenulls=True).over(above),
         "block_line": F.last(F.when(F.col("block_opens"), F.col("line")), ignorenulls=True).over(above),
     })
+    # JS: how a parameter list or an expression left open on a header line goes on
+    rows = rows.withColumns({
+        "next_filled": F.last(F.when(F.col("filled"), F.col("line")), ignorenulls=True).over(below),
+        "next_close": F.last(F.when(F.col("starts_close"), F.struct("line", "closes_arrow", "opens")), ignorenulls=True).over(below),
+        "next_end": F.last(F.when(F.col("only_closes"), F.col("line")), ignorenulls=True).over(below),
+    })
     in_string = F.col("quotes_above") % 2 == 1
     code = F.col("python") & F.col("filled") & ~F.col("is_comment") & ~F.col("is_tail") & ~in_string
     depth = F.col("depth_after") - F.col("opens") + F.col("closes")
@@ -134,6 +148,7 @@ def scope_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
         .when(F.col("function_name").isNotNull(), "function_declaration")
         .when(F.col("const_name").isNotNull(),
               F.when(F.col("const_value").startswith("function"), "function_expression").otherwise("arrow_function"))
+        .when(F.col("open_name").isNotNull() & F.col("next_close.closes_arrow"), "arrow_function")
         .when(F.col("method_name").isNotNull() & (depth > 0), "method_definition")
     )
     py_kind = F.when(code, lookup(F.col("py_kind"), {"def": "function_definition", "class": "class_definition"}))
@@ -141,7 +156,7 @@ def scope_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
         "is_code": code,
         "in_string": in_string,
         "kind": F.when(F.col("python"), py_kind).otherwise(js_kind),
-        "name": F.coalesce("py_name", "class_name", "function_name", "const_name", "method_name"),
+        "name": F.coalesce("py_name", "class_name", "function_name", "const_name", "open_name", "method_name"),
         "level_here": F.when(F.col("python"), F.col("indent")).otherwise(depth).cast("int"),
     })
 
@@ -181,10 +196,19 @@ def scope_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
 
     python = F.col("python")
     block_end = F.when(is_closer, closer).otherwise(F.col("next_closer"))
-    no_block = (F.col("kind") == "arrow_function") & (F.col("opens") == 0)
+    # an arrow function without a block ends with its line, or where the expression left open ends
+    arrow = F.col("kind") == "arrow_function"
+    open_list = arrow & F.col("const_name").isNull()
+    no_block = F.when(open_list, F.col("next_close.opens") == 0).otherwise(arrow & (F.col("opens") == 0))
+    expression_end = (
+        F.when(open_list, F.col("next_close.line"))
+        .when(F.col("ends_arrow"), F.coalesce("next_filled", "line"))
+        .when(F.col("ends_open"), F.coalesce("next_end", "line"))
+        .otherwise(F.col("line"))
+    )
     headers = headers.withColumns({
         "end_line": F.when(python, F.coalesce("next_closer.last_filled", "file_end"))
-        .when(no_block, F.col("line")).otherwise(F.coalesce(block_end["line"], F.col("file_end"))),
+        .when(no_block, expression_end).otherwise(F.coalesce(block_end["line"], F.col("file_end"))),
         "async_end": F.when(python, F.coalesce("next_closer.async_above", "async_total"))
         .when(no_block, F.col("async_above") + F.col("async_word"))
         .otherwise(F.coalesce(block_end["async_above"] + block_end["async_word"], F.col("async_total"))),

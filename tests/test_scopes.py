@@ -186,6 +186,39 @@ def test_typescript(spark):
     ]
 
 
+ARROWS = '''const App = () => (
+  <ul>
+    {items.map(i => (
+      <li>{i}</li>
+    ))}
+  </ul>
+);
+export const wide = async (
+  a,
+  b,
+) => {
+  return a + b;
+};
+const total = (
+  a,
+) => a + 1;
+const next = (a) =>
+  a + 1;
+const value = (
+  1 + 2
+);
+let plain = 5;
+'''
+
+
+def test_arrow_functions_over_several_lines(spark):
+    src = spark.createDataFrame([("f", "javascript", ARROWS)], "filename string, language string, content string")
+    got = rows(scopes.scopes(src, KEYS).select("name", "node_type", "start_line", "end_line", "is_async"), "start_line")
+    assert got == [
+        ("App", "arrow_function", 1, 7, False), ("wide", "arrow_function", 8, 13, True),
+        ("total", "arrow_function", 14, 16, False), ("next", "arrow_function", 17, 18, False)]
+
+
 def test_cover_like_a_loop(spark):
     """Random nested classes and functions over several bins, against plain loops."""
     rng = random.Random(11)
