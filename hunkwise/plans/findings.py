@@ -110,24 +110,27 @@ def with_texts(findings: DataFrame, rules: list[Rule] = LINE_RULES) -> DataFrame
     }).drop("rule_message", "rule_fix")
 
 
-def rule_findings(changed: DataFrame, symbols: DataFrame, file_sources: DataFrame, keys: list[str],
-                  rules: list[Rule] = LINE_RULES, unscoped: bool = True, agents: list[Agent] = AGENTS) -> DataFrame:
+def rule_findings(changed: DataFrame, symbols: DataFrame, sources: DataFrame, keys: list[str],
+                  rules: list[Rule] = LINE_RULES, unscoped: bool = True, agents: list[Agent] = AGENTS,
+                  source_keys: list[str] | None = None) -> DataFrame:
     """Findings on ``changed`` lines (keys, filename, ``file_ord``, ``line``, and ``text`` or already ``hits``)
     against ``symbols`` (from sources or given by the caller).
 
     Each added line is matched where its patch is read. Only keys, line number and rule numbers are shuffled;
     no line text is. The few hit rows are staged since two branches read them. ``unscoped=False`` leaves out
     the security scan outside scopes (files that come without a patch). The docstring check belongs to the
-    quality agent and runs only where that agent is among ``agents``.
+    quality agent and runs only where that agent is among ``agents``. ``sources`` (``source_keys``, by default the
+    file keys, and ``content``) are read for the files with a hit of a loop rule only.
     """
     file_keys = [*keys, "filename"]
     lines = changed if "hits" in changed.columns else with_hits(changed, rules).drop("text")
     docstrings = DOCSTRING_RULE.category in [a.category for a in agents]
     hits = hit_rows(cover(lines, scope_columns(symbols, file_keys), file_keys), rules, docstrings)
     hits = stage(hits if unscoped else hits.where("visit IS NOT NULL"), "hits")
-    sources = file_sources.join(
-        hits.where("min_loop_depth > 0 AND visit IS NOT NULL").select(*file_keys).distinct(), file_keys, "left_semi")
-    return as_findings(depth_filter(hits, source_lines(sources, file_keys), file_keys), keys, agents)
+    source_keys = source_keys or file_keys
+    looped = hits.where("min_loop_depth > 0 AND visit IS NOT NULL").select(*file_keys).distinct()
+    texts = looped.join(sources.select(*source_keys, "content"), source_keys)
+    return as_findings(depth_filter(hits, source_lines(texts, file_keys), file_keys), keys, agents)
 
 
 def snippet_findings(symbols: DataFrame, changed: DataFrame, keys: list[str],

@@ -12,12 +12,12 @@ from hunkwise.operators.diff import changed_lines, new_side_lines
 from hunkwise.operators.model import decode_replies, explode_items, merge_findings, model_findings, quarantine
 from hunkwise.operators.review import agent_results, dedupe_findings, rank_findings, review_sizes, verdicts
 from hunkwise.operators.scopes import with_source_text
-from hunkwise.plans.enrich import file_sources, file_symbols, gated_files
+from hunkwise.plans.enrich import file_symbols, gated_files
 from hunkwise.plans.findings import rule_findings, scope_columns, seq, with_texts
 from hunkwise.plans.prompts import prompt_corpus
 from hunkwise.plans.report import Brand, dry_run_rows, inline_comments, report_parts, submissions
 from hunkwise.rules import LINE_RULES, Rule
-from hunkwise.schemas import AGENTS, FILE_KEYS, REVIEW_KEYS, Agent, agent_order
+from hunkwise.schemas import AGENTS, FILE_KEYS, REVIEW_KEYS, SOURCE_KEYS, Agent, agent_order
 from hunkwise.session import stage
 
 
@@ -72,10 +72,10 @@ def review(contexts: DataFrame, pr_files: DataFrame, sources: DataFrame, model_r
     ``item_ord``, their order) are findings of any other job; they count as the agent's own, after its rules.
     """
     files = gated_files(pr_files.join(contexts.select(*REVIEW_KEYS), REVIEW_KEYS, "left_semi"))
-    texts = file_sources(files, sources)
     if symbols is None:
         symbols = file_symbols(files, sources)
-    found = rule_findings(changed_lines(files, [*FILE_KEYS, "file_ord"]), symbols, texts, REVIEW_KEYS, rules, agents=agents)
+    found = rule_findings(changed_lines(files, [*FILE_KEYS, "file_ord"]), symbols, sources, REVIEW_KEYS, rules,
+                          agents=agents, source_keys=SOURCE_KEYS)
     bad_replies = summaries = None
     if extra_findings is not None:
         own = extra_findings.withColumns({
@@ -118,13 +118,12 @@ def enrich(contexts: DataFrame, pr_files: DataFrame, sources: DataFrame,
            symbols: DataFrame | None = None) -> EnrichedTables:
     """The context of each review: what a prompt or a size estimate needs."""
     files = gated_files(pr_files.join(contexts.select(*REVIEW_KEYS), REVIEW_KEYS, "left_semi"))
-    texts = file_sources(files, sources)
     if symbols is None:
         symbols = file_symbols(files, sources)
     lines = files.select(*FILE_KEYS, F.explode("changed_lines").alias("line"))
     covered = cover(lines, scope_columns(symbols, FILE_KEYS), FILE_KEYS)
     own = modified_lines(covered, FILE_KEYS).select(*FILE_KEYS, "visit", "modified_lines")
-    kept = with_source_text(symbols.join(own, [*FILE_KEYS, "visit"]), texts, FILE_KEYS)
+    kept = with_source_text(symbols.join(own, [*FILE_KEYS, "visit"]), sources, SOURCE_KEYS)
     # one group is one file: bounded by its patch cell
     loose = unscoped_lines(covered, FILE_KEYS).groupBy(*FILE_KEYS).agg(
         F.sort_array(F.collect_set("line")).alias("unscoped_lines"))
