@@ -43,8 +43,8 @@ s AS (
   SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
   FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON r.other = e.a),
 c AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
@@ -91,7 +91,7 @@ e AS (
 g AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS turns,
          coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '') AS loss,
-         sum(length(body) + CASE role WHEN 'user' THEN 22 WHEN 'assistant' THEN 26 ELSE 29 + length(name) END) AS chars
+         sum(length(body) + CASE role WHEN 'user' THEN 22 WHEN 'assistant' THEN 26 ELSE 30 + length(name) END) AS chars
   FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
        chars::BIGINT AS formatted_chars
@@ -115,15 +115,15 @@ state AS (
 a AS (
   SELECT page_id, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, string_agg(DISTINCT entry, ',' ORDER BY entry) AS entries
   FROM state WHERE last = 'add' GROUP BY page_id)
-SELECT p.page_id, p.host, p.fetched, a.page_id IS NOT NULL AS blocked, coalesce(a.categories, '') AS categories, coalesce(a.entries, '') AS entries
+SELECT p.page_id, p.host, p.fetched::DATE::VARCHAR AS fetched, a.page_id IS NOT NULL AS blocked, coalesce(a.categories, '') AS categories, coalesce(a.entries, '') AS entries
 FROM p LEFT JOIN a ON a.page_id = p.page_id
 """
 
 OP3 = """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-        AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 d AS (
   SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.e, v.e) AS score
   FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND len(q.e) = len(v.e)),

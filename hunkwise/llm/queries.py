@@ -91,7 +91,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int")))
     found = urls.judge(captures, url_list(pages), "page_id")
-    return found.select("page_id", "host", "fetched", "blocked", F.array_join("categories", ",").alias("categories"), F.array_join("entries", ",").alias("entries"))
+    return found.select("page_id", "host", F.col("fetched").cast("string").alias("fetched"), "blocked", F.array_join("categories", ",").alias("categories"), F.array_join("entries", ",").alias("entries"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
