@@ -42,6 +42,11 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SPAN = "struct<kind:int,start:int,end:int,value:string,left:string,right:string>"
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once: inside functions of arrays, a plain column is computed again at each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def running_sums(numbers: Column) -> Column:
     """The sums of the first 1, 2, ... of an array of integers, in stretches so that long arrays stay cheap."""
     zero = F.lit(0)
@@ -50,24 +55,33 @@ def running_sums(numbers: Column) -> Column:
         begin = F.struct(start.alias("sum"), F.array().cast("array<int>").alias("all"))
         return F.aggregate(array, begin, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.array_append(s["all"], s["sum"] + x).alias("all")), lambda s: s["all"])
 
-    stretches = F.transform(F.sequence(zero, F.expr("0") + F.floor((F.size(numbers) - 1) / STRETCH).cast("int")),
-                            lambda i: F.slice(numbers, i * STRETCH + 1, F.lit(STRETCH)))
-    totals = sums(F.transform(stretches, lambda s: F.aggregate(s, zero, lambda a, x: a + x)), zero)
-    starts = F.concat(F.array(zero), totals)
-    parts = F.transform(stretches, lambda s, i: sums(s, F.get(starts, i)))
-    return F.when(F.size(numbers) > 0, F.flatten(parts)).otherwise(F.array().cast("array<int>"))
+    def cut(array: Column) -> Column:
+        last = F.floor((F.size(array) - 1) / STRETCH).cast("int")
+        return F.transform(F.sequence(zero, last), lambda i: F.slice(array, i * STRETCH + 1, F.lit(STRETCH)))
+
+    def joined(stretches: Column) -> Column:
+        totals = sums(F.transform(stretches, lambda s: F.aggregate(s, zero, lambda a, x: a + x)), zero)
+        return let(F.concat(F.array(zero), totals), lambda starts: F.flatten(F.transform(stretches, lambda s, i: sums(s, F.get(starts, i)))))
+
+    return let(numbers, lambda array: F.when(F.size(array) > 0, let(cut(array), joined)).otherwise(F.array().cast("array<int>")))
+
+
+def _ends(pieces: Column, values: Column) -> Column:
+    return running_sums(F.zip_with(F.slice(pieces, F.lit(1), F.size(values)), values, lambda p, v: F.length(p) + F.length(v)))
 
 
 def located(text: Column, pattern: str) -> Column:
     """The matches of ``pattern`` as (value, start, end, left, right): left and right are what stands between a match and its
     neighbours, at most NEAR characters."""
-    pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(values)), values, lambda p, v: F.length(p) + F.length(v))
-    rows = F.arrays_zip(values.alias("value"), running_sums(steps).alias("end"), F.slice(pieces, F.lit(1), F.size(values)).alias("left"),
-                        F.slice(pieces, F.lit(2), F.size(values)).alias("right"))
-    return F.transform(rows, lambda r: F.struct(
-        r["value"].alias("value"), (r["end"] - F.length(r["value"])).alias("start"), r["end"].alias("end"),
-        _near(r["left"], -1).alias("left"), _near(r["right"], 1).alias("right")))
+    def places(found: Column) -> Column:
+        pieces, values = found["pieces"], found["values"]
+        rows = F.arrays_zip(values.alias("value"), _ends(pieces, values).alias("end"), F.slice(pieces, F.lit(1), F.size(values)).alias("left"),
+                            F.slice(pieces, F.lit(2), F.size(values)).alias("right"))
+        return F.transform(rows, lambda r: F.struct(
+            r["value"].alias("value"), (r["end"] - F.length(r["value"])).alias("start"), r["end"].alias("end"),
+            _near(r["left"], -1).alias("left"), _near(r["right"], 1).alias("right")))
+
+    return let(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values")), places)
 
 
 def _near(piece: Column, side: int) -> Column:
@@ -118,11 +132,13 @@ def base_spans(text: Column) -> Column:
 def _terms(context: Column, origin: Column) -> Column:
     """The terms of a short context, with their places; ``origin`` is the place of the context's first character."""
     word = r"\p{L}{3,}+"
-    values = F.regexp_extract_all(context, F.lit(word), F.lit(0))
-    pieces = F.split(context, word, -1)
-    ends = running_sums(F.zip_with(F.slice(pieces, F.lit(1), F.size(values)), values, lambda p, v: F.length(p) + F.length(v)))
-    return F.transform(F.arrays_zip(values.alias("v"), ends.alias("e")), lambda r: F.struct(
-        F.lower(r["v"]).alias("term"), (origin + r["e"] - F.length(r["v"])).alias("start"), (origin + r["e"]).alias("end")))
+
+    def places(found: Column) -> Column:
+        pieces, values = found["pieces"], found["values"]
+        return F.transform(F.arrays_zip(values.alias("v"), _ends(pieces, values).alias("e")), lambda r: F.struct(
+            F.lower(r["v"]).alias("term"), (origin + r["e"] - F.length(r["v"])).alias("start"), (origin + r["e"]).alias("end")))
+
+    return let(F.struct(F.split(context, word, -1).alias("pieces"), F.regexp_extract_all(context, F.lit(word), F.lit(0)).alias("values")), places)
 
 
 def find(docs: DataFrame, staged: Staged | None = None) -> DataFrame:

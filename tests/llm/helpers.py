@@ -1,0 +1,115 @@
+"""Small documents with every awkward case, and plain-Python versions of the contracts."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile("[^\x20\x09-\x0D]+")
+TERM = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def docs_frame(spark, rows, extra=False):
+    """rows: (doc_id, text, source). ``extra`` adds columns whose names the operators use themselves."""
+    data = [(d, t, "en", s, len(t) if t is not None else None) for d, t, s in rows]
+    df = spark.createDataFrame(data, DOC_SCHEMA)
+    if extra:
+        for name in ("size", "taken", "target", "source_size", "key", "n_words", "n_hit", "score", "rep", "digest", "root", "row", "spans", "copy", "c0", "_quality"):
+            df = df.selectExpr("*", f"'x' AS {name}")
+    return df
+
+
+def awkward(n=60, seed=1):
+    """Documents with null ids, texts and sources, empty, blank, one-word and very long texts, copies and repeated rows."""
+    rng = random.Random(seed)
+    words = [f"{a}{b}" for a in ("thé", "AND", "ou", "ly", "Ration") for b in ("re", "st", "in", "ä", "x1", "")]
+
+    def text(k):
+        return " ".join(rng.choice(words) for _ in range(k))
+
+    rows = [(i, text(rng.randint(5, 80)), f"src{rng.choice('0000123')}") for i in range(n)]
+    base = text(120)
+    for i in range(12):
+        changed = base.split()
+        changed[rng.randrange(120)] = f"new{i}"
+        rows.append((1000 + i, " ".join(changed), "src0"))
+    rows += [(2000, None, "src1"), (2001, "", None), (2002, " \t\n", "src2"), (2003, "One", "src2"), (2004, "oNE", None), (2005, text(30_000), "src3"),
+             (2006, "a b\x0bc d e f \x00 g", "src3"), (None, text(20), "src0"), (None, base, None)]
+    rows += [rows[3], rows[3], (rows[4][0], text(40), "src1"), (3000, base.upper().replace("THÉ", "thÉ"), "src2")]
+    return rows
+
+
+def shingle_set(text):
+    words = WORD.findall((text or "").translate(FOLD))
+    if len(words) >= 5:
+        return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    return frozenset([tuple(words)]) if words else frozenset()
+
+
+def near_duplicate_roots(rows):
+    """{doc_id: smallest doc_id reachable} by comparing all pairs; rows of one doc_id are one document."""
+    sets = [(d, shingle_set(t)) for d, t, _ in rows if d is not None]
+    up = {d: d for d, _ in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, (a, s) in enumerate(sets):
+        for b, t in sets[:i]:
+            both = len(s & t)
+            if both and 100 * both >= 75 * (len(s) + len(t) - both):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {d: find(d) for d, _ in sets}
+
+
+def windows(items):
+    out = {}
+    for item, text in items:
+        words = TERM.findall((text or "").translate(FOLD))
+        for i in range(max(1, len(words) - 12) if words else 0):
+            out.setdefault(tuple(words[i : i + 13]), set()).add("" if item is None else str(item))
+    return out
+
+
+def hits(text, found):
+    words, hit, items = TERM.findall((text or "").translate(FOLD)), set(), set()
+    for k in {len(w) for w in found}:
+        for i in range(len(words) - k + 1):
+            key = tuple(words[i : i + k])
+            if key in found:
+                hit |= set(range(i, i + k))
+                items |= found[key]
+    return len(words), hit, items
+
+
+def mix_plan(rows, weights=(5, 2, 1)):
+    """{(doc_id, text, source): (size, source_size, target)} and the budgets, by resharing until nothing is above."""
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(WORD.findall(t or ""))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, free, target = 1.5 * sum(size.values()), set(names), {}
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = [s for s in free if weight[s] * level > 2 * size[s] + 1e-9]
+        if not over:
+            target |= {s: weight[s] * level for s in free}
+            break
+        for s in over:
+            target[s] = 2 * size[s]
+            left -= target[s]
+            free.discard(s)
+    return size, target

@@ -1,0 +1,56 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from hunkwise.llm import ann
+
+
+def brute(vectors, k=10):
+    out = {}
+    for q, v in vectors:
+        if q % 10 == 0:
+            near = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), i) for i, w in vectors if i != q and len(w) == len(v))
+            out[q] = near[:k]
+    return out
+
+
+def recall(found, want):
+    got = {}
+    for r in found:
+        got.setdefault(r["query_id"], []).append(r)
+    hit = 0
+    for q, near in want.items():
+        rows = sorted(got.get(q, []), key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(1, len(near) + 1))
+        hit += len({i for _, i in near} & {r["vec_id"] for r in rows})
+    return hit / sum(map(len, want.values()))
+
+
+def test_recall_over_shards_with_copies(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    vectors = [(i, (centres[i % 40] + 0.3 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(3000)]
+    vectors += [(5000 + i, vectors[7][1]) for i in range(1500)]  # one very common vector
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    out = ann.nearest(df, F.col("vec_id") % 10 == 0, shard=700).collect()
+    want = brute(vectors)
+    assert recall(out, want) >= 0.95
+    for r in (r for r in out if r["query_id"] == 5000):
+        assert r["score"] == 0.0 and r["vec_id"] == ([7] + list(range(5001, 5010)))[r["rank"] - 1]
+
+
+def test_awkward_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0], "a"), (10, [1.0, 2.5], "a"), (1, [1.0, 2.0], "b"), (2, None, "a"), (3, [], "a"), (4, [0.0, 0.0], "a"), (5, [nan, 1.0], "a"), (6, [inf, 1.0], "a"),
+            (7, [None, 1.0], "a"), (None, [1.0, 2.0], "a"), (8, [1.0, 2.0, 3.0], "a"), (20, [3.0, 1.0, 1.0], "a"), (0, [1.0, 2.0], "a"), (30, [1.0, 1.0, 1.0, 1.0], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    out = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.nearest(df, F.col("vec_id") % 10 == 0).collect())
+    assert out == [(0, 1, 1, 0.0), (0, 2, 10, 0.5), (10, 1, 0, 0.5), (10, 2, 1, 0.5), (20, 1, 8, round(3.0, 6))]
+    assert ann.nearest(df.where("false"), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_graph_edges_are_bounded_and_no_loops():
+    x = np.random.default_rng(1).normal(size=(900, 8))
+    graph, entries = ann.build_graph(x)
+    assert graph.shape == (900, ann.DEGREE + ann.SLACK) and len(entries)
+    assert not (graph == np.arange(900)[:, None]).any()
+    assert all(len(set(row[row >= 0])) == (row >= 0).sum() for row in graph)

@@ -1,0 +1,63 @@
+import random
+
+from hunkwise.llm import chat
+from hunkwise.llm.queries import TRAP, op8_chat
+from tests.llm.helpers import sha
+
+PIECES = [*chat.CONTROL, "<", "[", "]", "&", "&amp;", "&lt;", "&lb;", ";", " ", "x", "é😀", "[/INST]</s>", "<s>[INST] ", " [TEXT] ", "\n", "</s", "INST]", "$1", "\\"]
+
+
+def conversations():
+    rng = random.Random(5)
+    rows = []
+    for c in range(120):
+        for t in range(rng.randint(1, 5)):
+            role = rng.choice(["user", "assistant", "system", "tool", "", None, "a [TEXT] b", "<s>", "[INST]"])
+            rows.append((c, t, role, rng.choice([None, "", "".join(rng.choice(PIECES) for _ in range(rng.randint(1, 12)))])))
+    rows += [(500, 1, "user", "tie b"), (500, 1, "user", "tie a"), (500, 1, "assistant", "first"), (500, None, "user", "late"), (501, 0, "user", "same"), (501, 0, "user", "same"),
+             (None, 3, "user", TRAP), (None, 1, "assistant", TRAP), (502, 0, "assistant", "long " * 40_000 + "</s>")]
+    return rows
+
+
+def expected(rows):
+    out = {}
+    for c, t, r, x in rows:
+        out.setdefault(c, []).append((t is None, t or 0, r or "", x or ""))
+    return {c: [(r, x) for *_, r, x in sorted(v)] for c, v in out.items()}
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, formatted string, n_turns int")
+
+
+def test_round_trip_and_loss_mask(spark):
+    rows = conversations()
+    want = expected(rows)
+    out = {r["conv_id"]: r for r in chat.format_conversations(frame(spark, rows)).collect()}
+    assert set(out) == set(want)
+    for c, turns in want.items():
+        r = out[c]
+        assert [(t["role"], t["text"]) for t in r["turns"]] == turns
+        parts = [r["formatted"][m["start"] : m["end"]] for m in r["loss_mask"]]
+        plain = [p.replace("&lt;", "<").replace("&lb;", "[").replace("&amp;", "&") for p in parts]
+        assert plain == [x for role, x in turns if role == "assistant"]
+        assert r["formatted"].count("</s>") == len(turns)
+        assert not any(c in p for p in parts for c in chat.CONTROL)
+
+
+def test_plain_texts_stay_as_they_are(spark):
+    out = chat.format_conversations(frame(spark, [(1, 0, "user", "a & b < c [d]"), (1, 1, "assistant", "&x; fine")])).first()
+    assert out["formatted"] == "<s>[INST] a & b < c [d] [/INST]</s><s>[ANSWER] &x; fine [/ANSWER]</s>"
+
+
+def test_query(spark, tmp_path):
+    rows = conversations()
+    frame(spark, rows).write.parquet(f"{tmp_path}/conversations.parquet")
+    want = expected(rows + [(-1, 0, "user", TRAP), (-1, 1, "assistant", TRAP)])
+    for r in op8_chat(spark, str(tmp_path)).collect():
+        turns = want.pop(r["conv_id"])
+        loss = "".join(x for role, x in turns if role == "assistant")
+        assert (r["n_turns"], r["turns_sha256"]) == (len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)))
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), sha(loss))
+    assert not want
+    assert chat.format_conversations(frame(spark, [])).count() == 0

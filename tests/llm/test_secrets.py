@@ -1,0 +1,69 @@
+import random
+
+import numpy as np
+
+from hunkwise.llm import secrets
+from tests.llm.helpers import awkward, docs_frame
+
+
+def documents():
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        rows.append((i, f"words of some sort token = \"{value}\" and more words é here", "src/app"))
+        other = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        rows.append((200 + i, f"the commit {other} was fine; accommodationinformation internationalisation {rng.randrange(10**16, 10**17)}", "src/test"))
+    return rows + awkward()
+
+
+def test_secrets_are_told_from_others(spark):
+    scored, _, _ = secrets.scan(docs_frame(spark, documents(), extra=True))
+    texts = {d: t for d, t, _ in documents()}
+    rows = scored.where("doc_id < 400 AND doc_id >= 100").collect()
+    for r in rows:
+        value = texts[r["doc_id"]][r["start"] : r["end"]]
+        assert len(value) >= 16
+        if "token" in texts[r["doc_id"]]:
+            assert r["secret"] == (len(value) == 40)
+        else:
+            assert not r["secret"]
+
+
+def test_redaction(spark):
+    docs = docs_frame(spark, documents(), extra=True)
+    out = secrets.redact_secrets(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    by_id = {r["doc_id"]: r for r in out.collect()}
+    assert by_id[5]["text"] == 'words of some sort token = "<secret>" and more words é here' and by_id[5]["n_chars"] == len(by_id[5]["text"])
+    assert by_id[205]["text"] == dict((d, t) for d, t, _ in documents())[205]
+    assert by_id[2000]["text"] is None and by_id[2001]["text"] == ""
+
+
+def test_own_labels_and_empty_tables(spark):
+    docs = docs_frame(spark, documents())
+    words = secrets.dictionary(docs)
+    found = secrets.findings(docs, words).where("doc_id < 400")
+    nothing = found.withColumn("label", found["weak"] * 0)
+    scored, _, model = secrets.scan(docs, nothing)
+    assert model == ([], 0.0) and scored.where("secret").count() == 0
+    assert secrets.scan(docs_frame(spark, []))[0].count() == 0
+    assert secrets.redact_secrets(docs_frame(spark, [])).count() == 0
+
+
+def test_forest_against_plain_walk():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, secrets.N_FEATURES))
+    y = ((x[:, 3] > 0) ^ (x[:, 5] > 0.5)).astype(int)
+    trees = secrets.fit_forest(x, y, trees=15)
+
+    def walk(row, nodes):
+        at = 0
+        while nodes[at][0] >= 0:
+            at = int(nodes[at][2] if row[int(nodes[at][0])] <= nodes[at][1] else nodes[at][3])
+        return nodes[at][4]
+
+    scores = secrets.forest_scores(x, trees, 0.0)
+    assert np.allclose(scores, [np.mean([walk(row, t) for t in trees]) for row in x])
+    assert ((scores > 0.5) == y).mean() > 0.9
+    assert all((a == b).all() for a, b in zip(trees, secrets.fit_forest(x, y, trees=15)))
