@@ -11,16 +11,16 @@ def documents():
     rows = []
     for i in range(120):
         value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
-        rows.append((i, f"words of some sort token = \"{value}\" and more words é here", "src/app"))
+        rows.append((4000 + i, f"words of some sort token = \"{value}\" and more words é here", "src/app"))
         other = "".join(rng.choice("0123456789abcdef") for _ in range(40))
-        rows.append((200 + i, f"the commit {other} was fine; accommodationinformation internationalisation {rng.randrange(10**16, 10**17)}", "src/test"))
+        rows.append((4200 + i, f"the commit {other} was fine; accommodationinformation internationalisation {rng.randrange(10**16, 10**17)}", "src/test"))
     return rows + awkward()
 
 
 def test_secrets_are_told_from_others(spark):
     scored, _, _ = secrets.scan(docs_frame(spark, documents(), extra=True))
     texts = {d: t for d, t, _ in documents()}
-    rows = scored.where("doc_id < 400 AND doc_id >= 100").collect()
+    rows = scored.where("doc_id BETWEEN 4000 AND 4399").collect()
     for r in rows:
         value = texts[r["doc_id"]][r["start"] : r["end"]]
         assert len(value) >= 16
@@ -35,15 +35,15 @@ def test_redaction(spark):
     out = secrets.redact_secrets(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     by_id = {r["doc_id"]: r for r in out.collect()}
-    assert by_id[5]["text"] == 'words of some sort token = "<secret>" and more words é here' and by_id[5]["n_chars"] == len(by_id[5]["text"])
-    assert by_id[205]["text"] == dict((d, t) for d, t, _ in documents())[205]
+    assert by_id[4005]["text"] == 'words of some sort token = "<secret>" and more words é here' and by_id[4005]["n_chars"] == len(by_id[4005]["text"])
+    assert by_id[4205]["text"] == dict((d, t) for d, t, _ in documents())[4205]
     assert by_id[2000]["text"] is None and by_id[2001]["text"] == ""
 
 
 def test_own_labels_and_empty_tables(spark):
     docs = docs_frame(spark, documents())
     words = secrets.dictionary(docs)
-    found = secrets.findings(docs, words).where("doc_id < 400")
+    found = secrets.findings(docs, words).where("doc_id BETWEEN 4000 AND 4399")
     nothing = found.withColumn("label", found["weak"] * 0)
     scored, _, model = secrets.scan(docs, nothing)
     assert model == ([], 0.0) and scored.where("secret").count() == 0
