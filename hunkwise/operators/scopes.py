@@ -5,10 +5,15 @@ so a group is bounded by that cell. Where an end has to be searched, a line is r
 that it can close (the distinct levels of a file are few), and the search is then a running window over the
 level's rows instead of a join of every header with every later line.
 
-Approximations against a grammar: several definitions on one line count as one; braces inside JS strings or
-comments count; an arrow function without a block ends with its line, with the next line after a last ``=>``, or
-with the line of closing parentheses after a last ``(``; ``'''`` or double triple quotes inside other strings
-may shift the string state of the lines below.
+Comments and strings of a line are blanked by one linear pattern before braces and triple quotes are counted. Triple-quoted
+strings and JS templates over several lines are a state of two values: a line keeps it, turns it round or sets it, so the state
+above a line is the last set value and the turns since then, two running windows. Every pattern is linear in the line and
+none recurses: repeated groups are possessive.
+
+Approximations against a grammar: several definitions on one line count as one; braces in JS regex literals, and in the
+``${}`` parts of a template, do not open scopes properly; an arrow function without a block ends with its line, with the next
+line after a last ``=>``, or with the line of closing parentheses after a last ``(``; ``'`` after a letter opens no JS string; the
+two kinds of triple quotes close each other over several lines.
 """
 
 from __future__ import annotations
@@ -27,23 +32,26 @@ BRACE_LANGUAGES = ["javascript", "typescript"]
 
 _PY_HEADER = r"(?U)\A\s*(?:async\s+)?(def|class)\s+(\w+)"
 _PY_STRING_START = r"""\A\s*[rRuUbB]{0,2}(\"{3}|'{3}|\"|')"""
-_TRIPLE = "(\"{3}|'{3})"
-
-_NAME = r"([\w$#]+)"
-_JS_LEAD = r"(?U)\A\s*(?:export\s+(?:default\s+)?)?"
-_JS_FUNCTION = _JS_LEAD + r"(?:async\s+)?function\s+" + _NAME + r"\s*[(<]"
-_JS_CLASS = _JS_LEAD + r"(?:abstract\s+)?class\s+" + _NAME
-_JS_CONST = (
-    _JS_LEAD + r"(?:const|let|var)\s+" + _NAME
-    + r"\s*(?::[^=]+)?=\s*(?:async\s+)?(function\b|\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>)"
-)
-_JS_CONST_OPEN = _JS_LEAD + r"(?:const|let|var)\s+" + _NAME + r"\s*(?::[^=]+)?=\s*(?:async\s+)?\([^()]*\z"
+
+_NAME = r"([\w$#]++)"
+_JS_LEAD = r"(?U)\A\s*+(?:export\s++(?:default\s++)?+)?+"
+_JS_FUNCTION = _JS_LEAD + r"(?:async\s++)?+function\s++" + _NAME + r"\s*+[(<]"
+_JS_CLASS = _JS_LEAD + r"(?:abstract\s++)?+class\s++" + _NAME
+_JS_VALUE = _JS_LEAD + r"(?:const|let|var)\s++" + _NAME + r"\s*+(?::[^=]++)?+=\s*+(?:async\s++)?"
+_JS_CONST = _JS_VALUE + r"(function\b|\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)\s*+(?::[^=]++)?+=>|[\w$]++\s*+=>)"
+_JS_CONST_OPEN = _JS_VALUE + r"\([^()]*+\z"
+# the rest of a method's line needs no pattern: it has no semicolon, or ends with a closing brace
 _JS_METHOD = (
-    r"(?U)\A\s*(?:(?:public|private|protected|static|override|readonly)\s+)*(?:async\s+)?\*?\s*(?:(?:get|set)\s+)?"
+    r"(?U)\A\s*+(?:(?:public|private|protected|static|override|readonly)\s++(?!\())*+(?:async\s++(?!\())?+\*?+\s*+(?:(?:get|set)\s++(?!\())?+"
     + r"(?!(?:if|for|while|switch|catch|function|return|do|else|with|new|typeof|await|super|throw)\b)"
-    + _NAME + r"\s*\([^;]*\)?[^;=]*\{?\s*(?:.*\})?\s*\z"
+    + _NAME + r"\s*+\("
 )
 
+_DOUBLE, _SINGLE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\z|\\\z)', r"'[^'\\]*+(?:\\.[^'\\]*+)*+(?:'|\z|\\\z)"
+# what is not code on a line; group 1 is the mark of a string that stays open
+_PY_PLAIN = r'"{3}.*?"{3}|\'{3}.*?\'{3}|("{3}|\'{3}).*+|' + _DOUBLE + "|" + _SINGLE + "|#.*+"
+_JS_PLAIN = (r"`[^`\\]*+(?:\\.[^`\\]*+)*+`|(`).*+|//.*+|/\*.*?(?:\*/|\z)|" + _DOUBLE + r"|(?<![\p{L}\p{N}])" + _SINGLE)
+
 
 def source_lines(sources: DataFrame, keys: list[str]) -> DataFrame:
     """One row per source line: ``line`` from 1 and ``text``."""
@@ -52,8 +60,15 @@ def source_lines(sources: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _occurrences(text: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+def _code(text: Column, python: Column) -> Column:
+    """The code on a line that does not begin inside a string; a mark stands for a string that stays open."""
+    py_plain, js_plain = text.rlike("[\"'#]"), text.rlike("[\"'`/]")
+    return F.when(python, F.when(py_plain, F.regexp_replace(text, _PY_PLAIN, "$1")).otherwise(text)).otherwise(
+        F.when(js_plain, F.regexp_replace(text, _JS_PLAIN, "$1")).otherwise(text))
+
+
+def _open_mark(code: Column, python: Column) -> Column:
+    return F.when(python, code.contains('"""') | code.contains("'''")).otherwise(code.contains("`"))
 
 
 def _char_count(text: Column, char: str) -> Column:
@@ -65,6 +80,14 @@ def _line_features(lines: DataFrame, keys: list[str]) -> DataFrame:
     lines = computed_once(lines, "body", lstrip(F.col("text")))
     text, body = F.col("text"), F.col("body")
     python = F.col("language") == "python"
+    counted = text.contains("{") | text.contains("}") | text.contains("`")
+    marked = F.when(python, text.contains('"""') | text.contains("'''")).otherwise(text.contains("`"))
+    # the line as code, and what is code of it if it begins inside a string: only what follows a closing mark
+    rest = F.when(python, F.regexp_extract(text, r"""\A.*?(?:"{3}|'{3})(.*)\z""", 1)).otherwise(F.regexp_extract(text, r"\A(?:[^`\\]|\\.)*+`(.*)\z", 1))
+    lines = computed_once(lines, "code", F.when(marked | (~python & counted), _code(text, python)).otherwise(F.lit("")))
+    lines = computed_once(lines, "rest", F.when(marked, _code(rest, python)).otherwise(F.lit("")))
+    code, rest = F.col("code"), F.col("rest")
+    comment = body.startswith("//") | body.startswith("/*") | body.startswith("*")
 
     def extract(guard: Column, pattern: str, group: int) -> Column:
         return F.when(guard, F.nullif(F.regexp_extract(text, pattern, group), F.lit("")))
@@ -73,22 +96,24 @@ def _line_features(lines: DataFrame, keys: list[str]) -> DataFrame:
     js_class = ~python & text.contains("class")
     js_function = ~python & text.contains("function")
     js_const = ~python & text.contains("=") & (text.contains("=>") | text.contains("function"))
-    js_method = ~python & text.contains("(")
+    js_method = ~python & text.contains("(") & (~text.contains(";") | text.rlike(r"\}\s*+\z"))
+    js_open = ~python & text.contains("(") & text.contains("=")
     triple = python & (text.contains('"""') | text.contains("\'\'\'"))
     return lines.select(
         *keys, "line", python.alias("python"),
         (F.length(text) - F.length(body)).alias("indent"),
         (body != "").alias("filled"),
         F.when(python, body.startswith("#")).otherwise(
-            body.startswith("//") | body.startswith("/*") | body.startswith("*")).alias("is_comment"),
+            comment).alias("is_comment"),
         (python & (body.startswith(")") | body.startswith("]") | body.startswith("}"))).alias("is_tail"),
         (python & text.contains(":") & body.rlike(r"(?U):\s*(?:#.*)?\z")).alias("ends_signature"),
         (python & (body.contains("\"") | body.contains("\'")) & body.rlike(_PY_STRING_START)).alias("starts_string"),
-        F.when(triple, _occurrences(text, _TRIPLE)).otherwise(0).alias("quotes"),
+        _open_mark(code, python).cast("int").alias("turns"),
+        F.when(marked, 1 - _open_mark(rest, python).cast("int")).otherwise(0).alias("turns_inside"),
         F.when(python, F.length(F.translate(body, BLANKS + "\"\'", ""))).otherwise(0).alias("plain_chars"),
         text.contains("async ").cast("int").alias("async_word"),
-        F.when(python, 0).otherwise(_char_count(text, "{")).alias("opens"),
-        F.when(python, 0).otherwise(_char_count(text, "}")).alias("closes"),
+        *(F.when(python | comment, 0).otherwise(_char_count(part, brace)).alias(name)
+          for part, brace, name in ((code, "{", "opens_code"), (code, "}", "closes_code"), (rest, "{", "opens_inside"), (rest, "}", "closes_inside"))),
         extract(py, _PY_HEADER, 1).alias("py_kind"),
         extract(py, _PY_HEADER, 2).alias("py_name"),
         extract(js_class, _JS_CLASS, 1).alias("class_name"),
@@ -96,8 +121,8 @@ def _line_features(lines: DataFrame, keys: list[str]) -> DataFrame:
         extract(js_const, _JS_CONST, 1).alias("const_name"),
         extract(js_const, _JS_CONST, 2).alias("const_value"),
         extract(js_method, _JS_METHOD, 1).alias("method_name"),
-        extract(js_method & text.contains("="), _JS_CONST_OPEN, 1).alias("open_name"),
-        (js_method & text.rlike(r"\(\s*\z")).alias("ends_open"),
+        extract(js_open, _JS_CONST_OPEN, 1).alias("open_name"),
+        (~python & text.contains("(") & text.rlike(r"\(\s*+\z")).alias("ends_open"),
         (~python & text.contains("=>") & text.rlike(r"=>\s*\z")).alias("ends_arrow"),
         (~python & body.startswith(")")).alias("starts_close"),
         (~python & body.startswith(")") & text.contains("=>")).alias("closes_arrow"),
@@ -123,8 +148,17 @@ def scope_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
     whole = W.partitionBy(*keys)
     zero = F.lit(0)
 
+    # a line sets the string state if it ends alike from either state, else it keeps it or turns it round
+    turned = F.col("turns") * F.col("turns_inside")
     rows = _line_features(lines, keys).withColumns({
-        "quotes_above": F.coalesce(F.sum("quotes").over(above), zero),
+        "turned_above": F.coalesce(F.sum(turned).over(above), zero), "turned_so_far": F.sum(turned).over(so_far)})
+    sets = F.when(F.col("turns") != F.col("turns_inside"), F.struct(F.col("turns").alias("value"), F.col("turned_so_far").alias("turned")))
+    rows = rows.withColumn("set", F.last(sets, ignorenulls=True).over(above))
+    rows = rows.withColumn("in_string", (F.coalesce(F.col("set.value") + F.col("turned_above") - F.col("set.turned"), "turned_above") % 2) == 1)
+    rows = rows.withColumns({
+        "quotes": F.when(F.col("in_string"), F.col("turns_inside")).otherwise(F.col("turns")),
+        "opens": F.when(F.col("in_string"), F.col("opens_inside")).otherwise(F.col("opens_code")),
+        "closes": F.when(F.col("in_string"), F.col("closes_inside")).otherwise(F.col("closes_code"))}).withColumns({
         "depth_after": F.sum(F.col("opens") - F.col("closes")).over(so_far),
         "chars_above": F.coalesce(F.sum("plain_chars").over(above), zero),
         "async_above": F.coalesce(F.sum("async_word").over(above), zero),
@@ -139,11 +173,11 @@ def scope_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
         "next_close": F.last(F.when(F.col("starts_close"), F.struct("line", "closes_arrow", "opens")), ignorenulls=True).over(below),
         "next_end": F.last(F.when(F.col("only_closes"), F.col("line")), ignorenulls=True).over(below),
     })
-    in_string = F.col("quotes_above") % 2 == 1
+    in_string = F.col("in_string")
     code = F.col("python") & F.col("filled") & ~F.col("is_comment") & ~F.col("is_tail") & ~in_string
     depth = F.col("depth_after") - F.col("opens") + F.col("closes")
     js_kind = (
-        F.when(F.col("is_comment"), None)
+        F.when(F.col("is_comment") | in_string, None)
         .when(F.col("class_name").isNotNull(), "class_declaration")
         .when(F.col("function_name").isNotNull(), "function_declaration")
         .when(F.col("const_name").isNotNull(),
@@ -154,7 +188,6 @@ def scope_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
     py_kind = F.when(code, lookup(F.col("py_kind"), {"def": "function_definition", "class": "class_definition"}))
     rows = rows.withColumns({
         "is_code": code,
-        "in_string": in_string,
         "kind": F.when(F.col("python"), py_kind).otherwise(js_kind),
         "name": F.coalesce("py_name", "class_name", "function_name", "const_name", "open_name", "method_name"),
         "level_here": F.when(F.col("python"), F.col("indent")).otherwise(depth).cast("int"),

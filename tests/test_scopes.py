@@ -264,3 +264,58 @@ def test_cover_like_a_loop(spark):
     kept = covered.where("kept").select("filename", "visit").distinct()
     assert {(r.filename, r.visit) for r in kept.collect()} == set(want)
     assert covered.where(F.col("visit").isNotNull()).groupBy("filename", "line", "visit").count().where("count > 1").count() == 0
+
+
+
+def _found(spark, language, text):
+    source = spark.createDataFrame([("f", language, text)], "filename string, language string, content string")
+    return sorted((r["name"], r["start_line"], r["end_line"]) for r in scopes.scopes(source, KEYS).collect())
+
+
+def test_braces_in_strings_and_comments(spark):
+    text = """class A {
+  a() {
+    const s = "{";  // opens {
+    const t = '}' + `{ ${1} {`; /* { */
+    it("don't {");
+  }
+  b() {
+    return `
+      text } } {
+      more`;
+  }
+}
+function top() {
+  // }
+}"""
+    assert _found(spark, "javascript", text) == [("A", 1, 12), ("A.a", 2, 6), ("A.b", 7, 11), ("top", 13, 15)]
+
+
+def test_triple_quotes_in_comments_and_strings(spark):
+    quote = '"""'
+    text = f"""def f():
+    # uses {quote} here
+    x = '{quote}'
+    y = 1
+
+def g():
+    {quote}doc
+    def inner(): # not code
+    {quote}
+    return {quote}one line{quote}
+
+def h():
+    pass"""
+    assert _found(spark, "python", text) == [("f", 1, 4), ("g", 6, 10), ("h", 12, 13)]
+
+
+def test_patterns_are_linear_and_do_not_recurse(spark):
+    n = 100_000
+    bodies = ["x(" + "a" * n + ";", "x(" + "a)" * n + ";", "const x = (" + "a(b)" * n, "const x = (" + "a(b)" * n + ") => 1", "static " * n + "x(", "'" * n, "'\\" * n,
+              "`" * (n + 1), "/*" * n, '"' * (n + 1), "\\\"" * n, " " * n + "x(", "x" + " " * n + "(", "get " * n, "const x : " + "a" * n, "{" * n, "export " * n, "( " * n]
+    text = "\n".join(bodies)
+    for language in ("javascript", "python"):
+        source = spark.createDataFrame([("f", language, text)], "filename string, language string, content string")
+        lines = scopes.source_lines(source, [*KEYS, "language"])
+        assert scopes._line_features(lines, KEYS).count() == len(bodies)
+        assert len(scopes._line_features(lines, KEYS).collect()) == len(bodies)
