@@ -2,8 +2,8 @@
 
 Every row gets a hash-random key of 60 bits, md5 of its doc_id. Within a source the rows stand in the order of their keys, and
 the mix takes them from the front until the source's budget of words is used up: whole rounds (epochs) over the source first, then a
-front part of the order, cut exactly at the budget. The cut is found by distributed prefix sums over key ranges: a source is 256
-ranges, the range where the running sum passes the budget is 256 finer ones, and so on. No window ever holds more than 256
+front part of the order, cut exactly at the budget. The cut is found by distributed prefix sums over key ranges: a source is 4,096
+ranges, the range where the running sum passes the budget is 256 finer ones, and so on. No window ever holds more than 4,096
 pre-aggregated rows of a source, however many rows the source has; rows themselves are never sorted or shuffled, they meet a
 cut table of one row a source.
 
@@ -23,13 +23,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hunkwise.llm.common import WORD, Staged, word_count
+from hunkwise.llm.common import WORD, Staged, small_side, word_count
 
 WEIGHTS = (5, 2, 1)
 #: In hundredths: the words of the mix against all words, and the most of one source against its size.
 SHARE, MOST = 150, 200
 #: Hexadecimal digits of a key, and of one level of ranges.
-KEY_DIGITS, LEVEL_DIGITS = 15, 2
+KEY_DIGITS, LEVEL_DIGITS = 15, 3
+#: Sources up to which the cut table (about 100 bytes a source) is broadcast; with more of them it is joined by shuffling.
+PLAN_ROWS = 200_000
 
 _RESULT = ("size", "source_size", "target", "taken")
 
@@ -93,6 +95,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: int =
     cuts = _cuts(sizes.where("size > 0"), goals, staged)
     plan = (goals.withColumnRenamed("source", "g").join(cuts.withColumnRenamed("source", "c"), F.col("g").eqNullSafe(F.col("c")), "left")
             .select(F.struct("g", "source_size", "target", "budget", "cut_key", "cut_left", "cut_size").alias("plan")))
+    plan = small_side(staged.put(plan, "plan"), PLAN_ROWS)
     names = {c: f"c{i}" for i, c in enumerate(base.columns)}
     source, doc_id, text = (F.col(names[c]) for c in ("source", "doc_id", "text"))
     rows = base.toDF(*names.values()).join(plan, F.col("plan.g").eqNullSafe(source), "left")
