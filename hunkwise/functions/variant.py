@@ -6,13 +6,19 @@ a JSON null is a null VARIANT, and a leaf still knows whether its value was quot
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INTEGER_TEXT = r"\A\s*[+-]?[0-9]+\s*\z"
 FLOAT_TEXT = r"\A\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*\z"
 
 
+def last_key_wins(df: DataFrame) -> None:
+    """Of repeated keys of a JSON object the last one counts. By default the parser takes such a text for no JSON; the setting is
+    the session's, read when a query runs."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def parse_as(json_text: Column, ddl: str) -> Column:
     """The JSON object as a struct; NULL when the text is no JSON or no object."""
     return F.try_variant_get(F.try_parse_json(json_text), "$", ddl)

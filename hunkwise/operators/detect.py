@@ -26,11 +26,15 @@ def matches(text: Column, rule: Rule) -> Column:
     return regex if test is None else test & regex
 
 
+RULES_AT_ONCE = 200
+
+
 def hit_array(text: Column, rules: list[Rule]) -> Column:
     """Numbers of the rules that match the text. Patterns are literals, so each is compiled once, and the
-    whole expression stays in generated code."""
+    whole expression stays in generated code; long lists are chunks of arrays."""
     flags = [F.when(matches(text, r), no).otherwise(0) for no, _, r in numbered(rules)]
-    return F.array_remove(F.array(*flags), 0)
+    chunks = [F.array_remove(F.array(*flags[i : i + RULES_AT_ONCE]), 0) for i in range(0, len(flags), RULES_AT_ONCE)]
+    return chunks[0] if len(chunks) == 1 else F.concat(F.array().cast("array<int>"), *chunks)
 
 
 def with_hits(lines: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:

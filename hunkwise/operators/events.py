@@ -122,6 +122,7 @@ def is_valid_payload(payload: Column) -> Column:
 def with_disposition(events: DataFrame, secret: str) -> DataFrame:
     """Adds ``payload`` (struct of VARIANT leaves) and ``disposition``. The signature is judged before anything else, the
     payload before the action. Bad rows stay as rows: nothing raises."""
+    V.last_key_wins(events)
     state = signature_state(F.col("signature"), F.col("body"), secret)
     known = computed_once(events, "signature_state", state)
     judged = (F.col("signature_state") == "valid") & (F.col("event_type") == HANDLED_EVENT)

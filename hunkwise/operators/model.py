@@ -24,6 +24,7 @@ def decode_replies(responses: DataFrame, raw: str = "raw") -> DataFrame:
     ``ok``; ``not_json``: text that is no JSON; ``bad_shape``: JSON whose top level is no object or whose
     findings are no array. Replies that are not ``ok`` yield no items and go to :func:`quarantine`.
     """
+    V.last_key_wins(responses)
     reply = F.try_parse_json(F.col(raw))
     parts = computed_once(responses, "reply", F.struct(
         reply.isNotNull().alias("is_json"),

@@ -43,8 +43,8 @@ def scope_columns(symbols: DataFrame, keys: list[str]) -> DataFrame:
 def hit_rows(covered: DataFrame, rules: list[Rule], docstrings: bool = True) -> DataFrame:
     """One row per line, scope and matched rule; number 0 is the docstring check on a scope's first line.
 
-    Scopes that are not kept report nothing; lines in no scope report security rules only. The rules table is
-    broadcast: it has at most MAX_RULES + 1 rows.
+    Scopes that are not kept report nothing; lines in no scope report security rules only. The rules table
+    comes from the driver's list of rules, so its size is known and small.
     """
     nothing = F.array().cast("array<int>")
     reported = F.when(F.col("visit").isNull() | F.col("kept"), F.col("hits")).otherwise(nothing)

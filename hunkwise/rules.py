@@ -6,8 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_RULES = 1000  # rules are configuration: they become literals of one expression
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -155,8 +153,6 @@ RULES_DDL = """
 
 def numbered(rules: list[Rule]) -> list[tuple[int, int, Rule]]:
     """``(rule_no, rule_ord, rule)``: number in the whole list from 1, and order inside the category."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules given, at most {MAX_RULES} are supported")
     seen: dict[str, int] = {}
     out = []
     for no, rule in enumerate(rules, 1):
@@ -166,7 +162,7 @@ def numbered(rules: list[Rule]) -> list[tuple[int, int, Rule]]:
 
 
 def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """The rules table, with the docstring check as number 0. At most MAX_RULES + 1 rows."""
+    """The rules table, with the docstring check as number 0."""
     rows = [(0, 0, DOCSTRING_RULE)] + numbered(rules)
     return spark.createDataFrame(
         [
@@ -179,13 +175,12 @@ def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 
 
 def rules_from_table(table: DataFrame) -> list[Rule]:
-    """Rules given by the caller as a table: rule_id, category, severity, title, pattern, message,
-    suggested_fix, confidence. The size is checked before anything is read to the driver."""
-    rows = table.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules given")
+    """Rules given by the caller as a table: rule_id, category, severity, title, pattern, message, suggested_fix, confidence, and
+    where there are such columns the guards needs_async and min_loop_depth (null: none). They come to the driver
+    because they become literals of an expression; ``hit_array`` cuts long lists into chunks."""
+    guards = [c for c in ("needs_async", "min_loop_depth") if c in table.columns]
     return [
-        Rule(r["rule_id"], r["category"], r["severity"], r["title"], r["pattern"], r["message"],
-             r["suggested_fix"], r["confidence"])
-        for r in rows
+        Rule(r["rule_id"], r["category"], r["severity"], r["title"], r["pattern"], r["message"], r["suggested_fix"], r["confidence"],
+             **{g: r[g] for g in guards if r[g] is not None})
+        for r in table.collect()
     ]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hunkwise.operators import detect, review
 from hunkwise.plans import findings as plan
 from hunkwise.plans.findings import snippet_findings, with_texts
-from hunkwise.rules import LINE_RULES, MAX_RULES, Rule, numbered, rules_from_table
+from hunkwise.rules import LINE_RULES, Rule, numbered, rules_from_table
 from registry.inputs import CODE
 from tests.conftest import rows
 
@@ -134,10 +134,17 @@ def test_custom_rules(spark):
     rules = rules_from_table(table)
     df = spark.createDataFrame([(1, "foo1 bar"), (2, "foo"), (3, "xfoo2")], "n int, text string")
     assert rows(detect.scan_text(df, rules).select("n", "rule_id", "severity")) == [(1, "X-1", "high")]
-    with pytest.raises(ValueError):
-        numbered([Rule("a", "security", "low", "t", "p", "m", None, 1.0)] * (MAX_RULES + 1))
-    with pytest.raises(ValueError):
-        rules_from_table(table.crossJoin(spark.range(MAX_RULES + 1)).drop("id"))
+    assert detect.scan_text(df, []).count() == 0
+
+
+def test_rule_tables_may_be_long_and_carry_guards(spark):
+    ddl = "rule_id string, category string, severity string, title string, pattern string, message string, suggested_fix string, confidence double, needs_async boolean, min_loop_depth int"
+    table = spark.createDataFrame([(f"R{i}", "quality", "low", f"t{i}", rf"\bword{i}\b", "m", None, 0.5, i == 3 or None, 2 if i == 4 else None) for i in range(1200)], ddl)
+    rules = rules_from_table(table)
+    by_id = {r.rule_id: r for r in rules}
+    assert len(rules) == 1200 and by_id["R3"].needs_async and not by_id["R2"].needs_async and (by_id["R4"].min_loop_depth, by_id["R5"].min_loop_depth) == (2, 0)
+    df = spark.createDataFrame([(1, "word7 word1100 word3000"), (2, "none")], "n int, text string")
+    assert rows(detect.scan_text(df, rules).select("n", "rule_id"), "rule_id") == [(1, "R1100"), (1, "R7")]
 
 
 def test_class_scanned_again_and_class_name_wins(spark):

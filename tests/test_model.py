@@ -91,3 +91,10 @@ def test_merge_many_items_at_one_place(spark):
         "1 AS review", "'security' AS category", "'unknown' AS file", "1 AS line_start", "cast(id AS string) AS title", "cast(id AS int) AS item_ord")
     none = spark.createDataFrame([], "review int, category string, file string, line_start int, title string")
     assert [r.title for r in model.merge_findings(none, items, KEYS).collect()] == ["0"]
+
+
+def test_repeated_keys_take_the_last(spark):
+    raw = '{"summary": "a", "summary": "b", "findings": [], "findings": ' + json.dumps([FULL])[:-2] + ', "title": "Later"}]}'
+    decoded, got = found(spark, raw)
+    assert (decoded.first().reply_status, decoded.first().summary) == ("ok", "b")
+    assert [r.title for r in got.collect()] == ["Later"]
