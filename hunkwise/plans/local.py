@@ -9,7 +9,7 @@ from hunkwise.operators.detect import with_hits
 from hunkwise.operators.review import agent_results, dedupe_findings, rank_findings, verdicts
 from hunkwise.operators.scopes import scopes, source_lines
 from hunkwise.plans.findings import rule_findings, with_texts
-from hunkwise.plans.report import Brand, report_parts
+from hunkwise.plans.report import Brand, report_blocks
 from hunkwise.rules import LINE_RULES, Rule
 from hunkwise.schemas import REVIEW_KEYS
 from hunkwise.session import stage
@@ -34,5 +34,5 @@ def review_local(files: DataFrame, lines: Column | None = None, rules: list[Rule
     ranked = with_texts(rank_findings(unique, LOCAL_KEYS), rules)
     verdict = verdicts(contexts, unique, LOCAL_KEYS)
     agents = agent_results(contexts, found, LOCAL_KEYS)
-    reports = report_parts(contexts.withColumn("elapsed_ms", F.lit("0.0")), verdict, agents, ranked, LOCAL_KEYS, brand)
+    reports = report_blocks(contexts.withColumn("elapsed_ms", F.lit("0.0")), verdict, agents, ranked, LOCAL_KEYS, brand)
     return {"symbols": symbols, "findings": ranked, "verdicts": verdict, "agent_results": agents, "reports": reports}

@@ -1,17 +1,17 @@
 """Prompt texts per review: the full corpus per category, and a compact code context.
 
-A review's text comes in numbered parts of at most ``PART_FILES`` files, for the reason given in ``report``.
+A review's text is a table of blocks, as in ``report``: the head, one block per file, and the closing. It is the same for all
+categories, so it is kept once; the system prompts are a table of one row a category beside it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hunkwise.functions.text import int_list
 from hunkwise.operators.ranking import rank_in_group
 
-PART_FILES = 500
 CLOSING = (  # fixed value
     "Analyze the changes above according to your specialized role. "
     "Return your structured evaluation in JSON adhering to the required schema."
@@ -80,24 +80,17 @@ def file_sections(files: DataFrame, symbols: DataFrame, keys: list[str], full: b
     return rows.select(*keys, "filename", "file_ord", text.alias("text"))
 
 
-def _parts(heads: DataFrame, files: DataFrame, sections: DataFrame, keys: list[str], closing: Column | None,
-           part_files: int) -> DataFrame:
+def _blocks(heads: DataFrame, files: DataFrame, sections: DataFrame, keys: list[str], closing: str | None) -> DataFrame:
     # files are numbered by their narrow rows; the texts join afterwards
     order = rank_in_group(
         files.select(*keys, "filename", "file_ord"), keys,
         {"ord_block": F.floor(F.col("file_ord") / 4096)}, ["file_ord", "filename"], "section_ord")
     ranked = sections.select(*keys, "filename", "text").join(order.drop("file_ord"), [*keys, "filename"])
-    grouped = ranked.groupBy(*keys, F.floor((F.col("section_ord") - 1) / part_files).cast("int").alias("part_no")).agg(
-        _joined(F.collect_list(F.struct("section_ord", "text"))).alias("text"))
-    n_parts = F.greatest(F.lit(1), F.ceil(F.col("n_files") / part_files)).cast("int")
-    parts = heads.withColumn("n_parts", n_parts).withColumn(
-        "part_no", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-    first, last = F.col("part_no") == 0, F.col("part_no") == F.col("n_parts") - 1
-    pieces = [F.when(first, F.col("head")), F.col("text")]
+    ends = [F.struct(F.lit(0).cast("long").alias("block_ord"), F.col("head").alias("text"))]
     if closing is not None:
-        pieces.append(F.when(last, closing))
-    return parts.join(grouped, [*keys, "part_no"], "left").select(
-        *keys, "part_no", "n_parts", F.concat_ws("\n", *pieces).alias("user_prompt"))
+        ends.append(F.struct((F.col("n_files") + 1).cast("long").alias("block_ord"), F.lit(closing).alias("text")))
+    rows = heads.withColumn("block", F.explode(F.array(*ends))).select(*keys, "block.block_ord", "block.text")
+    return rows.union(ranked.select(*keys, F.col("section_ord").cast("long").alias("block_ord"), "text"))
 
 
 def _heads(contexts: DataFrame, files: DataFrame, keys: list[str], head: Column) -> DataFrame:
@@ -106,30 +99,26 @@ def _heads(contexts: DataFrame, files: DataFrame, keys: list[str], head: Column)
         *keys, "n_files", head.alias("head"))
 
 
-def prompt_corpus(contexts: DataFrame, files: DataFrame, symbols: DataFrame, keys: list[str],
-                  system_prompts: dict[str, str] | None = None, part_files: int = PART_FILES) -> DataFrame:
-    """(system, user) prompt pair per review and category."""
+def prompt_roles(spark: SparkSession, system_prompts: dict[str, str] | None = None) -> DataFrame:
+    """(category, system_prompt): goes with every review's blocks."""
+    return spark.createDataFrame(list((system_prompts or SYSTEM_PROMPTS).items()), "category string, system_prompt string")
+
+
+def prompt_corpus(contexts: DataFrame, files: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
+    """The user prompt per review: ``block_ord`` (from 0, without gaps) and ``text``, to be joined by line breaks."""
+    # fixed values: the texts around the columns
     head = F.concat(
         F.lit("# Pull Request: #"), F.col("pr_number").cast("string"), F.lit(" — "), F.col("pr_title"),
         F.lit("\n**Repository:** "), F.col("repo_full_name"), F.lit("\n**Author:** @"), F.col("author_login"),
         F.lit("\n**Base Branch:** `"), F.col("base_branch"), F.lit("` | **Head Branch:** `"), F.col("head_branch"),
         F.lit("`\n**Changes:** +"), F.col("additions").cast("string"), F.lit(" / -"), F.col("deletions").cast("string"),
         F.lit(" across "), F.col("n_files").cast("string"), F.lit(" file(s)\n\n## Modified Files & Enclosing AST Context:"))
-    prompts = _parts(_heads(contexts, files, keys, head), files, file_sections(files, symbols, keys), keys, F.lit(CLOSING), part_files)
-    roles = F.array(*[
-        F.struct(F.lit(c).alias("category"), F.lit(t).alias("system_prompt"))
-        for c, t in (system_prompts or SYSTEM_PROMPTS).items()
-    ])
-    return prompts.withColumn("role", F.explode(roles)).select(
-        *keys, "role.category", "part_no", "n_parts", "role.system_prompt", "user_prompt")
+    return _blocks(_heads(contexts, files, keys, head), files, file_sections(files, symbols, keys), keys, CLOSING)
 
 
-def compact_context(contexts: DataFrame, files: DataFrame, symbols: DataFrame, keys: list[str],
-                    part_files: int = PART_FILES) -> DataFrame:
+def compact_context(contexts: DataFrame, files: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
     """The shorter form: title, repository, author, file count, then scopes and patches."""
     head = F.concat(
         F.lit("PR Title: "), F.col("pr_title"), F.lit("\nRepository: "), F.col("repo_full_name"), F.lit("\nAuthor: "),
         F.col("author_login"), F.lit("\nModified Files: "), F.col("n_files").cast("string"), F.lit("\n---"))
-    sections = file_sections(files, symbols, keys, full=False)
-    return _parts(_heads(contexts, files, keys, head), files, sections, keys, None, part_files).withColumnRenamed(
-        "user_prompt", "context")
+    return _blocks(_heads(contexts, files, keys, head), files, file_sections(files, symbols, keys, full=False), keys, None)

@@ -1,8 +1,7 @@
 """Texts of a review: Markdown report, inline comments, submission payload.
 
-A report is one text per review. For a review with very many findings one text would have to gather them in
-one task, so reports come in numbered parts of at most ``PART_FINDINGS`` findings. Joining a review's parts
-in order with a line break gives the whole text; almost every review has one part. Nothing is dropped.
+A report is a table of blocks, whatever its size: per review the head (block 0), one block per ranked finding, and the footer.
+The blocks in order, joined by line breaks, are the Markdown text. No task ever gathers the findings of a review.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 from hunkwise.functions.text import strip
 from hunkwise.schemas import AGENTS, SEVERITIES, VERDICT_BADGES, lookup
 
-PART_FINDINGS = 1000
 ALL_CLEAR = (  # fixed value
     "> [!TIP]\n> **All checks passed!** No security vulnerabilities, performance bottlenecks, or logic risks were "
     "detected in the modified code.\n"
@@ -59,9 +57,9 @@ def finding_block() -> Column:
     )
 
 
-def report_parts(contexts: DataFrame, verdicts: DataFrame, agents: DataFrame, ranked: DataFrame,
-                 keys: list[str], brand: Brand = Brand(), part_findings: int = PART_FINDINGS) -> DataFrame:
-    """``part_no`` (from 0), ``n_parts`` and ``body`` per review.
+def report_blocks(contexts: DataFrame, verdicts: DataFrame, agents: DataFrame, ranked: DataFrame, keys: list[str],
+                  brand: Brand = Brand()) -> DataFrame:
+    """``block_ord`` (from 0, without gaps) and ``body`` per review.
 
     ``contexts`` has ``pr_title``, ``author_login`` and ``elapsed_ms``, the time to print, as text.
     """
@@ -70,36 +68,21 @@ def report_parts(contexts: DataFrame, verdicts: DataFrame, agents: DataFrame, ra
         F.col("n_findings").cast("string"), F.lit(" | "), F.when(F.col("passed"), "Pass").otherwise("Issues Found"), F.lit(" |"))
     agent_rows = agents.select(*keys, "agent_ord", agent_line.alias("agent_line")).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("agent_ord", "agent_line"))).alias("agent_lines"))
-    heads = contexts.join(verdicts, keys).join(agent_rows, keys).select(
-        *keys, "total_findings",
-        F.concat(
-            F.lit(f"## {brand.heading} — "), lookup(F.col("verdict"), VERDICT_BADGES, F.lit("**REVIEW COMPLETE**")),
-            F.lit("\n\n**PR #"), F.col("pr_number").cast("string"), F.lit(":** "), F.col("pr_title"),
-            F.lit("  \n**Author:** @"), F.col("author_login"), F.lit(" | **Commit:** `"), F.substring("head_sha", 1, 8),
-            F.lit("` | **Analysis Time:** `"), F.col("elapsed_ms"),
-            F.lit(" ms`\n\n### Review Overview\n| Agent | Category | Findings | Status |\n|---|---|:---:|:---:|\n"),
-            F.array_join(F.transform("agent_lines", lambda a: a["agent_line"]), "\n"), F.lit("\n"),
-        ).alias("head"),
-        F.greatest(F.lit(1), F.ceil(F.col("total_findings") / part_findings)).cast("int").alias("n_parts"),
-    )
-    parts = heads.withColumn("part_no", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-    blocks = ranked.select(
-        *keys, F.floor((F.col("finding_ord") - 1) / part_findings).cast("int").alias("part_no"), "finding_ord",
-        finding_block().alias("block"),
-    ).groupBy(*keys, "part_no").agg(
-        F.array_sort(F.collect_list(F.struct("finding_ord", "block"))).alias("blocks")
-    ).select(*keys, "part_no", F.array_join(F.transform("blocks", lambda b: b["block"]), "\n").alias("text"))
-    first, last = F.col("part_no") == 0, F.col("part_no") == F.col("n_parts") - 1
-    return parts.join(blocks, [*keys, "part_no"], "left").select(
-        *keys, "part_no", "n_parts",
-        F.concat_ws(
-            "\n",
-            F.when(first, F.col("head")),
-            F.when(first & (F.col("total_findings") > 0), "### Detailed Findings\n"),
-            F.when(F.col("total_findings") == 0, ALL_CLEAR).otherwise(F.col("text")),
-            F.when(last, f"---\n*{brand.footer}*"),
-        ).alias("body"),
-    )
+    # fixed values: the texts around the columns
+    head = F.concat(
+        F.lit(f"## {brand.heading} — "), lookup(F.col("verdict"), VERDICT_BADGES, F.lit("**REVIEW COMPLETE**")),
+        F.lit("\n\n**PR #"), F.col("pr_number").cast("string"), F.lit(":** "), F.col("pr_title"),
+        F.lit("  \n**Author:** @"), F.col("author_login"), F.lit(" | **Commit:** `"), F.substring("head_sha", 1, 8),
+        F.lit("` | **Analysis Time:** `"), F.col("elapsed_ms"),
+        F.lit(" ms`\n\n### Review Overview\n| Agent | Category | Findings | Status |\n|---|---|:---:|:---:|\n"),
+        F.array_join(F.transform("agent_lines", lambda a: a["agent_line"]), "\n"), F.lit("\n\n"),
+        F.when(F.col("total_findings") == 0, ALL_CLEAR).otherwise("### Detailed Findings\n"))
+    ends = F.array(
+        F.struct(F.lit(0).cast("long").alias("block_ord"), head.alias("body")),
+        F.struct((F.col("total_findings") + 1).cast("long").alias("block_ord"), F.lit(f"---\n*{brand.footer}*").alias("body")))
+    rows = contexts.join(verdicts, keys).join(agent_rows, keys).withColumn("block", F.explode(ends))
+    return rows.select(*keys, "block.block_ord", "block.body").union(
+        ranked.select(*keys, F.col("finding_ord").cast("long").alias("block_ord"), finding_block().alias("body")))
 
 
 def comment_body(brand: Brand = Brand()) -> Column:

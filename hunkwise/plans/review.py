@@ -15,7 +15,7 @@ from hunkwise.operators.scopes import with_source_text
 from hunkwise.plans.enrich import file_symbols, gated_files
 from hunkwise.plans.findings import rule_findings, scope_columns, seq, with_texts
 from hunkwise.plans.prompts import prompt_corpus
-from hunkwise.plans.report import Brand, dry_run_rows, inline_comments, report_parts, submissions
+from hunkwise.plans.report import Brand, dry_run_rows, inline_comments, report_blocks, submissions
 from hunkwise.rules import LINE_RULES, Rule
 from hunkwise.schemas import AGENTS, FILE_KEYS, REVIEW_KEYS, SOURCE_KEYS, Agent, agent_order
 from hunkwise.session import stage
@@ -43,11 +43,11 @@ class ReviewTables:
         contexts = self._contexts
         if "elapsed_ms" not in contexts.columns:
             contexts = contexts.withColumn("elapsed_ms", F.lit("0.0"))
-        return report_parts(contexts, self.verdicts, self.agent_results, self.findings, REVIEW_KEYS, self._brand)
+        return report_blocks(contexts, self.verdicts, self.agent_results, self.findings, REVIEW_KEYS, self._brand)
 
     def reviews(self) -> DataFrame:
-        """The rows of the review sink: verdict, total, and the report text (in parts where it is very long)."""
-        return self.verdicts.join(self.reports(), REVIEW_KEYS).withColumnRenamed("body", "summary_markdown")
+        """The rows of the review sink, one a review: verdict and total. Its report is the blocks of ``reports``."""
+        return self.verdicts
 
     def dry_run(self) -> DataFrame:
         return dry_run_rows(self.verdicts)
@@ -110,8 +110,8 @@ class EnrichedTables:
         chars = self.symbols.select(*REVIEW_KEYS, F.length("code_snippet").alias("n_chars"))
         return review_sizes(self.contexts, self.files, chars, REVIEW_KEYS)
 
-    def prompts(self, system_prompts: dict[str, str] | None = None) -> DataFrame:
-        return prompt_corpus(self.contexts, self.files, self.symbols, REVIEW_KEYS, system_prompts)
+    def prompts(self) -> DataFrame:
+        return prompt_corpus(self.contexts, self.files, self.symbols, REVIEW_KEYS)
 
 
 def enrich(contexts: DataFrame, pr_files: DataFrame, sources: DataFrame,

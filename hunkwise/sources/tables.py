@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from hunkwise import schemas
 from hunkwise.functions.text import split_lines
@@ -69,14 +68,17 @@ def diff_summary(diffs: DataFrame, keys: list[str], diff: str = "diff") -> DataF
         *keys, F.size(hunk_texts(F.col(diff))).alias("n_hunks"), F.size("changed_lines").alias("n_added"))
 
 
-def write_reviews(reviews: DataFrame, path: str, keys: list[str] = REVIEW_KEYS) -> None:
-    """Append the reviews that ``path`` does not hold yet: writing the same reviews twice adds nothing."""
-    fresh = reviews
-    try:
-        held = reviews.sparkSession.read.parquet(path).select(*keys).distinct()
-        fresh = reviews.join(held, keys, "left_anti")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-    fresh.write.mode("append").parquet(path)
+def write_reviews(reviews: DataFrame, path: str) -> None:
+    """Append rows of reviews (verdicts, or the blocks of reports), stamped with the time of this write. Nothing that was
+    written before is read, and writers do not meet; :func:`read_reviews` finds the last write of each review."""
+    stamped = reviews.withColumns({"written_at": F.current_timestamp(), "written_on": F.current_date()})
+    stamped.write.mode("append").partitionBy("written_on").parquet(path)
 
+
+def read_reviews(spark: SparkSession, path: str, since: str | None = None, keys: list[str] = REVIEW_KEYS) -> DataFrame:
+    """The rows of each review's last write, so that writing again replaces. ``since`` (a date) prunes older partitions."""
+    rows = spark.read.parquet(path)
+    if since is not None:
+        rows = rows.where(F.col("written_on") >= F.lit(since).cast("date"))
+    last = rows.groupBy(*keys).agg(F.max("written_at").alias("written_at"))
+    return rows.join(last, [*keys, "written_at"]).drop("written_at", "written_on")

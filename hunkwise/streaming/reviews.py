@@ -13,13 +13,14 @@ from hunkwise.streaming.intake import OnBatch
 def reviewing(pr_files: DataFrame, sources: DataFrame, out: str, model_responses: DataFrame | None = None,
               rules: list[Rule] = LINE_RULES, brand: Brand = Brand()) -> OnBatch:
     """An ``on_batch`` that reviews the batch's pull requests against the landed tables and writes
-    ``reviews`` and ``inline_comments``, each batch into folders of its own with overwrite. The tables are read
-    only for the batch's review keys."""
+    ``reviews``, ``reports`` and ``inline_comments``, each batch into folders of its own with overwrite. Of the tables only
+    the rows of the batch's review keys are used; how much of them is read depends on how they are laid out."""
 
     def run(contexts: DataFrame, batch_id: int) -> None:
         distinct = contexts.dropDuplicates(["repo_full_name", "pr_number", "head_sha"])
         tables = review(distinct, pr_files, sources, model_responses, rules=rules, brand=brand)
         tables.reviews().write.mode("overwrite").parquet(f"{out}/reviews/batch_id={batch_id}")
+        tables.reports().write.mode("overwrite").parquet(f"{out}/reports/batch_id={batch_id}")
         tables.inline_comments().write.mode("overwrite").parquet(f"{out}/inline_comments/batch_id={batch_id}")
 
     return run

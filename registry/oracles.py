@@ -319,6 +319,7 @@ SELECT review, file, line_start, category, title, severity, symbol_name, message
 ORACLES["rank_findings"] = ctes(FINDINGS) + """
 SELECT review, finding_ord, severity, file, line_start, category, title, message FROM ranked"""
 ORACLES["verdict"] = ctes(FINDINGS) + " SELECT * FROM judged"
+ORACLES["review_sink"] = ORACLES["verdict"]
 ORACLES["agent_results"] = ctes(FINDINGS) + " SELECT review, agent_ord, agent_name, category, n_findings, passed FROM agents"
 ORACLES["agent_summary"] = ctes(FINDINGS) + " SELECT review, agent_name, summary FROM agents"
 ORACLES["dry_run"] = ctes(FINDINGS) + """
@@ -350,25 +351,17 @@ REPORT_BLOCK = f"""'#### ' || finding_ord || '. ' || {case("severity", {s[0]: s[
 ORACLES["report_markdown"] = ctes(FINDINGS, f"""
 agent_part AS (
   SELECT review, string_agg('| **' || agent_name || '** | ' || {case("category", {a.category: a.report_label for a in AGENTS})} || ' | ' || n_findings || ' | ' ||
-         CASE WHEN passed THEN 'Pass' ELSE 'Issues Found' END || ' |', {NL} ORDER BY agent_ord) AS agent_text FROM agents GROUP BY review),
-parts AS (
-  SELECT review, (finding_ord - 1) // {report_texts.PART_FINDINGS} AS part_no,
-         string_agg({REPORT_BLOCK}, {NL} ORDER BY finding_ord) AS finding_text FROM ranked
-  GROUP BY review, (finding_ord - 1) // {report_texts.PART_FINDINGS}),
-numbered AS (
-  SELECT *, greatest(1, (total_findings + {report_texts.PART_FINDINGS - 1}) // {report_texts.PART_FINDINGS}) AS n_parts FROM judged),
-part_rows AS (SELECT *, unnest(range(n_parts)) AS part_no FROM numbered)""") + f"""
-SELECT p.review, p.part_no, p.n_parts,
-       CASE WHEN p.part_no > 0 THEN '' ELSE '## {BRAND.heading} — ' || {case("verdict", VERDICT_BADGES)} || {NL} || {NL} || '**PR #' || p.review || ':** ' || c_name || '  '
+         CASE WHEN passed THEN 'Pass' ELSE 'Issues Found' END || ' |', {NL} ORDER BY agent_ord) AS agent_text FROM agents GROUP BY review)""") + f"""
+SELECT review, finding_ord::BIGINT AS block_ord, {REPORT_BLOCK} AS body FROM ranked
+UNION ALL
+SELECT review, total_findings + 1, '---' || {NL} || '*{BRAND.footer}*' FROM judged
+UNION ALL
+SELECT p.review, 0, '## {BRAND.heading} — ' || {case("verdict", VERDICT_BADGES)} || {NL} || {NL} || '**PR #' || p.review || ':** ' || c_name || '  '
        || {NL} || '**Author:** @' || lower(c_mktsegment) || ' | **Commit:** `' || substr(lpad((p.review * 7919)::VARCHAR, 12, '0'), 1, 8)
        || '` | **Analysis Time:** `' || (p.review % 1000) || '.5 ms`' || {NL} || {NL} || '### Review Overview' || {NL}
-       || '| Agent | Category | Findings | Status |' || {NL} || '|---|---|:---:|:---:|' || {NL} || agent_text || {NL} || {NL} END
-       || CASE WHEN total_findings = 0 THEN {q(report_texts.ALL_CLEAR)} || {NL}
-               ELSE CASE WHEN p.part_no > 0 THEN '' ELSE '### Detailed Findings' || {NL} || {NL} END || finding_text END
-       || CASE WHEN p.part_no < p.n_parts - 1 THEN '' ELSE CASE WHEN total_findings = 0 THEN '' ELSE {NL} END
-          || '---' || {NL} || '*{BRAND.footer}*' END AS body
-FROM part_rows p JOIN customer ON c_custkey = p.review JOIN agent_part a ON a.review = p.review
-LEFT JOIN parts f ON f.review = p.review AND f.part_no = p.part_no"""
+       || '| Agent | Category | Findings | Status |' || {NL} || '|---|---|:---:|:---:|' || {NL} || agent_text || {NL} || {NL}
+       || CASE WHEN total_findings = 0 THEN {q(report_texts.ALL_CLEAR)} ELSE '### Detailed Findings' || {NL} END
+FROM judged p JOIN customer ON c_custkey = p.review JOIN agent_part a ON a.review = p.review"""
 ORACLES["token_estimate"] = ctes(PATCH_LINES.replace("patch_lines AS", "unused AS"), f"""
 patch_chars AS (
   SELECT doc_id, sum(length(raw)) + count(*) - 1 AS chars FROM typed GROUP BY doc_id),
@@ -455,25 +448,24 @@ def prompt_sql(full: bool) -> str:
         head = f"""'# Pull Request: #' || review || ' — Change ' || review || {NL} || '**Repository:** org/app' || {NL} || '**Author:** @dev' || {NL} ||
          '**Base Branch:** `main` | **Head Branch:** `feat`' || {NL} || '**Changes:** +3 / -4 across ' || n || ' file(s)' || {NL} || {NL} ||
          '## Modified Files & Enclosing AST Context:'"""
-        roles = ", ".join(f"({q(c)}, {q(t)})" for c, t in prompt_texts.SYSTEM_PROMPTS.items())
-        final = f"""SELECT review, category, 0 AS part_no, 1 AS n_parts, system_prompt, {head} || {NL} || sections || {NL} || {q(prompt_texts.CLOSING)} AS user_prompt
-FROM assembled CROSS JOIN (VALUES {roles}) r(category, system_prompt)"""
+        closing = f"UNION ALL SELECT review, n + 1, {q(prompt_texts.CLOSING)} FROM counted"
     else:
         symbol_head = "' (lines ' || s || '-' || e || ', changed lines: '"
         section = f"""'### File: `' || doc_id || '` (status: modified, language: python)' || {NL} ||
          CASE WHEN symbol_text IS NULL THEN '' ELSE '#### Changed Code Symbols (Functions/Classes):' || {NL} || symbol_text || {NL} END ||
          '#### Git Unified Diff:' || {NL} || '```diff' || {NL} || patch || {NL} || '```' || {NL}"""
-        final = f"""SELECT review, 0 AS part_no, 1 AS n_parts, 'PR Title: Change ' || review || {NL} || 'Repository: org/app' || {NL} || 'Author: dev' || {NL} ||
-       'Modified Files: ' || n || {NL} || '---' || {NL} || sections AS context FROM assembled"""
+        head = f"""'PR Title: Change ' || review || {NL} || 'Repository: org/app' || {NL} || 'Author: dev' || {NL} || 'Modified Files: ' || n || {NL} || '---'"""
+        closing = ""
     return ctes(PATCH_LINES, CODE_ONLY, PROMPT_ROWS, f"""
 symbol_texts AS (
   SELECT doc_id, string_agg('```symbol:' || name || {symbol_head} || modified_lines || ')' || {NL} || code_snippet || {NL} || '```',
                             {NL} ORDER BY s, visit) AS symbol_text
   FROM symbol_rows JOIN snippet_text USING (doc_id, visit) GROUP BY doc_id),
-assembled AS (
-  SELECT doc_id // 10 AS review, count(*) AS n, string_agg({section}, {NL} ORDER BY doc_id) AS sections
-  FROM full_patch JOIN changed_list USING (doc_id) LEFT JOIN symbol_texts USING (doc_id) LEFT JOIN loose USING (doc_id)
-  GROUP BY doc_id // 10)""") + "\n" + final
+section_rows AS (
+  SELECT doc_id // 10 AS review, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS block_ord, {section} AS text
+  FROM full_patch JOIN changed_list USING (doc_id) LEFT JOIN symbol_texts USING (doc_id) LEFT JOIN loose USING (doc_id)),
+counted AS (SELECT review, count(*) AS n FROM section_rows GROUP BY review)""") + f"""
+SELECT review, block_ord, text FROM section_rows UNION ALL SELECT review, 0, {head} FROM counted {closing}"""
 
 
 ORACLES["prompt_corpus"] = prompt_sql(True)

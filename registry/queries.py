@@ -16,7 +16,7 @@ from hunkwise.plans.local import review_local
 from hunkwise.rules import LOGIC_RULES, PERFORMANCE_RULES, QUALITY_RULES, SECURITY_RULES, LINE_RULES, Rule
 from hunkwise.schemas import REVIEW_KEYS
 from hunkwise.session import stage, stage_path
-from hunkwise.sources.tables import diff_summary
+from hunkwise.sources.tables import diff_summary, read_reviews, write_reviews
 from hunkwise.streaming.intake import judged_rows, read_judged, start_intake
 from registry import inputs
 
@@ -327,6 +327,16 @@ def verdict(spark, sf):
     return _verdicts(spark, sf)
 
 
+@query
+def review_sink(spark, sf):
+    """The verdicts written twice, the first time with other totals, and read back."""
+    path = stage_path(spark, "review-sink")
+    found = _verdicts(spark, sf)
+    write_reviews(found.withColumn("total_findings", F.col("total_findings") + 1), path)
+    write_reviews(found, path)
+    return read_reviews(spark, path, keys=KEY)
+
+
 @query
 def agent_results(spark, sf):
     return _agents(spark, sf).select("review", "agent_ord", "agent_name", "category", "n_findings", "passed")
@@ -364,7 +374,7 @@ def submission_payload(spark, sf):
 
 @query
 def report_markdown(spark, sf):
-    return report.report_parts(
+    return report.report_blocks(
         inputs.customer_reviews(spark, sf), _verdicts(spark, sf), _agents(spark, sf), _ranked(spark, sf), KEY)
 
 

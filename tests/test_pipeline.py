@@ -48,7 +48,7 @@ def test_enrichment(spark):
     size = got.sizes().first()
     assert (size.n_files, size.symbols_modified) == (1, 1)
     assert size.estimated_tokens == (len(patch) + len(content.rstrip("\n"))) // 4
-    prompt = got.prompts().where("category = 'security'").first().user_prompt
+    prompt = "\n".join(r.text for r in got.prompts().orderBy("block_ord").collect())
     assert "```symbol:login (Type: function_definition, Lines 1-4, Modified Lines: [2, 3])\ndef login" in prompt
 
 
@@ -104,7 +104,9 @@ def test_agents_and_quarantine(reviewed):
 
 
 def test_texts(reviewed):
-    reports = {r.pr_number: r.body for r in reviewed.reports().collect()}
+    reports = {}
+    for r in reviewed.reports().orderBy("block_ord").collect():
+        reports[r.pr_number] = reports.get(r.pr_number, "") + r.body
     assert "APPROVED" in reports[1] and "All checks passed!" in reports[1]
     assert "CHANGES REQUESTED" in reports[2]
     subs = {r.pr_number: (r.status, r.event, r.inline_comments_posted) for r in reviewed.submissions().collect()}
@@ -131,12 +133,16 @@ def test_whole_tree_diff(spark):
     assert rows(tables.diff_summary(df, ["k"])) == [(1, 2, 2)]
 
 
-def test_sink_is_idempotent(spark, reviewed, tmp_path):
-    path = str(tmp_path / "reviews")
-    tables.write_reviews(reviewed.verdicts.where("pr_number < 3"), path)
-    tables.write_reviews(reviewed.verdicts, path)
-    tables.write_reviews(reviewed.verdicts, path)
-    assert rows(spark.read.parquet(path).select("pr_number"), "pr_number") == [(1,), (2,), (3,)]
+def test_sink_reads_the_last_write(spark, reviewed, tmp_path):
+    path, blocks = str(tmp_path / "reviews"), str(tmp_path / "reports")
+    tables.write_reviews(reviewed.verdicts.where("pr_number < 3").withColumn("verdict", F.lit("old")), path)
+    for _ in range(2):
+        tables.write_reviews(reviewed.verdicts, path)
+        tables.write_reviews(reviewed.reports(), blocks)
+    got = tables.read_reviews(spark, path)
+    assert rows(got.select("pr_number"), "pr_number") == [(1,), (2,), (3,)] and got.where("verdict = 'old'").count() == 0
+    assert tables.read_reviews(spark, blocks).count() == reviewed.reports().count()
+    assert tables.read_reviews(spark, path, since="2999-01-01").count() == 0
 
 
 def test_tables_read_with_declared_schema(spark, tmp_path):
@@ -166,7 +172,8 @@ def test_custom_agents_and_extra_findings(spark):
     assert sorted(r.title for r in out.findings.collect()) == ["Elsewhere", "Own rule"]
     (a,) = out.agent_results.collect()
     assert (a.agent_name, a.n_findings, a.summary, a.passed) == ("LicenseAgent", 2, "Flagged 2 item(s).", False)
-    assert "| **LicenseAgent** | licensing | 2 | Issues Found |" in out.reviews().first().summary_markdown
+    assert "| **LicenseAgent** | licensing | 2 | Issues Found |" in out.reports().where("block_ord = 0").first().body
+    assert out.reviews().count() == 1
     assert out.dry_run().first().inline_comments_count == 2
 
 
@@ -183,7 +190,7 @@ def test_stream_to_reviews(spark, tmp_path):
     from tests.test_events import PAYLOAD, SECRET, sign
 
     body = json.dumps(PAYLOAD).encode()
-    key = ("org/repo", 10, "1234567890abcdef")
+    key = ("shop/till", 731, "77aa10c2e94b5d31")
     landed = str(tmp_path / "in")
     spark.createDataFrame([("1", "pull_request", sign(body), bytearray(body), None), ("2", "pull_request", sign(body), bytearray(body), None)],
                           schemas.PR_EVENTS_DDL).write.parquet(landed)
@@ -192,5 +199,7 @@ def test_stream_to_reviews(spark, tmp_path):
                          sources(spark, (key, "src/auth.py", BAD)), str(tmp_path / "out"))
     start_intake(stream, SECRET, str(tmp_path / "judged"), str(tmp_path / "ckpt"), on_batch).awaitTermination()
     (r,) = spark.read.parquet(str(tmp_path / "out/reviews")).collect()
-    assert (r.pr_number, r.verdict, r.part_no, r.n_parts) == (10, "REQUEST_CHANGES", 0, 1) and "CHANGES REQUESTED" in r.summary_markdown
+    assert (r.pr_number, r.verdict) == (731, "REQUEST_CHANGES")
+    blocks = spark.read.parquet(str(tmp_path / "out/reports")).orderBy("block_ord").collect()
+    assert len(blocks) == r.total_findings + 2 and "CHANGES REQUESTED" in blocks[0].body
     assert spark.read.parquet(str(tmp_path / "out/inline_comments")).count() == r.total_findings

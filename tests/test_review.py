@@ -128,31 +128,36 @@ EXPECTED_CLEAR = """## Change Review — **APPROVED**
 *Generated by the change review pipeline.*"""
 
 
-def parts(spark, f, *reviews, **options):
+def reports(spark, f, *reviews, **options):
     ctx = contexts(spark, *reviews)
-    return report.report_parts(
-        ctx, review.verdicts(ctx, f, KEYS), review.agent_results(ctx, f, KEYS), review.rank_findings(f, KEYS), KEYS, **options)
+    blocks = report.report_blocks(ctx, review.verdicts(ctx, f, KEYS), review.agent_results(ctx, f, KEYS), review.rank_findings(f, KEYS), KEYS, **options)
+    return in_order(blocks, "body")
+
+
+def in_order(blocks, text):
+    """{review: (block numbers, whole text)}"""
+    out = {}
+    for r in blocks.orderBy("block_ord").collect():
+        numbers, texts = out.setdefault(r.review, ([], []))
+        numbers.append(r.block_ord)
+        texts.append(r[text])
+    return {k: (n, "\n".join(t)) for k, (n, t) in out.items()}
 
 
 def test_report_text(spark):
-    got = {r.review: r for r in parts(spark, findings(spark, A, B, C), 1, 3).collect()}
-    assert got[1].body == EXPECTED_REPORT and got[3].body == EXPECTED_CLEAR
-    assert (got[1].part_no, got[1].n_parts) == (0, 1)
+    got = reports(spark, findings(spark, A, B, C), 1, 3)
+    assert got[1][1] == EXPECTED_REPORT and got[3] == ([0, 1], EXPECTED_CLEAR)
 
 
-def test_report_parts_join_to_the_whole(spark):
-    many = [(1, f"f{i % 7}.py", i, None, "security", "low", f"t{i}", "m", None, 1.0, "rule", i) for i in range(1, 60)]
-    whole = parts(spark, findings(spark, *many), 1).first().body
-    cut = parts(spark, findings(spark, *many), 1, part_findings=10).orderBy("part_no").collect()
-    assert len(cut) == 6 and {r.n_parts for r in cut} == {6}
-    assert "\n".join(r.body for r in cut) == whole
-    exact = parts(spark, findings(spark, *many[:20]), 1, part_findings=10).orderBy("part_no").collect()
-    assert [r.part_no for r in exact] == [0, 1]
+def test_report_blocks_of_a_long_report(spark):
+    many = [(1, f"f{i % 7}.py", i, None, "security", "low", f"t{i}", "m", None, 1.0, "rule", i) for i in range(1, 2500)]
+    numbers, text = reports(spark, findings(spark, *many), 1)[1]
+    assert numbers == list(range(2501)) and text.count("#### ") == 2499
 
 
 def test_brand(spark):
     brand = report.Brand("H", "F.", "S")
-    body = parts(spark, findings(spark, A), 1, brand=brand).first().body
+    body = reports(spark, findings(spark, A), 1, brand=brand)[1][1]
     assert body.startswith("## H — ") and body.endswith("\n*F.*")
     assert report.inline_comments(review.rank_findings(findings(spark, A), KEYS), KEYS, brand).first().body.endswith("| S*")
 
@@ -198,9 +203,8 @@ def test_prompt_text_and_parts(spark):
         [(99, "services/payment.py", 1, "P.charge", "function_definition", 10, 25, [12, 13], "def charge():\n    pass")],
         "review int, filename string, visit int, name string, node_type string, start_line int, end_line int, "
         "modified_lines array<int>, code_snippet string")
-    got = prompts.prompt_corpus(ctx, files, symbols, KEYS)
-    assert got.count() == 4
-    text = got.first().user_prompt
+    numbers, text = in_order(prompts.prompt_corpus(ctx, files, symbols, KEYS), "text")[99]
+    assert numbers == [0, 1, 2, 3]
     assert text == """# Pull Request: #99 — Add payment validation
 **Repository:** acme/api
 **Author:** @alice
@@ -226,13 +230,11 @@ def charge():
 **Changed line numbers in new file:** `[]`
 ---
 """ + prompts.CLOSING
-    cut = prompts.prompt_corpus(ctx, files, symbols, KEYS, part_files=1).where("category = 'security'").orderBy("part_no").collect()
-    assert "\n".join(r.user_prompt for r in cut) == text and len(cut) == 2
-    compact = prompts.compact_context(ctx, files, symbols, KEYS).first().context
+    compact = in_order(prompts.compact_context(ctx, files, symbols, KEYS), "text")[99][1]
     assert compact.startswith("PR Title: Add payment validation\nRepository: acme/api\nAuthor: alice\nModified Files: 2\n---\n### File: `services")
     assert "(lines 10-25, changed lines: [12, 13])" in compact and compact.endswith("(status: added, language: unknown)\n")
-    own = prompts.prompt_corpus(ctx, files, symbols, KEYS, {"security": "S"}).collect()
-    assert [(r.category, r.system_prompt) for r in own] == [("security", "S")]
+    assert [(r.category, r.system_prompt) for r in prompts.prompt_roles(spark, {"security": "S"}).collect()] == [("security", "S")]
+    assert prompts.prompt_roles(spark).count() == 4
 
 
 def test_sizes(spark):
