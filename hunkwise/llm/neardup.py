@@ -5,11 +5,16 @@ representative gets a sketch of 128 coordinates from rounds of hashed bin placem
 bands of 4. Representatives that share a band are candidates, and a link needs 75 % of the union of the FULL shingle sets,
 computed from the whole texts: two sets of exactly that similarity miss all bands once in 200,000 pairs.
 
-Buckets of any size are resolved without emitting all their pairs. A round compares a few centres of each bucket with the
-bucket's other members; components of the links so far then tell which buckets still hold members of different
-components, and only these go on, with four times as many centres, taken from the bucket's smallest components. A bucket
-leaves when all members that were not centres are in one component, so no candidate pair is skipped unless it is already
-connected. Comparisons with a centre are dealt out in blocks, so a centre of many members is no single task.
+Buckets of any size are resolved without emitting all their pairs. First each bucket's smallest member is compared with the
+others. Components of the links so far then tell which buckets still hold members of different components: near copies
+are one component by now, and what is left are mostly texts that share a common passage but are not alike enough. Those
+go through an exact prefix filter: with each set's shingles in one order, commonest last, two sets can only link if they share
+a shingle among the first n - ceil(6n/7) + 1 of the smaller and the first n - ceil(3n/4) + 1 of the larger set, which a
+common passage does not reach. The order comes from a histogram of all their shingles over 2^20 cells, so its size is fixed. Each
+shared prefix shingle is a bucket; rounds compare a few of its members with the rest, four times as many each round, from the
+smallest components first, until what is left of every bucket is in one component. So no pair is skipped unless it
+cannot link or is already connected. Comparisons with a centre are dealt out in blocks, so a centre of many members is no
+single task.
 
 Defined results: null and wordless texts have no shingles and link with nothing. Rows that share a doc_id are one
 document: what links to one of them links to all. Rows without doc_id link with nothing (component_id null, kept true).
@@ -104,22 +109,64 @@ def _first_round(members: DataFrame) -> DataFrame:
             .select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct())
 
 
-def _open_members(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The members of buckets that still hold different components, with their root."""
-    if roots is not None:
-        members = (members.drop("root").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-                   .withColumn("root", F.coalesce("root", "rep")))
-    open_keys = (members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
-    return members.join(open_keys, "key", "left_semi").select("key", "rep", "n", "root")
+def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    known = roots.withColumnRenamed("node", "rep")
+    return members.drop("root").join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+
+def _open_members(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold different components, and one that may be a centre."""
+    found = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("leads").alias("leads"))
+    return members.join(found.where("lo <> hi AND leads").select("key"), "key", "left_semi")
 
 
 def _centres(members: DataFrame, many: int) -> DataFrame:
-    """(key, centre, centre_n, centre_root): up to ``many`` members a bucket, from its smallest components."""
+    """(key, centre, centre_n, centre_root): up to ``many`` leading members a bucket, from its smallest components."""
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("size"))
-    ranked = members.join(sizes, ["key", "root"])
     by_size = Window.partitionBy("key").orderBy("size", "rep")
-    return (ranked.withColumn("place", F.row_number().over(by_size)).where(F.col("place") <= many)
-            .select("key", F.col("rep").alias("centre"), F.col("n").alias("centre_n"), F.col("root").alias("centre_root")))
+    ranked = members.where("leads").join(sizes, ["key", "root"]).withColumn("place", F.row_number().over(by_size))
+    return ranked.where(F.col("place") <= many).select(
+        "key", F.col("rep").alias("centre"), F.col("n").alias("centre_n"), F.col("root").alias("centre_root"))
+
+
+#: Cells of the histogram that orders shingles.
+CELLS = 1 << 20
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for _, part in shingles.chunks(batch.column(0).cast(pa.large_binary()).to_pylist()):
+            for own in shingles.shingle_sets(part):
+                np.add.at(counts, (own & np.uint64(CELLS - 1)).astype(np.int64), 1)
+    cells = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], names=["cell", "n"])
+
+
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """(key, rep, n, leads): the prefix shingles of each text; leads where the text may be the smaller of a pair."""
+    seen = texts.select("text").mapInArrow(_count_batches, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[seen["cell"].to_numpy()] = seen["n"].to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps = batch.column(0).to_pylist()
+            for at, part in shingles.chunks(batch.column(1).cast(pa.large_binary()).to_pylist()):
+                keys, owners, sizes, leads = [np.zeros(0, np.uint64)], [], [], []
+                for rep, own in zip(reps[at:], shingles.shingle_sets(part)):
+                    n = len(own)
+                    order = np.lexsort((own, sent.value[(own & np.uint64(CELLS - 1)).astype(np.int64)]))
+                    reach = n + (-SHARE * n // 100) + 1 if n else 0
+                    keys.append(own[order[:reach]])
+                    owners += [rep] * reach
+                    sizes += [n] * reach
+                    leads += [k < n + (-2 * SHARE * n // (100 + SHARE)) + 1 for k in range(reach)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owners, pa.int64()), pa.array(sizes, pa.int64()),
+                                                  pa.array(leads, pa.bool_())], names=["key", "rep", "n", "leads"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "key long, rep long, n long, leads boolean")
 
 
 def near_duplicates(docs: DataFrame, stays: Staged | None = None) -> DataFrame:
@@ -133,7 +180,7 @@ def near_duplicates(docs: DataFrame, stays: Staged | None = None) -> DataFrame:
         "classes")
     bucketed = classes.select(F.explode("bands").alias("key"), "rep", "n")
     shared = bucketed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
-    members = staged.put(bucketed.join(shared, "key").select("key", "rep", "n", F.col("rep").alias("root")).distinct(), "members")
+    members = staged.put(bucketed.join(shared, "key").select("key", "rep", "n").distinct(), "members")
     wanted = staged.put(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     texts = staged.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
                        .join(small_side(wanted), "doc_id", "left_semi"), "texts")
@@ -148,29 +195,33 @@ def near_duplicates(docs: DataFrame, stays: Staged | None = None) -> DataFrame:
     links = staged.put(_links(pairs, texts).union(same), "links")
     checked = [pairs]
     roots = components(links, staged)
-    members = staged.put(_open_members(members, roots), "members")
     # the first centre of each bucket has been compared with all of it
     firsts = members.groupBy("key").agg(F.min("rep").alias("rep"))
-    members = staged.put(_open_members(members.join(firsts, ["key", "rep"], "left_anti"), None), "members")
-    many = 4
+    rest = _with_roots(members, roots).join(firsts, ["key", "rep"], "left_anti").withColumn("leads", F.lit(True))
+    rest = staged.put(_open_members(rest).select(F.col("rep").alias("doc_id")).distinct(), "rest")
+    left = staged.put(texts.join(small_side(rest), "doc_id", "left_semi"), "left")
+    prefixes = staged.put(_prefixes(left), "prefixes")
+    fresh = staged.put(_open_members(_with_roots(prefixes, roots)), "members")
+    staged.drop(members, prefixes, rest)
+    members, many = fresh, 1
     while members.head(1):
         centres = staged.put(_centres(members, many), "centres")
-        new = (members.join(centres, "key").where((F.col("root") != F.col("centre_root")) & _can_link("n", "centre_n"))
+        smaller = (F.col("n") >= F.col("centre_n")) | F.col("leads")
+        new = (members.join(centres, "key").where((F.col("root") != F.col("centre_root")) & smaller & _can_link("n", "centre_n"))
                .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
         for old in checked:
             new = new.join(old.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         pairs = staged.put(new, "pairs")
         checked.append(pairs)
-        found = staged.put(links.union(_links(pairs, texts)), "links")
-        staged.drop(links)
+        found = staged.put(links.union(_links(pairs, left)), "links")
+        staged.drop(links, roots)
         links = found
-        staged.drop(roots)
         roots = components(links, staged)
-        rest = members.join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti")
-        nxt = staged.put(_open_members(rest, roots), "members")
+        after = _with_roots(members.join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti"), roots)
+        fresh = staged.put(_open_members(after), "members")
         staged.drop(members, centres)
-        members, many = nxt, many * 4
-    staged.drop(texts, members, links, *checked)
+        members, many = fresh, many * 4
+    staged.drop(texts, left, members, links, *checked)
 
     top = classes.join(roots, classes.rep == roots.node, "left").select("digest", F.coalesce("root", "rep").alias("component"))
     alone = roots.select(F.col("node").alias("doc_id"), "root")
