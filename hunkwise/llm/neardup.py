@@ -11,8 +11,8 @@ are one component by now, and what is left are mostly texts that share a common
 go through an exact prefix filter: with each set's shingles in one order, commonest last, two sets can only link if they share
 a shingle among the first n - ceil(6n/7) + 1 of the smaller and the first n - ceil(3n/4) + 1 of the larger set, which a
 common passage does not reach. The order comes from a histogram of all their shingles over 2^20 cells, so its size is fixed. Each
-shared prefix shingle is a bucket; rounds compare a few of its members with the rest, four times as many each round, from the
-smallest components first, until what is left of every bucket is in one component. So no pair is skipped unless it
+shared prefix shingle is a bucket; rounds compare a few of its members with the rest, eight times as many each round, from the
+smallest components first and only where the shingle stands early enough for the sizes of both, until what is left of every bucket is in one component. So no pair is skipped unless it
 cannot link or is already connected. Comparisons with a centre are dealt out in blocks, so a centre of many members is no
 single task.
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hunkwise.llm import shingles
@@ -98,7 +98,7 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_compare_batches, "a long, b long").distinct()
 
 
-def _can_link(n: str, m: str):
+def _can_link(n: str, m: str) -> Column:
     """Sizes that a link allows: the smaller set is at least 75 % of the larger."""
     return 100 * F.least(n, m) >= SHARE * F.greatest(n, m)
 
@@ -126,7 +126,13 @@ def _centres(members: DataFrame, many: int) -> DataFrame:
     by_size = Window.partitionBy("key").orderBy("size", "rep")
     ranked = members.where("leads").join(sizes, ["key", "root"]).withColumn("place", F.row_number().over(by_size))
     return ranked.where(F.col("place") <= many).select(
-        "key", F.col("rep").alias("centre"), F.col("n").alias("centre_n"), F.col("root").alias("centre_root"))
+        "key", F.col("rep").alias("centre"), F.col("n").alias("centre_n"), F.col("at").alias("centre_at"), F.col("root").alias("centre_root"))
+
+
+def _may_share_enough() -> Column:
+    """A link of sets of n and m needs ceil(3 (n + m) / 7) common shingles, so its first one stands early enough in both."""
+    needed = F.expr("(3 * (n + centre_n) + 6) div 7")
+    return (F.col("at") + needed <= F.col("n") + 1) & (F.col("centre_at") + needed <= F.col("centre_n") + 1)
 
 
 #: Cells of the histogram that orders shingles.
@@ -144,7 +150,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _prefixes(texts: DataFrame) -> DataFrame:
-    """(key, rep, n, leads): the prefix shingles of each text; leads where the text may be the smaller of a pair."""
+    """(key, rep, n, at, leads): the prefix shingles of each text with their place (from 1); leads where the text may be the
+    smaller of a pair."""
     seen = texts.select("text").mapInArrow(_count_batches, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS, np.int64)
     counts[seen["cell"].to_numpy()] = seen["n"].to_numpy()
@@ -154,7 +161,7 @@ def _prefixes(texts: DataFrame) -> DataFrame:
         for batch in batches:
             reps = batch.column(0).to_pylist()
             for at, part in shingles.chunks(batch.column(1).cast(pa.large_binary()).to_pylist()):
-                keys, owners, sizes, leads = [np.zeros(0, np.uint64)], [], [], []
+                keys, owners, sizes, places, leads = [np.zeros(0, np.uint64)], [], [], [], []
                 for rep, own in zip(reps[at:], shingles.shingle_sets(part)):
                     n = len(own)
                     order = np.lexsort((own, sent.value[(own & np.uint64(CELLS - 1)).astype(np.int64)]))
@@ -162,11 +169,12 @@ def _prefixes(texts: DataFrame) -> DataFrame:
                     keys.append(own[order[:reach]])
                     owners += [rep] * reach
                     sizes += [n] * reach
+                    places += range(1, reach + 1)
                     leads += [k < n + (-2 * SHARE * n // (100 + SHARE)) + 1 for k in range(reach)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owners, pa.int64()), pa.array(sizes, pa.int64()),
-                                                  pa.array(leads, pa.bool_())], names=["key", "rep", "n", "leads"])
+                                                  pa.array(places, pa.int64()), pa.array(leads, pa.bool_())], names=["key", "rep", "n", "at", "leads"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "key long, rep long, n long, leads boolean")
+    return texts.select("doc_id", "text").mapInArrow(run, "key long, rep long, n long, at long, leads boolean")
 
 
 def near_duplicates(docs: DataFrame, stays: Staged | None = None) -> DataFrame:
@@ -203,11 +211,10 @@ def near_duplicates(docs: DataFrame, stays: Staged | None = None) -> DataFrame:
     prefixes = staged.put(_prefixes(left), "prefixes")
     fresh = staged.put(_open_members(_with_roots(prefixes, roots)), "members")
     staged.drop(members, prefixes, rest)
-    members, many = fresh, 1
+    members, many = fresh, 8
     while members.head(1):
         centres = staged.put(_centres(members, many), "centres")
-        smaller = (F.col("n") >= F.col("centre_n")) | F.col("leads")
-        new = (members.join(centres, "key").where((F.col("root") != F.col("centre_root")) & smaller & _can_link("n", "centre_n"))
+        new = (members.join(centres, "key").where((F.col("root") != F.col("centre_root")) & _may_share_enough())
                .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
         for old in checked:
             new = new.join(old.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
@@ -220,7 +227,7 @@ def near_duplicates(docs: DataFrame, stays: Staged | None = None) -> DataFrame:
         after = _with_roots(members.join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti"), roots)
         fresh = staged.put(_open_members(after), "members")
         staged.drop(members, centres)
-        members, many = fresh, many * 4
+        members, many = fresh, many * 8
     staged.drop(texts, left, members, links, *checked)
 
     top = classes.join(roots, classes.rep == roots.node, "left").select("digest", F.coalesce("root", "rep").alias("component"))
