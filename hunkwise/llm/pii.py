@@ -6,8 +6,9 @@ The patterns are possessive and start only where a match may start, so they are
 The method protects every base value as an entity c. Over the whole corpus it counts the documents with c, those with a
 term t (a word of three letters or more), and those with t near c: within ``NEAR`` characters, up to the next match of
 its kind. The pointwise mutual information log(N n(c,t) / n(c) n(t)) is what t reveals about c; c's own information is
-log(N / n(c)). A term that reveals at least ``DISCLOSED`` of it, and has been seen near c in ``SUPPORT`` documents or
-more, discloses c: its occurrences near c become spans of kind term. ``sanitise`` replaces every span by its kind.
+log(N / n(c)). A term that reveals at least ``DISCLOSED`` of it discloses c: its occurrences near c become spans of kind
+term. A pair seen in one document only is judged like any other; for a value of one document, how rare t is decides
+alone. ``sanitise`` replaces every span by its kind.
 
 Defined results: null texts count as empty, null doc_ids are carried; repeated rows are rows (and documents) of their own;
 an entity in all documents has no information and is disclosed by nothing; places are code points, end exclusive.
@@ -34,7 +35,6 @@ _NEEDLES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]",
 
 NEAR = 80
 DISCLOSED = 0.8
-SUPPORT = 2
 #: Steps of one stretch of a running sum.
 STRETCH = 256
 
@@ -152,8 +152,8 @@ def find(docs: DataFrame, staged: Staged | None = None) -> DataFrame:
         F.concat(_terms(F.col("s.left"), F.col("s.start") - F.length("s.left")), _terms(F.col("s.right"), F.col("s.end"))).alias("terms"))
     near = staged.put(near.select("row", "entity", F.explode_outer("terms").alias("t")).select("row", "entity", "t.term", "t.start", "t.end"), "near")
     with_entity = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    together = staged.put(near.where("term IS NOT NULL").select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
-                          .where(F.col("n_ct") >= SUPPORT), "together")
+    together = staged.put(near.where("term IS NOT NULL").select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct")),
+                          "together")
     asked = staged.put(together.select("term").distinct(), "asked")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), F.lit(0)))).alias("term"))
     with_term = words.join(small_side(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))

@@ -89,6 +89,14 @@ def test_disclosing_terms(spark):
     assert clean[1] == texts[1] and "<term> <term> <email> <term>" in clean[20] and "joe@" not in clean[20] and clean[20].endswith("Xavier")
 
 
+def test_values_of_one_document_are_protected(spark):
+    common = [f"wort{c}" for c in "abcdefghij"]
+    rows = [(i, " ".join(common), "s") for i in range(100)]
+    rows += [(200, "worta Zebulon uno@secret.org wortb", "s"), (201, "worta Ottilie due@secret.org wortb", "s"), (202, "worta Ruprecht due@secret.org wortb", "s")]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs_frame(spark, rows)).collect()}
+    assert [clean[i] for i in (200, 201, 202)] == ["worta <term> <email> wortb"] * 3 and clean[7] == rows[7][1]
+
+
 def test_query_columns_and_empty_table(spark, tmp_path):
     docs_frame(spark, documents()).write.parquet(f"{tmp_path}/documents.parquet")
     rows = op6_personal_data(spark, str(tmp_path)).collect()
