@@ -184,9 +184,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shard: int = SHAR
     staged = Staged(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector")).where(
         F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    # a query needs at most k + 1 copies of one vector: the smallest ids, cut before the shuffle
+    # a query needs at most k + 1 ids of one vector: the smallest, cut before the shuffle; repeated rows are one id
     first = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    copies = rows.withColumn("copy", first).where(F.col("copy") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    copies = rows.distinct().withColumn("copy", first).where(F.col("copy") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     classes = staged.put(copies.select("vector", F.size("vector").alias("size"), "ids", F.col("ids")[0].alias("rep"))
                          .withColumn("cls", F.monotonically_increasing_id()), "vectors")
     counts = classes.groupBy("size").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))

@@ -48,6 +48,14 @@ def test_awkward_vectors(spark):
     assert ann.nearest(df.where("false"), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_repeated_rows_hide_no_other_ids(spark):
+    one, two = [1.0, 2.0], [5.0, 1.0]
+    rows = [(0, one)] * 30 + [(i, one) for i in range(1, 5)] + [(i, two) for i in range(100, 115) for _ in range(2)]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id").isin(0, 100)).collect()
+    found = {q: [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 100)}
+    assert found == {0: [1, 2, 3, 4, *range(100, 106)], 100: list(range(101, 111))}
+
+
 def test_graph_edges_are_bounded_and_no_loops():
     x = np.random.default_rng(1).normal(size=(900, 8))
     graph, entries = ann.build_graph(x)
