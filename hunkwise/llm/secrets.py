@@ -1,15 +1,18 @@
 """Secret scans: a random forest removes the false positives of a wide candidate search.
 
-A candidate is a run of 16 or more characters of the base64 and identifier alphabets. The forest sees its length, its
-character classes and transitions, how much of it dictionary words cover, the path (source) it stands in and the words
-around it. Dictionary: the ``DICTIONARY`` words that occur in most documents, counted over all texts; the same words give the
+A candidate is a run of 16 or more characters of the base64 and identifier alphabets, or a value of ``SHORTEST`` or more
+characters of any alphabet that is assigned (after =, : or =>): what stands between quotes on a line, what stands up to
+white space, and the parts of it after a further = or :. Candidates may overlap; equal spans are one candidate, and
+overlapping secrets are redacted as one. The forest sees a candidate's length, its character classes and transitions, how
+much of it dictionary words cover, the path (source) it stands in and the words around it. Dictionary: the ``DICTIONARY`` words that occur in most documents, counted over all texts; the same words give the
 usual letter transitions.
 
 The forest is trained from labelled findings. A caller may hand over a table of its own (``labelled``: the columns of
 ``findings`` and label 0/1); without one, findings are labelled by their surroundings: 1 for a quoted value assigned to a
-name such as token or password that mixes letters and digits, 0 for a value of letters that words explain, of digits only,
-and for one introduced as a checksum, commit or card. Findings that neither rule covers are left to the forest. It takes
-at most ``TRAIN_FINDINGS`` findings of each label, in the order of a hash; that bound is the only sample.
+name such as token or password that mixes letters and digits and has no blanks, 0 for a value of letters that words explain,
+of digits only, and for one introduced as a checksum, commit or card. Findings that neither rule covers are left to the
+forest. It takes at most ``TRAIN_FINDINGS`` findings of each label and form (under 16 characters or not, hex digits or
+not: a common form crowds out no other), in the order of a hash; that bound is the only sample.
 
 Defined results: null and empty texts have no findings; a null doc_id is carried as null; repeated rows repeat their
 findings; without findings of both labels the share of label 1 is every finding's score (0 without any).
@@ -20,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import ahocorasick
 import numpy as np
@@ -38,10 +42,18 @@ MARK = "<secret>"
 #: Distinct words that a task counts before it hands them on: bounds its memory, changes no result.
 WORDS_AT_ONCE = 300_000
 
+#: Characters of the shortest assigned value that is a candidate.
+SHORTEST = 6
+
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
+# All three are linear: quoted values of one kind of quote do not overlap, and bare values and parts do not overlap their like.
+_QUOTED = re.compile(r"""(?:=>?|:)\s*+(?=(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`((?:[^`\\\n]++|\\.)*+)`))""")
+_BARE = re.compile(rf"""(?:=>?|:)\s*+(?:(?:Bearer|Basic|Token)\s++)?+(?!["'`])(\S{{{SHORTEST},}})""")
+_PART = re.compile(rf"""(?<=[=:])[^\s=:&;,|"'`<>()\[\]{{}}]{{{SHORTEST},}}""")
+_OPENING, _CLOSING = "\\\"'`([{<", "\\\"'`)]}>,;."
 _WORD = re.compile(r"[^\W\d_]{3,15}")
 _ANY = re.compile(r"\w+")
-_ASSIGNED = re.compile(r"""[=:]\s*(["'`]?)\Z""")
+_ASSIGNED = re.compile(r"""(?:=>?|:)\s*(?:(?:Bearer|Basic|Token)\s+)?(["'`]?)\Z""")
 #: Names that introduce secrets, and ones that introduce other long values.
 _SECRET_WORDS = frozenset("token secret password passwd pwd key apikey credential credentials auth bearer private access".split())
 _OTHER_WORDS = frozenset("sha sha1 sha256 md5 hash checksum digest commit rev uuid guid card iban isbn version".split())
@@ -71,6 +83,16 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[tuple[str, int]]
     return [(r["word"], r["n"]) for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """The spans of all candidates, by start and end."""
+    spans = {m.span() for m in _RUN.finditer(text)} | {m.span() for m in _PART.finditer(text)} | {m.span(m.lastindex) for m in _QUOTED.finditer(text)}
+    for m in _BARE.finditer(text):
+        value = m.group(1)
+        end = m.start(1) + len(value.rstrip(_CLOSING))
+        spans.add((m.end(1) - len(value.lstrip(_OPENING)), end))
+    return sorted((a, b) for a, b in spans if b - a >= SHORTEST)
+
+
 class Judge:
     """Turns texts into findings with features."""
 
@@ -96,8 +118,8 @@ class Judge:
             hit[end - n + 1 : end + 1] = b"\1" * n
         return sum(hit) / len(value)
 
-    def features(self, text: str, m: re.Match, path: str) -> tuple[int, list[float]]:
-        value, (start, end) = m.group(), m.span()
+    def features(self, text: str, start: int, end: int, path: str) -> tuple[int, list[float]]:
+        value = text[start:end]
         n, low = len(value), value.lower()
         kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in value]
         counts = Counter(value)
@@ -107,7 +129,7 @@ class Judge:
         before, after = text[max(0, start - 60) : start], text[end : end + 40]
         assigned = _ASSIGNED.search(before)
         quoted = bool(assigned and assigned.group(1) and after[:1] == assigned.group(1))
-        near = [w.lower() for w in _ANY.findall(before)[-3:]]
+        near = [part for w in _ANY.findall(before)[-3:] for part in (w.lower(), *w.lower().split("_"))]
         secret, other = float(any(w in _SECRET_WORDS for w in near)), float(any(w in _OTHER_WORDS for w in near))
         steps = [self.pairs.get(p, self.rare) for p in zip(low, low[1:])]
         covered = self.covered(low)
@@ -115,7 +137,7 @@ class Judge:
         parts = re.split(r"[/._-]", path.lower())
         following = _ANY.findall(after)[:1]
         weak = -1
-        if quoted and secret and not other and 0 < digits < 1 and entropy >= 2.5:
+        if quoted and secret and not other and 0 < digits < 1 and entropy >= 2.5 and not any(map(str.isspace, value)):
             weak = 1
         elif digits == 1 or other or (not digits and (covered >= 0.5 or lowers == 1 or uppers == 1)):
             weak = 0
@@ -125,7 +147,7 @@ class Judge:
                       float(len(following[0])) if following else 0.0]
 
     def findings(self, text: str | None, path: str | None) -> list[tuple[int, int, str, int, list[float]]]:
-        return [(m.start(), m.end(), m.group(), *self.features(text, m, path or "")) for m in _RUN.finditer(text)] if text else []
+        return [(a, b, text[a:b], *self.features(text, a, b, path or "")) for a, b in candidates(text)] if text else []
 
 
 def findings(docs: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
@@ -201,10 +223,11 @@ def forest_scores(x: np.ndarray, trees: list[np.ndarray], otherwise: float) -> n
 
 
 def train(labelled: DataFrame, limit: int = TRAIN_FINDINGS) -> tuple[list[np.ndarray], float]:
-    """The forest and the share of label 1, from (value_hash, features, label) rows: at most ``limit`` of each label."""
+    """The forest and the share of label 1, from (value_hash, features, label) rows: at most ``limit`` of each label and form."""
     rows = []
-    for label in (0, 1):
-        part = labelled.where(F.col("label") == label).select("features", F.xxhash64("value_hash", "features").alias("place"))
+    short, hexed = F.col("features")[0] < 16, F.col("features")[9] == 1
+    for label, a, b in product((0, 1), (False, True), (False, True)):
+        part = labelled.where((F.col("label") == label) & (short == a) & (hexed == b)).select("features", F.xxhash64("value_hash", "features").alias("place"))
         rows += [(label, r["features"]) for r in part.orderBy("place").limit(limit).collect()]
     y = np.array([label for label, _ in rows])
     share = float(y.mean()) if len(y) else 0.0
@@ -244,9 +267,15 @@ def redact_secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFr
             texts = batch.column(text_at).to_pylist()
             found = [(k, f) for k, (text, path) in enumerate(zip(texts, batch.column(path_at).cast(pa.string()).to_pylist())) for f in judge.findings(text, path)]
             scores = forest_scores(np.array([f[4] for _, f in found], float).reshape(-1, N_FEATURES), *model)
-            for (k, (a, b, *_)), s in reversed(list(zip(found, scores))):
+            spans: list[list[int]] = []
+            for (k, (a, b, *_)), s in zip(found, scores):
                 if s >= THRESHOLD:
-                    texts[k] = texts[k][:a] + MARK + texts[k][b:]
+                    if spans and spans[-1][0] == k and a < spans[-1][2]:
+                        spans[-1][2] = max(spans[-1][2], b)
+                    else:
+                        spans.append([k, a, b])
+            for k, a, b in reversed(spans):
+                texts[k] = texts[k][:a] + MARK + texts[k][b:]
             columns = list(batch.columns)
             columns[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)

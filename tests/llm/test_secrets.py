@@ -40,6 +40,25 @@ def test_redaction(spark):
     assert by_id[2000]["text"] is None and by_id[2001]["text"] == ""
 
 
+def test_candidates_of_any_alphabet():
+    def values(text):
+        return [text[a:b] for a, b in secrets.candidates(text)]
+
+    assert values('password = "hunter2pass"') == ["hunter2pass"] and values("pw: 'P@ss-w0rd.2024!'") == ["P@ss-w0rd.2024!"]
+    assert values("PASSWORD=P@ss-w0rd.2024! next") == ["P@ss-w0rd.2024!"] and values("Authorization: Bearer abc.d12") == ["abc.d12"]
+    assert values("""u = '{"password": "hunter2pass"}'""") == ['{"password": "hunter2pass"}', "hunter2pass"]
+    assert values('k => "correct horse \\" battery"') == ['correct horse \\" battery'] and values("a = b, some plain words: no") == []
+    assert "abcdef1" in values("url=https://h/x?token=abcdef1&q=1") and values("x" * 16) == ["x" * 16]
+
+
+def test_short_and_dotted_passwords_are_redacted(spark):
+    rows = [(6000, 'here password = "hunter2pass" is set', "src/app"), (6001, 'here password = "P@ss-w0rd.2024!" is set', "src/app"),
+            (6002, 'here token = "abcdefgh12345678ijkl.mnop-9012:qrst3456uvwx7890" is set', "src/app"), (6003, "the summary: wonderful things", "src/app")]
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs_frame(spark, documents() + rows)).collect()}
+    assert texts[6000] == texts[6001] == 'here password = "<secret>" is set' and texts[6003] == rows[3][1]
+    assert texts[6002] == 'here token = "<secret>" is set'
+
+
 def test_own_labels_and_empty_tables(spark):
     docs = docs_frame(spark, documents())
     words = secrets.dictionary(docs)
