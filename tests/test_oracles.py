@@ -1,8 +1,10 @@
-"""Every registered query against its SQL on the smallest tables, by value."""
+"""Every query of the registry against its SQL on the smallest tables, by value."""
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from registry.oracles import ORACLES
+from registry.queries import QUERIES
 from tests.compare import differences, duck
 
 SF = "/root/testdata/sf0.001"
@@ -14,12 +16,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    assert differences(queries()[name](spark, SF).toPandas(), con.execute(oracle_sql()[name]).df()) is None
+    assert differences(QUERIES[name](spark, SF).toPandas(), con.execute(ORACLES[name]).df()) is None
 
 
 def test_entry(spark):
