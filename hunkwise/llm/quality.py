@@ -269,5 +269,8 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "quality_score") ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score is at least THRESHOLD, columns as they were."""
-    return score(docs, labels, "_quality").where(F.col("_quality") >= THRESHOLD).drop("_quality").select(docs.columns)
+    """The rows of ``docs`` whose score is at least THRESHOLD, columns as they were, whatever their names."""
+    taken, name = {c.lower() for c in docs.columns}, "quality"
+    while name in taken:
+        name += "_"
+    return score(docs, labels, name).where(F.col(name) >= THRESHOLD).drop(name)
