@@ -131,5 +131,79 @@ r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score,
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+_GAP, _SOLID = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+
+OP11 = rf"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (
+  SELECT doc_id, text, regexp_extract_all(text, '{_GAP}*{_SOLID}+|{_GAP}+') AS tokens, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+         text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 AS plain,
+         ('0x' || h[25:32])::BIGINT % 100 < 80 AS spm FROM h),
+c AS (SELECT *, len(tokens) AS n, least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS lo, greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS hi FROM d),
+p AS (
+  SELECT doc_id, text, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, array_to_string(tokens[1:lo], '') AS prefix,
+         array_to_string(tokens[lo + 1:hi], '') AS middle, array_to_string(tokens[hi + 1:], '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+OP12 = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, 5) AS r(k) WHERE len(words) >= k),
+f AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS words, f AS a FROM f WHERE k > 1),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, cut, (2000000::HUGEINT * c.a // (x.f + y.f))::HUGEINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.k = cut AND x.phrase = array_to_string(words[1:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - cut AND y.phrase = array_to_string(words[cut + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_phrases AS (
+  SELECT lang, a, array_to_string(words[s:s + m - 1], ' ') AS phrase
+  FROM (SELECT lang, a, words, k, m, unnest(range(1, k - m + 2)) AS s FROM c, range(2, 4) AS q(m) WHERE m < k)),
+longer AS (SELECT lang, phrase, max(a) AS most FROM inner_phrases GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.most IS NULL OR 100 * o.most::HUGEINT < 80 * b.a::HUGEINT),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT x.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n, score::BIGINT AS score
+FROM ranked x JOIN n ON n.lang = x.lang WHERE rank <= 2000
+"""
+
+
+def _network_sql(rows: str) -> str:
+    """Six rounds over (x, y) of a * b numbers."""
+    for r in range(6):
+        m, c, s = (f"(('0x' || sha256('42:{r}:{name}')[1:7])::BIGINT | 1)" for name in "mcs")
+        own, other, size = ("x", "y", "a") if r % 2 == 0 else ("y", "x", "b")
+        mixed = f"({other} * {m} + {c})"
+        drawn = f"(((xor({mixed}, {mixed} >> 14) & 2147483647) * {s}) >> 20)"
+        rows = f"(SELECT i, k, a, b, n, ({own} + {drawn}) % {size} AS {own}, {other} FROM {rows})"
+    return rows
+
+
+# the CRC goes by half bytes, low half first
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () - 1 AS i FROM documents),
+half AS (
+  SELECT list(list_reduce([v, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY v) AS t FROM range(16) AS q(v)),
+size AS (SELECT count(*) AS n FROM documents),
+square AS (SELECT n, max(a) AS a, (n + max(a) - 1) // max(a) AS b FROM size, range(1, 1000000) AS q(a) WHERE a * a <= n AND (a - n % a) % a <= 16 GROUP BY n),
+walk AS (
+  SELECT i, 0 AS k, i AS p, a, b, n FROM d, square
+  UNION ALL
+  SELECT i, k + 1, y * a + x, a, b, n FROM {_network_sql("(SELECT i, k, a, b, n, p % a AS x, p // a AS y FROM walk WHERE k = 0 OR p >= n)")}),
+places AS (SELECT i, arg_max(p, k) AS p FROM walk GROUP BY i),
+halves AS (SELECT i, list_transform(string_split(regexp_replace(hex(encode(text)), '(.)(.)', '\\2\\1', 'g'), ''), lambda v: ('0x' || v)::BIGINT) AS v FROM d WHERE text <> ''),
+crc AS (SELECT i, xor(list_reduce(list_prepend(4294967295, v), lambda c, z: xor(t[(xor(c, z) & 15) + 1], c >> 4)), 4294967295) AS crc FROM halves, half)
+SELECT doc_id, (strlen(text) + 1)::BIGINT AS size, coalesce(crc, 0)::BIGINT AS text_crc32, 'rows' AS law, (p % 16)::INTEGER AS shard, (p // 16)::BIGINT AS slot,
+       NULL::INTEGER AS grown_shard
+FROM d JOIN places ON places.i = d.i LEFT JOIN crc ON crc.i = d.i
+"""
+
 #: The other queries have models or sketches of their own that SQL cannot express; the tests hold them against brute force.
-ORACLES = {"op1_mix_sources": OP1, "op2_minhash_dedup": OP2, "op3_nearest": OP3, "op4_decontaminate": OP4, "op8_chat": OP8, "op10_url_filter": OP10}
+ORACLES = {"op1_mix_sources": OP1, "op2_minhash_dedup": OP2, "op3_nearest": OP3, "op4_decontaminate": OP4, "op8_chat": OP8, "op10_url_filter": OP10,
+           "op11_fill_in_middle": OP11, "op12_phrases": OP12, "op13_shards": OP13}

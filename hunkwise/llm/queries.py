@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hunkwise.llm import ann, chat, decontaminate, mixing, neardup, pii, quality, secrets, tokens, urls
+from hunkwise.llm import ann, chat, decontaminate, middle, mixing, neardup, phrases, pii, quality, secrets, shards, tokens, urls
 from hunkwise.llm.common import table
 
 
@@ -100,9 +100,26 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                        digest(middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), stored=True)
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return found.select("doc_id", (F.length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.lit("rows").alias("law"),
+                        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_minhash_dedup, op3_nearest, op4_decontaminate, op5_secrets, op6_personal_data, op7_token_counts,
-                                   op8_chat, op9_quality, op10_url_filter, pipeline)}
+                                   op8_chat, op9_quality, op10_url_filter, op11_fill_in_middle, op12_phrases, op13_shards, pipeline)}
