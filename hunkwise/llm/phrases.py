@@ -6,10 +6,11 @@ largest cell says how far an extension subsumes the prefix. Tasks build stripes
 and the tables hold them cell by cell, (lang, prefix, next, count): merging stripes elementwise is a sum with map-side combining, and
 the stripe of a very common prefix lies in many tasks instead of one.
 
-Prefixes grow by one word a pass over the texts. A phrase can only reach LEAST if its first and its last words but one do, so a pass
-keeps just the occurrences whose two shorter phrases are in a Bloom filter of the phrases found before. The filter is sized by their
-number, up to FILTER_BITS (32 MB, all that is ever broadcast); a phrase let through wrongly is counted exactly and dropped afterwards,
-so a full filter costs time, never results. Long texts are cut between pieces.
+Most phrases are rare, so their cells are never made. Passes with phrases of 1, 2, 3 and 4 words count 64-bit hashes first: a hash that
+occurs fewer than LEAST times has no phrase that does. What is left goes into a Bloom filter, and a pass only counts phrases whose two
+shorter ones are in the filter before. The last pass makes the stripes of the phrases that the filters let through and counts them
+exactly, by their words; a phrase let through wrongly is dropped then. A filter is sized by its hashes, up to FILTER_BITS (32 MB; with
+four of them all that is ever broadcast); a full filter costs time, never results. Long texts are cut between pieces.
 
 Counts of parts: a candidate asks for the counts of its first and last words at each cut. Parts asked for by very many candidates (the
 most asked HOT_PARTS, pre-aggregated) are answered by a broadcast of that many rows, the others by a join on the part.
@@ -20,7 +21,8 @@ each. Other columns, whatever their names, are not read. Ties are broken by coun
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hunkwise.llm.common import Staged
+from hunkwise.llm.shingles import _tables as power_tables
 from hunkwise.llm.shingles import mix
 
 LONGEST, LEAST, TOP = 4, 30, 2000
@@ -41,10 +44,10 @@ SUBSUMED = 80
 #: Fixed value: a score is floor(SCALE * a / (l + r)).
 SCALE = 2_000_000
 UNKNOWN = "und"
-CHUNK_BYTES = 4 << 20
-FILTER_BITS, BITS_A_PHRASE, PROBES = 1 << 28, 12, 4
+CHUNK_BYTES = 2 << 20
+FILTER_BITS, BITS_A_HASH, PROBES = 1 << 28, 12, 4
 HOT_PARTS = 1_000
-#: Parts that a language's candidates are cut to TOP in before they meet.
+#: Parts that a language's candidates are cut to TOP in before they meet: the last ranking has that many times TOP rows a language.
 RANK_PARTS = 64
 
 _WORD, _BLANK, _BREAK = 0, 1, 2
@@ -54,6 +57,7 @@ _CLASS[[*b".,;:!?", *range(0x0A, 0x0E)]] = _BREAK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_VALUES = mix(np.arange(256, dtype=np.uint64))
 
 
 def _portions(langs: list[str], texts: list[bytes | None]) -> Iterator[tuple[list[str], list[bytes]]]:
@@ -76,39 +80,51 @@ def _portions(langs: list[str], texts: list[bytes | None]) -> Iterator[tuple[lis
 
 
 class Portion:
-    """The words of a portion as numbers: ``words`` (distinct), ``ids`` (one a word), ``lang`` (a number a word), ``joined`` (whether
-    the next word stands in the same piece)."""
+    """The words of a portion: ``lang`` (a number a word), ``joined`` (whether the next word stands in the same piece), hashes, and, when
+    asked for, ``words`` (distinct) and ``ids`` (a number a word)."""
 
     def __init__(self, langs: list[str], texts: list[bytes]):
-        data = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
-        kind = _CLASS[data]
-        solid = np.concatenate(([False], kind == _WORD, [False]))
+        self.data = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
+        self.kind = _CLASS[self.data]
+        solid = np.concatenate(([False], self.kind == _WORD, [False]))
         edges = np.flatnonzero(solid[1:] != solid[:-1])
-        first, last = edges[::2], edges[1::2]
-        offsets = np.concatenate(([0], np.cumsum(last - first))).astype(np.int32)
-        found = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[kind == _WORD])]).dictionary_encode()
-        self.words, self.ids = found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        breaks = np.searchsorted(np.flatnonzero(kind == _BREAK), first)
+        self.first, self.last = first, _ = edges[::2], edges[1::2]
+        breaks = np.searchsorted(np.flatnonzero(self.kind == _BREAK), first)
         self.joined = np.append(breaks[1:] == breaks[:-1], False)[: len(first)]
         lang, self.langs = pd.factorize(np.array(langs, dtype=object))
         begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
         self.lang = lang[np.searchsorted(begins, first, "right") - 1].astype(np.int64)
 
     def __len__(self) -> int:
-        return len(self.ids)
-
-    def phrase_hashes(self, k: int) -> np.ndarray:
-        """Hash of the k words from each word on, with the language (only of use where all of them are joined)."""
-        word = np.array([xxhash.xxh64_intdigest(w) for w in self.words.to_pylist()], np.uint64)
-        lang = np.array([xxhash.xxh64_intdigest(name) for name in self.langs], np.uint64)
-        return phrase_hash(lang[self.lang[: len(self) - k + 1]], [word[self.ids[i : len(self) - k + 1 + i]] for i in range(k)])
-
-
-def phrase_hash(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    out = mix(lang)
-    for word in words:
-        out = mix(out * _STEP + word)
-    return out
+        return len(self.first)
+
+    @cached_property
+    def numbered(self) -> tuple[pa.Array, np.ndarray]:
+        offsets = np.concatenate(([0], np.cumsum(self.last - self.first))).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(self), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[self.kind == _WORD])]).dictionary_encode()
+        return found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    @cached_property
+    def word_hashes(self) -> np.ndarray:
+        up, down = power_tables(len(self.data) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUES[self.data] * up[: len(self.data)], dtype=np.uint64)))
+        return mix((sums[self.last] - sums[self.first]) * down[self.first] + (self.last - self.first).astype(np.uint64))
+
+    def hashes(self, k: int) -> np.ndarray:
+        """Hash of the k words from each word on, with the language."""
+        n = max(0, len(self) - k + 1)
+        out = mix(np.array([xxhash.xxh64_intdigest(name) for name in self.langs], np.uint64))[self.lang[:n]]
+        for i in range(k):
+            out = mix(out * _STEP + self.word_hashes[i : n + i])
+        return out
+
+    def phrases(self, k: int) -> np.ndarray:
+        """Whether the k words from each word on stand in one piece."""
+        n = max(0, len(self) - k + 1)
+        out = np.ones(n, bool)
+        for i in range(k - 1):
+            out &= self.joined[i : n + i]
+        return out
 
 
 def _probes(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -124,29 +140,47 @@ def held(hashes: np.ndarray, filter_words: np.ndarray) -> np.ndarray:
     return out
 
 
-def phrase_filter(found: DataFrame) -> np.ndarray:
-    """The Bloom filter of the phrases of ``found`` (lang, phrase) as 64-bit words."""
-    wanted, bits = found.count() * BITS_A_PHRASE, 1 << 10
+def hash_filter(found: DataFrame) -> np.ndarray:
+    """The Bloom filter of the staged hashes ``found`` (hash) as 64-bit words."""
+    wanted, bits = found.count() * BITS_A_HASH, 1 << 10
     while bits < min(wanted, FILTER_BITS):
         bits *= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, phrases = batch.column(0).to_pylist(), [p.split(" ") for p in batch.column(1).to_pylist()]
-            lang = np.array([xxhash.xxh64_intdigest(name) for name in langs], np.uint64)
-            words = [np.array([xxhash.xxh64_intdigest(p[i]) for p in phrases], np.uint64) for i in range(len(phrases[0]) if phrases else 0)]
-            at = np.concatenate(list(_probes(phrase_hash(lang, words), bits)))
+            at = np.concatenate(list(_probes(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)))
             places, which = np.unique(at >> 6, return_inverse=True)
             set_bits = np.zeros(len(places), np.uint64)
             np.bitwise_or.at(set_bits, which, np.uint64(1) << (at & 63).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(set_bits.view(np.int64))], names=["place", "bits"])
 
-    cells = found.select("lang", "phrase").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    cells = found.select("hash").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[cells.column("place").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Portion]:
+    for batch in batches:
+        for langs, texts in _portions(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
+            yield Portion(langs, texts)
+
+
+def hash_counts(texts: DataFrame, k: int, shorter: Broadcast | None) -> DataFrame:
+    """(hash, n): occurrences of the hashes of phrases of ``k`` words whose first and last k - 1 words are in ``shorter``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for portion in _read(batches):
+            open_ = portion.phrases(k)
+            if k > 1:
+                known = held(portion.hashes(k - 1), shorter.value)
+                open_ &= known[:-1] & known[1:] if len(open_) else open_
+            found, counts = np.unique(portion.hashes(k)[open_], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts, pa.int64())], names=["hash", "n"])
+
+    return texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of each key, and per distinct key its first place and its count."""
     codes, values = pd.factorize(keys)
@@ -155,44 +189,51 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes.astype(np.int64), first, np.bincount(codes, minlength=len(values))
 
 
-def stripes(portion: Portion, k: int, shorter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the distinct phrases of ``k`` words (one each) and their counts. ``shorter``: filter of phrases of k - 1 words."""
-    n = len(portion) - k + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    own = portion.lang * len(portion.words) + portion.ids
-    if k == 1:
-        _, first, counts = _distinct(own)
-        return first, counts
-    whole = np.ones(n, bool)
-    for i in range(k - 1):
-        whole &= portion.joined[i : n + i]
-    known = held(portion.phrase_hashes(k - 1), shorter)
-    at = np.flatnonzero(whole & known[:n] & known[1 : n + 1])
-    pairs, _, counts = _distinct(own[:-1] * len(portion.words) + portion.ids[1:])  # all neighbours: their numbers make longer keys
-    keys = pairs[at] if k == 2 else pairs[at] * (len(portion.words) if k == 3 else len(counts)) + (portion.ids if k == 3 else pairs)[at + 2]
-    _, first, counts = _distinct(keys)
-    return at[first], counts
-
-
-def _cells(k: int, shorter: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def stripes(portion: Portion, filters: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per length the place of each distinct phrase that the filters let through, and its count."""
+    words, ids = portion.numbered
+    size, pairs, n_pairs, let = len(words), np.zeros(len(portion), np.int64), 0, np.zeros(0, bool)
+    for k, bits in enumerate(filters, 1):
+        here = portion.phrases(k) & held(portion.hashes(k), bits)
+        if k > 1:
+            here &= let[:-1] & let[1:] if len(here) else here
+        let, at = here, np.flatnonzero(here)
+        # numbers of shorter phrases make the keys, so that a key is one phrase
+        if k == 1:
+            keys = portion.lang[at] * size + ids[at]
+        elif k == 2:
+            keys = (portion.lang[at] * size + ids[at]) * size + ids[at + 1]
+        else:
+            keys = pairs[at] * max(size, n_pairs) + (ids if k == 3 else pairs)[at + 2]
+        codes, first, counts = _distinct(keys)
+        if k == 2:
+            pairs[at], n_pairs = codes, len(counts)
+        yield k, at[first], counts
+
+
+def merged_stripes(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
+    """Cells (lang, k, prefix, next, a) of the stripes with prefixes of k - 1 words, as far as the filters let them through, and for each
+    language one row of k = 0 with the number of its words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for langs, texts in _portions(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
-                portion = Portion(langs, texts)
-                at, counts = stripes(portion, k, None if shorter is None else shorter.value)
-                words = [portion.words.take(pa.array(portion.ids[at + i])).cast(pa.string()) for i in range(k)]
-                prefix = pc.binary_join_element_wise(*words[:-1], " ") if k > 1 else pa.array([""] * len(at), pa.string())
-                lang = pa.array(np.asarray(portion.langs, dtype=object)[portion.lang[at]], pa.string())
-                yield pa.RecordBatch.from_arrays([lang, prefix, words[-1], pa.array(counts, pa.int64())], names=["lang", "prefix", "next", "n"])
+        for portion in _read(batches):
+            names = np.asarray(portion.langs, dtype=object)
+            size = np.bincount(portion.lang, minlength=len(names))
+            none = pa.array([""] * len(names), pa.string())
+            yield _cell_batch(pa.array(names, pa.string()), 0, none, none, size)
+            words, ids = portion.numbered
+            for k, at, counts in stripes(portion, [f.value for f in filters]):
+                found = [words.take(pa.array(ids[at + i])).cast(pa.string()) for i in range(k)]
+                prefix = pc.binary_join_element_wise(*found[:-1], " ") if k > 1 else pa.array([""] * len(at), pa.string())
+                yield _cell_batch(pa.array(names[portion.lang[at]], pa.string()), k, prefix, found[-1], counts)
 
-    return run
+    cells = texts.mapInArrow(run, "lang string, k int, prefix string, next string, n long")
+    return cells.groupBy("lang", "k", "prefix", "next").agg(F.sum("n").alias("a"))
 
 
-def merged_stripes(texts: DataFrame, k: int, shorter: Broadcast | None) -> DataFrame:
-    """Cells (lang, prefix, next, a) of all stripes whose prefix has k - 1 words, as far as the filter lets them through."""
-    cells = texts.mapInArrow(_cells(k, shorter), "lang string, prefix string, next string, n long")
-    return cells.groupBy("lang", "prefix", "next").agg(F.sum("n").alias("a"))
+def _cell_batch(lang: pa.Array, k: int, prefix: pa.Array, following: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(counts), k, np.int32)), prefix, following, pa.array(counts, pa.int64())],
+                                      names=["lang", "k", "prefix", "next", "n"])
 
 
 def _joined(words: Column, first: Column | int, length: Column) -> Column:
@@ -210,37 +251,39 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
     """(lang, rank, phrase, a, l, r, n, score): each language's best ``top`` phrases of 2 to 4 words that occur ``least`` times or more."""
     staged, context = Staged(docs.sparkSession), docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").where("text IS NOT NULL")
-    words = staged.put(merged_stripes(texts, 1, None), "stripes-1")
-    totals = words.groupBy(F.col("lang").alias("of")).agg(F.sum("a").alias("n"))
-    levels = [words.where(F.col("a") >= least).select("lang", "prefix", F.col("next").alias("phrase"), "a")]
-    for k in range(2, LONGEST + 1):
-        shorter = context.broadcast(phrase_filter(levels[-1]))
-        cells = merged_stripes(texts, k, shorter).where(F.col("a") >= least)
-        levels.append(staged.put(cells.select("lang", "prefix", F.concat_ws(" ", "prefix", "next").alias("phrase"), "a"), f"stripes-{k}"))
-        shorter.destroy()
-
-    counts = levels[0].union(levels[1]).union(levels[2]).select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
-    candidates = levels[1].union(levels[2]).union(levels[3]).select("lang", "phrase", "a")
+    filters: list[Broadcast] = []
+    for k in range(1, LONGEST + 1):
+        often = staged.put(hash_counts(texts, k, filters[-1] if filters else None).where(F.col("n") >= least).select("hash"), "often")
+        filters.append(context.broadcast(hash_filter(often)))
+        staged.drop(often)
+    cells = staged.put(merged_stripes(texts, filters).where((F.col("a") >= least) | (F.col("k") == 0)), "stripes")
+    for bits in filters:
+        bits.destroy()
+
+    totals = cells.where("k = 0").select(F.col("lang").alias("of"), F.col("a").alias("n"))
+    found = cells.where("k > 0").select("lang", "k", "prefix", F.when(F.col("k") == 1, F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next")).alias("phrase"), "a")
+    counts = found.where(F.col("k") < LONGEST).select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
+    candidates = found.where("k > 1").select("lang", "phrase", "a")
     split = F.split("phrase", " ")
     cut = candidates.withColumn("words", split).withColumn("cut", F.explode(F.sequence(F.lit(1), F.size("words") - 1)))
     sides = F.explode(F.array(F.struct(F.lit(True).alias("first"), _joined(F.col("words"), F.lit(1), F.col("cut")).alias("part")),
                               F.struct(F.lit(False).alias("first"), _joined(F.col("words"), F.col("cut") + 1, F.size("words")).alias("part"))))
     asked = cut.withColumn("side", sides).select("lang", "side.part", "phrase", "a", "cut", F.col("side.first").alias("first"))
     answered = _with_counts(asked, counts, staged)
-    found = answered.groupBy("lang", "phrase", "a").agg(*[
+    parts = answered.groupBy("lang", "phrase", "a").agg(*[
         F.max(F.when((F.col("cut") == c) & (F.col("first") == side), F.col("f"))).alias(f"{name}{c}") for c in range(1, LONGEST) for side, name in ((True, "l"), (False, "r"))])
 
     def at_cut(c: int) -> Column:
         score = F.expr(f"CAST({SCALE} AS DECIMAL(7,0)) * CAST(a AS DECIMAL(19,0)) div CAST(l{c} + r{c} AS DECIMAL(19,0))")
         return F.when(F.col(f"l{c}").isNotNull(), F.struct(score.alias("score"), F.lit(c).alias("cut"), F.col(f"l{c}").alias("l"), F.col(f"r{c}").alias("r")))
 
-    scored = found.withColumn("worst", F.array_min(F.array(*map(at_cut, range(1, LONGEST)))))
+    scored = parts.withColumn("worst", F.array_min(F.array(*map(at_cut, range(1, LONGEST)))))
     # the largest cell on either side: a longer phrase around a candidate never occurs more often than the one-word extension in it
-    longer = levels[2].union(levels[3]).select("lang", "a", F.explode(F.array("prefix", F.expr("substring(phrase, locate(' ', phrase) + 1)"))).alias("phrase"))
+    longer = found.where("k > 2").select("lang", "a", F.explode(F.array("prefix", F.expr("substring(phrase, locate(' ', phrase) + 1)"))).alias("phrase"))
     most = longer.groupBy("lang", "phrase").agg(F.max("a").alias("most"))
     kept = scored.join(most, ["lang", "phrase"], "left").where(
         F.col("most").isNull() | (F.col("most").cast("decimal(19,0)") * 100 < F.col("a").cast("decimal(19,0)") * share))
     order = [F.desc("worst.score"), F.desc("a"), "phrase"]
-    parts = kept.withColumn("place", F.row_number().over(W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))).orderBy(*order)))
-    ranked = parts.where(F.col("place") <= top).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    ahead = kept.withColumn("place", F.row_number().over(W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))).orderBy(*order)))
+    ranked = ahead.where(F.col("place") <= top).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, F.col("lang") == F.col("of")).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "worst.l", "worst.r", "n", "worst.score")

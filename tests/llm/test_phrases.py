@@ -84,24 +84,28 @@ def test_long_texts_are_cut_between_pieces(monkeypatch):
 
 def test_filter_has_no_false_negatives(spark):
     rng = random.Random(4)
-    rows = [("en", f"w{rng.randint(0, 400)} w{rng.randint(0, 400)}") for _ in range(500)]
-    bits = phrases.phrase_filter(spark.createDataFrame(rows, "lang string, phrase string").repartition(3))
-    portion = phrases.Portion(["en"], [". ".join(p for _, p in rows).encode()])
-    first = np.flatnonzero(portion.joined)
-    assert phrases.held(portion.phrase_hashes(2)[first], bits).all()
+    text = ". ".join(f"w{rng.randint(0, 400)} w{rng.randint(0, 400)}" for _ in range(500)).encode()
+    portion = phrases.Portion(["en"], [text])
+    hashes = portion.hashes(2)[portion.phrases(2)]
+    assert len(hashes) == 500
+    found = spark.createDataFrame([(int(h),) for h in hashes[::2].view(np.int64)], "hash long").repartition(3)
+    bits = phrases.hash_filter(found)
+    assert phrases.held(hashes[::2], bits).all() and phrases.held(hashes[1::2], bits).mean() < 0.1
+
+
+def test_hashes_do_not_depend_on_the_place():
+    one = phrases.Portion(["en"], [b"new york city"]).hashes(2)
+    two = phrases.Portion(["fr", "en"], ["x é, ".encode(), b"a b. NEW  York\tcity"])
+    assert set(one) <= set(two.hashes(2)) and not set(one) & set(phrases.Portion(["fr"], [b"new york city"]).hashes(2))
 
 
 def test_products_beyond_64_bits(spark, monkeypatch):
     """Cells with counts near 2^45, as a corpus of many terabytes has them."""
     big = 1 << 45
-
-    def cells(texts, k, shorter):
-        table = {1: [("en", "", "a", 3 * big), ("en", "", "b", 2 * big)], 2: [("en", "a", "b", big + 7)], 3: [], 4: []}[k]
-        return spark.createDataFrame(table, "lang string, prefix string, next string, a long")
-
-    monkeypatch.setattr(phrases, "merged_stripes", cells)
+    table = [("en", 0, "", "", 9 * big), ("en", 1, "", "a", 3 * big), ("en", 1, "", "b", 2 * big), ("en", 2, "a", "b", big + 7)]
+    monkeypatch.setattr(phrases, "merged_stripes", lambda texts, filters: spark.createDataFrame(table, "lang string, k int, prefix string, next string, a long"))
     out = phrases.collocations(frame(spark, [("a b", "en")])).collect()
-    assert [(r["phrase"], r["score"]) for r in out] == [("a b", 2_000_000 * (big + 7) // (5 * big))]
+    assert [(r["phrase"], r["n"], r["score"]) for r in out] == [("a b", 9 * big, 2_000_000 * (big + 7) // (5 * big))]
 
 
 def test_empty_table(spark):
