@@ -1,7 +1,7 @@
 """Prompt texts per review: the full corpus per category, and a compact code context.
 
 A review's text is a table of blocks, as in ``report``: the head, one block per file, and the closing. It is the same for all
-categories, so it is kept once; the system prompts are a table of one row a category beside it.
+categories, so the blocks are kept once; ``prompt_pairs`` joins them and sets each category's system prompt beside the text.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hunkwise.functions.text import int_list
+from hunkwise.operators.assemble import PART_CHARS, assemble
 from hunkwise.operators.ranking import rank_in_group
 
 CLOSING = (  # fixed value
@@ -116,6 +117,14 @@ def prompt_corpus(contexts: DataFrame, files: DataFrame, symbols: DataFrame, key
     return _blocks(_heads(contexts, files, keys, head), files, file_sections(files, symbols, keys), keys, CLOSING)
 
 
+def prompt_pairs(blocks: DataFrame, keys: list[str], system_prompts: dict[str, str] | None = None, part_chars: int = PART_CHARS) -> DataFrame:
+    """One (``system_prompt``, ``user_prompt``) per review and category, from the blocks of :func:`prompt_corpus`. A text beyond
+    ``part_chars`` comes as several rows (``part`` of ``n_parts``)."""
+    roles = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(p).alias("system_prompt")) for c, p in (system_prompts or SYSTEM_PROMPTS).items()])
+    texts = assemble(blocks, keys, "block_ord", "text", part_chars=part_chars)
+    return texts.withColumn("role", F.explode(roles)).select(*keys, "role.*", "part", "n_parts", F.col("text").alias("user_prompt"))
+
+
 def compact_context(contexts: DataFrame, files: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
     """The shorter form: title, repository, author, file count, then scopes and patches."""
     head = F.concat(

@@ -1,7 +1,7 @@
 """Texts of a review: Markdown report, inline comments, submission payload.
 
-A report is a table of blocks, whatever its size: per review the head (block 0), one block per ranked finding, and the footer.
-The blocks in order, joined by line breaks, are the Markdown text. No task ever gathers the findings of a review.
+A report is a table of blocks: per review the head (block 0), one block per ranked finding, and the footer. The blocks in order,
+joined by line breaks, are the Markdown text, which ``review_rows`` puts together beside the verdict.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hunkwise.functions.text import strip
+from hunkwise.operators.assemble import PART_CHARS, assemble
 from hunkwise.schemas import AGENTS, SEVERITIES, VERDICT_BADGES, lookup
 
 ALL_CLEAR = (  # fixed value
@@ -85,6 +86,12 @@ def report_blocks(contexts: DataFrame, verdicts: DataFrame, agents: DataFrame, r
         ranked.select(*keys, F.col("finding_ord").cast("long").alias("block_ord"), finding_block().alias("body")))
 
 
+def review_rows(verdicts: DataFrame, blocks: DataFrame, keys: list[str], part_chars: int = PART_CHARS) -> DataFrame:
+    """What is submitted of each review: verdict, total_findings and the report as ``body``; a report beyond ``part_chars`` comes as
+    several rows (``part`` of ``n_parts``), any other as one."""
+    return verdicts.join(assemble(blocks, keys, "block_ord", "body", part_chars=part_chars), keys)
+
+
 def comment_body(brand: Brand = Brand()) -> Column:
     """Badge, title, label and scope; the message; a fix block where a fix is given; the confidence."""
     fix = strip(F.coalesce(F.col("suggested_fix"), F.lit("")))

@@ -14,8 +14,8 @@ from hunkwise.operators.review import agent_results, dedupe_findings, rank_findi
 from hunkwise.operators.scopes import with_source_text
 from hunkwise.plans.enrich import file_symbols, gated_files
 from hunkwise.plans.findings import rule_findings, scope_columns, seq, with_texts
-from hunkwise.plans.prompts import prompt_corpus
-from hunkwise.plans.report import Brand, dry_run_rows, inline_comments, report_blocks, submissions
+from hunkwise.plans.prompts import prompt_corpus, prompt_pairs
+from hunkwise.plans.report import Brand, dry_run_rows, inline_comments, report_blocks, review_rows, submissions
 from hunkwise.rules import LINE_RULES, Rule
 from hunkwise.schemas import AGENTS, FILE_KEYS, REVIEW_KEYS, SOURCE_KEYS, Agent, agent_order
 from hunkwise.session import stage
@@ -46,8 +46,8 @@ class ReviewTables:
         return report_blocks(contexts, self.verdicts, self.agent_results, self.findings, REVIEW_KEYS, self._brand)
 
     def reviews(self) -> DataFrame:
-        """The rows of the review sink, one a review: verdict and total. Its report is the blocks of ``reports``."""
-        return self.verdicts
+        """The rows of the review sink, one a review: verdict, total and the report as ``body``."""
+        return review_rows(self.verdicts, self.reports(), REVIEW_KEYS)
 
     def dry_run(self) -> DataFrame:
         return dry_run_rows(self.verdicts)
@@ -113,6 +113,9 @@ class EnrichedTables:
     def prompts(self) -> DataFrame:
         return prompt_corpus(self.contexts, self.files, self.symbols, REVIEW_KEYS)
 
+    def prompt_pairs(self, system_prompts: dict[str, str] | None = None) -> DataFrame:
+        return prompt_pairs(self.prompts(), REVIEW_KEYS, system_prompts)
+
 
 def enrich(contexts: DataFrame, pr_files: DataFrame, sources: DataFrame,
            symbols: DataFrame | None = None) -> EnrichedTables:

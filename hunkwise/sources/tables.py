@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from hunkwise.functions.text import split_lines
 from hunkwise.operators.diff import hunk_texts, with_line_lists
 from hunkwise.operators.files import language
 from hunkwise.schemas import REVIEW_KEYS
+from hunkwise.sources.commits import compact, read_committed, write_batch
 
+REVIEWS = "reviews"
 TABLES = {
     "pr_events": schemas.PR_EVENTS_DDL,
     "reviews_ctx": schemas.REVIEW_CONTEXT_DDL,
@@ -68,17 +72,21 @@ def diff_summary(diffs: DataFrame, keys: list[str], diff: str = "diff") -> DataF
         *keys, F.size(hunk_texts(F.col(diff))).alias("n_hunks"), F.size("changed_lines").alias("n_added"))
 
 
-def write_reviews(reviews: DataFrame, path: str) -> None:
-    """Append rows of reviews (verdicts, or the blocks of reports), stamped with the time of this write. Nothing that was
-    written before is read, and writers do not meet; :func:`read_reviews` finds the last write of each review."""
-    stamped = reviews.withColumns({"written_at": F.current_timestamp(), "written_on": F.current_date()})
-    stamped.write.mode("append").partitionBy("written_on").parquet(path)
+def write_reviews(reviews: DataFrame, path: str, batch: str | None = None) -> None:
+    """Commit rows of reviews (verdict and text, or the blocks of reports). Nothing that was written before is read. The same ``batch``
+    written again takes the place of its first write; without a name each write is a batch of its own."""
+    spark = reviews.sparkSession
+    write_batch(spark, path, batch or uuid.uuid4().hex, {REVIEWS: reviews.withColumn("written_on", F.current_date())})
 
 
 def read_reviews(spark: SparkSession, path: str, since: str | None = None, keys: list[str] = REVIEW_KEYS) -> DataFrame:
-    """The rows of each review's last write, so that writing again replaces. ``since`` (a date) prunes older partitions."""
-    rows = spark.read.parquet(path)
+    """The rows of each review's last write, so that writing again replaces. ``since``: a date, reviews last written before it are left out."""
+    rows = read_committed(spark, path, REVIEWS, keys)
     if since is not None:
         rows = rows.where(F.col("written_on") >= F.lit(since).cast("date"))
-    last = rows.groupBy(*keys).agg(F.max("written_at").alias("written_at"))
-    return rows.join(last, [*keys, "written_at"]).drop("written_at", "written_on")
+    return rows.drop("written_on")
+
+
+def compact_reviews(spark: SparkSession, path: str, keys: list[str] = REVIEW_KEYS) -> None:
+    """One write in the place of all, each review's last."""
+    compact(spark, path, {REVIEWS: keys})
