@@ -142,12 +142,13 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of one review per customer, from returned lines. ``seq`` is a total order of the lines."""
-    orders = table(spark, sf_dir, "orders").where("o_custkey % 3 <> 0").select("o_orderkey", "o_custkey", "o_orderpriority")
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    level = F.substring("o_orderpriority", 1, 1).cast("int")
-    rows = lines.where((F.col("o_custkey") % 5 != 0) | (level > 2))
-    return rows.select(
+    """Findings of one review per customer, from all lines of its orders; those of every fifth customer are never blocking. ``seq`` is a
+    total order of the lines."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    urgency = F.substring("o_orderpriority", 1, 1).cast("int")
+    level = F.when(F.col("o_custkey") % 5 == 0, F.greatest(urgency, F.lit(3))).otherwise(urgency)
+    return lines.select(
         F.col("o_custkey").alias("review"),
         F.concat(F.lit("f"), (F.col("l_partkey") % 50).cast("string"), F.lit(".py")).alias("file"),
         F.col("l_linenumber").alias("line_start"), F.col("l_linenumber").alias("line_end"),
@@ -192,7 +193,7 @@ def deliveries(events: DataFrame) -> DataFrame:
     ).cast("binary")
     signature = F.when(e % 7 == 0, F.lit(None).cast("string")).when(e % 7 == 1, "md5=abc").when(e % 7 == 2, "sha256=00").otherwise(
         F.col("true_signature"))
-    # the SQL computes the digest on its own, and the tests hold the function against Python's
+    # signature_audit also emits the digest, which the SQL computes on its own
     signed = F.concat(F.lit("sha256="), hmac_sha256_hex(SECRET, F.col("body")))
     return events.withColumn("body", body).withColumn("true_signature", signed).select(
         e.cast("string").alias("delivery_id"),
@@ -265,8 +266,8 @@ def brace_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ── Whole reviews: five documents per review, Python sources and patches that add two lines of three ──
 
 def review_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.floor(F.col("doc_id") / 5)
-    return table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(
+    n = F.col("n")
+    return table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 5).alias("n")).distinct().select(
         F.lit(None).cast("bigint").alias("installation_id"), F.lit("org/app").alias("repo_full_name"),
         F.lit("https://example.org/app.git").alias("repo_clone_url"), n.alias("pr_number"),
         F.format_string("Change %d", n).alias("pr_title"), F.format_string("sha%d", n).alias("head_sha"),

@@ -271,12 +271,13 @@ FROM reply_rows GROUP BY review, bad"""
 ORACLES["model_filter"] = ctes(REPLY_ROWS) + " SELECT * FROM kept_items"
 ORACLES["merge_findings"] = ctes(REPLY_ROWS, """
 places AS (
-  SELECT l_orderkey AS review, 'f' || l_suppkey || '.py' AS file, l_linenumber AS line_start FROM lineitem WHERE l_quantity < 10)""") + """
-SELECT review, file, line_start, 'r' AS title, 'rule' AS origin, NULL AS item_ord FROM places
+  SELECT l_orderkey AS review, CASE WHEN l_quantity < 10 THEN 'security' ELSE 'performance' END AS category,
+         'f' || l_suppkey || '.py' AS file, l_linenumber AS line_start FROM lineitem)""") + """
+SELECT review, category, file, line_start, 'r' AS title, 'rule' AS origin, NULL AS item_ord FROM places
 UNION ALL
-SELECT review, file, line_start, title, 'model', item_ord
+SELECT review, 'security', file, line_start, title, 'model', item_ord
 FROM (SELECT *, row_number() OVER (PARTITION BY review, file, line_start ORDER BY item_ord) AS nth FROM kept_items)
-WHERE nth = 1 AND (review, file, line_start) NOT IN (SELECT review, file, line_start FROM places)"""
+WHERE nth = 1 AND (review, file, line_start) NOT IN (SELECT review, file, line_start FROM places WHERE category = 'security')"""
 
 # ── reviews from findings ────────────────────────────────────────────────────────────────────────────
 
@@ -285,14 +286,14 @@ found AS (
   SELECT o_custkey AS review, 'f' || (l_partkey % 50) || '.py' AS file, l_linenumber AS line_start,
          CASE WHEN l_suppkey % 3 <> 0 THEN 's' || (l_suppkey % 10) END AS symbol_name,
          ['security', 'performance', 'bug_risk', 'code_quality'][l_suppkey % 4 + 1] AS category,
-         ['critical', 'high', 'medium', 'low', 'info'][substr(o_orderpriority, 1, 1)::INT] AS severity,
+         ['critical', 'high', 'medium', 'low', 'info'][CASE WHEN o_custkey % 5 = 0 THEN greatest(substr(o_orderpriority, 1, 1)::INT, 3)
+                                                            ELSE substr(o_orderpriority, 1, 1)::INT END] AS severity,
          (l_quantity::INT % 3)::VARCHAR AS title, 'm' || l_partkey AS message,
          CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE ' use x ' END AS suggested_fix,
          [0.85, 0.88, 0.9, 0.92, 0.95, 1.0, 0.7][l_linenumber]::DOUBLE AS confidence_score,
          CASE WHEN l_orderkey % 4 = 0 THEN 'model' ELSE 'rule' END AS origin,
          l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_returnflag = 'R' AND o_custkey % 3 <> 0 AND (o_custkey % 5 <> 0 OR substr(o_orderpriority, 1, 1)::INT > 2)),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 uniq AS (
   SELECT * FROM found
   QUALIFY row_number() OVER (PARTITION BY review, file, line_start, category, title
@@ -319,7 +320,6 @@ SELECT review, file, line_start, category, title, severity, symbol_name, message
 ORACLES["rank_findings"] = ctes(FINDINGS) + """
 SELECT review, finding_ord, severity, file, line_start, category, title, message FROM ranked"""
 ORACLES["verdict"] = ctes(FINDINGS) + " SELECT * FROM judged"
-ORACLES["review_sink"] = ORACLES["verdict"]
 ORACLES["agent_results"] = ctes(FINDINGS) + " SELECT review, agent_ord, agent_name, category, n_findings, passed FROM agents"
 ORACLES["agent_summary"] = ctes(FINDINGS) + " SELECT review, agent_name, summary FROM agents"
 ORACLES["dry_run"] = ctes(FINDINGS) + """
@@ -336,8 +336,9 @@ SELECT review, finding_ord AS comment_ord, file AS path, line_start AS line, 'RI
 FROM ranked"""
 ORACLES["submission_payload"] = ctes(FINDINGS, """
 sided AS (
-  SELECT DISTINCT o_custkey AS review, 'f' || (l_partkey % 50) || '.py' AS file, l_linenumber AS line_start
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 40 <> 0),
+  SELECT DISTINCT o_custkey AS review, 'f' || (l_partkey % 50) || '.py' AS file,
+         CASE WHEN l_partkey % 40 = 0 THEN l_linenumber + 1000 ELSE l_linenumber END AS line_start
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 off_side AS (SELECT DISTINCT review FROM uniq WHERE (review, file, line_start) NOT IN (SELECT review, file, line_start FROM sided))""") + f"""
 SELECT j.review, CASE WHEN o.review IS NULL THEN 'success' ELSE 'fallback_success' END AS status,
        CASE WHEN o.review IS NOT NULL AND verdict = 'REQUEST_CHANGES' THEN 'COMMENT' ELSE verdict END AS event, verdict,
@@ -362,6 +363,10 @@ SELECT p.review, 0, '## {BRAND.heading} — ' || {case("verdict", VERDICT_BADGES
        || '| Agent | Category | Findings | Status |' || {NL} || '|---|---|:---:|:---:|' || {NL} || agent_text || {NL} || {NL}
        || CASE WHEN total_findings = 0 THEN {q(report_texts.ALL_CLEAR)} ELSE '### Detailed Findings' || {NL} END
 FROM judged p JOIN customer ON c_custkey = p.review JOIN agent_part a ON a.review = p.review"""
+ORACLES["review_sink"] = ctes(FINDINGS) + f"""
+SELECT j.review, j.verdict, j.total_findings, 0 AS part, 1 AS n_parts, body_sha256
+FROM judged j JOIN (SELECT review, sha256(string_agg(body, {NL} ORDER BY block_ord)) AS body_sha256
+                    FROM ({ORACLES["report_markdown"]}) GROUP BY review) b ON b.review = j.review"""
 ORACLES["token_estimate"] = ctes(PATCH_LINES.replace("patch_lines AS", "unused AS"), f"""
 patch_chars AS (
   SELECT doc_id, sum(length(raw)) + count(*) - 1 AS chars FROM typed GROUP BY doc_id),
@@ -404,7 +409,7 @@ states AS (
 disposed AS (
   SELECT *, CASE WHEN state <> 'valid' THEN state WHEN kind = 'ping' THEN 'ignored_event' WHEN e % 10 = 0 THEN 'invalid_payload'
                  WHEN action = 'closed' THEN 'ignored_action' ELSE 'accepted' END AS disposition FROM states)"""
-ORACLES["signature_audit"] = ctes(EVENTS) + " SELECT e::VARCHAR AS delivery_id, state AS signature_state FROM states"
+ORACLES["signature_audit"] = ctes(EVENTS) + " SELECT e::VARCHAR AS delivery_id, state AS signature_state, sha256(unhex('" + OPAD + "') || unhex(sha256(unhex('" + IPAD + "') || encode(body)))) AS digest FROM states"
 ORACLES["event_disposition"] = ctes(EVENTS) + " SELECT e::VARCHAR AS delivery_id, disposition FROM disposed"
 ORACLES["disposition_counts"] = ctes(EVENTS) + " SELECT disposition, count(*) AS deliveries FROM disposed GROUP BY disposition"
 CONTEXT = {
@@ -470,6 +475,10 @@ SELECT review, block_ord, text FROM section_rows UNION ALL SELECT review, 0, {he
 
 ORACLES["prompt_corpus"] = prompt_sql(True)
 ORACLES["compact_context"] = prompt_sql(False)
+ORACLES["prompt_pairs"] = f"""
+SELECT review, category, 0 AS part, 1 AS n_parts, sha256(prompt) AS system_prompt_sha256, sha256(user_prompt) AS user_prompt_sha256
+FROM (SELECT review, string_agg(text, {NL} ORDER BY block_ord) AS user_prompt FROM ({prompt_sql(True)}) GROUP BY review)
+CROSS JOIN (VALUES {", ".join(f"({q(c)}, {q(p)})" for c, p in prompt_texts.SYSTEM_PROMPTS.items())}) s(category, prompt)"""
 
 # ── whole reviews ────────────────────────────────────────────────────────────────────────────────────
 
@@ -520,7 +529,7 @@ ORACLES["review_verdicts"] = ctes(RULES, REVIEW_MODULES) + """
 SELECT r.pr_number, CASE WHEN u.n IS NULL THEN 'APPROVE' WHEN u.blocked THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END AS verdict,
        coalesce(u.n, 0) AS total_findings, coalesce(security, 0) AS security, coalesce(performance, 0) AS performance,
        coalesce(bug_risk, 0) AS bug_risk, coalesce(code_quality, 0) AS code_quality
-FROM (SELECT DISTINCT doc_id // 5 AS pr_number FROM documents WHERE doc_id % 5 = 0) r
+FROM (SELECT DISTINCT doc_id // 5 AS pr_number FROM documents) r
 LEFT JOIN (SELECT doc_id // 5 AS pr_number, count(*) AS n, bool_or(severity IN ('critical', 'high')) AS blocked
            FROM first_found GROUP BY doc_id // 5) u USING (pr_number)
 LEFT JOIN (SELECT doc_id // 5 AS pr_number, count(*) FILTER (category = 'security') AS security,

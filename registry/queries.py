@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hunkwise.functions.hmac import hmac_sha256_hex
 from hunkwise.operators import cover as cov
 from hunkwise.operators import detect, diff, events, files, model, review, scopes
 from hunkwise.plans import findings as plan_findings
@@ -267,8 +268,9 @@ def model_filter(spark, sf):
 
 
 def _rule_places(spark, sf):
-    return inputs.table(spark, sf, "lineitem").where("l_quantity < 10").select(
-        F.col("l_orderkey").alias("review"), F.lit("security").alias("category"),
+    """Rule findings at every line: small quantities in the category of the model's findings, the others beside it."""
+    return inputs.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("review"), F.when(F.col("l_quantity") < 10, "security").otherwise("performance").alias("category"),
         F.concat(F.lit("f"), F.col("l_suppkey").cast("string"), F.lit(".py")).alias("file"),
         F.col("l_linenumber").alias("line_start"), F.lit("r").alias("title"), F.lit("rule").alias("origin"))
 
@@ -278,7 +280,7 @@ def merge_findings(spark, sf):
     keys = ["review", "category"]
     found = model.model_findings(_items(spark, sf), keys).withColumn("origin", F.lit("model"))
     return model.merge_findings(_rule_places(spark, sf), found, keys).select(
-        "review", "file", "line_start", "title", "origin", "item_ord")
+        "review", "category", "file", "line_start", "title", "origin", "item_ord")
 
 
 # ── reviews from findings ────────────────────────────────────────────────────────────────────────────
@@ -300,9 +302,9 @@ def _verdicts(spark, sf):
 
 def _summaries(spark, sf):
     r = F.col("c_custkey")
-    return inputs.table(spark, sf, "customer").where("c_custkey % 2 = 0").select(
+    return inputs.table(spark, sf, "customer").select(
         r.alias("review"), inputs.pick(["security", "performance", "bug_risk", "code_quality"], r % 4).alias("category"),
-        F.when(r % 10 == 0, "").otherwise("model says fine").alias("summary"))
+        F.when(r % 2 == 1, F.lit(None)).when(r % 10 == 0, "").otherwise("model says fine").alias("summary"))
 
 
 def _agents(spark, sf):
@@ -329,12 +331,14 @@ def verdict(spark, sf):
 
 @query
 def review_sink(spark, sf):
-    """The verdicts written twice, the first time with other totals, and read back."""
+    """Verdicts and report texts written three times (other totals, the whole, and the same batch again) and read back."""
     path = stage_path(spark, "review-sink")
-    found = _verdicts(spark, sf)
-    write_reviews(found.withColumn("total_findings", F.col("total_findings") + 1), path)
-    write_reviews(found, path)
-    return read_reviews(spark, path, keys=KEY)
+    found = stage(report.review_rows(_verdicts(spark, sf), report_markdown(spark, sf), KEY), "review-rows")
+    write_reviews(found.withColumn("total_findings", F.col("total_findings") + 1), path, "first")
+    for _ in range(2):
+        write_reviews(found, path, "second")
+    return read_reviews(spark, path, keys=KEY).select(
+        "review", "verdict", "total_findings", "part", "n_parts", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"))
 
 
 @query
@@ -359,12 +363,13 @@ def inline_comments(spark, sf):
 
 
 def _new_side(spark, sf):
-    lines = inputs.table(spark, sf, "lineitem").where("l_partkey % 40 <> 0").join(
+    """The places of all findings, but every fortieth part's far below its own."""
+    lines = inputs.table(spark, sf, "lineitem").join(
         inputs.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.select(
         F.col("o_custkey").alias("review"),
         F.concat(F.lit("f"), (F.col("l_partkey") % 50).cast("string"), F.lit(".py")).alias("filename"),
-        F.col("l_linenumber").alias("line"))
+        F.when(F.col("l_partkey") % 40 == 0, F.col("l_linenumber") + 1000).otherwise(F.col("l_linenumber")).alias("line"))
 
 
 @query
@@ -382,7 +387,7 @@ def report_markdown(spark, sf):
 def token_estimate(spark, sf):
     """Reviews of ten documents: patch texts, and the snippets of their scopes."""
     group = F.floor(F.col("doc_id") / 10).alias("review")
-    reviews = inputs.table(spark, sf, "documents").where("doc_id % 10 = 0").select(group)
+    reviews = inputs.table(spark, sf, "documents").select(group).distinct()
     patches = inputs.patches(spark, sf).select(group, "patch")
     snippets = inputs.code_scopes(spark, sf).select(group, F.length("code_snippet").alias("n_chars"))
     return review.review_sizes(reviews, patches, snippets, KEY)
@@ -398,7 +403,8 @@ def _judged(spark, sf):
 def signature_audit(spark, sf):
     rows = inputs.event_deliveries(spark, sf)
     return rows.select(
-        "delivery_id", events.signature_state(F.col("signature"), F.col("body"), inputs.SECRET).alias("signature_state"))
+        "delivery_id", events.signature_state(F.col("signature"), F.col("body"), inputs.SECRET).alias("signature_state"),
+        hmac_sha256_hex(inputs.SECRET, F.col("body")).alias("digest"))
 
 
 @query
@@ -441,8 +447,9 @@ def _prompt_inputs(spark, sf):
         group.alias("review"), F.col("doc_id").cast("string").alias("filename"), (F.col("doc_id") % 10).cast("int").alias("file_ord"),
         F.lit("modified").alias("status"), F.lit("python").alias("language"), "changed_lines",
         F.coalesce("unscoped_lines", F.array().cast("array<int>")).alias("unscoped_lines"), "patch")
-    contexts = inputs.table(spark, sf, "documents").where("doc_id % 10 = 0").select(
-        group.alias("review"), group.alias("pr_number"), F.format_string("Change %d", group).alias("pr_title"),
+    number = F.col("review")
+    contexts = inputs.table(spark, sf, "documents").select(group.alias("review")).distinct().select(
+        "review", number.alias("pr_number"), F.format_string("Change %d", number).alias("pr_title"),
         F.lit("org/app").alias("repo_full_name"), F.lit("dev").alias("author_login"), F.lit("main").alias("base_branch"),
         F.lit("feat").alias("head_branch"), F.lit(3).alias("additions"), F.lit(4).alias("deletions"))
     named = symbols.withColumn("review", group).withColumn("filename", F.col("doc_id").cast("string")).drop("doc_id")
@@ -454,6 +461,13 @@ def prompt_corpus(spark, sf):
     return prompts.prompt_corpus(*_prompt_inputs(spark, sf), KEY)
 
 
+@query
+def prompt_pairs(spark, sf):
+    """System and user prompt of every review and category."""
+    pairs = prompts.prompt_pairs(prompt_corpus(spark, sf), KEY)
+    return pairs.select("review", "category", "part", "n_parts", *(F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("system_prompt", "user_prompt")))
+
+
 @query
 def compact_context(spark, sf):
     return prompts.compact_context(*_prompt_inputs(spark, sf), KEY)

@@ -112,7 +112,7 @@ def test_isolation_finds_the_rows_that_fail(spark):
 
 
 def test_one_poisoned_review_leaves_the_others(spark, tmp_path, monkeypatch):
-    keys = [("org/repo", n, f"s{n}") for n in range(6)]
+    keys = [("org/repo", n, f"s{n}") for n in (2, 3, 4)]
     real = streaming_reviews.review
 
     def review(contexts, *args, **options):
@@ -126,7 +126,7 @@ def test_one_poisoned_review_leaves_the_others(spark, tmp_path, monkeypatch):
     for _ in range(2):  # the second run stands for a retry of the batch
         on_batch(context(spark, *keys), 5)
     read = {t: commits.read_committed(spark, out, t, ["repo_full_name", "pr_number", "head_sha"]) for t in ("reviews", "inline_comments", "failed")}
-    assert rows(read["reviews"].select("pr_number"), "pr_number") == [(n,) for n in (0, 1, 2, 4, 5)]
+    assert rows(read["reviews"].select("pr_number"), "pr_number") == [(n,) for n in (2, 4)]
     assert read["inline_comments"].groupBy("pr_number").count().select("count").distinct().count() == 1
     (r,) = read["failed"].collect()
     assert r.pr_number == 3 and "cannot review 3" in r.error
