@@ -4,10 +4,10 @@ The result has as many lines as the text. A string keeps its quotes only (a rege
 line that begins inside a string, template text or block comment starts with INSIDE. What stands in the ``${}`` parts of a template is
 code like any other, with the braces of the part.
 
-Python needs one linear pattern. JavaScript templates nest without a limit, so such texts are read lexeme by lexeme: a fold over
-the lexemes of a text keeps a stack of open things, one character each, and puts the code together in runs of RUN lexemes, so that
-no growing value is copied a lexeme at a time. Texts without templates, block comments and possible regex literals take one
-pattern there, too. All patterns are linear and none recurses: repeated groups are possessive.
+Python needs one linear pattern. JavaScript templates nest without a limit, so texts with ``${`` or with a possible regex literal are
+read lexeme by lexeme: a fold over the lexemes of a text keeps a stack of open things, one character each, and puts the code together
+in runs of RUN lexemes, so that no growing value is copied a lexeme at a time. All other texts take one pattern there, too. All patterns
+are linear and none recurses: repeated groups are possessive.
 
 Choices: ``'`` right after a letter or digit opens no JS string (it is prose in markup); ``/`` begins a regex literal after an
 operator, an opening bracket, a comma, a colon, a semicolon, ``=>`` or one of REGEX_WORDS, and divides otherwise; strings
@@ -27,21 +27,26 @@ _TRIPLE = r"{q}{{3}}[^{q}\\]*+(?:(?:\\[\s\S]|{q}(?!{q}{q}))[^{q}\\]*+)*+(?:{q}{{
 _QUOTED = r"{q}[^{q}\\\n]*+(?:\\[\s\S][^{q}\\\n]*+)*+(?:{q}|(?=\n)|\\?\z)"
 _PY_LEXEME = "|".join([_TRIPLE.format(q='"'), _TRIPLE.format(q="'"), _QUOTED.format(q='"'), _QUOTED.format(q="'"), r"#[^\n]*+", r"[^\"'#]++"])
 
-_JS_PLAIN = r"//[^\n]*+|(\")[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+(?:\"|(?=\n)|\\?\z)|(?<![\p{L}\p{N}])(')[^'\\\n]*+(?:\\.[^'\\\n]*+)*+(?:'|(?=\n)|\\?\z)"
 _REGEX_AFTER = r"[=(,:\[!&|?{;+\-*%~^]|=>"
-_JS_HARD = r"`|/\*|\\\n|(?:" + _REGEX_AFTER + r"|\A|\b(?:" + "|".join(REGEX_WORDS) + r"))\s*+/(?!/)"
+_REGEX_START = r"(?:" + _REGEX_AFTER + r"|\A|\b(?:" + "|".join(REGEX_WORDS) + r"))\s*+/(?![/*])"
+_JS_SIMPLE = "|".join([r"//[^\n]*+", r"/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)", r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+(?:`|\\?\z)", _QUOTED.format(q='"'),
+                       r"(?<![\p{L}\p{N}])" + _QUOTED.format(q="'"), r"(?:[^\"'`/]++|(?<=[\p{L}\p{N}])')++", "/"])
 _JS_LEXEME = r"\$\{|//|/\*|\*/|[`'\"{}/\[\]\\\n]|\w++|[^\S\n]++|[^\w\s\\`'\"{}/\[\]$*]++|[\s\S]"
 _REGEX_BEFORE = r"(?:\A|" + _REGEX_AFTER + r"|\b(?:" + "|".join(REGEX_WORDS) + r"))\s*\z"
 
 
-def python_code(text: Column) -> Column:
+def _blank_lexemes(text: Column, pattern: str, comments: list[str]) -> Column:
     def blank(lexeme: Column) -> Column:
-        quote = F.substring(lexeme, 1, 1)
-        lines = F.replace(F.regexp_replace(lexeme, r"[^\n]++", F.lit("")), F.lit("\n"), F.lit("\n" + INSIDE))
-        return F.when(quote == "#", "").when(quote.isin('"', "'"), F.concat(quote, lines, quote)).otherwise(lexeme)
+        first = F.substring(lexeme, 1, 1)
+        lines = F.when(lexeme.contains("\n"), F.replace(F.regexp_replace(lexeme, r"[^\n]++", F.lit("")), F.lit("\n"), F.lit("\n" + INSIDE))).otherwise("")
+        is_comment = F.substring(lexeme, 1, len(comments[0])).isin(*comments)
+        return F.when(is_comment, lines).when(first.isin('"', "'", "`"), F.concat(first, lines, first)).otherwise(lexeme)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), blank), "")
 
-    lexemes = F.regexp_extract_all(text, F.lit(_PY_LEXEME), F.lit(0))
-    return F.when(text.rlike("[\"'#]"), F.array_join(F.transform(lexemes, blank), "")).otherwise(text)
+
+def python_code(text: Column) -> Column:
+    return F.when(text.rlike("[\"'#]"), _blank_lexemes(text, _PY_LEXEME, ["#"])).otherwise(text)
 
 
 def _action(stack: Column, last: Column, x: Column) -> Column:
@@ -108,5 +113,5 @@ def _folded(text: Column) -> Column:
 
 
 def brace_code(text: Column) -> Column:
-    plain = F.when(text.rlike("[\"'/]"), F.regexp_replace(text, _JS_PLAIN, "$1$1$2$2")).otherwise(text)
-    return F.when(text.rlike(_JS_HARD), _folded(text)).otherwise(plain)
+    simple = F.when(text.rlike("[\"'`/]"), _blank_lexemes(text, _JS_SIMPLE, ["//", "/*"])).otherwise(text)
+    return F.when(text.contains("${") | (text.contains("/") & text.rlike(_REGEX_START)), _folded(text)).otherwise(simple)

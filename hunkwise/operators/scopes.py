@@ -5,15 +5,15 @@ so a group is bounded by that cell. Where an end has to be searched, a line is r
 that it can close (the distinct levels of a file are few), and the search is then a running window over the
 level's rows instead of a join of every header with every later line.
 
-Comments and strings of a line are blanked by one linear pattern before braces and triple quotes are counted. Triple-quoted
-strings and JS templates over several lines are a state of two values: a line keeps it, turns it round or sets it, so the state
-above a line is the last set value and the turns since then, two running windows. Every pattern is linear in the line and
-none recurses: repeated groups are possessive.
-
-Approximations against a grammar: several definitions on one line count as one; braces in JS regex literals, and in the
-``${}`` parts of a template, do not open scopes properly; an arrow function without a block ends with its line, with the next
-line after a last ``=>``, or with the line of closing parentheses after a last ``(``; ``'`` after a letter opens no JS string; the
-two kinds of triple quotes close each other over several lines.
+Lines are read as code (``functions.lexing``): strings, comments, template texts and regex literals are blanked over the whole text
+before braces, brackets and headers are looked for, and a line that begins inside a string is marked. A Python line is a
+statement's first if it does not begin inside a string or an open bracket and does not continue a line that ends with a backslash; an
+open bracket ends at the next header at the latest, so a broken line spoils no more than its own scope. A brace-language line with
+several opening braces, or one behind a closing one, is cut behind each brace, so that each of its definitions has a row of its own (``seg`` numbers them).
+
+Approximations against a grammar: of definitions that share a row without a brace between them the first counts; an arrow function
+without a block ends with its line, with the next line after a last ``=>``, or with the line of closing parentheses after a last ``(``;
+``functions.lexing`` lists its choices on ``'`` and ``/``.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hunkwise.functions.lexing import INSIDE, brace_code, python_code
 from hunkwise.functions.steps import computed_once
-from hunkwise.functions.text import BLANKS, lstrip, split_lines, strip
+from hunkwise.functions.text import BLANKS, lstrip, split_lines, strip, unix_lines
 from hunkwise.operators.cover import interval_join
 from hunkwise.schemas import lookup
 from hunkwise.session import stage
@@ -47,11 +48,9 @@ _JS_METHOD = (
     + _NAME + r"\s*+\("
 )
 
-_DOUBLE, _SINGLE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\z|\\\z)', r"'[^'\\]*+(?:\\.[^'\\]*+)*+(?:'|\z|\\\z)"
-# what is not code on a line; group 1 is the mark of a string that stays open
-_PY_PLAIN = r'"{3}.*?"{3}|\'{3}.*?\'{3}|("{3}|\'{3}).*+|' + _DOUBLE + "|" + _SINGLE + "|#.*+"
-_JS_PLAIN = (r"`[^`\\]*+(?:\\.[^`\\]*+)*+`|(`).*+|//.*+|/\*.*?(?:\*/|\z)|" + _DOUBLE + r"|(?<![\p{L}\p{N}])" + _SINGLE)
-
+_PIECE = r"[^{}]*+(?:\{|\}[;,]*+)|[^{}]++\z"
+_GOES_ON = r"\A\s*+\}\s*+(?:else|catch|finally|while)\b[^{}]*+\{\s*+\z"
+_LAST = 1 << 30  # the segment of an end that is a whole line
 
 def source_lines(sources: DataFrame, keys: list[str]) -> DataFrame:
     """One row per source line: ``line`` from 1 and ``text``."""
@@ -60,15 +59,22 @@ def source_lines(sources: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _code(text: Column, python: Column) -> Column:
-    """The code on a line that does not begin inside a string; a mark stands for a string that stays open."""
-    py_plain, js_plain = text.rlike("[\"'#]"), text.rlike("[\"'`/]")
-    return F.when(python, F.when(py_plain, F.regexp_replace(text, _PY_PLAIN, "$1")).otherwise(text)).otherwise(
-        F.when(js_plain, F.regexp_replace(text, _JS_PLAIN, "$1")).otherwise(text))
-
-
-def _open_mark(code: Column, python: Column) -> Column:
-    return F.when(python, code.contains('"""') | code.contains("'''")).otherwise(code.contains("`"))
+def code_lines(sources: DataFrame, keys: list[str]) -> DataFrame:
+    """Source lines with ``language`` and their ``code``; a line of a brace language with several blocks as one row behind each
+    brace (``seg`` from 0; ``whole``: the row begins its line)."""
+    text = F.when(F.length("content") == 0, F.lit(None)).otherwise(F.regexp_replace(unix_lines(F.col("content")), "\n\\z", ""))
+    rows = computed_once(sources.select(*keys, "language", text.alias("raw")).where("raw IS NOT NULL"), "as_code",
+                         F.when(F.col("language") == "python", python_code(F.col("raw"))).otherwise(brace_code(F.col("raw"))))
+    pairs = F.arrays_zip(F.split("raw", "\n").alias("text"), F.split("as_code", "\n").alias("code"))
+    names = list(dict.fromkeys([*keys, "language"]))
+    lines = rows.select(*names, F.posexplode(pairs).alias("off", "pair"))
+    code = F.col("pair.code")
+    reopens = code.contains("}") & code.rlike(r"\}[^{]*+\{") & ~code.rlike(_GOES_ON)
+    several = (F.col("language") != "python") & ((_char_count(code, "{") > 1) | reopens)
+    pieces = F.when(several, F.regexp_extract_all("pair.code", F.lit(_PIECE), F.lit(0))).otherwise(F.array("pair.code"))
+    whole = F.col("seg") == 0
+    return lines.select(*names, (F.col("off") + 1).alias("line"), "pair.text", F.posexplode(pieces).alias("seg", "code")).withColumns({
+        "text": F.when(whole, F.col("text")).otherwise(F.col("code")), "whole": whole})
 
 
 def _char_count(text: Column, char: str) -> Column:
@@ -76,44 +82,39 @@ def _char_count(text: Column, char: str) -> Column:
 
 
 def _line_features(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """What the windows need to know of a line. Regexes run only behind a cheap test for their literal text."""
-    lines = computed_once(lines, "body", lstrip(F.col("text")))
-    text, body = F.col("text"), F.col("body")
+    """What the windows need to know of a row. Regexes run only behind a cheap test for their literal text."""
+    lines = computed_once(computed_once(lines, "body", lstrip(F.col("text"))), "stripped", strip(F.col("code")))
+    text, body, code, stripped = F.col("text"), F.col("body"), F.col("code"), F.col("stripped")
     python = F.col("language") == "python"
-    counted = text.contains("{") | text.contains("}") | text.contains("`")
-    marked = F.when(python, text.contains('"""') | text.contains("'''")).otherwise(text.contains("`"))
-    # the line as code, and what is code of it if it begins inside a string: only what follows a closing mark
-    rest = F.when(python, F.regexp_extract(text, r"""\A.*?(?:"{3}|'{3})(.*)\z""", 1)).otherwise(F.regexp_extract(text, r"\A(?:[^`\\]|\\.)*+`(.*)\z", 1))
-    lines = computed_once(lines, "code", F.when(marked | (~python & counted), _code(text, python)).otherwise(F.lit("")))
-    lines = computed_once(lines, "rest", F.when(marked, _code(rest, python)).otherwise(F.lit("")))
-    code, rest = F.col("code"), F.col("rest")
+    inside = code.startswith(INSIDE)
     comment = body.startswith("//") | body.startswith("/*") | body.startswith("*")
 
     def extract(guard: Column, pattern: str, group: int) -> Column:
-        return F.when(guard, F.nullif(F.regexp_extract(text, pattern, group), F.lit("")))
-
-    py = python & (body.startswith("def") | body.startswith("class") | body.startswith("async"))
-    js_class = ~python & text.contains("class")
-    js_function = ~python & text.contains("function")
-    js_const = ~python & text.contains("=") & (text.contains("=>") | text.contains("function"))
-    js_method = ~python & text.contains("(") & (~text.contains(";") | text.rlike(r"\}\s*+\z"))
-    js_open = ~python & text.contains("(") & text.contains("=")
-    triple = python & (text.contains('"""') | text.contains("\'\'\'"))
+        return F.when(guard, F.nullif(F.regexp_extract(code, pattern, group), F.lit("")))
+
+    py = python & (stripped.startswith("def") | stripped.startswith("class") | stripped.startswith("async"))
+    js_class = ~python & code.contains("class")
+    js_function = ~python & code.contains("function")
+    js_const = ~python & code.contains("=") & (code.contains("=>") | code.contains("function"))
+    js_method = ~python & code.contains("(") & (~code.contains(";") | code.rlike(r"\}\s*+\z"))
+    js_open = ~python & code.contains("(") & code.contains("=")
+
+    def brackets(marks: str) -> Column:
+        return F.when(python, F.length(code) - F.length(F.translate(code, marks, ""))).otherwise(0)
+
     return lines.select(
-        *keys, "line", python.alias("python"),
+        *keys, "line", "seg", python.alias("python"), inside.alias("inside"),
         (F.length(text) - F.length(body)).alias("indent"),
         (body != "").alias("filled"),
-        F.when(python, body.startswith("#")).otherwise(
-            comment).alias("is_comment"),
-        (python & (body.startswith(")") | body.startswith("]") | body.startswith("}"))).alias("is_tail"),
-        (python & text.contains(":") & body.rlike(r"(?U):\s*(?:#.*)?\z")).alias("ends_signature"),
+        F.when(python, body.startswith("#") & ~inside).otherwise(comment & F.col("whole")).alias("is_comment"),
+        (python & (stripped != "") & ~inside).alias("has_code"),
+        (python & code.endswith("\\")).alias("goes_on"),
+        (brackets("([{") - brackets(")]}")).alias("bracket_step"),
+        (python & stripped.endswith(":")).alias("ends_colon"),
         (python & (body.contains("\"") | body.contains("\'")) & body.rlike(_PY_STRING_START)).alias("starts_string"),
-        _open_mark(code, python).cast("int").alias("turns"),
-        F.when(marked, 1 - _open_mark(rest, python).cast("int")).otherwise(0).alias("turns_inside"),
         F.when(python, F.length(F.translate(body, BLANKS + "\"\'", ""))).otherwise(0).alias("plain_chars"),
-        text.contains("async ").cast("int").alias("async_word"),
-        *(F.when(python | comment, 0).otherwise(_char_count(part, brace)).alias(name)
-          for part, brace, name in ((code, "{", "opens_code"), (code, "}", "closes_code"), (rest, "{", "opens_inside"), (rest, "}", "closes_inside"))),
+        (text.contains("async ") & (F.col("whole") | ~python)).cast("int").alias("async_word"),
+        *(F.when(python, 0).otherwise(_char_count(code, brace)).alias(name) for brace, name in (("{", "opens"), ("}", "closes"))),
         extract(py, _PY_HEADER, 1).alias("py_kind"),
         extract(py, _PY_HEADER, 2).alias("py_name"),
         extract(js_class, _JS_CLASS, 1).alias("class_name"),
@@ -122,44 +123,37 @@ def _line_features(lines: DataFrame, keys: list[str]) -> DataFrame:
         extract(js_const, _JS_CONST, 2).alias("const_value"),
         extract(js_method, _JS_METHOD, 1).alias("method_name"),
         extract(js_open, _JS_CONST_OPEN, 1).alias("open_name"),
-        (~python & text.contains("(") & text.rlike(r"\(\s*+\z")).alias("ends_open"),
-        (~python & text.contains("=>") & text.rlike(r"=>\s*\z")).alias("ends_arrow"),
-        (~python & body.startswith(")")).alias("starts_close"),
-        (~python & body.startswith(")") & text.contains("=>")).alias("closes_arrow"),
-        (~python & body.startswith(")") & body.rlike(r"\A\)+;?\s*\z")).alias("only_closes"),
-        (~python & body.startswith("/**")).alias("doc_opens"),
-        (~python & text.contains("/*")).alias("block_opens"),
-        (~python & text.contains("*/") & text.rlike(r"(?U)\*/\s*\z")).alias("doc_ends"),
+        (~python & stripped.endswith("(")).alias("ends_open"),
+        (~python & stripped.endswith("=>")).alias("ends_arrow"),
+        (~python & stripped.startswith(")")).alias("starts_close"),
+        (~python & stripped.startswith(")") & code.contains("=>")).alias("closes_arrow"),
+        (~python & stripped.startswith(")") & stripped.rlike(r"\A\)+;?\s*\z")).alias("only_closes"),
+        (~python & F.col("whole") & body.startswith("/**")).alias("doc_opens"),
+        (~python & F.col("whole") & text.contains("/*")).alias("block_opens"),
+        (~python & F.col("whole") & text.contains("*/") & text.rlike(r"(?U)\*/\s*\z")).alias("doc_ends"),
         (~python & body.startswith("export ")).alias("is_export"),
     )
 
 
 def scope_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Every definition line with its extent, from ``lines`` (keys, ``language``, ``line``, ``text``).
+    """Every definition row with its extent, from the rows of :func:`code_lines`.
 
     Both languages share one pass: one exchange on the file key, then running windows in line order, in
     reversed order, and per scope level.
     """
-    down = W.partitionBy(*keys).orderBy("line")
+    down = W.partitionBy(*keys).orderBy("line", "seg")
     so_far, above = down.rowsBetween(W.unboundedPreceding, W.currentRow), down.rowsBetween(W.unboundedPreceding, -1)
     # a backward fill is a running window over the reversed order: a frame open to the end would rescan it
-    up = W.partitionBy(*keys).orderBy(F.desc("line"))
+    up = W.partitionBy(*keys).orderBy(F.desc("line"), F.desc("seg"))
     below, here_or_below = up.rowsBetween(W.unboundedPreceding, -1), up.rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy(*keys)
     zero = F.lit(0)
 
-    # a line sets the string state if it ends alike from either state, else it keeps it or turns it round
-    turned = F.col("turns") * F.col("turns_inside")
     rows = _line_features(lines, keys).withColumns({
-        "turned_above": F.coalesce(F.sum(turned).over(above), zero), "turned_so_far": F.sum(turned).over(so_far)})
-    sets = F.when(F.col("turns") != F.col("turns_inside"), F.struct(F.col("turns").alias("value"), F.col("turned_so_far").alias("turned")))
-    rows = rows.withColumn("set", F.last(sets, ignorenulls=True).over(above))
-    rows = rows.withColumn("in_string", (F.coalesce(F.col("set.value") + F.col("turned_above") - F.col("set.turned"), "turned_above") % 2) == 1)
-    rows = rows.withColumns({
-        "quotes": F.when(F.col("in_string"), F.col("turns_inside")).otherwise(F.col("turns")),
-        "opens": F.when(F.col("in_string"), F.col("opens_inside")).otherwise(F.col("opens_code")),
-        "closes": F.when(F.col("in_string"), F.col("closes_inside")).otherwise(F.col("closes_code"))}).withColumns({
         "depth_after": F.sum(F.col("opens") - F.col("closes")).over(so_far),
+        "brackets_above": F.coalesce(F.sum("bracket_step").over(above), zero),
+        "brackets_after": F.sum("bracket_step").over(so_far),
+        "continued": F.coalesce(F.lag("goes_on").over(down), F.lit(False)),
         "chars_above": F.coalesce(F.sum("plain_chars").over(above), zero),
         "async_above": F.coalesce(F.sum("async_word").over(above), zero),
         "last_filled": F.max(F.when(F.col("filled"), F.col("line"))).over(above),
@@ -167,17 +161,19 @@ def scope_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
         "doc_line": F.last(F.when(F.col("doc_opens"), F.col("line")), ignorenulls=True).over(above),
         "block_line": F.last(F.when(F.col("block_opens"), F.col("line")), ignorenulls=True).over(above),
     })
+    # no expression holds def or class, so a header line stands outside all brackets
+    base = F.coalesce(F.last(F.when(F.col("py_kind").isNotNull() & ~F.col("inside"), F.col("brackets_above")), ignorenulls=True).over(so_far), zero)
     # JS: how a parameter list or an expression left open on a header line goes on
     rows = rows.withColumns({
+        "base": base,
         "next_filled": F.last(F.when(F.col("filled"), F.col("line")), ignorenulls=True).over(below),
         "next_close": F.last(F.when(F.col("starts_close"), F.struct("line", "closes_arrow", "opens")), ignorenulls=True).over(below),
         "next_end": F.last(F.when(F.col("only_closes"), F.col("line")), ignorenulls=True).over(below),
     })
-    in_string = F.col("in_string")
-    code = F.col("python") & F.col("filled") & ~F.col("is_comment") & ~F.col("is_tail") & ~in_string
+    code = F.col("has_code") & (F.col("brackets_above") <= F.col("base")) & ~F.col("continued")
     depth = F.col("depth_after") - F.col("opens") + F.col("closes")
     js_kind = (
-        F.when(F.col("is_comment") | in_string, None)
+        F.when(F.col("is_comment") | F.col("inside"), None)
         .when(F.col("class_name").isNotNull(), "class_declaration")
         .when(F.col("function_name").isNotNull(), "function_declaration")
         .when(F.col("const_name").isNotNull(),
@@ -193,37 +189,35 @@ def scope_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
         "level_here": F.when(F.col("python"), F.col("indent")).otherwise(depth).cast("int"),
     })
 
-    # where an open triple-quoted string ends, with the count of plain characters up to there
-    string_end = F.struct("line", (F.col("chars_above") + F.col("plain_chars")).alias("chars"))
+    # a string that begins on a line ends on the last line before one that begins outside
     rows = rows.withColumns({
         "next_indent": F.last(F.when(F.col("is_code"), F.col("indent")), ignorenulls=True).over(below),
-        "next_odd": F.last(F.when(F.col("quotes") % 2 == 1, string_end), ignorenulls=True).over(below),
+        "next_outside": F.last(F.when(~F.col("inside"), F.struct("line", "chars_above")), ignorenulls=True).over(below),
         "file_end": F.max(F.when(F.col("filled"), F.col("line"))).over(whole),
         "async_total": F.sum("async_word").over(whole),
         "levels": F.collect_set(F.when(F.col("kind").isNotNull(), F.col("level_here"))).over(whole),
     })
-    doc_end = F.when(F.col("quotes") % 2 == 1, F.col("next_odd")).otherwise(string_end)
     statement = F.struct(
-        "line", "indent", "starts_string", doc_end["line"].alias("doc_to"),
-        (doc_end["chars"] - F.col("chars_above")).alias("doc_chars"))
+        "line", "indent", "starts_string", (F.col("next_outside.line") - 1).alias("doc_to"),
+        (F.col("next_outside.chars_above") - F.col("chars_above")).alias("doc_chars"))
     rows = rows.withColumn("statement", F.last(F.when(F.col("is_code"), statement), ignorenulls=True).over(below))
-    # the body starts below the nearest line that ends with a colon: the header itself, or the end of its signature
-    ends_signature = F.col("ends_signature") & ~F.col("in_string") & ~F.col("is_comment")
+    # the body starts below the nearest line that ends with a colon outside brackets: the header itself, or the end of its signature
+    ends_signature = F.col("ends_colon") & (F.col("brackets_after") <= F.col("base"))
     rows = rows.withColumn("first", F.last(F.when(ends_signature, F.col("statement")), ignorenulls=True).over(here_or_below))
 
     # Python: a code line closes every level from its indent up; a comment only together with the code below
-    # it. Braces: a line with a closing brace closes every level from the depth it leaves.
+    # it. Braces: a row with a closing brace closes every level from the depth it leaves.
     closing = (
         F.when(F.col("is_code"), F.col("indent"))
-        .when(F.col("python") & F.col("filled") & F.col("is_comment") & ~F.col("in_string"),
+        .when(F.col("python") & F.col("filled") & F.col("is_comment") & (F.col("brackets_above") <= F.col("base")),
               F.greatest(F.col("indent"), F.coalesce(F.col("next_indent"), F.lit(-1))))
         .when(~F.col("python") & (F.col("closes") > 0), F.col("depth_after"))
     )
     is_closer, is_header = F.col("closing") <= F.col("level"), F.col("kind").isNotNull() & (F.col("level_here") == F.col("level"))
     levels = rows.withColumn("closing", closing.cast("int")).where("closing IS NOT NULL OR kind IS NOT NULL").withColumn(
         "level", F.explode("levels")).where(is_closer | is_header)
-    after = W.partitionBy(*keys, "level").orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, -1)
-    closer = F.struct("line", "last_filled", "async_above", "async_word")
+    after = W.partitionBy(*keys, "level").orderBy(F.desc("line"), F.desc("seg")).rowsBetween(W.unboundedPreceding, -1)
+    closer = F.struct("line", "seg", "last_filled", "async_above", "async_word")
     headers = levels.withColumn(
         "next_closer", F.last(F.when(is_closer, closer), ignorenulls=True).over(after)).where(is_header)
 
@@ -242,6 +236,7 @@ def scope_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
     headers = headers.withColumns({
         "end_line": F.when(python, F.coalesce("next_closer.last_filled", "file_end"))
         .when(no_block, expression_end).otherwise(F.coalesce(block_end["line"], F.col("file_end"))),
+        "end_seg": F.when(~python & ~F.coalesce(no_block, F.lit(False)), F.coalesce(block_end["seg"], F.lit(_LAST))).otherwise(_LAST),
         "async_end": F.when(python, F.coalesce("next_closer.async_above", "async_total"))
         .when(no_block, F.col("async_above") + F.col("async_word"))
         .otherwise(F.coalesce(block_end["async_above"] + block_end["async_word"], F.col("async_total"))),
@@ -250,7 +245,7 @@ def scope_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
     js_doc = ~python & ~F.col("is_export") & F.col("prev.doc_ends") & (F.col("doc_line") == F.col("block_line"))
     py_doc = python & F.col("first.starts_string") & (F.col("first.line") > F.col("line")) & (F.col("first.line") <= F.col("end_line"))
     return headers.select(
-        *keys, F.col("line").alias("start_line"), "end_line", F.col("level").alias("level"),
+        *keys, F.col("line").alias("start_line"), F.col("seg").alias("start_seg"), "end_line", "end_seg", F.col("level").alias("level"),
         F.when(python, F.col("statement.indent")).alias("body_level"), "python", "name",
         F.col("kind").alias("node_type"), F.col("kind").startswith("class").alias("is_class"),
         (F.col("async_end") > F.col("async_above")).alias("is_async"),
@@ -272,10 +267,14 @@ def visited(headers: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in headers.columns if c not in keys]
     rows = headers.select(*keys, F.col("start_line").alias("line"), F.struct(*rest).alias("row"))
     classes = headers.where("is_class").select(
-        *keys, (F.col("start_line") + 1).alias("start_line"), "end_line",
-        F.struct("start_line", "name", "level", "body_level").alias("outer"))
-    around = interval_join(rows, classes, keys, "left").groupBy(*keys, "line").agg(
-        F.first("row").alias("row"), F.array_sort(F.collect_list("outer")).alias("outers"))
+        *keys, "start_line", "end_line", F.struct("start_line", "start_seg", "end_line", "end_seg", "name", "level", "body_level").alias("outer"))
+    joined = interval_join(rows, classes, keys, "left")
+    # rows of one line: in the class from behind its opening brace to its closing one
+    here, begins, ends = (F.struct(*(F.col(f"{row}.{c}").alias(n) for c, n in zip(cols, ("line", "seg")))) for row, cols in (
+        ("row", ("start_line", "start_seg")), ("outer", ("start_line", "start_seg")), ("outer", ("end_line", "end_seg"))))
+    within = F.when((here > begins) & (here <= ends), F.col("outer"))
+    around = joined.groupBy(*keys, F.col("line"), F.col("row.start_seg").alias("start_seg")).agg(
+        F.first("row").alias("row"), F.array_sort(F.collect_list(within)).alias("outers"))
     steps = F.concat(F.transform("outers", lambda o: o["level"]), F.array("row.level"))
     wanted = F.concat(F.array(F.lit(0)), F.transform("outers", lambda o: o["body_level"]))
     in_chain = F.forall(F.zip_with(steps, wanted, lambda s, w: F.coalesce(s == w, F.lit(False))), lambda ok: ok)
@@ -284,8 +283,10 @@ def visited(headers: DataFrame, keys: list[str]) -> DataFrame:
     parents = F.transform("outers", lambda o: o["name"])
     kept = around.where(F.when(F.col("row.python"), in_chain).otherwise(in_classes)).select(
         *keys, "row.*", parents.alias("parents"))
+    at_end = F.col("is_class")
     order = W.partitionBy(*keys).orderBy(
-        F.when(F.col("is_class"), F.col("end_line") * 2 + 1).otherwise(F.col("start_line") * 2), F.desc("start_line"))
+        F.when(at_end, F.col("end_line")).otherwise(F.col("start_line")), at_end & (F.col("end_seg") == _LAST),
+        F.when(at_end, F.col("end_seg")).otherwise(F.col("start_seg")), at_end, F.desc("start_line"), F.desc("start_seg"))
     return kept.select(
         *keys, F.row_number().over(order).alias("visit"), F.concat_ws(".", "parents", "name").alias("name"), "node_type",
         F.nullif(F.array_join("parents", "."), F.lit("")).alias("parent_symbol"), "start_line", "end_line",
@@ -299,8 +300,7 @@ def scopes(sources: DataFrame, keys: list[str]) -> DataFrame:
     texts are read once.
     """
     known = sources.where(F.col("language").isin("python", *BRACE_LANGUAGES))
-    lines = source_lines(known, list(dict.fromkeys([*keys, "language"])))
-    return visited(stage(scope_headers(lines, keys), "scope-headers"), keys)
+    return visited(stage(scope_headers(code_lines(known, keys), keys), "scope-headers"), keys)
 
 
 def with_source_text(symbols: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:

@@ -30,6 +30,10 @@ def brace_loop(text):
                 stack.append(two)
                 i += 2
                 continue
+            if two == "*/":  # no comment is open: two operators
+                emit(two)
+                i += 2
+                continue
             if c in "`\"" or (c == "'" and not (i and text[i - 1].isalnum())):
                 stack.append(c)
                 emit(c)
@@ -116,10 +120,12 @@ def sample(rng, depth=0):
 def test_braces_equal_a_character_loop(spark):
     rng = random.Random(5)
     texts = ["".join(sample(rng) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    texts = [t if rng.random() < 0.5 else t.replace("${", "$").replace("= /", "= 1/") for t in texts]
     got = blanked(spark, texts, lexing.brace_code)
-    assert sum("${" in t for t in texts) > 200
+    assert sum("${" in t for t in texts) > 150 and sum("`" in t and "${" not in t for t in texts) > 150
     for text, code in zip(texts, got):
-        assert code == brace_loop(text), text
+        marks = "`'\""  # whether an open string at the end of a text is closed does not matter
+        assert code.rstrip(marks) == brace_loop(text).rstrip(marks), text
         assert code.count("\n") == text.count("\n")
 
 

@@ -1,4 +1,7 @@
+import ast
 import random
+import sysconfig
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -316,6 +319,112 @@ def test_patterns_are_linear_and_do_not_recurse(spark):
     text = "\n".join(bodies)
     for language in ("javascript", "python"):
         source = spark.createDataFrame([("f", language, text)], "filename string, language string, content string")
-        lines = scopes.source_lines(source, [*KEYS, "language"])
-        assert scopes._line_features(lines, KEYS).count() == len(bodies)
-        assert len(scopes._line_features(lines, KEYS).collect()) == len(bodies)
+        lines = scopes._line_features(scopes.code_lines(source, KEYS), KEYS)
+        assert lines.select("line").distinct().count() == len(bodies)
+        assert len({r.line for r in lines.collect()}) == len(bodies)
+
+
+def test_several_definitions_on_a_line(spark):
+    text = """class A { m(a) { return { b: 1 }; } async n() { if (a) { f(); } } get p() { return 1 } }
+function f() { return 1; } function g() { return `${ { a: '}' } }`; }
+export class B { k() {
+    x(); } l() { } }
+const h = () => { a(); }; class C { static s() { class Inner { no() { } } } }
+"""
+    source = spark.createDataFrame([("f", "javascript", text)], "filename string, language string, content string")
+    got = [(r.name, r.start_line, r.end_line) for r in scopes.scopes(source, KEYS).orderBy("visit").collect()]
+    assert got == [("A.m", 1, 1), ("A.n", 1, 1), ("A.p", 1, 1), ("A", 1, 1), ("f", 2, 2), ("g", 2, 2), ("B.k", 3, 4), ("B.l", 4, 4), ("B", 3, 4),
+                   ("h", 5, 5), ("C.s", 5, 5), ("C", 5, 5)]
+
+
+def test_templates_and_regex_literals_in_bodies(spark):
+    text = """class A {
+  a(x) {
+    const q = `${ x.map((y) => { return `<${ y }>}`; }) } } {{`;
+    return /[}/]{2}/.test(q) ? a / b / c : `
+  not() { }
+`;
+  }
+  b() {
+    return "it's {" + 'x}' /* { */;
+  }
+}
+function top() { // {
+  return `}`;
+}"""
+    assert _found(spark, "javascript", text) == [("A", 1, 11), ("A.a", 2, 7), ("A.b", 8, 10), ("top", 12, 14)]
+
+
+def _by_ast(text):
+    """(name, first line, last line, docstring) of module- and class-level definitions, by Python's own parser."""
+    out = []
+
+    def visit(body, outer):
+        for node in body:
+            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                name = ".".join([*outer, node.name])
+                out.append((name, node.lineno, node.end_lineno, ast.get_docstring(node, clean=False)))
+                if isinstance(node, ast.ClassDef):
+                    visit(node.body, [*outer, node.name])
+
+    visit(ast.parse(text).body, [])
+    return sorted(out, key=lambda r: r[:3])
+
+
+AWKWARD_PYTHON = r'''class A(Base,
+    metaclass=M):
+    x = {
+"def": """
+def no():
+    @@@ still inside
+""",
+}
+    def one(self, a="(", b=@@@"""@@@): return a  # "
+    def two(
+self,
+    ) -> dict[
+  str, int]:
+        r"""Raw \ doc.
+
+end."""
+        return f(
+1, """
+class No: pass
+""")
+    y = 1 + \
+2
+    async def three(self):
+        "plain doc"
+        def inner(): pass
+        return """a""" @@@
+def no2(): pass
+@@@
+def four(): pass
+class E: """One line."""
+if x:
+    def hidden(): pass
+class F:
+    def five(self):
+        """Doc \"""  quoted."""
+        x = "\
+def no3():"
+'''.replace("@@@", "'''")
+
+
+def test_python_scopes_equal_its_own_parser(spark):
+    names = ["textwrap", "heapq", "shlex", "csv", "cmd", "json/decoder", "difflib", "optparse", "argparse", "dataclasses", "inspect", "typing", "pickle", "_pydecimal"]
+    texts = {n: (Path(sysconfig.get_paths()["stdlib"]) / f"{n}.py").read_text() for n in names} | {"awkward": AWKWARD_PYTHON}
+    source = spark.createDataFrame([(n, "python", t) for n, t in texts.items()], "filename string, language string, content string").repartition(8)
+    got = {}
+    for r in scopes.with_source_text(scopes.scopes(source, KEYS), source, KEYS).collect():
+        got.setdefault(r.filename, []).append((r.name, r.start_line, r.end_line, r.docstring, r.documented))
+    for n, text in texts.items():
+        lines, mine = text.split("\n"), sorted(got[n], key=lambda r: r[:3])
+        want = _by_ast(text)
+        assert [r[:2] for r in mine] == [r[:2] for r in want], n
+        for (name, _, end, doc, documented), (_, first, last, wanted) in zip(mine, want):
+            # comments behind the last statement count as part of the scope here
+            assert end >= last and all(not line.strip() or line.lstrip().startswith("#") for line in lines[last:end]), (n, name, end, last)
+            one_line = wanted is not None and text.split("\n")[first - 1].rstrip().endswith(('"', "'"))
+            if not one_line:
+                assert documented == bool(wanted and wanted.strip()), (n, name)
