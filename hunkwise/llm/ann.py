@@ -32,23 +32,31 @@ ENTRIES = 16
 BATCH = 256
 QUERY_BLOCK = 16_384
 
-_FAR = np.float32(np.inf)
+_FAR = np.inf
+#: The search works on vectors scaled to at most about 1; a query far outside a shard is clipped here, so that no square overflows.
+_OUTSIDE = 1e120
+
+
+def scale_of(x: np.ndarray) -> float:
+    """A power of two near the largest component."""
+    most = float(np.abs(x).max()) if x.size else 0.0
+    return 2.0 ** np.floor(np.log2(most)) if most > 0 else 1.0
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query the ``beam`` nearest points met (padded with -1), nearest first, and the points that were expanded."""
     n, m = len(x), len(q)
-    norms, q_norms = (x * x).sum(axis=1), (q * q).sum(axis=1)
     rows = np.arange(m)[:, None]
     met = np.zeros((m, n), bool)
     met[:, entries] = True
 
     def distance(ids: np.ndarray) -> np.ndarray:
-        return norms[ids] + q_norms[:, None] - 2 * np.einsum("mkd,md->mk", x[ids], q)
+        apart = x[ids] - q[:, None]  # differences: a common offset of the vectors does not cancel
+        return np.einsum("mkd,mkd->mk", apart, apart)
 
     ids = np.full((m, beam), -1)
     ids[:, : len(entries)] = entries
-    dist = np.full((m, beam), _FAR, np.float32)
+    dist = np.full((m, beam), _FAR)
     dist[:, : len(entries)] = distance(ids[:, : len(entries)])
     done = np.zeros((m, beam), bool)
     expanded = []
@@ -78,10 +86,9 @@ def robust_prune(x: np.ndarray, points: np.ndarray, pool: np.ndarray, degree: in
     pool = np.where(pool == points[:, None], -1, pool)
     order = np.sort(pool, axis=1)
     pool = np.where(np.column_stack((np.zeros(len(pool), bool), order[:, 1:] == order[:, :-1])), -1, order)
-    vectors = x[pool]
-    own = ((vectors - x[points][:, None]) ** 2).sum(axis=2)
-    own[pool < 0] = _FAR
+    vectors = x[pool] - x[points][:, None]
     squares = (vectors * vectors).sum(axis=2)
+    own = np.where(pool < 0, _FAR, squares)
     between = squares[:, :, None] + squares[:, None] - 2 * np.matmul(vectors, vectors.transpose(0, 2, 1))
     out = np.full((len(points), degree), -1)
     alive, rows = own.copy(), np.arange(len(points))
@@ -100,7 +107,6 @@ def build_graph(x: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """(neighbours, entry points) of a shard's vectors."""
     n, width = len(x), DEGREE + SLACK
     rng = np.random.default_rng(seed)
-    x = x.astype(np.float32)
     graph = np.full((n, width), -1)
     if n > 1:
         graph[:, :DEGREE] = rng.integers(0, n, (n, DEGREE))
@@ -144,7 +150,8 @@ def usable(vector: Column) -> Column:
 
 def _index(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["rep", "cls"], kind="stable").reset_index(drop=True)
-    graph, entries = build_graph(np.stack(pdf["vector"].to_numpy()))
+    vectors = np.stack(pdf["vector"].to_numpy())
+    graph, entries = build_graph(vectors / scale_of(vectors))
     place = pd.Series(range(len(pdf)))
     return pd.DataFrame({"size": pdf["size"], "shard": pdf["shard"], "place": place, "cls": pdf["cls"], "rep": pdf["rep"], "vector": pdf["vector"],
                          "near": [row[row >= 0].tolist() for row in graph], "entry": place.isin(entries)})
@@ -160,13 +167,15 @@ def _searcher(k: int):
         for i, near in enumerate(index["near"]):
             graph[i, : len(near)] = near
         entries, reps, classes = np.flatnonzero(index["entry"]), index["rep"].to_numpy(), index["cls"].to_numpy()
-        x_low, beam = x.astype(np.float32), max(BEAM, k, len(entries))
+        scale, beam = scale_of(x), max(BEAM, k, len(entries))
+        scaled = x / scale
         out = []
         for at in range(0, len(queries), BATCH):
             part = queries.iloc[at : at + BATCH]
             q = np.stack(part["vector"].to_numpy())
-            ids, _ = beam_search(x_low, graph, entries, q.astype(np.float32), beam)
-            apart = x[ids].astype(np.float64) - q[:, None].astype(np.float64)
+            with np.errstate(over="ignore"):
+                ids, _ = beam_search(scaled, graph, entries, np.clip(q / scale, -_OUTSIDE, _OUTSIDE), beam)
+            apart = x[ids] - q[:, None]
             score = np.sqrt(np.cumsum(apart * apart, axis=2)[:, :, -1])  # summed from first to last component
             score[ids < 0] = np.inf
             order = np.lexsort((reps[ids], score))[:, :k]

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hunkwise.llm import ann
@@ -62,3 +63,22 @@ def test_graph_edges_are_bounded_and_no_loops():
     assert graph.shape == (900, ann.DEGREE + ann.SLACK) and len(entries)
     assert not (graph == np.arange(900)[:, None]).any()
     assert all(len(set(row[row >= 0])) == (row >= 0).sum() for row in graph)
+
+
+@pytest.mark.parametrize("offset,spread", [(1000.0, 0.1), (0.0, 1e30), (-1e30, 1e28), (0.0, 1e-30)])
+def test_recall_does_not_depend_on_offset_and_scale(spark, offset, spread):
+    rng = np.random.default_rng(9)
+    vectors = [(i, (offset + spread * rng.normal(size=12)).tolist()) for i in range(2400)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    out = ann.nearest(df, F.col("vec_id") % 40 == 0, shard=700).collect()
+    want = {q: near for q, near in brute(vectors).items() if q % 40 == 0}
+    assert recall(out, want) >= 0.95
+
+
+def test_recall_over_full_shards(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(3 * ann.SHARD, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(6)
+    out = ann.nearest(df, F.col("vec_id") % 400 == 0).collect()
+    want = {q: [(0.0, int(i)) for i in np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[1:11]] for q in range(0, len(x), 400)}
+    assert recall(out, want) >= 0.95
