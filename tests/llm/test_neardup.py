@@ -100,3 +100,21 @@ def test_components(spark):
     got = components(spark.createDataFrame(pairs, "a long, b long"), Staged(spark))
     assert {r["node"]: r["root"] for r in got.collect()} == up
     assert components(spark.createDataFrame([], "a long, b long"), Staged(spark)).select(F.col("root")).count() == 0
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_long_paths_take_few_rounds(spark, shuffled):
+    class Counted(Staged):
+        rounds = 0
+
+        def put(self, df, name):
+            self.rounds += name == "inner"
+            return super().put(df, name)
+
+    names = list(range(1001))
+    if shuffled:
+        random.Random(6).shuffle(names)
+    staged = Counted(spark)
+    got = components(spark.createDataFrame(list(zip(names, names[1:])), "a long, b long"), staged).collect()
+    assert len(got) == 1001 and {r["root"] for r in got} == {0}
+    assert staged.rounds <= 20
