@@ -8,14 +8,17 @@ much of it dictionary words cover, the path (source) it stands in and the words
 usual letter transitions.
 
 The forest is trained from labelled findings. A caller may hand over a table of its own (``labelled``: the columns of
-``findings`` and label 0/1); without one, findings are labelled by their surroundings: 1 for a quoted value assigned to a
-name such as token or password that mixes letters and digits and has no blanks, 0 for a value of letters that words explain,
-of digits only, and for one introduced as a checksum, commit or card. Findings that neither rule covers are left to the
-forest. It takes at most ``TRAIN_FINDINGS`` findings of each label and form (under 16 characters or not, hex digits or
-not: a common form crowds out no other), in the order of a hash; that bound is the only sample.
+``findings`` and label 0/1). Without one it learns from two parts: the made lines of ``keyforms``, the same for every
+corpus, and the corpus' own findings where a rule labels them. Rules on evidence that the features do not hold come first:
+1 for an issuer's published key form, 0 for the exact form of a digest or UUID that no name of a secret introduces. Then the
+surroundings: 1 for a quoted value assigned to a name such as token or password that mixes letters and digits and has no
+blanks, 0 for a value of letters that words explain, of digits only, and for one introduced as a checksum, commit or card.
+The rest is left to the forest. It takes at most ``TRAIN_FINDINGS`` findings of each label and form (under 16 characters or
+not, hex digits or not: a common form crowds out no other), in the order of a hash; that bound is the only sample. However
+many there are, half of what a tree draws are made lines, so the answer on a form does not turn with the corpus.
 
 Defined results: null and empty texts have no findings; a null doc_id is carried as null; repeated rows repeat their
-findings; without findings of both labels the share of label 1 is every finding's score (0 without any).
+findings; where a caller's findings do not have both labels, the share of label 1 is every finding's score (0 without any).
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import product
+from itertools import groupby, product
 
 import ahocorasick
 import numpy as np
@@ -32,11 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hunkwise.llm import keyforms
 from hunkwise.llm.common import Staged
 
 DICTIONARY = 5_000
 TRAIN_FINDINGS = 4_000
-TREES, DEPTH = 40, 8
+TREES, DEPTH = 60, 12
 THRESHOLD = 0.5
 MARK = "<secret>"
 #: Distinct words that a task counts before it hands them on: bounds its memory, changes no result.
@@ -51,6 +55,7 @@ _QUOTED = re.compile(r"""(?:=>?|:)\s*+(?=(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\
 _BARE = re.compile(rf"""(?:=>?|:)\s*+(?:(?:Bearer|Basic|Token)\s++)?+(?!["'`])(\S{{{SHORTEST},}})""")
 _PART = re.compile(rf"""(?<=[=:])[^\s=:&;,|"'`<>()\[\]{{}}]{{{SHORTEST},}}""")
 _OPENING, _CLOSING = "\\\"'`([{<", "\\\"'`)]}>,;."
+_SOLID = re.compile(r"[A-Za-z0-9]+")
 _WORD = re.compile(r"[^\W\d_]{3,15}")
 _ANY = re.compile(r"\w+")
 _ASSIGNED = re.compile(r"""(?:=>?|:)\s*(?:(?:Bearer|Basic|Token)\s+)?(["'`]?)\Z""")
@@ -59,7 +64,7 @@ _SECRET_WORDS = frozenset("token secret password passwd pwd key apikey credentia
 _OTHER_WORDS = frozenset("sha sha1 sha256 md5 hash checksum digest commit rev uuid guid card iban isbn version".split())
 _TEST_WORDS = frozenset("test tests example examples sample samples doc docs fixture fixtures mock".split())
 
-N_FEATURES = 22
+N_FEATURES = 30
 _FINDING = "doc_id long, start long, end long, value_hash long, weak int, features array<double>"
 
 
@@ -136,15 +141,28 @@ class Judge:
         hexed = all(c in "0123456789abcdef" for c in low)
         parts = re.split(r"[/._-]", path.lower())
         following = _ANY.findall(after)[:1]
+        solid = max(_SOLID.findall(value), key=len, default="")
+        tail = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in solid]
+        solid_counts = Counter(solid)
+        solid_entropy = -sum(k / len(solid) * np.log2(k / len(solid)) for k in solid_counts.values()) if solid else 0.0
+        lead = _SOLID.match(value)
+        lead_length = lead.end() if lead and lead.end() < min(n, 13) else 0
+        dashless = low.replace("-", "")
         weak = -1
-        if quoted and secret and not other and 0 < digits < 1 and entropy >= 2.5 and not any(map(str.isspace, value)):
+        if keyforms.issued(value):
+            weak = 1
+        elif keyforms.public(value) and not (assigned and secret):
+            weak = 0
+        elif quoted and secret and not other and 0 < digits < 1 and entropy >= 2.5 and not any(map(str.isspace, value)):
             weak = 1
         elif digits == 1 or other or (not digits and (covered >= 0.5 or lowers == 1 or uppers == 1)):
             weak = 0
         return weak, [float(n), float(np.log(n)), entropy, entropy / np.log2(n), changes, digits, uppers, lowers, 1 - digits - uppers - lowers, float(hexed),
                       len(counts) / n, sum(low.count(c) for c in "aeiou") / n, covered, float(np.mean(steps)), float(np.min(steps)), float(bool(assigned)),
                       float(quoted), secret, other, float(len(parts)), float(any(p in _TEST_WORDS for p in parts)),
-                      float(len(following[0])) if following else 0.0]
+                      float(len(following[0])) if following else 0.0, float(lead_length), len(solid) / n, float(len(solid)), solid_entropy,
+                      float(len(set(tail))), sum(a != b for a, b in zip(tail, tail[1:])) / max(1, len(tail) - 1),
+                      float(bool(dashless) and all(c in "0123456789abcdef" for c in dashless)), max(counts.values()) / n]
 
     def findings(self, text: str | None, path: str | None) -> list[tuple[int, int, str, int, list[float]]]:
         return [(a, b, text[a:b], *self.features(text, a, b, path or "")) for a, b in candidates(text)] if text else []
@@ -184,7 +202,8 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, nodes: list, d
             gain = whole - (n * a * (1 - a) + (len(y) - n) * b * (1 - b)) / len(y)
             k = int(np.argmax(gain))
             if gain[k] > best[0]:
-                best = (gain[k], f, (v[cut[k]] + v[cut[k] + 1]) / 2)
+                low, high = v[cut[k]], v[cut[k] + 1]
+                best = (gain[k], f, (low + high) / 2 if (low + high) / 2 < high else low)
     if best[1] < 0:
         return at
     side = x[:, best[1]] <= best[2]
@@ -194,11 +213,11 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, nodes: list, d
     return at
 
 
-def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> list[np.ndarray]:
-    """Trees grown on bootstrap samples, each split on the best of a random subset of the features."""
+def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 7, weights: np.ndarray | None = None) -> list[np.ndarray]:
+    """Trees grown on bootstrap samples, drawn by ``weights`` (None: equal), each split on the best of a random subset of the features."""
     rng, out = np.random.default_rng(seed), []
     for _ in range(trees):
-        rows, nodes = rng.integers(0, len(y), len(y)), []
+        rows, nodes = rng.choice(len(y), len(y), p=weights), []
         _grow(x[rows], y[rows].astype(float), rng, nodes, depth)
         out.append(np.array(nodes))
     return out
@@ -222,16 +241,30 @@ def forest_scores(x: np.ndarray, trees: list[np.ndarray], otherwise: float) -> n
     return total / len(trees)
 
 
-def train(labelled: DataFrame, limit: int = TRAIN_FINDINGS) -> tuple[list[np.ndarray], float]:
-    """The forest and the share of label 1, from (value_hash, features, label) rows: at most ``limit`` of each label and form."""
-    rows = []
+def made_findings(words: list[tuple[str, int]]) -> list[tuple[int, list[float]]]:
+    """(label, features) of the made lines: of each candidate that is the labelled value or a good part of it."""
+    judge, out = Judge(words), []
+    for label, text, start, end in keyforms.lines([w for w, _ in words]):
+        inside = [(a, b) for a, b in candidates(text) if a >= start - 1 and b <= end + 1 and (not label or b - a >= 0.4 * (end - start))]
+        out += [(label, judge.features(text, a, b, "")[1]) for a, b in inside or [(start, end)]]
+    return out
+
+
+def train(labelled: DataFrame, made: list[tuple[int, list[float]]] = (), limit: int = TRAIN_FINDINGS) -> tuple[list[np.ndarray], float]:
+    """The forest and the share of label 1, from (value_hash, features, label) rows: at most ``limit`` of each label and form,
+    which have half the weight at most beside ``made``."""
+    rows = list(made)
     short, hexed = F.col("features")[0] < 16, F.col("features")[9] == 1
     for label, a, b in product((0, 1), (False, True), (False, True)):
         part = labelled.where((F.col("label") == label) & (short == a) & (hexed == b)).select("features", F.xxhash64("value_hash", "features").alias("place"))
         rows += [(label, r["features"]) for r in part.orderBy("place").limit(limit).collect()]
     y = np.array([label for label, _ in rows])
     share = float(y.mean()) if len(y) else 0.0
-    return (fit_forest(np.array([f for _, f in rows]), y) if 0 < share < 1 else []), share
+    if not 0 < share < 1:
+        return [], share
+    weights = np.ones(len(rows))
+    weights[len(made) :] = min(1.0, len(made) / max(1, len(rows) - len(made))) if made else 1.0
+    return fit_forest(np.array([f for _, f in rows]), y, weights=weights / weights.sum()), share
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> tuple[DataFrame, list[tuple[str, int]], tuple]:
@@ -239,7 +272,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> tuple[DataFrame,
     staged = Staged(docs.sparkSession)
     words = dictionary(docs)
     found = staged.put(findings(docs, words), "findings")
-    model = train(found.where("weak >= 0").withColumn("label", F.col("weak")) if labelled is None else labelled)
+    model = train(found.where("weak >= 0").withColumn("label", F.col("weak")), made_findings(words)) if labelled is None else train(labelled)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,15 +300,19 @@ def redact_secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFr
             texts = batch.column(text_at).to_pylist()
             found = [(k, f) for k, (text, path) in enumerate(zip(texts, batch.column(path_at).cast(pa.string()).to_pylist())) for f in judge.findings(text, path)]
             scores = forest_scores(np.array([f[4] for _, f in found], float).reshape(-1, N_FEATURES), *model)
-            spans: list[list[int]] = []
+            spans: list[list[int]] = []  # (row, start, end), apart and in order
             for (k, (a, b, *_)), s in zip(found, scores):
                 if s >= THRESHOLD:
                     if spans and spans[-1][0] == k and a < spans[-1][2]:
                         spans[-1][2] = max(spans[-1][2], b)
                     else:
                         spans.append([k, a, b])
-            for k, a, b in reversed(spans):
-                texts[k] = texts[k][:a] + MARK + texts[k][b:]
+            for k, own in groupby(spans, key=lambda s: s[0]):
+                text, pieces, at = texts[k], [], 0
+                for _, a, b in own:
+                    pieces += [text[at:a], MARK]
+                    at = b
+                texts[k] = "".join([*pieces, text[at:]])
             columns = list(batch.columns)
             columns[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -1,8 +1,10 @@
 import random
+import string
 
 import numpy as np
+import pytest
 
-from hunkwise.llm import secrets
+from hunkwise.llm import keyforms, secrets
 from tests.llm.helpers import awkward, docs_frame
 
 
@@ -86,3 +88,53 @@ def test_forest_against_plain_walk():
     assert np.allclose(scores, [np.mean([walk(row, t) for t in trees]) for row in x])
     assert ((scores > 0.5) == y).mean() > 0.9
     assert all((a == b).all() for a, b in zip(trees, secrets.fit_forest(x, y, trees=15)))
+
+
+ALNUM, HEX = string.ascii_letters + string.digits, "0123456789abcdef"
+
+
+def forms(rng):
+    """Forms that no label rule and no made line states: {name: (whether a secret, line maker)}."""
+    def some(alphabet, n):
+        return "".join(rng.choice(alphabet) for _ in range(n))
+
+    return {
+        "npm": (True, lambda: f"with npm_{some(ALNUM, 36)} there"),
+        "gitlab": (True, lambda: f"see glpat-{some(ALNUM, 20)} now"),
+        "chat": (True, lambda: f"x xoxb-{some('123456789', 12)}-{some('123456789', 12)}-{some(ALNUM, 24)} y"),
+        "mail": (True, lambda: f"at SG.{some(ALNUM, 22)}.{some(ALNUM, 43)} it"),
+        "letters": (True, lambda: f"take hf_{some(string.ascii_letters, 34)} z"),
+        "trace": (False, lambda: f"span={some(HEX, 32)} x"),
+        "layer": (False, lambda: f"layer {some(HEX, 40)}: pull complete"),
+        "etag": (False, lambda: f'weak "{some(HEX, 32)}" x'),
+        "pod": (False, lambda: f"pod web-{some(HEX, 10)}-{some(string.ascii_lowercase, 5)}-{rng.randrange(9)} up"),
+        "class": (False, lambda: f"class AbstractSingletonProxyFactoryBean{rng.randrange(9)} x"),
+    }
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_forms_without_a_label_rule(spark, sf):
+    rng = random.Random(31)
+    base = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text", "source").collect()]
+    planted, kinds = [], forms(rng)
+    for name, (_, line) in kinds.items():
+        planted += [(name, f"some words stand {line()} and so on") for _ in range(30)]
+    rows = base + [(10**7 + i, text, "src1") for i, (_, text) in enumerate(planted)]
+    out = secrets.redact_secrets(docs_frame(spark, rows)).where(f"doc_id >= {10**7}").select("doc_id", "text").collect()
+    hits = {label: [secrets.MARK in r["text"] for r in out if kinds[planted[r["doc_id"] - 10**7][0]][0] == label] for label in (True, False)}
+    assert len(hits[True]) == len(hits[False]) == 150
+    assert np.mean(hits[True]) >= 0.9 and np.mean(hits[False]) <= 0.05
+
+
+def test_made_lines():
+    made = keyforms.lines([])
+    assert made == keyforms.lines([]) and {label for label, *_ in made} == {0, 1}
+    assert all(0 < a < b <= len(t) and not t[a - 1].isalnum() for _, t, a, b in made)
+    assert keyforms.issued("ghp_" + "a1B2" * 9) and not keyforms.issued("ghp_" + "a" * 35)
+    assert keyforms.public("0" * 40) and keyforms.public("12345678-1234-1234-1234-123456789abc") and not keyforms.public("0" * 39)
+
+
+def test_many_findings_in_one_text(spark):
+    value = 'token = "' + "ab12" * 10 + '" and '
+    text = secrets.redact_secrets(docs_frame(spark, documents() + [(9000, value * 5_000, "src/app")])).where("doc_id = 9000").first()["text"]
+    assert text == 'token = "<secret>" and ' * 5_000
