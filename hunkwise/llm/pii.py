@@ -6,8 +6,9 @@ The patterns are possessive and start only where a match may start, so they are
 The method protects every base value as an entity c. Over the whole corpus it counts the documents with c, those with a
 term t (a word of three letters or more), and those with t near c: within ``NEAR`` characters, up to the next match of
 its kind. The pointwise mutual information log(N n(c,t) / n(c) n(t)) is what t reveals about c; c's own information is
-log(N / n(c)). A term that reveals at least ``DISCLOSED`` of it discloses c: its occurrences near c become spans of kind
-term. A pair seen in one document only is judged like any other; for a value of one document, how rare t is decides
+log(N / n(c)). A term that reveals at least ``DISCLOSED`` of it discloses c: all its occurrences in every text that holds
+c become spans of kind term, except inside base spans. ``NEAR`` defines which terms are judged, not where they are
+marked. A pair seen in one document only is judged like any other; for a value of one document, how rare t is decides
 alone. ``sanitise`` replaces every span by its kind.
 
 Defined results: null texts count as empty, null doc_ids are carried; repeated rows are rows (and documents) of their own;
@@ -145,8 +146,10 @@ def find(docs: DataFrame, staged: Staged | None = None) -> DataFrame:
     """One row a row of ``docs``: doc_id, base (array of (kind, start, end)) and terms (array of (start, end))."""
     staged = staged or Staged(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    rows = computed_once(docs.select("doc_id", text.alias("text")), "spans", base_spans(F.col("text"))).select("doc_id", "spans")
-    rows = staged.put(rows.withColumn("row", F.monotonically_increasing_id()), "spans")
+    rows = computed_once(docs.select("doc_id", text.alias("text")), "spans", base_spans(F.col("text")))
+    # Only texts with base spans are read again, to mark terms in them.
+    held = F.when(F.size("spans") > 0, F.col("text")).alias("held")
+    rows = staged.put(rows.select("doc_id", "spans", held).withColumn("row", F.monotonically_increasing_id()), "spans")
     near = rows.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select(
         "row", F.lower("s.value").alias("entity"),
         F.concat(_terms(F.col("s.left"), F.col("s.start") - F.length("s.left")), _terms(F.col("s.right"), F.col("s.end"))).alias("terms"))
@@ -162,10 +165,15 @@ def find(docs: DataFrame, staged: Staged | None = None) -> DataFrame:
     own = F.log(total / F.col("n_c"))
     disclosing = staged.put(together.join(with_entity, "entity").join(with_term, "term").where((own > 0) & (told >= DISCLOSED * own)).select("entity", "term"),
                             "disclosing")
-    spans = near.join(disclosing, ["entity", "term"]).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    wanted = near.select("row", "entity").distinct().join(disclosing, "entity").select("row", "term").distinct()
+    telling = staged.put(disclosing.select("term").distinct(), "telling")
+    told_at = (rows.where("held IS NOT NULL").select("row", F.explode(_terms(F.col("held"), F.lit(0))).alias("t")).select("row", "t.*")
+               .join(small_side(telling), "term", "left_semi").join(wanted, ["row", "term"], "left_semi"))
+    spans = told_at.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("terms"))
+    apart = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return rows.join(spans, "row", "left").select(
-        "doc_id", "row", base.alias("base"), F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")).alias("terms"))
+        "doc_id", "row", base.alias("base"), F.coalesce(apart, F.array().cast("array<struct<start:int,end:int>>")).alias("terms"))
 
 
 def span_text(spans: Column, name) -> Column:

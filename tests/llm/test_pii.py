@@ -69,7 +69,7 @@ def test_disclosing_terms(spark):
             text += " chief Xavier joe@secret.org leads " + " ".join(rng.choice(common) for _ in range(40)) + " Xavier"
         rows.append((i, text, "s"))
     out = {r["doc_id"]: r for r in pii.find(docs_frame(spark, rows)).collect()}
-    # brute force over the words within the window
+    # brute force: judged within the window, marked in the whole text
     word = re.compile(r"[^\W\d_]{3,}")
     df, near = Counter(), Counter()
     for _, t, _ in rows:
@@ -79,14 +79,20 @@ def test_disclosing_terms(spark):
             around = [w for w in word.finditer(t) if (w.end() <= m.start() and w.start() >= m.start() - pii.NEAR) or (w.start() >= m.end() and w.end() <= m.end() + pii.NEAR)]
             near.update({w.group().lower() for w in around})
     n, n_c = len(rows), 10
-    disclosing = {t for t, k in near.items() if k >= 2 and math.log(n * k / (n_c * df[t])) >= pii.DISCLOSED * math.log(n / n_c)}
+    disclosing = {t for t, k in near.items() if math.log(n * k / (n_c * df[t])) >= pii.DISCLOSED * math.log(n / n_c)}
     assert {"xavier", "chief", "leads"} <= disclosing
     texts = {d: t for d, t, _ in rows}
     found = {texts[d][s["start"] : s["end"]].lower() for d, r in out.items() for s in r["terms"]}
     assert found == disclosing
+    for d, r in out.items():
+        base_at = base(texts[d])
+        marked = [(w.start(), w.end()) for w in word.finditer(texts[d]) if base_at and w.group().lower() in disclosing
+                  and not any(s < w.end() and w.start() < e for _, s, e in base_at)]
+        assert [(s["start"], s["end"]) for s in r["terms"]] == marked
     assert all(not out[i]["terms"] for i in range(200) if i % 20)
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs_frame(spark, rows)).collect()}
-    assert clean[1] == texts[1] and "<term> <term> <email> <term>" in clean[20] and "joe@" not in clean[20] and clean[20].endswith("Xavier")
+    assert clean[1] == texts[1] and "<term> <term> <email> <term>" in clean[20] and "joe@" not in clean[20] and clean[20].endswith("<term>")
+    assert "Xavier" not in clean[20]
 
 
 def test_values_of_one_document_are_protected(spark):
