@@ -24,7 +24,7 @@ def interval_join(lines: DataFrame, spans: DataFrame, keys: list[str], how: str
 
     Besides the keys the two tables share no column names.
 
-    ``how`` is ``inner`` or ``left``. The bin column stays in the result: it is part of the partitioning.
+    ``how`` is ``inner``, ``left`` or ``left_anti`` (lines in no span). The bin column stays in the result: it is part of the partitioning.
     """
     left = lines.withColumn(BIN, _bin("line"))
     right = spans.where(F.col("start_line") <= F.col("end_line")).withColumn(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hunkwise.functions.factors import factors, indexed_hits
 from hunkwise.functions.text import indent_width, split_lines, strip
 from hunkwise.rules import Rule, numbered, rules_frame
 
@@ -27,13 +28,24 @@ def matches(text: Column, rule: Rule) -> Column:
 
 
 RULES_AT_ONCE = 200
+#: Lists with more rules without needles than this are tried through the index of their literal factors.
+INDEXED_FROM = 50
 
 
 def hit_array(text: Column, rules: list[Rule]) -> Column:
     """Numbers of the rules that match the text. Patterns are literals, so each is compiled once, and the
-    whole expression stays in generated code; long lists are chunks of arrays."""
-    flags = [F.when(matches(text, r), no).otherwise(0) for no, _, r in numbered(rules)]
+    whole expression stays in generated code; long lists are chunks of arrays.
+
+    In a long list the rules without needles whose patterns have literal factors are tried only on texts that hold one, so
+    that the work depends on the texts rather than on the number of rules. The hits are the same either way."""
+    all_numbered = numbered(rules)
+    plain = {no: r for no, _, r in all_numbered if not r.needles}
+    needed = {no: factors(r.pattern) for no, r in plain.items()} if len(plain) > INDEXED_FROM else {}
+    needed = {no: words for no, words in needed.items() if words}
+    flags = [F.when(matches(text, r), no).otherwise(0) for no, _, r in all_numbered if no not in needed]
     chunks = [F.array_remove(F.array(*flags[i : i + RULES_AT_ONCE]), 0) for i in range(0, len(flags), RULES_AT_ONCE)]
+    if needed:
+        chunks.append(indexed_hits(text, {no: plain[no].regex for no in needed}, needed))
     return chunks[0] if len(chunks) == 1 else F.concat(F.array().cast("array<int>"), *chunks)
 
 

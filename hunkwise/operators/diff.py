@@ -169,3 +169,13 @@ def changed_lines(pr_files: DataFrame, keys: list[str], patch: str = "patch") ->
 def new_side_lines(pr_files: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:
     """Numbers of the lines a comment may sit on: added and context lines of the new side."""
     return _new_side(pr_files, keys, patch).select(*keys, "line")
+
+
+def new_side_ranges(pr_files: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:
+    """The same places as one range per hunk, ``start_line`` to ``end_line``: new-side lines of a hunk are numbered without gaps, so
+    they are only counted. A hunk without such lines has no range."""
+    body = F.slice("lines", 2, F.size("lines"))
+    return _hunks(pr_files, keys, patch, "new_start", "lines").select(
+        *keys, F.col("new_start").alias("start_line"), F.size(F.filter(body, on_new_side)).alias("n_lines"),
+    ).where("n_lines > 0 AND start_line IS NOT NULL").select(
+        *keys, "start_line", (F.col("start_line") + F.col("n_lines") - 1).alias("end_line"))

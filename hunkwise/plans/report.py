@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hunkwise.functions.text import strip
 from hunkwise.operators.assemble import PART_CHARS, assemble
+from hunkwise.operators.cover import interval_join
 from hunkwise.schemas import AGENTS, SEVERITIES, VERDICT_BADGES, lookup
 
 ALL_CLEAR = (  # fixed value
@@ -114,11 +115,14 @@ def submissions(verdicts: DataFrame, findings: DataFrame, new_side: DataFrame, k
     """What is submitted per review. One finding off the new side of the diff turns all inline comments of its
     review into the summary alone, and a REQUEST_CHANGES event into COMMENT; the verdict stays as it was.
 
-    ``new_side`` has keys, ``filename`` and ``line`` of the added and context lines.
+    ``new_side`` has keys, ``filename`` and the ranges ``start_line`` to ``end_line`` of the added and context lines, one per
+    hunk; a table with ``line`` instead has ranges of one line. Findings meet ranges by file and bin of lines.
     """
-    places = new_side.select(*keys, F.col("filename").alias("file"), F.col("line").alias("line_start"))
-    misplaced = findings.select(*keys, "file", "line_start").join(
-        places, [*keys, "file", "line_start"], "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_misplaced"))
+    if "line" in new_side.columns:
+        new_side = new_side.withColumns({"start_line": F.col("line"), "end_line": F.col("line")})
+    ranges = new_side.select(*keys, F.col("filename").alias("file"), "start_line", "end_line")
+    places = findings.select(*keys, "file", F.col("line_start").alias("line"))
+    misplaced = interval_join(places, ranges, [*keys, "file"], "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_misplaced"))
     fell_back = F.coalesce("n_misplaced", F.lit(0)) > 0
     return verdicts.join(misplaced, keys, "left").select(
         *keys,

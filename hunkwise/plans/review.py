@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hunkwise.operators.cover import cover, modified_lines, unscoped_lines
-from hunkwise.operators.diff import changed_lines, new_side_lines
+from hunkwise.operators.diff import changed_lines, new_side_ranges
 from hunkwise.operators.model import decode_replies, explode_items, merge_findings, model_findings, quarantine
 from hunkwise.operators.review import agent_results, dedupe_findings, rank_findings, review_sizes, verdicts
 from hunkwise.operators.scopes import with_source_text
@@ -37,7 +37,7 @@ class ReviewTables:
         return inline_comments(self.findings, REVIEW_KEYS, self._brand)
 
     def submissions(self) -> DataFrame:
-        return submissions(self.verdicts, self.findings, new_side_lines(self._files, FILE_KEYS), REVIEW_KEYS)
+        return submissions(self.verdicts, self.findings, new_side_ranges(self._files, FILE_KEYS), REVIEW_KEYS)
 
     def reports(self) -> DataFrame:
         contexts = self._contexts

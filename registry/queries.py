@@ -363,13 +363,15 @@ def inline_comments(spark, sf):
 
 
 def _new_side(spark, sf):
-    """The places of all findings, but every fortieth part's far below its own."""
+    """Hunks of one added line at the places of all findings, but every fortieth part's far below its own; as the diff reads them."""
     lines = inputs.table(spark, sf, "lineitem").join(
         inputs.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.select(
+    start = F.when(F.col("l_partkey") % 40 == 0, F.col("l_linenumber") + 1000).otherwise(F.col("l_linenumber")).cast("string")
+    files = lines.select(
         F.col("o_custkey").alias("review"),
         F.concat(F.lit("f"), (F.col("l_partkey") % 50).cast("string"), F.lit(".py")).alias("filename"),
-        F.when(F.col("l_partkey") % 40 == 0, F.col("l_linenumber") + 1000).otherwise(F.col("l_linenumber")).alias("line"))
+        F.concat(F.lit("@@ -"), start, F.lit(",2 +"), start, F.lit(",1 @@\n-a\n-b\n+c\n\\ No newline at end of file")).alias("patch"))
+    return diff.new_side_ranges(files, ["review", "filename"])
 
 
 @query

@@ -104,3 +104,19 @@ def test_one_hunk_of_many_lines(spark):
     patch = "@@ -0,0 +1,200000 @@\n" + "\n".join(f"+line {i}" for i in range(200_000))
     df = frame(spark, patch)
     assert diff.changed_lines(df, ["k"]).selectExpr("count(*)", "max(line)", "count(distinct line)").first()[:] == (200_000, 200_000, 200_000)
+
+
+def test_ranges_hold_the_same_lines(spark, patches):
+    df = frame(spark, *patches)
+    want = {(r.k, r.line) for r in diff.new_side_lines(df, ["k"]).collect()}
+    ranges = diff.new_side_ranges(df, ["k"])
+    found = ranges.collect()
+    assert {(r.k, n) for r in found for n in range(r.start_line, r.end_line + 1)} == want and want
+    plan = ranges._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Generate") == diff.diff_hunks(df, ["k"])._jdf.queryExecution().executedPlan().toString().count("Generate")
+
+
+def test_range_edges(spark):
+    only_deleted, empty, huge = "@@ -1,2 +5,0 @@\n-a\n-b", "@@ -1 +1 @@", "@@ -1 +99999999999 @@\n+a"
+    got = diff.new_side_ranges(frame(spark, only_deleted, empty, huge, None, "", "@@ -0,0 +7,3 @@\n+a\n\\ x\n b\n-c\n+d"), ["k"]).collect()
+    assert [tuple(r) for r in got] == [(5, 7, 9)]

@@ -1,0 +1,88 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from hunkwise.functions.factors import factors, indexed_hits
+from hunkwise.operators import detect
+from hunkwise.rules import LINE_RULES, Rule
+
+
+@pytest.mark.parametrize("pattern, want", [
+    ("password", ["password"]), ("(?i)PassWord", ["password"]), (r"os\.system\s*\(", ["system"]), ("ab+cdef", ["cdef"]),
+    ("abcd?ef", ["abc"]), ("abc{2}de", ["abc"]), ("abc{1}de", ["abcde"]), ("abc{0,2}", None), ("(?:get|post)_url", ["_url"]),
+    ("(?:alpha|beta)+x", ["alpha", "beta"]), ("(?:alpha|b)", None), ("(?:alpha)?x", None), ("(?!secret)token", ["token"]), ("(?<=secret)x", None),
+    ("one|two|three", ["one", "three", "two"]), ("one|[0-9]+", None), ("[abc]{3}", None), ("[^]a]b", None), (r"a\x41bcd", None), (r"\Qabc\E", None),
+    (r"\p{Lu}abc\P{L}", ["abc"]), ("(?x) a b c", None), ("(?<name>value)=", ["value"]), ("(?>value)", ["value"]), ("abc)", None), ("(abc", None), ("", None),
+    ("[a[bc]&&[^d]]def", ["def"]), (r"\bfoo\b", ["foo"]), ("übergabe", ["bergabe"]), ("abc*?def", ["def"]), ("abc++de", ["abc"])])
+def test_factors(pattern, want):
+    assert factors(pattern) == want
+
+
+def random_pattern(rng, depth=0):
+    def atom():
+        kind = rng.randrange(9 if depth < 2 else 6)
+        if kind < 3:
+            return "".join(rng.choice("aabbS") for _ in range(rng.randint(1, 4)))
+        if kind < 6:
+            return rng.choice(["[ab]", r"\s", ".", r"\b", r"\.", "[^a]", "x", "^"])
+        inner = random_pattern(rng, depth + 1)
+        return rng.choice(["(", "(?:", "(?i:", "(?="]) + inner + ")"
+
+    def piece():
+        a = atom()
+        if a in (r"\b", "^") or a.startswith("(?="):
+            return a
+        # groups repeat a bounded number of times, so that the patterns stay cheap
+        return a + rng.choice(["", "", "?", "{2}", "{0,1}", "{1,2}"] if a.startswith("(") else ["", "", "", "?", "*", "+", "{2}", "{0,1}", "{1,3}"])
+
+    return "|".join("".join(piece() for _ in range(rng.randint(1, 4))) for _ in range(rng.choice([1, 1, 1, 2])))
+
+
+def test_a_match_holds_a_factor():
+    rng, fold, seen = random.Random(1), str.maketrans("İıKſ", "iiks"), 0
+    for _ in range(2000):
+        pattern = random_pattern(rng)
+        words, regex = factors(pattern), re.compile("(?i)" + pattern)
+        for _ in range(20):
+            text = "".join(rng.choice("abABabsſx ") for _ in range(24))
+            if words and regex.search(text):
+                seen += 1
+                low = text.translate(fold).lower()
+                assert any(w in low for w in words), (pattern, text, words)
+    assert seen > 300
+
+
+def table_rules(n, rng):
+    names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(n)]
+    forms = [r"\b{}\s*\(", r"(?i){}\s*=", "{}|[0-9]{{9}}x{}", r"(?:{}|other{})\.run", "^{}$", "(?i:{})[a-z]+"]
+    return names, [Rule(f"R{i}", "security", "high", f"t{i}", rng.choice(forms).format(w, w), "m", None, 0.9) for i, w in enumerate(names)]
+
+
+def texts(names, rng, n):
+    ends = ["(", " = 1", "x", ".run()", "", " 123456789x"]
+    out = [" ".join(rng.choice([w, w.upper(), w.title(), "other" + w, "words", "in", "between", "", "ſ"]) + rng.choice(ends) for w in rng.sample(names, 4))
+           for _ in range(n)]
+    return [*out, None, "", "ab", *names[:5], "x" * 100_000, names[0] + "(" + "y " * 50_000 + names[1] + " ="]
+
+
+def test_same_hits_as_trying_all(spark, monkeypatch):
+    rng = random.Random(2)
+    names, rules = table_rules(300, rng)
+    rules = LINE_RULES[:5] + rules + LINE_RULES[5:]
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(texts(names, rng, 1600))], "id int, text string")
+    indexed = {r.id: r.hits for r in lines.select("id", F.array_sort(detect.hit_array(F.col("text"), rules)).alias("hits")).collect()}
+    monkeypatch.setattr(detect, "INDEXED_FROM", len(rules))
+    plain = {r.id: r.hits for r in lines.select("id", F.array_sort(detect.hit_array(F.col("text"), rules)).alias("hits")).collect()}
+    assert {i: (indexed[i], plain[i]) for i in plain if indexed[i] != plain[i]} == {}
+    assert sum(map(len, plain.values())) > 300
+
+
+def test_unicode_case(spark):
+    """Characters beyond ASCII that case-insensitive patterns equate with ASCII letters."""
+    patterns = {1: "(?Ui)kiss", 2: "(?U)(?i)lisk", 3: "(?U)kiss"}
+    df = spark.createDataFrame([("Kıſſ",), ("KISS",), ("kiſs",), ("LİSK",), ("kiss lisk",), ("Kiss",)], "t string")
+    hits = indexed_hits(F.col("t"), patterns, {i: factors(p) for i, p in patterns.items()})
+    rows = df.select("t", hits.alias("hits"), *[F.col("t").rlike(p).alias(f"r{i}") for i, p in patterns.items()]).collect()
+    assert all(r.hits == [i for i in patterns if r[f"r{i}"]] for r in rows) and {i for r in rows for i in r.hits} == {1, 2, 3}

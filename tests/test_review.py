@@ -190,6 +190,23 @@ def test_submissions(spark):
     assert (got[4].status, got[4].event, got[4].verdict) == ("fallback_success", "COMMENT", "REQUEST_CHANGES") and got[4].note
 
 
+def test_submissions_from_ranges(spark):
+    """Against a loop: findings on random ranges, across the borders of bins, in a file with one range of a million lines too."""
+    rng = random.Random(3)
+    ranges = [(k, f"f{rng.randrange(3)}.py", a, a + rng.choice([0, 1, 40, 700])) for k in range(1, 31) for a in (rng.randrange(1, 3000),) for _ in range(2)]
+    ranges += [(31, "big.py", 1, 1_000_000), (32, None, 1, 9)]
+    rows = []
+    for k, name, first, last in ranges:
+        rows += [(k, name, rng.randint(first, last), None, "security", rng.choice(["high", "info"]), f"t{i}", "m", None, 1.0, "rule", i) for i in range(2)]
+    rows += [(k, "f0.py", 5000, None, "security", "high", "off", "m", None, 1.0, "rule", 9) for k in (4, 9)]
+    rows += [(31, "big.py", 999_999, None, "security", "high", "far", "m", None, 1.0, "rule", 9)]
+    f = findings(spark, *rows)
+    side = spark.createDataFrame(ranges, "review int, filename string, start_line int, end_line int")
+    out = report.submissions(review.verdicts(contexts(spark, *range(1, 34)), f, KEYS), f, side, KEYS)
+    off = {r[0] for r in rows if not any(s[0] == r[0] and s[1] == r[1] is not None and s[2] <= r[2] <= s[3] for s in ranges)}
+    assert {r.review for r in out.collect() if r.status == "fallback_success"} == off and {4, 9, 32} <= off and 31 not in off
+
+
 def test_prompt_text_and_parts(spark):
     ctx = spark.createDataFrame([(99, 99, "Add payment validation", "acme/api", "alice", "main", "feature/payments", 20, 5)],
                                 "review int, pr_number int, pr_title string, repo_full_name string, author_login string, "
