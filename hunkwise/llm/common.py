@@ -68,3 +68,31 @@ class Staged:
 def small_side(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     """``ids`` (one long column, already staged) with a broadcast hint if it has at most ``limit`` rows, as it is otherwise."""
     return F.broadcast(ids) if ids.count() <= limit else ids
+
+
+#: Rows of one key that one task of a salted join takes, and keys that may count as hot (a broadcast of two longs each).
+SALT_ROWS, HOT_KEYS = 65_536, 200_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", counted: DataFrame | None = None,
+                salt_rows: int = SALT_ROWS) -> DataFrame:
+    """``left`` joined with ``right`` (``how`` is inner or left), a key with many left rows being spread over several tasks.
+
+    Left rows are counted a key, with map-side combine (or given as ``counted``: the key columns and ``n``). A key with more than
+    ``salt_rows`` is hot: its left rows are dealt over as many parts, and its right rows are repeated once a part. Keys are known by
+    a hash, so hot ones are two longs each; there are at most as many as the rows divided by the limit, which rises with
+    the table so that they stay below HOT_KEYS. Two keys of one hash share their parts, which changes no result. Keys
+    with nulls match nothing.
+    """
+    key = F.xxhash64(*on).alias("_salt_key")
+    counts = (left.groupBy(*on).agg(F.count("*").alias("n")) if counted is None else counted).select(key, "n")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(salt_rows, -(-total // HOT_KEYS))
+    hot = counts.groupBy("_salt_key").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select(
+        "_salt_key", F.ceil(F.col("n") / limit).cast("int").alias("_salt_parts"))
+    parts = F.coalesce("_salt_parts", F.lit(1))
+    dealt = left.withColumn("_salt_key", key).join(F.broadcast(hot), "_salt_key", "left")
+    dealt = dealt.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_salt_key", "_salt_parts")
+    copied = right.withColumn("_salt_key", key).join(F.broadcast(hot), "_salt_key", "left")
+    copied = copied.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_salt_key", "_salt_parts")
+    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")

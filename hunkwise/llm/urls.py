@@ -8,7 +8,10 @@ active. Start is inclusive, end exclusive.
 The join is an as-of join by time cells. Each interval is cut at the borders of cells of ``CELL_DAYS`` days and has one row a
 cell it touches; an open end is bounded by the last fetch. A capture looks up its host's suffixes in its own cell, so
 both sides meet by equality on (entry, cell) and only the borders remain to be compared. Distinct (host, fetched)
-pairs are judged once, by pre-aggregation, so a host with a third of all captures has one row a day.
+pairs are judged once, by pre-aggregation. Both joins are salted (``salted_join``): a platform's domain that is a
+parent of a third of all hosts, and a host and time with a third of all captures, are spread over many tasks.
+
+Times are dates or timestamps, of the captures and of the changes alike; a date counts as its midnight and nothing is rounded.
 
 Defined results: a null or unusable url has no host and is never blocked; a null fetch time is never blocked; entries or
 changes with a null host, category or time are ignored; of changes of one entry at one time a removal wins; repeated changes
@@ -20,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hunkwise.llm.common import Staged, salted_join
+
 CELL_DAYS = 32
 
 
@@ -47,24 +52,26 @@ def intervals(changes: DataFrame) -> DataFrame:
     return spells.where("action = 'add'").select("entry", "category", F.col("changed").alias("valid_from"), "valid_to")
 
 
-def cell(day: Column) -> Column:
-    return F.floor(F.unix_date(day) / CELL_DAYS).cast("int")
+def cell(time: Column) -> Column:
+    return F.floor(F.unix_date(time.cast("date")) / CELL_DAYS).cast("int")
 
 
 def judge(captures: DataFrame, changes: DataFrame, key: str, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """One row a row of ``captures``: key, host, fetched, blocked, categories (sorted), entries (sorted) active at the fetch.
-    ``fetched`` and ``changed`` are dates."""
-    rows = captures.select(F.col(key).alias(key), host_of(F.col(url)).alias("host"), F.col(fetched).cast("date").alias("fetched"))
+    ``fetched`` and ``changed`` are dates or timestamps."""
+    staged = Staged(captures.sparkSession)
+    rows = captures.select(F.col(key).alias(key), host_of(F.col(url)).alias("host"), F.col(fetched).alias("fetched"))
     asked = rows.where("host IS NOT NULL AND fetched IS NOT NULL").groupBy("host", "fetched").agg(F.count("*").alias("captures"))
-    last = F.lit(asked.agg(F.max("fetched")).first()[0]).cast("date")
-    spells = intervals(changes.withColumn("changed", F.col("changed").cast("date"))).where(F.col("valid_from") <= last)
-    until = F.greatest("valid_from", F.least(F.date_sub("valid_to", 1), last))
+    asked = staged.put(asked, "asked-urls")
+    last = F.lit(asked.agg(F.max(F.col("fetched").cast("timestamp"))).first()[0]).cast("timestamp")
+    spells = intervals(changes.withColumn("changed", F.col("changed").cast("timestamp"))).where(F.col("valid_from") <= last)
+    until = F.greatest("valid_from", F.least("valid_to", last))
     spells = spells.withColumn("cell", F.explode(F.sequence(cell(F.col("valid_from")), cell(until))))
     looked = asked.select("host", "fetched", cell(F.col("fetched")).alias("cell"), F.explode(suffixes(F.col("host"))).alias("entry"))
-    hits = (looked.join(spells, ["entry", "cell"])
-            .where((F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))))
+    at = F.col("fetched").cast("timestamp")
+    hits = salted_join(looked, spells, ["entry", "cell"]).where((at >= F.col("valid_from")) & (F.col("valid_to").isNull() | (at < F.col("valid_to"))))
     found = hits.groupBy("host", "fetched").agg(F.sort_array(F.collect_set("category")).alias("categories"), F.sort_array(F.collect_set("entry")).alias("entries"))
     none = F.array().cast("array<string>")
-    return rows.join(found, ["host", "fetched"], "left").select(
+    return salted_join(rows, found, ["host", "fetched"], "left", counted=asked.withColumnRenamed("captures", "n")).select(
         key, "host", "fetched", F.col("categories").isNotNull().alias("blocked"),
         F.coalesce("categories", none).alias("categories"), F.coalesce("entries", none).alias("entries"))

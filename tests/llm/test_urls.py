@@ -3,6 +3,7 @@ import random
 from urllib.parse import urlsplit
 
 from hunkwise.llm import urls
+from hunkwise.llm.common import salted_join
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -57,3 +58,44 @@ def test_intervals_do_not_overlap(spark):
     rows = [("h", "k", day[1], "add"), ("h", "k", day[3], "add"), ("h", "k", day[5], "remove"), ("h", "k", day[6], "remove"), ("h", "k", day[8], "add")]
     spans = urls.intervals(spark.createDataFrame(rows, "entry string, category string, changed date, action string")).orderBy("valid_from").collect()
     assert [(s["valid_from"], s["valid_to"]) for s in spans] == [(day[1], day[5]), (day[8], None)]
+
+
+def test_times_are_not_cut_to_days(spark):
+    """A change at 18:00 says nothing about a capture of 09:00; dates count as their midnight."""
+    at = lambda d, h: datetime.datetime(2024, 1, d, h)
+    changes = spark.createDataFrame([("a.com", "ads", at(5, 18), "add"), ("a.com", "ads", at(7, 12), "remove")],
+                                    "entry string, category string, changed timestamp, action string")
+    times = [at(5, 9), at(5, 18), at(6, 0), at(7, 11), at(7, 12), at(9, 0)]
+    captures = spark.createDataFrame([(i, "http://a.com/", t) for i, t in enumerate(times)], "page_id long, url string, fetched timestamp")
+    got = {r["page_id"]: (r["fetched"], r["blocked"]) for r in urls.judge(captures, changes, "page_id").collect()}
+    assert got == {i: (t, i in (1, 2, 3)) for i, t in enumerate(times)}
+    days = spark.createDataFrame([(i, "http://a.com/", datetime.date(2024, 1, i)) for i in range(4, 9)], "page_id long, url string, fetched date")
+    assert [r["page_id"] for r in urls.judge(days, changes, "page_id").orderBy("page_id").collect() if r["blocked"]] == [6, 7]
+
+
+def test_timestamps_against_brute_force(spark):
+    rng = random.Random(9)
+    time = lambda: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=rng.randrange(200 * 1440))
+    names = ["a.com", "b.a.com", "x.org"]
+    rows = [(i, f"https://{rng.choice(names)}/", time()) for i in range(400)]
+    changes = [(rng.choice(names), rng.choice(["ads", "bad"]), time(), rng.choice(["add", "remove"])) for _ in range(60)]
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string, fetched timestamp"),
+                     spark.createDataFrame(changes, "entry string, category string, changed timestamp, action string"), "page_id")
+    got = {r["page_id"]: r["categories"] for r in out.collect()}
+    for p, u, at in rows:
+        parents = [e for e in names if (h := host(u)) == e or h.endswith("." + e)]
+        assert got[p] == sorted({k for k in ("ads", "bad") for e in parents if listed(changes, e, k, at)})
+    assert any(got.values()) and not all(got.values())
+
+
+def test_salted_join_equals_plain_join(spark):
+    """A key with a third of the rows, null keys, keys of one side only, a key that is repeated on the right side."""
+    left = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('k', id % 40) END AS k", "id % 2 AS j")
+    right = spark.createDataFrame([("hot", 0, "x"), ("hot", 0, "y"), ("hot", 1, "z"), ("k1", 1, "a"), ("gone", 0, "b"), (None, 0, "c")], "k string, j long, v string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right, ["k", "j"], how).collect()))
+        joined = salted_join(left, right, ["k", "j"], how, salt_rows=64)
+        assert sorted(map(str, joined.collect())) == want
+        assert joined.columns == left.join(right, ["k", "j"], how).columns
+    empty = left.where("false")
+    assert salted_join(empty, right, ["k", "j"], "left").count() == 0 and salted_join(left, right.where("false"), ["k", "j"], "left").count() == 3000
