@@ -3,13 +3,18 @@
 Base spans are the leftmost non-overlapping matches of each kind's pattern over the whole text that pass the kind's check.
 The patterns are possessive and start only where a match may start, so they are linear in the text and do not recurse.
 
-The method protects every base value as an entity c. Over the whole corpus it counts the documents with c, those with a
-term t (a word of three letters or more), and those with t near c: within ``NEAR`` characters, up to the next match of
-its kind. The pointwise mutual information log(N n(c,t) / n(c) n(t)) is what t reveals about c; c's own information is
-log(N / n(c)). A term that reveals at least ``DISCLOSED`` of it discloses c: all its occurrences in every text that holds
-c become spans of kind term, except inside base spans. ``NEAR`` defines which terms are judged, not where they are
-marked. A pair seen in one document only is judged like any other; for a value of one document, how rare t is decides
-alone. ``sanitise`` replaces every span by its kind.
+The method protects every base value as an entity c. Over the whole corpus, and in whole texts, it counts the documents with c
+(n_c), those with a term t, a word of three letters or more (n_t), and those with both (n_ct). The pointwise mutual information
+log(N n_ct / n_c n_t) is what t reveals about c; c's own information is log(N / n_c). A term that reveals at least
+``DISCLOSED`` of it discloses c: all its occurrences in every text that holds c become spans of kind term, except inside
+base spans. One shared document is no evidence by itself, or every rare word of that document would disclose each of its values:
+a pair is judged if it shares two documents or more, wherever t stands in them, or if t stands next to c somewhere (within
+``NEAR`` characters, up to the next match of its kind). For a value of one document the words next to it are judged, by n_t alone. Words inside
+a value are words of its text.
+
+Since n_ct is n_c at most, t can disclose c only if n_t <= n_c (N / n_c) ** (1 - DISCLOSED). Terms beyond that are left out before
+a text's terms meet its values, which loses nothing and leaves the rare ones. Joins on an entity or a pair are salted.
+``sanitise`` replaces every span by its kind.
 
 Defined results: null texts count as empty, null doc_ids are carried; repeated rows are rows (and documents) of their own;
 an entity in all documents has no information and is disclosed by nothing; places are code points, end exclusive.
@@ -21,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hunkwise.functions.steps import computed_once
-from hunkwise.llm.common import Staged, small_side
+from hunkwise.llm.common import Staged, salted_join, small_side
 
 #: Fixed values of the contract, in possessive form: the same matches, without backtracking.
 PATTERNS = {
@@ -142,6 +147,11 @@ def _terms(context: Column, origin: Column) -> Column:
     return let(F.struct(F.split(context, word, -1).alias("pieces"), F.regexp_extract_all(context, F.lit(word), F.lit(0)).alias("values")), places)
 
 
+def _distinct_terms(text: str) -> Column:
+    """The distinct terms of a whole text."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{L}{3,}+"), F.lit(0))), F.lower))
+
+
 def find(docs: DataFrame, staged: Staged | None = None) -> DataFrame:
     """One row a row of ``docs``: doc_id, base (array of (kind, start, end)) and terms (array of (start, end))."""
     staged = staged or Staged(docs.sparkSession)
@@ -154,22 +164,31 @@ def find(docs: DataFrame, staged: Staged | None = None) -> DataFrame:
         "row", F.lower("s.value").alias("entity"),
         F.concat(_terms(F.col("s.left"), F.col("s.start") - F.length("s.left")), _terms(F.col("s.right"), F.col("s.end"))).alias("terms"))
     near = staged.put(near.select("row", "entity", F.explode_outer("terms").alias("t")).select("row", "entity", "t.term", "t.start", "t.end"), "near")
-    with_entity = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    together = staged.put(near.where("term IS NOT NULL").select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct")),
-                          "together")
-    asked = staged.put(together.select("term").distinct(), "asked")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), F.lit(0)))).alias("term"))
-    with_term = words.join(small_side(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     total = F.lit(rows.count()).cast("double")
+    holders = staged.put(near.select("row", "entity").distinct(), "holders")
+    entities = staged.put(holders.groupBy("entity").agg(F.count("*").alias("n_c")), "entities")
+    known = staged.put(salted_join(holders, entities, ["entity"], counted=entities.withColumnRenamed("n_c", "n")), "known")
+    beside = staged.put(near.where("term IS NOT NULL").select("entity", "term").distinct(), "beside")
+    several = known.where("n_c > 1").select("row").distinct()
+    held_terms = staged.put(rows.where("held IS NOT NULL").join(several, "row", "left_semi").select("row", F.explode(_distinct_terms("held")).alias("term")),
+                            "held-terms")
+    asked = staged.put(held_terms.select("term").union(beside.select("term")).distinct(), "asked")
+    words = docs.select(F.explode(_distinct_terms("text")).alias("term"))
+    with_term = staged.put(words.join(small_side(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")), "with-term")
+    within = F.col("n_t") <= F.col("n_c") * F.pow(total / F.col("n_c"), F.lit(1 - DISCLOSED)) * (1 + 1e-9)
+    shared = (held_terms.join(with_term, "term").join(known.where("n_c > 1"), "row").where(within)
+              .groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t")))
+    shared = shared.join(beside.withColumn("beside", F.lit(True)), ["entity", "term"], "left").where("n_ct > 1 OR beside").drop("beside")
+    alone = beside.join(entities.where("n_c = 1"), "entity").join(with_term, "term").withColumn("n_ct", F.lit(1).cast("long"))
     told = F.log(total * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     own = F.log(total / F.col("n_c"))
-    disclosing = staged.put(together.join(with_entity, "entity").join(with_term, "term").where((own > 0) & (told >= DISCLOSED * own)).select("entity", "term"),
-                            "disclosing")
-    wanted = near.select("row", "entity").distinct().join(disclosing, "entity").select("row", "term").distinct()
+    disclosing = staged.put(shared.unionByName(alone).where((own > 0) & (told >= DISCLOSED * own)).select("entity", "term"), "disclosing")
     telling = staged.put(disclosing.select("term").distinct(), "telling")
-    told_at = (rows.where("held IS NOT NULL").select("row", F.explode(_terms(F.col("held"), F.lit(0))).alias("t")).select("row", "t.*")
-               .join(small_side(telling), "term", "left_semi").join(wanted, ["row", "term"], "left_semi"))
-    spans = told_at.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("terms"))
+    told_at = staged.put(rows.where("held IS NOT NULL").select("row", F.explode(_terms(F.col("held"), F.lit(0))).alias("t")).select("row", "t.*")
+                         .join(small_side(telling), "term", "left_semi"), "told-at")
+    met = staged.put(told_at.select("row", "term").distinct().join(holders, "row"), "met")
+    wanted = salted_join(met, disclosing, ["entity", "term"]).select("row", "term").distinct()
+    spans = told_at.join(wanted, ["row", "term"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("terms"))
     apart = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return rows.join(spans, "row", "left").select(

@@ -59,6 +59,56 @@ def test_long_runs_are_linear(spark):
     assert sizes == {0: 0, 1: 0, 2: sizes[2], 3: 0, 4: 0, 5: 1, 6: 4000} and sizes[2] > 30_000
 
 
+def disclosing_pairs(rows):
+    """Brute force over whole texts: (value, term) with both in two documents, or next to each other in one."""
+    word = re.compile(r"[^\W\d_]{3,}")
+    n_t, n_c, n_ct, beside = Counter(), Counter(), Counter(), set()
+    for _, text, _ in rows:
+        terms, found = {w.lower() for w in word.findall(text or "")}, base(text)
+        values = {text[s:e].lower() for _, s, e in found}
+        n_t.update(terms)
+        n_c.update(values)
+        n_ct.update((v, t) for v in values for t in terms)
+        for kind, s, e in found:
+            of_kind = [m.span() for m in re.finditer(dict(KINDS)[kind], text)]
+            left = max([y for x, y in of_kind if y <= s], default=0)
+            right = min([x for x, y in of_kind if x >= e], default=len(text))
+            for first, last in ((max(left, s - pii.NEAR), s), (e, min(right, e + pii.NEAR))):
+                for w in word.finditer(text):
+                    if first <= max(w.start(), first if first == left else 0) and w.end() > first and w.start() < last:
+                        x, y = max(w.start(), left), min(w.end(), right)  # words end where a match stands
+                        if x >= first and y <= last and y - x >= 3:
+                            beside.add((text[s:e].lower(), text[x:y].lower()))
+    n = len(rows)
+    return {(c, t) for (c, t), k in n_ct.items() if n_c[c] < n and (k > 1 or (c, t) in beside)
+            and math.log(n * k / (n_c[c] * n_t[t])) >= pii.DISCLOSED * math.log(n / n_c[c]) - 1e-12}
+
+
+def test_whole_texts_against_brute_force(spark):
+    """Values of one and of several documents, several a text, terms far from them, values that share terms, rare words of one document."""
+    rng = random.Random(4)
+    common = [f"wort{c}" for c in "abcdefghijklm"]
+    values = ["joe@a.bc", "Ann@b.cd", "10.0.0.7", "+49 30 1234567", "x@only.one"]
+    friend = {"joe@a.bc": "Xavier", "Ann@b.cd": "Yolanda", "10.0.0.7": "gateway", "+49 30 1234567": "Berlin", "x@only.one": "Zebulon"}
+    rows = []
+    for i in range(150):
+        parts = [rng.choice(common) for _ in range(60)] + [f"selten{chr(97 + i % 26)}{chr(97 + i // 26)}"]
+        held = [v for j, v in enumerate(values[:4]) if i % (9 + 4 * j) == 0] + ([values[4]] if i == 77 else [])
+        for v in held:
+            parts.insert(rng.randrange(len(parts)), v)
+            if rng.random() < 0.9:
+                parts.insert(0, friend[v])  # mostly far from the value
+        rows.append((i, " ".join(parts), "s"))
+    rows += [(900, None, "s"), (901, "", "s"), (902, rows[0][1], "s")]
+    pairs, word = disclosing_pairs(rows), re.compile(r"[^\W\d_]{3,}")
+    assert {("joe@a.bc", "xavier"), ("ann@b.cd", "yolanda"), ("10.0.0.7", "gateway")} <= pairs
+    out = {r["doc_id"]: [(s["start"], s["end"]) for s in r["terms"]] for r in pii.find(docs_frame(spark, rows)).collect()}
+    for d, t, _ in rows:
+        at = base(t)
+        told = {term for _, s, e in at for c, term in pairs if c == t[s:e].lower()}
+        assert out[d] == [w.span() for w in word.finditer(t or "") if w.group().lower() in told and not any(s < w.end() and w.start() < e for _, s, e in at)], d
+
+
 def test_disclosing_terms(spark):
     rng = random.Random(2)
     common = [f"wort{c}" for c in "abcdefghij"]
@@ -69,21 +119,12 @@ def test_disclosing_terms(spark):
             text += " chief Xavier joe@secret.org leads " + " ".join(rng.choice(common) for _ in range(40)) + " Xavier"
         rows.append((i, text, "s"))
     out = {r["doc_id"]: r for r in pii.find(docs_frame(spark, rows)).collect()}
-    # brute force: judged within the window, marked in the whole text
+    disclosing = {t for (_, t) in disclosing_pairs(rows)}
     word = re.compile(r"[^\W\d_]{3,}")
-    df, near = Counter(), Counter()
-    for _, t, _ in rows:
-        df.update(set(word.findall(t.lower())))
-        m = re.search(KINDS[0][1], t)
-        if m:
-            around = [w for w in word.finditer(t) if (w.end() <= m.start() and w.start() >= m.start() - pii.NEAR) or (w.start() >= m.end() and w.end() <= m.end() + pii.NEAR)]
-            near.update({w.group().lower() for w in around})
-    n, n_c = len(rows), 10
-    disclosing = {t for t, k in near.items() if math.log(n * k / (n_c * df[t])) >= pii.DISCLOSED * math.log(n / n_c)}
     assert {"xavier", "chief", "leads"} <= disclosing
     texts = {d: t for d, t, _ in rows}
     found = {texts[d][s["start"] : s["end"]].lower() for d, r in out.items() for s in r["terms"]}
-    assert found == disclosing
+    assert found == disclosing - {"joe", "secret", "org"}  # words of the value itself stand in base spans only
     for d, r in out.items():
         base_at = base(texts[d])
         marked = [(w.start(), w.end()) for w in word.finditer(texts[d]) if base_at and w.group().lower() in disclosing
