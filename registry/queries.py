@@ -293,7 +293,8 @@ def _unique(spark, sf):
 
 
 def _ranked(spark, sf):
-    return review.rank_findings(_unique(spark, sf), KEY)
+    found = stage(inputs.order_findings(spark, sf), "findings")
+    return review.unique_ranked(found, KEY).where("finding_ord IS NOT NULL")
 
 
 def _verdicts(spark, sf):
