@@ -55,6 +55,6 @@ def test_findings_of_small_reviews_move_once(spark, found):
     assert len(wide) == 1 and "hashpartitioning(k" in wide[0]
 
 
-@pytest.mark.parametrize("name", ["rank_findings"])
+@pytest.mark.parametrize("name", ["rank_findings", "inline_comments"])
 def test_ranked_findings_are_joined_once(spark, name):
     assert scans(QUERIES[name](spark, SF), "lineitem") == 0  # read before, into a staged table
