@@ -58,3 +58,7 @@ def test_findings_of_small_reviews_move_once(spark, found):
 @pytest.mark.parametrize("name", ["rank_findings", "inline_comments"])
 def test_ranked_findings_are_joined_once(spark, name):
     assert scans(QUERIES[name](spark, SF), "lineitem") == 0  # read before, into a staged table
+
+
+def test_report_reads_shared_findings(spark):
+    assert scans(QUERIES["report_markdown"](spark, SF), "lineitem") == 0
