@@ -62,3 +62,7 @@ def test_ranked_findings_are_joined_once(spark, name):
 
 def test_report_reads_shared_findings(spark):
     assert scans(QUERIES["report_markdown"](spark, SF), "lineitem") == 0
+
+
+def test_submission_joins_findings_once(spark):
+    assert scans(QUERIES["submission_payload"](spark, SF), "lineitem") == 1  # of the diff's ranges
