@@ -1,12 +1,13 @@
 """How often rows move: shared findings, ranks, report texts, the sink's reads."""
 
 import random
-import re
 
 import pytest
 
 from hunkwise.operators import review
+from hunkwise.operators.assemble import assemble
 from hunkwise.schemas import SEVERITIES
+from hunkwise.sources import commits
 from registry.queries import QUERIES
 from tests.conftest import rows
 
@@ -17,8 +18,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def scans(df, table):
-    return len(re.findall(rf"Location: \w+\s?\[file:[^]]*/{table}\.parquet", plan(df)))
+def scans(df, column):
+    """Scans of the given tables that read ``column``."""
+    return sum("FileScan parquet" in line and f"{column}#" in line for line in plan(df).split("\n"))
 
 
 @pytest.fixture
@@ -57,12 +59,44 @@ def test_findings_of_small_reviews_move_once(spark, found):
 
 @pytest.mark.parametrize("name", ["rank_findings", "inline_comments"])
 def test_ranked_findings_are_joined_once(spark, name):
-    assert scans(QUERIES[name](spark, SF), "lineitem") == 0  # read before, into a staged table
+    assert scans(QUERIES[name](spark, SF), "l_linenumber") == 0  # read before, into a staged table
 
 
 def test_report_reads_shared_findings(spark):
-    assert scans(QUERIES["report_markdown"](spark, SF), "lineitem") == 0
+    assert scans(QUERIES["report_markdown"](spark, SF), "l_linenumber") == 0
 
 
 def test_submission_joins_findings_once(spark):
-    assert scans(QUERIES["submission_payload"](spark, SF), "lineitem") == 1  # of the diff's ranges
+    assert scans(QUERIES["submission_payload"](spark, SF), "l_linenumber") == 1  # of the diff's ranges
+
+
+@pytest.mark.parametrize("several_rows", [1_000_000, 1])
+@pytest.mark.parametrize("part_chars", [1 << 24, 300])
+def test_texts_of_one_run_and_of_several(spark, monkeypatch, several_rows, part_chars):
+    monkeypatch.setattr("hunkwise.operators.assemble.SEVERAL_ROWS", several_rows)
+    numbers = {1: [0], 2: list(range(200)), 3: [70, 71], 4: [0, 0, 1, *range(90, 140)], None: list(range(100))}
+    data = [(k, at, f"{k} {at}") for k, ats in numbers.items() for at in ats]
+    found = assemble(spark.createDataFrame(data, "k int, at long, body string").repartition(5), ["k"], "at", "body", part_chars=part_chars)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r.part):
+        got.setdefault(r.k, []).append(r)
+    assert set(got) == set(numbers)
+    for k, parts in got.items():
+        assert "\n".join(r.body for r in parts) == "\n".join(f"{k} {at}" for at in numbers[k])
+        assert [(r.part, r.n_parts) for r in parts] == [(n, len(parts)) for n in range(len(parts))]
+    assert (len(got[2]) > 1) == (part_chars == 300)
+
+
+def test_texts_of_one_run_do_not_move_again(spark):
+    blocks = spark.range(300).selectExpr("id div 30 AS k", "id % 30 AS at", "'x' AS body")
+    assert "Exchange" not in plan(assemble(blocks, ["k"], "at", "body"))
+
+
+def test_replaced_and_current_writes_are_plain_scans(spark, tmp_path):
+    path, table = str(tmp_path / "sink"), lambda *r: spark.createDataFrame(r, "k int, v string")
+    commits.write_batch(spark, path, "a", {"t": table((1, "old"), (2, "old"))})
+    commits.write_batch(spark, path, "b", {"t": table((1, "new"), (2, "new"), (2, "again"))})
+    found = commits.read_committed(spark, path, "t", ["k"])
+    assert "Exchange" not in plan(found) and rows(found, "k", "v") == [(1, "new"), (2, "again"), (2, "new")]
+    commits.write_batch(spark, path, "c", {"t": table((2, "last"), (3, "last"))})
+    assert rows(commits.read_committed(spark, path, "t", ["k"]), "k", "v") == [(1, "new"), (2, "last"), (3, "last")]
