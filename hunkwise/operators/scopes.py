@@ -52,6 +52,9 @@ _PIECE = r"[^{}]*+(?:\{|\}[;,]*+)|[^{}]++\z"
 _GOES_ON = r"\A\s*+\}\s*+(?:else|catch|finally|while)\b[^{}]*+\{\s*+\z"
 _LAST = 1 << 30  # the segment of an end that is a whole line
 
+#: Source lines whose rows one task keeps for the windows, about 1 kB a line.
+TASK_LINES = 1 << 17
+
 def source_lines(sources: DataFrame, keys: list[str]) -> DataFrame:
     """One row per source line: ``line`` from 1 and ``text``."""
     return sources.select(*keys, F.posexplode(split_lines(F.col("content"))).alias("off", "text")).select(
@@ -135,21 +138,31 @@ def _line_features(lines: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def scope_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
+def line_tasks(sources: DataFrame) -> int:
+    """Tasks over which the lines of all sources are dealt. The windows sort a task's rows several times over, so its memory goes with
+    its lines; their number per task is held, however many partitions a session has and however well rows compress."""
+    lines = sources.agg(F.sum(_char_count(F.col("content"), "\n") + 1)).first()[0] or 0
+    return max(1, -(-lines // TASK_LINES))
+
+
+def scope_headers(lines: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
     """Every definition row with its extent, from the rows of :func:`code_lines`.
 
-    Both languages share one pass: one exchange on the file key, then running windows in line order, in
-    reversed order, and per scope level.
+    Both languages share one pass: one exchange on the file key (to ``tasks`` partitions, if given), then running windows in line
+    order, in reversed order, and per scope level.
     """
-    down = W.partitionBy(*keys).orderBy("line", "seg")
+    # the number leads the keys: it is never a literal, which would keep the windows from using the partitioning by it
+    file = ["file_no", *keys]
+    down = W.partitionBy(*file).orderBy("line", "seg")
     so_far, above = down.rowsBetween(W.unboundedPreceding, W.currentRow), down.rowsBetween(W.unboundedPreceding, -1)
     # a backward fill is a running window over the reversed order: a frame open to the end would rescan it
-    up = W.partitionBy(*keys).orderBy(F.desc("line"), F.desc("seg"))
+    up = W.partitionBy(*file).orderBy(F.desc("line"), F.desc("seg"))
     below, here_or_below = up.rowsBetween(W.unboundedPreceding, -1), up.rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy(*keys)
+    whole = W.partitionBy(*file)
     zero = F.lit(0)
 
-    rows = _line_features(lines, keys).withColumns({
+    features = _line_features(lines.withColumn("file_no", F.xxhash64(*keys)), file)
+    rows = (features if tasks is None else features.repartition(tasks, "file_no")).withColumns({
         "depth_after": F.sum(F.col("opens") - F.col("closes")).over(so_far),
         "brackets_above": F.coalesce(F.sum("bracket_step").over(above), zero),
         "brackets_after": F.sum("bracket_step").over(so_far),
@@ -216,7 +229,7 @@ def scope_headers(lines: DataFrame, keys: list[str]) -> DataFrame:
     is_closer, is_header = F.col("closing") <= F.col("level"), F.col("kind").isNotNull() & (F.col("level_here") == F.col("level"))
     levels = rows.withColumn("closing", closing.cast("int")).where("closing IS NOT NULL OR kind IS NOT NULL").withColumn(
         "level", F.explode("levels")).where(is_closer | is_header)
-    after = W.partitionBy(*keys, "level").orderBy(F.desc("line"), F.desc("seg")).rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy(*file, "level").orderBy(F.desc("line"), F.desc("seg")).rowsBetween(W.unboundedPreceding, -1)
     closer = F.struct("line", "seg", "last_filled", "async_above", "async_word")
     headers = levels.withColumn(
         "next_closer", F.last(F.when(is_closer, closer), ignorenulls=True).over(after)).where(is_header)
@@ -293,14 +306,17 @@ def visited(headers: DataFrame, keys: list[str]) -> DataFrame:
         "is_class", "is_async", "documented", "doc_from", "doc_to")
 
 
-def scopes(sources: DataFrame, keys: list[str]) -> DataFrame:
+def scopes(sources: DataFrame, keys: list[str], sized_by: DataFrame | None = None) -> DataFrame:
     """Symbols of every source (``language``, ``content``); other languages have none.
 
+    The lines are counted first, of ``sized_by`` where that is a cheaper table with all the texts (``content``).
+
     The header rows (a few per cent of the lines) are staged: the class chain reads them twice, and the source
     texts are read once.
     """
     known = sources.where(F.col("language").isin("python", *BRACE_LANGUAGES))
-    return visited(stage(scope_headers(code_lines(known, keys), keys), "scope-headers"), keys)
+    tasks = line_tasks(known if sized_by is None else sized_by)
+    return visited(stage(scope_headers(code_lines(known, keys), keys, tasks), "scope-headers"), keys)
 
 
 def with_source_text(symbols: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:

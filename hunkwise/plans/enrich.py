@@ -28,4 +28,4 @@ def file_sources(files: DataFrame, sources: DataFrame) -> DataFrame:
 
 def file_symbols(files: DataFrame, sources: DataFrame) -> DataFrame:
     """Scopes of all gated files."""
-    return scopes(file_sources(files, sources), FILE_KEYS)
+    return scopes(file_sources(files, sources), FILE_KEYS, sized_by=sources)

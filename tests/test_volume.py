@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from hunkwise.operators import review
+from hunkwise.operators import review, scopes
 from hunkwise.operators.assemble import assemble
 from hunkwise.schemas import SEVERITIES
 from hunkwise.sources import commits
@@ -100,3 +101,15 @@ def test_replaced_and_current_writes_are_plain_scans(spark, tmp_path):
     assert "Exchange" not in plan(found) and rows(found, "k", "v") == [(1, "new"), (2, "again"), (2, "new")]
     commits.write_batch(spark, path, "c", {"t": table((2, "last"), (3, "last"))})
     assert rows(commits.read_committed(spark, path, "t", ["k"]), "k", "v") == [(1, "new"), (2, "last"), (3, "last")]
+
+
+def test_scope_windows_are_dealt_by_lines(spark, monkeypatch):
+    monkeypatch.setattr(scopes, "TASK_LINES", 100)
+    text = "\n".join(f"class C{i}:\n    def f(self):\n        pass" for i in range(10))
+    sources = spark.range(90).selectExpr("id", "'m.py' AS filename", "'python' AS language").withColumn("content", F.lit(text))
+    assert scopes.line_tasks(sources) == 27 and scopes.line_tasks(sources.where("false")) == 1
+    keys = ["id", "filename"]
+    headers = scopes.scope_headers(scopes.code_lines(sources, keys), keys, 27)
+    exchanges = [line for line in plan(headers).split("\n") if "Exchange" in line]
+    assert len(exchanges) == 1 and ", 27)" in exchanges[0]  # a constant key makes no second one
+    assert scopes.scopes(sources, keys).where("name = 'C3.f' AND start_line = 11 AND end_line = 12").count() == 90
