@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hunkwise.operators import review, scopes
 from hunkwise.operators.assemble import assemble
+from hunkwise.plans.local import review_local
 from hunkwise.schemas import SEVERITIES
 from hunkwise.sources import commits
 from registry.queries import QUERIES
@@ -113,3 +114,10 @@ def test_scope_windows_are_dealt_by_lines(spark, monkeypatch):
     exchanges = [line for line in plan(headers).split("\n") if "Exchange" in line]
     assert len(exchanges) == 1 and ", 27)" in exchanges[0]  # a constant key makes no second one
     assert scopes.scopes(sources, keys).where("name = 'C3.f' AND start_line = 11 AND end_line = 12").count() == 90
+
+
+def test_local_findings_are_ranked_where_they_are_staged(spark):
+    files = spark.createDataFrame([("/a/m.py", "def f(x):\n    eval(x)\n    eval(x)\n")], "review_file string, content string")
+    found = review_local(files)["findings"]
+    assert "Exchange hashpartitioning" not in plan(found)
+    assert [(r.finding_ord, r.line_start) for r in found.where("severity = 'critical'").orderBy("finding_ord").collect()] == [(1, 2), (2, 3)]
