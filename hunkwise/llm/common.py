@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of one long column that a broadcast may hold (about 64 MB as a hash relation); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
+#: Bytes of an Arrow batch on its way to a Python task, unless the session asks for less. A batch lives several times over: in the
+#: JVM's buffers, in the task's, and as Python objects.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -25,9 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if _ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (_ROOT, known)))
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold at most BATCH_BYTES (or one row). Rows and results stay the same."""
+    if not 0 < _bytes(spark.conf.get(_BATCH, None)) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def _bytes(setting: str | None) -> int:
+    """A size setting as a number; 0 where it is not set or has a unit that is not known."""
+    found = re.fullmatch(r"(\d+)([bkmg]?)b?", (setting or "").lower())
+    return int(found[1]) << {"k": 10, "m": 20, "g": 30}.get(found[2], 0) if found else 0
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -44,6 +63,7 @@ class Staged:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bound_batches(spark)
         self.paths: dict[int, str] = {}
 
     def put(self, df: DataFrame, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 
 SHINGLE = 5
 #: Bytes of text hashed at a time: bounds the arrays of a task, changes no result.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _R = 0xD6E8FEB86659FD93
