@@ -50,7 +50,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executors, cuts the lineage, and each reader prunes its own columns.
     """
     path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

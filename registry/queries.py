@@ -297,8 +297,9 @@ def _unique(spark, sf, *rest):
     return review.dedupe_findings(found.select(*DEDUPE_COLUMNS, *rest) if rest else found, KEY)
 
 
-def _ranked(spark, sf):
-    found = stage(inputs.order_findings(spark, sf), "findings")
+def _ranked(spark, sf, *rest):
+    """``rest``: the columns wanted beside those of the dedupe; no others are written or moved."""
+    found = stage(inputs.order_findings(spark, sf).select(*DEDUPE_COLUMNS, *rest), "findings")
     return review.unique_ranked(found, KEY).where("finding_ord IS NOT NULL")
 
 
@@ -336,7 +337,7 @@ def dedupe_findings(spark, sf):
 
 @query
 def rank_findings(spark, sf):
-    return _ranked(spark, sf).select("review", "finding_ord", "severity", "file", "line_start", "category", "title", "message")
+    return _ranked(spark, sf, "severity", "message").select("review", "finding_ord", "severity", "file", "line_start", "category", "title", "message")
 
 
 @query
@@ -374,7 +375,7 @@ def dry_run(spark, sf):
 
 @query
 def inline_comments(spark, sf):
-    return report.inline_comments(_ranked(spark, sf), KEY)
+    return report.inline_comments(_ranked(spark, sf, "severity", "symbol_name", "message", "suggested_fix", "confidence_score"), KEY)
 
 
 def _new_side(spark, sf):

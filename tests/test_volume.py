@@ -10,6 +10,8 @@ from hunkwise.operators.assemble import assemble
 from hunkwise.plans.local import review_local
 from hunkwise.schemas import SEVERITIES
 from hunkwise.sources import commits
+from hunkwise.session import stage
+from registry import queries as registered
 from registry.queries import QUERIES
 from tests.conftest import rows
 
@@ -64,6 +66,19 @@ def test_ranked_findings_are_joined_once(spark, name):
     assert scans(QUERIES[name](spark, SF), "l_linenumber") == 0  # read before, into a staged table
 
 
+@pytest.mark.parametrize("name, rest", [
+    ("inline_comments", {"severity", "symbol_name", "message", "suggested_fix", "confidence_score"}), ("rank_findings", {"severity", "message"})])
+def test_findings_are_staged_without_columns_that_nobody_reads(spark, monkeypatch, name, rest):
+    staged = []
+    monkeypatch.setattr(registered, "stage", lambda df, _: staged.append(df.columns) or df)
+    QUERIES[name](spark, SF)
+    assert [set(columns) for columns in staged] == [{"review", "file", "line_start", "category", "title", "seq"} | rest]
+
+
+def test_staged_tables_are_zstd(spark):
+    assert all(".zstd." in name for name in stage(spark.range(10), "codec").inputFiles())
+
+
 def test_report_reads_shared_findings(spark):
     assert scans(QUERIES["report_markdown"](spark, SF), "l_linenumber") == 0
 
