@@ -19,40 +19,48 @@ def _bin(line: str) -> Column:
     return F.floor(F.col(line) / BIN_LINES).cast("int")
 
 
-def interval_join(lines: DataFrame, spans: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def dealt(df: DataFrame, tasks: int | None, *columns: str) -> DataFrame:
+    """``df`` hashed on ``columns`` to ``tasks`` partitions, whatever number the session has and however well rows compress; as it is
+    without ``tasks``. What needs the rows by just these columns then moves them no further, unless one is a literal."""
+    return df if tasks is None else df.repartition(tasks, *columns)
+
+
+def interval_join(lines: DataFrame, spans: DataFrame, keys: list[str], how: str = "inner", tasks: int | None = None) -> DataFrame:
     """Lines (``line``) with the spans (``start_line``..``end_line``, inclusive) of the same keys around them.
 
     Besides the keys the two tables share no column names.
 
-    ``how`` is ``inner``, ``left`` or ``left_anti`` (lines in no span). The bin column stays in the result: it is part of the partitioning.
+    ``how`` is ``inner``, ``left`` or ``left_anti`` (lines in no span). ``tasks``, if given, is the number of partitions. The bin column stays in the result: it is part of the partitioning.
     """
-    left = lines.withColumn(BIN, _bin("line"))
+    left = dealt(lines.withColumn(BIN, _bin("line")), tasks, *keys, BIN)
     right = spans.where(F.col("start_line") <= F.col("end_line")).withColumn(
         BIN, F.explode(F.sequence(_bin("start_line"), _bin("end_line")))
     ).withColumnsRenamed({k: f"span_{k}" for k in [*keys, BIN]})
+    right = dealt(right, tasks, *(f"span_{k}" for k in [*keys, BIN]))
     match = F.col("line").between(F.col("start_line"), F.col("end_line"))
     for k in [*keys, BIN]:
         match = (F.col(k) == F.col(f"span_{k}")) & match
     return left.join(right, match, how).drop(*[f"span_{k}" for k in [*keys, BIN]])
 
 
-def cover(lines: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
+def cover(lines: DataFrame, symbols: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
     """Each changed line with each scope around it; a line in no scope has a null ``visit``.
 
     ``modified`` tells whether the scope counts the line as its own: functions always, a class only when no
     scope visited earlier covers the line. ``kept`` tells whether the scope is reported at all, that is has any
     such line. The first window reuses the join's partitioning; the second moves narrow rows only.
+    ``tasks``, if given, is the number of partitions of the join and of both windows.
     """
-    joined = interval_join(lines, symbols, keys, "left")
+    joined = interval_join(lines, symbols, keys, "left", tasks)
     line_window = W.partitionBy(*keys, BIN, "line")
     scope_window = W.partitionBy(*keys, "visit")
-    return (
+    own = (
         joined.withColumn("first_visit", F.min("visit").over(line_window))
         .withColumn("modified", F.col("visit").isNotNull()
                     & (~F.col("is_class") | (F.col("visit") == F.col("first_visit"))))
-        .withColumn("kept", F.max("modified").over(scope_window))
         .drop("first_visit", BIN)
     )
+    return dealt(own, tasks, *keys, "visit").withColumn("kept", F.max("modified").over(scope_window))
 
 
 def unscoped_lines(covered: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hunkwise.operators.cover import BIN, cover, interval_join
+from hunkwise.operators.cover import BIN, cover, dealt, interval_join
 from hunkwise.operators.detect import (
     lacks_docstring,
     loop_step,
@@ -58,12 +58,13 @@ def hit_rows(covered: DataFrame, rules: list[Rule], docstrings: bool = True) ->
     )
 
 
-def depth_filter(hits: DataFrame, scope_lines: DataFrame, keys: list[str]) -> DataFrame:
+def depth_filter(hits: DataFrame, scope_lines: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
     """Hits of loop rules that are deep enough. Depth is computed only for the scopes that have such hits.
 
     ``hits`` is read by several branches: give a staged table.
 
-    ``scope_lines`` has keys, ``line``, ``text`` of the files, or also ``visit`` for lines of given scopes.
+    ``scope_lines`` has keys, ``line``, ``text`` of the files, or also ``visit`` for lines of given scopes. ``tasks``, if given, is the
+    number of partitions of lines and scopes.
     """
     looped = hits.where("min_loop_depth > 0 AND visit IS NOT NULL")
     plain = hits.where("min_loop_depth = 0 OR visit IS NULL")
@@ -72,8 +73,8 @@ def depth_filter(hits: DataFrame, scope_lines: DataFrame, keys: list[str]) -> Da
         inside = steps.join(looped.select(*keys, "visit").distinct(), [*keys, "visit"], "left_semi")
     else:
         spans = looped.select(*keys, "visit", "start_line", "end_line").distinct()
-        inside = interval_join(steps, spans, keys).drop("start_line", "end_line", BIN)
-    depth = with_loop_depth(inside, [*keys, "visit"]).where("loop_depth > 0").select(*keys, "visit", "line", "loop_depth")
+        inside = interval_join(steps, spans, keys, tasks=tasks).drop("start_line", "end_line", BIN)
+    depth = with_loop_depth(dealt(inside, tasks, *keys, "visit"), [*keys, "visit"]).where("loop_depth > 0").select(*keys, "visit", "line", "loop_depth")
     deep = looped.join(depth, [*keys, "visit", "line"]).where("loop_depth >= min_loop_depth").drop("loop_depth")
     return plain.unionByName(deep)
 
@@ -112,7 +113,7 @@ def with_texts(findings: DataFrame, rules: list[Rule] = LINE_RULES) -> DataFrame
 
 def rule_findings(changed: DataFrame, symbols: DataFrame, sources: DataFrame, keys: list[str],
                   rules: list[Rule] = LINE_RULES, unscoped: bool = True, agents: list[Agent] = AGENTS,
-                  source_keys: list[str] | None = None) -> DataFrame:
+                  source_keys: list[str] | None = None, tasks: int | None = None) -> DataFrame:
     """Findings on ``changed`` lines (keys, filename, ``file_ord``, ``line``, and ``text`` or already ``hits``)
     against ``symbols`` (from sources or given by the caller).
 
@@ -121,16 +122,17 @@ def rule_findings(changed: DataFrame, symbols: DataFrame, sources: DataFrame, ke
     the security scan outside scopes (files that come without a patch). The docstring check belongs to the
     quality agent and runs only where that agent is among ``agents``. ``sources`` (``source_keys``, by default the
     file keys, and ``content``) are read for the files with a hit of a loop rule only.
+    Where lines meet scopes, they are dealt over ``tasks``, if given: the lines there are many times those of the hits.
     """
     file_keys = [*keys, "filename"]
     lines = changed if "hits" in changed.columns else with_hits(changed, rules).drop("text")
     docstrings = DOCSTRING_RULE.category in [a.category for a in agents]
-    hits = hit_rows(cover(lines, scope_columns(symbols, file_keys), file_keys), rules, docstrings)
+    hits = hit_rows(cover(lines, scope_columns(symbols, file_keys), file_keys, tasks), rules, docstrings)
     hits = stage(hits if unscoped else hits.where("visit IS NOT NULL"), "hits")
     source_keys = source_keys or file_keys
     looped = hits.where("min_loop_depth > 0 AND visit IS NOT NULL").select(*file_keys).distinct()
     texts = looped.join(sources.select(*source_keys, "content"), source_keys)
-    return as_findings(depth_filter(hits, source_lines(texts, file_keys), file_keys), keys, agents)
+    return as_findings(depth_filter(hits, source_lines(texts, file_keys), file_keys, tasks), keys, agents)
 
 
 def snippet_findings(symbols: DataFrame, changed: DataFrame, keys: list[str],

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hunkwise.operators import review, scopes
+from hunkwise.operators import cover, review, scopes
 from hunkwise.operators.assemble import assemble
 from hunkwise.plans.local import review_local
 from hunkwise.schemas import SEVERITIES
@@ -138,3 +138,29 @@ def test_local_findings_are_ranked_where_they_are_staged(spark):
     got = found.orderBy("finding_ord").collect()
     assert [r.finding_ord for r in got] == list(range(1, len(got) + 1))
     assert [r.line_start for r in got if r.category == "security"] == [2, 3]
+
+
+def test_lines_and_scopes_are_dealt_over_the_tasks(spark):
+    lines = spark.range(1000).selectExpr("concat('f', id % 10) AS file", "cast(id AS int) AS line")
+    scope = spark.range(100).selectExpr("concat('f', id % 10) AS file", "cast(id * 5 AS int) AS start_line", "cast(id * 5 + 4 AS int) AS end_line",
+                                        "cast(id AS int) AS visit", "id % 2 = 0 AS is_class").hint("merge")
+    dealt = cover.cover(lines, scope, ["file"], 7)
+    exchanges = [line for line in plan(dealt).split("\n") if "Exchange" in line]
+    assert len(exchanges) == 3 and all(", 7), REPARTITION_BY_NUM" in line for line in exchanges)
+    columns = sorted(dealt.columns)
+    assert rows(dealt.select(columns), "file", "line", "visit") == rows(cover.cover(lines, scope, ["file"]).select(columns), "file", "line", "visit")
+
+
+def test_local_review_deals_by_lines(spark, monkeypatch):
+    text = "class C:\n    def f(self, a=[]):\n        for x in a:\n            for y in x:\n                time.sleep(5)\n                eval(y)\n"
+    files = spark.createDataFrame([(f"/a/m{i}.py", text * (i % 3 + 1)) for i in range(8)] + [("/a/none.py", None)], "review_file string, content string")
+    few = review_local(files)["findings"]
+    monkeypatch.setattr(scopes, "TASK_LINES", 5)
+    seen = []
+    deal = cover.dealt
+    monkeypatch.setattr(cover, "dealt", lambda df, tasks, *columns: seen.append(tasks) or deal(df, tasks, *columns))
+    many = review_local(files)["findings"]
+    lines = sum(len((text * (i % 3 + 1)).split("\n")) for i in range(8))
+    assert set(seen) == {None, -(-lines // 5)}  # headers meet classes without
+    order = ["review_file", "finding_ord"]
+    assert few.columns == many.columns and rows(few, *order) == rows(many, *order) and few.count() > 8
