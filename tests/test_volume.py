@@ -155,12 +155,12 @@ def test_local_review_deals_by_lines(spark, monkeypatch):
     text = "class C:\n    def f(self, a=[]):\n        for x in a:\n            for y in x:\n                time.sleep(5)\n                eval(y)\n"
     files = spark.createDataFrame([(f"/a/m{i}.py", text * (i % 3 + 1)) for i in range(8)] + [("/a/none.py", None)], "review_file string, content string")
     few = review_local(files)["findings"]
-    monkeypatch.setattr(scopes, "TASK_LINES", 5)
+    monkeypatch.setattr(scopes, "TASK_LINES", 30)
     seen = []
     deal = cover.dealt
     monkeypatch.setattr(cover, "dealt", lambda df, tasks, *columns: seen.append(tasks) or deal(df, tasks, *columns))
     many = review_local(files)["findings"]
     lines = sum(len((text * (i % 3 + 1)).split("\n")) for i in range(8))
-    assert set(seen) == {None, -(-lines // 5)}  # headers meet classes without
+    assert set(seen) == {None, -(-lines // 30)}  # headers meet classes without
     order = ["review_file", "finding_ord"]
     assert few.columns == many.columns and rows(few, *order) == rows(many, *order) and few.count() > 8
